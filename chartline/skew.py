@@ -30,6 +30,15 @@ def hash_bucket(c: Column) -> Column:
     return F.substring(c, 1, 3)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys where NULL meets NULL; the right side's keys are dropped."""
+    r = right
+    for k in keys:
+        r = r.withColumnRenamed(k, f"_r_{k}")
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(r, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str], bucket: Column
 ) -> DataFrame:
@@ -52,7 +61,7 @@ def running_total(
     )
     inside = W.partitionBy(*keys, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     part = df.select("*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_i_{m}") for m in measures])
-    out = part.join(offs, [*keys, "_b"])
+    out = join_null_safe(part, offs, [*keys, "_b"])
     return out.select(
         *[c for c in df.columns if c != "_b"],
         *[(F.col(f"_o_{m}") + F.col(f"_i_{m}")).alias(f"{m}_before") for m in measures],
@@ -131,7 +140,7 @@ def previous(
     )
     prev = tails.select(*keys, "_s", F.lag("_tail").over(W.partitionBy(*keys).orderBy("_s")).alias("_pt"))
     first = F.col("_rn") == 1
-    return local.join(prev, [*keys, "_s"]).select(
+    return join_null_safe(local, prev, [*keys, "_s"]).select(
         *[c for c in df.columns if c != "_s"],
         *[F.when(first, F.col("_pt")[c]).otherwise(F.col(f"_l_{c}")).alias(f"prev_{c}") for c in cols],
     )
