@@ -33,15 +33,37 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         if name in REGISTRY:
             raise ValueError(f"two queries named {name}")
-        REGISTRY[name] = Query(name, fn, sql)
+        REGISTRY[name] = Query(name, fn, _nudged(sql) if sql else None)
         return fn
 
     return add
 
 
+# Exact halves such as 1/128 round up or down with the last bit of a sum, which
+# depends on the order of its terms. Both engines round x + 1e-9 instead.
+NUDGE = 1e-9
+
+
+def _nudged(sql: str) -> str:
+    """round(x, 6) in the SQL text as round((x) + 1e-9, 6), like r() below."""
+    out, i = [], 0
+    while (j := sql.find("round(", i)) >= 0:
+        k, depth = j + 6, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        body = _nudged(sql[j + 6:k - 1])
+        arg, comma, digits = body.rpartition(",")
+        if comma and digits.strip() == "6":
+            body = f"({arg}) + {NUDGE}, 6"
+        out += [sql[i:j], "round(", body, ")"]
+        i = k
+    return "".join(out) + sql[i:]
+
+
 def r(c: Column | str, name: str | None = None) -> Column:
     """Rounded to six digits so that two engines' sums compare equal."""
-    out = F.round(F.col(c) if isinstance(c, str) else c, 6)
+    out = F.round((F.col(c) if isinstance(c, str) else c) + NUDGE, 6)
     return out.alias(name or c) if isinstance(c, str) or name else out
 
 

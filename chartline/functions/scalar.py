@@ -219,3 +219,11 @@ def any_of(conds: Sequence[Column]) -> Column:
 
 def total(cols: Sequence[Column]) -> Column:
     return reduce(lambda x, y: x + y, cols)
+
+
+def correlation(y: Column | str, x: Column | str) -> Column:
+    """Aggregate: Pearson correlation of the rows where both are known; NULL without spread."""
+    y, x = col(y).cast("double"), col(x).cast("double")
+    both = y.isNotNull() & x.isNotNull()
+    y, x = F.when(both, y), F.when(both, x)
+    return F.try_divide(F.covar_pop(y, x), F.nullif(F.stddev_pop(y) * F.stddev_pop(x), F.lit(0.0)))

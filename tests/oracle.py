@@ -23,6 +23,12 @@ def duck(folder: str):
     return con
 
 
+KIND = {
+    "int": "i", "bigint": "i", "smallint": "i", "INTEGER": "i", "BIGINT": "i", "double": "f", "DOUBLE": "f", "string": "s",
+    "VARCHAR": "s", "date": "d", "DATE": "d", "boolean": "b", "BOOLEAN": "b",
+}
+
+
 def norm(v):
     if v is None:
         return None
@@ -59,8 +65,8 @@ def compare(spark_df, con, sql):
     bad = [(g, w) for g, w in zip(got, want) if g != w]
     if bad:
         return f"{len(bad)} rows differ, cols {sorted(got_cols)}\n   got  {bad[0][0]}\n   want {bad[0][1]}", len(got)
-    types = {c: t for c, t in spark_df.dtypes}
-    odd = [f"{c}:{t}" for c, t in types.items() if t.startswith(("decimal", "array", "map", "struct", "vector"))]
+    kinds = {d[0]: KIND.get(str(d[1]), str(d[1])) for d in cur.description}
+    odd = [f"{c}:{t}/{kinds[c]}" for c, t in spark_df.dtypes if KIND.get(t, t) != kinds[c] or KIND.get(t) is None]
     return (f"types {odd}" if odd else ""), len(got)
 
 
