@@ -1 +1,204 @@
+"""M, and the model-based parts of K and F: the numbers of a learner are checked as rows only."""
 
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.sql import functions as F
+
+from ..functions import scalar as x
+from ..operators import discover, evaluate as e, hygiene as h, learn as m, split as sp
+from .base import PRED, SPINE, query, r, rounded, with_
+
+FEATS = ["price", "age", "big", "male", "urgent"]
+MATRIX = f"""{PRED}"""
+
+
+def matrix(t):
+    """Orders as a training matrix whose label depends on price, priority and age."""
+    p = t.pred
+    y = F.when((F.col("price") / 500000.0 + F.when(F.col("grp") == "1-URGENT", 0.3).otherwise(0.0) + (F.col("age") % 7) / 20.0 + (F.col("entity") % 13) / 26.0) > 0.95, 1).otherwise(0)
+    mat = p.select("entity", y.alias("label"), (F.col("price") / 100000.0).alias("price"), F.col("age"), x.flag(F.col("price") > 300000).cast("double").alias("big"),
+                   x.flag(F.col("sex") == "M").cast("double").alias("male"), x.flag(F.col("grp") == "1-URGENT").cast("double").alias("urgent"))
+    return sp.split(mat.select("entity", "label"), {"train": 0.7, "valid": 0.15, "test": 0.15}).select("entity", "split").join(mat, "entity")
+
+
+def _split_sql(fracs, seed, src="spine"):
+    cum, parts = 0.0, []
+    names = list(fracs)
+    for n in names[:-1]:
+        cum += fracs[n]
+        parts.append(f"WHEN rn <= floor({cum!r}::DOUBLE * n + 0.5::DOUBLE) THEN '{n}'")
+    return f"(SELECT entity, label, CASE {' '.join(parts)} ELSE '{names[-1]}' END AS split FROM (SELECT entity, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', entity, '{seed}'))) AS rn, count(*) OVER (PARTITION BY label) AS n FROM {src}))"
+
+
+@query("m01_stratified_split", f"{with_(PRED)} SELECT * FROM {_split_sql({'train': 0.8, 'valid': 0.1, 'test': 0.1}, 42, 'pred')}")
+def _(t):
+    return sp.split(t.pred, {"train": 0.8, "valid": 0.1, "test": 0.1})
+
+
+@query("m02_verify_split", f"""{with_(SPINE)}, s AS (SELECT entity, CASE WHEN entity % 10 < 8 THEN 'train' ELSE 'test' END AS split FROM spine WHERE entity % 17 <> 3 UNION ALL SELECT entity, 'test' FROM spine WHERE entity % 40 = 1),
+p AS (SELECT entity, count(*) AS n, min(split) AS lo, max(split) AS hi FROM s GROUP BY 1), j AS (SELECT m.entity AS m, p.* FROM (SELECT entity FROM spine WHERE entity % 11 <> 2) m FULL JOIN p ON p.entity = m.entity)
+SELECT count(*) FILTER (WHERE lo <> hi) AS n_in_two_splits, count(*) FILTER (WHERE n > 1) AS n_repeated, count(*) FILTER (WHERE n IS NULL) AS n_uncovered, count(*) FILTER (WHERE m IS NULL) AS n_unknown FROM j""")
+def _(t):
+    s = t.spine.where("entity % 17 <> 3").select("entity", F.when(F.col("entity") % 10 < 8, "train").otherwise("test").alias("split"))
+    s = s.unionByName(t.spine.where("entity % 40 = 1").select("entity", F.lit("test").alias("split")))
+    return sp.verify_split(t.spine.where("entity % 11 <> 2"), s)
+
+
+@query("m03_folds", f"""{with_(PRED)} SELECT entity, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', entity, '42'))) - 1) % 5 AS INTEGER) AS fold FROM pred""")
+def _(t):
+    return sp.folds(t.pred, 5)
+
+
+@query("m03_out_of_fold", None)
+def _(t):
+    return rounded(m.oof(matrix(t), FEATS, 3))
+
+
+@query("m04_class_weights", f"""{with_(SPINE)}, b AS (SELECT entity, label, CAST(floor(age / 10) * 10 AS INTEGER) AS band FROM spine), c AS (SELECT label, band, count(*) AS n FROM b GROUP BY 1, 2),
+w AS (SELECT label, band, n, sum(n) OVER () / (2.0::DOUBLE * sum(n) OVER (PARTITION BY label)) * (sum(n) OVER (PARTITION BY band) / sum(n) OVER ()) / (n / (sum(n) OVER (PARTITION BY label))::DOUBLE) AS w FROM c)
+SELECT b.entity, b.label, b.band, round(w / (SELECT sum(w * n) / sum(n) FROM w), 6) AS weight FROM b JOIN w USING (label, band)""")
+def _(t):
+    return rounded(sp.class_weights(t.spine.select("entity", "label", x.floor_band("age", 10).alias("band")), "band"))
+
+
+@query("m05_train_panel", None)
+def _(t):
+    w = sp.class_weights(matrix(t))
+    _, preds, scores = m.panel(w, FEATS, weighted=True)
+    return rounded(m.pick(preds, scores))
+
+
+@query("m06_tune", None)
+def _(t):
+    grid = {"lr": [LogisticRegression(maxIter=30, regParam=p) for p in (0.001, 0.1)], "rf": [RandomForestClassifier(numTrees=10, maxDepth=d, seed=42) for d in (3, 5)]}
+    return rounded(m.tune(matrix(t), FEATS, grid)[1])
+
+
+@query("m07_ensemble", None)
+def _(t):
+    mat = matrix(t)
+    models, preds, _ = m.panel(mat, FEATS)
+    wide = preds.groupBy("entity", "label", "split").pivot("model", list(models)).agg(F.max("score"))
+    weights, best = m.weight_grid(wide.where("split = 'valid'"), ["lr", "rf", "gb"])
+    mix = x.total([F.col(n) * w for n, w in zip(["lr", "rf", "gb"], weights)])
+    stacked = m.stack(wide, list(models))[1].select("entity", F.col("score").alias("stacked"))
+    return rounded(wide.select("entity", "label", "split", mix.alias("blended")).join(stacked, "entity"))
+
+
+@query("m08_calibrate", None)
+def _(t):
+    p = t.pred.select("entity", "label", "score", "age")
+    part = sp.split(p, {"cal": 0.5, "check": 0.2, "test": 0.3}, 7).select("entity", "split")
+    j = p.join(part, "entity")
+    cals = m.calibrate(j.where("split = 'cal'"), j.where("split = 'check'"), m.age_band())
+    return rounded(m.apply_calibration(j.where("split = 'test'"), cals, m.age_band()))
+
+
+@query("m09_score_batch", None)
+def _(t):
+    mat = matrix(t)
+    return rounded(m.fit_bundle(mat, FEATS, rounds=5, trees=10).score(mat.where("split = 'test'")))
+
+
+HORIZON = """near AS (SELECT entity, score, CASE WHEN cust % 5 = 0 THEN 1 ELSE 0 END AS insufficient FROM pred WHERE entity % 7 <> 0),
+far AS (SELECT entity, score * 0.9::DOUBLE + 0.05::DOUBLE AS score, CASE WHEN cust % 10 = 0 THEN 1 ELSE 0 END AS insufficient FROM pred WHERE entity % 11 <> 0)"""
+
+
+def horizons(t):
+    near = t.pred.where("entity % 7 <> 0").select("entity", "score", x.flag(F.col("cust") % 5 == 0).alias("insufficient"))
+    far = t.pred.where("entity % 11 <> 0").select("entity", (F.col("score") * 0.9 + 0.05).alias("score"), x.flag(F.col("cust") % 10 == 0).alias("insufficient"))
+    return near, far
+
+
+@query("m10_dual_horizon", f"""{with_(PRED, HORIZON)}, j AS (SELECT coalesce(n.entity, f.entity) AS entity, n.score AS pn, f.score AS pf, coalesce(n.insufficient, 1) AS i1, coalesce(f.insufficient, 1) AS i2 FROM near n FULL JOIN far f ON f.entity = n.entity),
+k AS (SELECT *, coalesce(pn >= 0.7, false) AS fn, coalesce(pf >= 0.65, false) AS ff FROM j)
+SELECT entity, round(greatest(pn, pf), 6) AS p_max, round(coalesce((pn + pf) / 2, pn, pf), 6) AS p_mean, CAST(fn OR ff AS INTEGER) AS flag_or, CASE WHEN fn OR ff THEN 'Cancer' WHEN i1 = 1 AND i2 = 1 THEN 'Not enough data' ELSE 'No Cancer' END AS verdict,
+  concat_ws(',', CASE WHEN fn THEN '1mo' END, CASE WHEN ff THEN '12mo' END) AS fired_by FROM k""")
+def _(t):
+    return rounded(e.combine_horizons(*horizons(t), 0.7, 0.65))
+
+
+_CONTRACT = """c AS (SELECT entity // 2 AS entity, CASE WHEN entity % 100 = 3 THEN 'train' WHEN entity % 2 = 0 THEN 'valid' ELSE 'test' END AS split, CASE WHEN entity % 50 = 7 THEN NULL WHEN entity % 90 = 4 THEN 1.5::DOUBLE ELSE score END AS proba_1,
+  CASE WHEN entity % 70 = 9 THEN 0.0::DOUBLE ELSE 1 - score END AS proba_0, entity % 25 = 7 AS abstained FROM pred)"""
+
+
+@query("m11_prediction_contract", f"""{with_(PRED, _CONTRACT)}, ab AS (SELECT *, coalesce(abstained, false) AS a FROM c),
+p AS (SELECT 'bad split' AS problem, count(*) FILTER (WHERE split NOT IN ('valid', 'test')) AS "rows" FROM ab UNION ALL SELECT 'abstained with score', count(*) FILTER (WHERE a AND proba_1 IS NOT NULL) FROM ab
+  UNION ALL SELECT 'missing score', count(*) FILTER (WHERE NOT a AND proba_1 IS NULL) FROM ab UNION ALL SELECT 'score out of range', count(*) FILTER (WHERE NOT a AND (proba_1 < 0 OR proba_1 > 1)) FROM ab
+  UNION ALL SELECT 'scores do not sum to 1', count(*) FILTER (WHERE NOT a AND abs(proba_1 + proba_0 - 1) > 1e-3) FROM ab UNION ALL SELECT 'repeated id', count(*) - count(DISTINCT entity) FROM ab)
+SELECT * FROM p WHERE "rows" > 0""")
+def _(t):
+    k = F.col("entity")
+    df = t.pred.select(
+        F.floor(k / 2).alias("entity"), F.when(k % 100 == 3, "train").when(k % 2 == 0, "valid").otherwise("test").alias("split"),
+        F.when(k % 50 == 7, None).when(k % 90 == 4, 1.5).otherwise(F.col("score")).alias("proba_1"), F.when(k % 70 == 9, 0.0).otherwise(1 - F.col("score")).alias("proba_0"),
+        F.lit("panel").alias("model_name"), F.lit("v1").alias("model_version"), (k % 25 == 7).alias("abstained"))
+    return e.validate_preds(df)
+
+
+CONTRIB = """mn AS (SELECT avg(price) AS mp, avg(age) AS ma, avg(score) AS ms FROM pred),
+ct AS (SELECT entity, age, grp, 'price' AS feature, 0.00001::DOUBLE * (price - mp) AS contribution FROM pred, mn UNION ALL SELECT entity, age, grp, 'age', -0.03::DOUBLE * (age - ma) FROM pred, mn UNION ALL SELECT entity, age, grp, 'score', 1.5::DOUBLE * (score - ms) FROM pred, mn)"""
+COEF = {"price": 0.00001, "age": -0.03, "score": 1.5}
+
+
+def contrib(t):
+    mean = t.pred.agg(*[F.avg(f).alias(f) for f in COEF]).first().asDict()
+    return m.contributions(t.pred, COEF, mean)
+
+
+@query("m12_linear_contributions", f"{with_(PRED, CONTRIB)} SELECT entity, feature, round(contribution, 6) AS contribution FROM ct")
+def _(t):
+    return rounded(contrib(t))
+
+
+@query("k07_model_importance", None)
+def _(t):
+    return rounded(m.importance(matrix(t), FEATS, folds=2))
+
+
+@query("f11_importance_fusion", None)
+def _(t):
+    mat = matrix(t).where("split = 'train'")
+    vec = m.vectorise(mat, FEATS)
+    a = m.importances(m.learners()["rf"].fit(vec), FEATS, t.spark)
+    b = m.importances(m.learners()["gb"].fit(vec), FEATS, t.spark)
+    long = mat.select("entity", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in FEATS])).alias("s")).select("entity", "s.*")
+    return rounded(m.fuse(a, b, h.label_correlation(long, mat), 3, force=["age"]))
+
+
+@query("f12_stability_select", None)
+def _(t):
+    return rounded(m.stability_select(matrix(t).where("split = 'train'"), FEATS, folds=3, min_folds=2, force=["age"]))
+
+
+@query("f13_group_contribution", None)
+def _(t):
+    return rounded(m.ablate(matrix(t), {"money": ["price", "big"], "person": ["age", "male"]}, noise=3, curve=[1, 3], order=FEATS))
+
+
+@query("f14_fit_transforms", None)
+def _(t):
+    mat = matrix(t).withColumn("segment", F.when(F.col("entity") % 9 == 0, None).otherwise(F.col("split"))).withColumn(
+        "price", F.when(F.col("entity") % 10 != 0, F.col("price")))
+    prep = m.Prep(categorical=["segment"], value_cols=["price"]).fit(mat.where("split = 'train'"), [*FEATS, "segment"])
+    return rounded(prep.transform(mat.where("split <> 'train'")))
+
+
+@query("v15_surrogate_tree", None)
+def _(t):
+    mat = matrix(t)
+    flags = mat.select("entity", x.flag((F.col("price") > 2.5) & (F.col("urgent") == 1)).alias("flag"))
+    return rounded(m.surrogate(mat, flags, FEATS)[1])
+
+
+@query("v17_faithfulness", None)
+def _(t):
+    mat = matrix(t)
+    vec = m.vectorise(mat.where("split = 'train'"), FEATS)
+    lr = LogisticRegression(maxIter=30, regParam=0.01).fit(vec)
+    means = mat.agg(*[F.avg(f).alias(f) for f in FEATS]).first().asDict()
+    con = m.contributions(mat.where("split = 'test'"), dict(zip(FEATS, map(float, lr.coefficients))), means)
+    return rounded(m.faithfulness(mat.where("split = 'test'"), FEATS, lr, con, (1, 3)))

@@ -1 +1,132 @@
+"""W: text features on documents and conversations."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalar as x
+from ..operators import learn, text as w
+from .base import ANCH, SPINE, query, r, rounded, with_
+
+# Conversations as text events of an entity: user and system turns count as clinical types.
+CONV = """cv AS (SELECT conv_id AS entity, turn, role AS event_type, CASE WHEN turn % 5 = 0 THEN 'IMAGING' ELSE 'OTHER' END AS category,
+  CASE WHEN turn % 3 = 0 THEN '<value id="1">' || text || '</value>' ELSE text END AS text FROM conversations)"""
+BODY = r"""bd AS (SELECT *, lower(CASE WHEN turn % 3 = 0 AND NOT contains(inner_text, '<') THEN inner_text ELSE text END) AS body
+  FROM (SELECT *, replace(replace(text, '<value id="1">', ''), '</value>', '') AS inner_text FROM cv))"""
+
+
+def conv(t):
+    tx = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('<value id="1">'), F.col("text"), F.lit("</value>"))).otherwise(F.col("text"))
+    return t.conversations.select(
+        F.col("conv_id").alias("entity"), "turn", F.date_add(F.lit("2024-01-01").cast("date"), F.col("turn").cast("int")).alias("event_date"),
+        F.col("role").alias("event_type"), F.when(F.col("turn") % 5 == 0, "IMAGING").otherwise("OTHER").alias("category"), tx.alias("text"))
+
+
+_BOIL = [r"the\s*of", r"and\s*in", r"de\s*la"]
+_BRX = r"the\s*of|and\s*in|de\s*la"
+PIECES = rf"""pc AS (SELECT entity, turn, body FROM (SELECT entity, turn, CASE WHEN NOT regexp_matches(body, '{_BRX}') THEN body
+    WHEN length(trim(regexp_replace(body, '{_BRX}', '', 'g'), ' ')) > 20 THEN trim(regexp_replace(body, '{_BRX}', '', 'g'), ' ') END AS body
+  FROM (SELECT DISTINCT entity, turn, event_type, category, body FROM bd WHERE length(body) > 10
+    AND (event_type IN ('user', 'system') OR category = 'IMAGING' OR regexp_matches(body, 'tion|ung')))) WHERE body IS NOT NULL)"""
+
+
+def pieces(t):
+    return w.pieces(conv(t), ["user", "system"], ["IMAGING"], search="tion|ung", boilerplate=_BOIL, keep=["turn"])
+
+
+@query("w01_patient_documents", rf"""{with_(CONV, BODY, PIECES)}, d AS (SELECT entity, string_agg(body, ' ' ORDER BY turn, body) AS doc FROM pc GROUP BY 1)
+SELECT entity, CASE WHEN len(regexp_split_to_array(trim(doc, ' '), '\s+')) > 60 THEN array_to_string(regexp_split_to_array(trim(doc, ' '), '\s+')[1:60], ' ') ELSE doc END AS doc FROM d""")
+def _(t):
+    return w.documents(pieces(t), 60, order=["turn"])
+
+
+_FLAGS = {"img_a": r"tion.{0,15}the|ung\s*der", "img_b": r"ou\s+le", "sev_a": r"re\s*(the|of|de)", "ctx_a": r"\d+|[@]"}
+
+
+@query("w02_keyword_flags", rf"""WITH d AS (SELECT doc_id, lower(text) AS body, source FROM documents)
+SELECT source AS entity, """ + ", ".join(f"CAST(count(*) FILTER (WHERE regexp_matches(body, '{rx}') AND {'body LIKE ' + chr(39) + '%en%' + chr(39) if n.startswith('img') else 'true'}) > 0 AS INTEGER) AS {n}" for n, rx in _FLAGS.items()) +
+       r""", CAST(count(*) FILTER (WHERE body LIKE '%en%') > 0 AS INTEGER) AS TEXT_IMG_has_report, CAST(count(*) FILTER (WHERE body LIKE '%en%' AND NOT regexp_matches(body, 'the|de')) > 0 AS INTEGER) AS TEXT_IMG_abnormal_report FROM d GROUP BY 1""")
+def _(t):
+    d = t.documents.select(F.col("source").alias("entity"), F.lower("text").alias("body"))
+    scope = F.col("body").contains("en")
+    a = w.keyword_flags(d, {k: v for k, v in _FLAGS.items() if k.startswith("img")}, scope)
+    b = w.keyword_flags(d, {k: v for k, v in _FLAGS.items() if not k.startswith("img")})
+    return a.join(b, "entity").join(w.report_flags(d, scope, "the|de"), "entity")
+
+
+@query("w02_clinical_dictionaries", None)
+def _(t):
+    d = t.documents.select(F.col("doc_id").alias("entity"), F.lower("text").alias("body"))
+    scope = F.col("body").rlike(w.SCAN_PATTERN)
+    out = w.keyword_flags(d, w.IMAGING, scope).join(w.keyword_flags(d, {**w.SEVERITY, **w.CONTEXT}), "entity")
+    return out.join(w.report_flags(d, scope), "entity")
+
+
+_F3 = r"f AS (SELECT doc_id AS entity, CAST(regexp_matches(lower(text), 'tion') AS INTEGER) AS a, CAST(regexp_matches(lower(text), 'ung') AS INTEGER) AS b, CAST(regexp_matches(lower(text), 'eaux') AS INTEGER) AS c, CAST(regexp_matches(lower(text), 'the\s') AS INTEGER) AS s, CAST(NOT regexp_matches(lower(text), 'de') AS INTEGER) AS ab FROM documents)"
+
+
+@query("w03_text_composites", f"""{with_(_F3)} SELECT entity, a + b + c AS finding_count, CAST((a = 1 OR b = 1) AND s = 1 AS INTEGER) AS finding_with_severity, CAST(a + b + s > 0 AS INTEGER) AS any_signal, a + b + s AS signal_count,
+  CAST(ab = 1 AND s = 1 AS INTEGER) AS abnormal_with_severity FROM f""")
+def _(t):
+    d = t.documents.select(F.col("doc_id").alias("entity"), F.lower("text").alias("body"))
+    f = w.keyword_flags(d, {"a": "tion", "b": "ung", "c": "eaux", "s": r"the\s"}).join(
+        d.groupBy("entity").agg(F.max(x.flag(~F.col("body").rlike("de"))).alias("ab")), "entity")
+    out = w.composites(f, ["a", "b", "c"], ["a", "b"], ["s"], ["a", "b", "s"], "ab")
+    return out.select("entity", "finding_count", "finding_with_severity", "any_signal", "signal_count", "abnormal_with_severity")
+
+
+@query("w04_comment_features", f"""{with_(ANCH)}, c AS (SELECT entity, days_before, lower(trim(CASE WHEN line = 3 THEN ' ' WHEN line = 5 THEN 'NaN' ELSE upper(term) || ' ' END)) AS c FROM anch),
+k AS (SELECT *, c LIKE '%ring%' OR c LIKE '%bolt%' AS g1, c LIKE '%red%' AS g2 FROM c WHERE c NOT IN ('', 'nan', 'none', 'null')),
+s AS (SELECT entity, count(*) AS comments, count(*) FILTER (WHERE g1) AS kw_fasten, count(*) FILTER (WHERE g2) AS kw_red, round(min(days_before) FILTER (WHERE g1 OR g2) / 30.44::DOUBLE, 6) AS redflag_months FROM k GROUP BY 1)
+SELECT *, CAST(kw_fasten > 0 AS INTEGER) + CAST(kw_red > 0 AS INTEGER) AS groups FROM s""")
+def _(t):
+    c = F.when(F.col("line") == 3, " ").when(F.col("line") == 5, "NaN").otherwise(F.concat(F.upper("term"), F.lit(" ")))
+    return rounded(w.comment_features(t.anch.select("entity", "days_before", c.alias("comment")), {"fasten": ["ring", "bolt"], "red": ["red"]}))
+
+
+TOK = rf"""tk AS (SELECT entity, turn, list_filter(regexp_split_to_array(translate(lower(body), '{w.ACCENTED}', '{w.PLAIN}'), '[^\p{{L}}\p{{N}}_]+'), lambda v: regexp_full_match(v, '[a-z][a-z]+')) AS ws, body FROM pc),
+tp AS (SELECT entity, unnest(ws) AS term FROM tk UNION ALL SELECT entity, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM tk WHERE len(ws) > 1
+  UNION ALL SELECT entity, pw || ' ' || fw FROM (SELECT entity, ws[1] AS fw, lag(ws[len(ws)]) OVER (PARTITION BY entity ORDER BY turn) AS pw FROM tk WHERE len(ws) > 0) WHERE pw IS NOT NULL),
+tc AS (SELECT entity, term, count(*) AS tf FROM tp GROUP BY 1, 2), nd AS (SELECT count(DISTINCT entity) AS n FROM pc),
+vo AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS freq, ln((1.0::DOUBLE + max(n)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM tc, nd GROUP BY 1 HAVING count(*) >= 10 AND count(*) <= 0.5 * max(n) ORDER BY freq DESC, term LIMIT 200),
+wt AS (SELECT entity, term, (ln(tf) + 1) * idf AS w FROM tc JOIN vo USING (term)), tw AS (SELECT entity, term, w / sqrt(sum(w * w) OVER (PARTITION BY entity)) AS weight FROM wt)"""
+
+
+def weights(t):
+    pcs = pieces(t)
+    n = pcs.select("entity").distinct().count()
+    tc = w.term_counts(pcs, order=["turn"])
+    vocab = w.fit_vocabulary(tc, n, size=200)
+    return w.tfidf(tc, vocab), vocab
+
+
+@query("w05_tfidf", f"{with_(CONV, BODY, PIECES, TOK)} SELECT entity, term, round(weight, 6) AS weight FROM tw")
+def _(t):
+    return rounded(weights(t)[0])
+
+
+@query("w05_tfidf_svd", None)
+def _(t):
+    wt, vocab = weights(t)
+    return w.project(wt, w.fit_svd(wt, vocab, 15))
+
+
+@query("w06_term_enrichment", f"""{with_(CONV, BODY, PIECES, TOK)}, lb AS (SELECT conv_id AS entity, CASE WHEN max(turn) >= 4 THEN 1 ELSE 0 END AS label FROM conversations GROUP BY 1),
+nn AS (SELECT count(*) FILTER (WHERE label = 1)::DOUBLE AS p, count(*) FILTER (WHERE label = 0)::DOUBLE AS q FROM lb),
+e AS (SELECT term, coalesce(sum(weight) FILTER (WHERE label = 1), 0) / max(p) AS mp, coalesce(sum(weight) FILTER (WHERE label = 0), 0) / max(q) AS mq FROM tw JOIN lb USING (entity), nn GROUP BY 1)
+SELECT term, round(mp, 6) AS mean_pos, round(mq, 6) AS mean_neg, round(CASE WHEN mq > 0 THEN mp / mq ELSE 0 END, 6) AS ratio FROM e ORDER BY round(CASE WHEN mq > 0 THEN mp / mq ELSE 0 END, 9) DESC, term LIMIT 15""")
+def _(t):
+    lb = t.conversations.groupBy(F.col("conv_id").alias("entity")).agg(x.flag(F.max("turn") >= 4).alias("label"))
+    return rounded(w.enrichment(weights(t)[0], lb))
+
+
+@query("w07_embedding_reduce", None)
+def _(t):
+    return rounded(w.reduce_embeddings(t.embeddings.select(F.col("vec_id").alias("entity"), "embedding"), 15))
+
+
+@query("w08_text_ab_lift", None)
+def _(t):
+    base = t.anch.where("event_type = 'obs'").groupBy("entity").pivot("category", ["SMALL", "LARGE", "PROMO"]).count().na.fill(0)
+    more = t.anch.groupBy("entity").pivot("category", ["SMALL", "LARGE", "PROMO"]).count().na.fill(0)
+    return rounded(learn.compare(t.spine, {"structured": base, "with_text": more}, ["SMALL", "LARGE", "PROMO"]))

@@ -1,10 +1,22 @@
-"""Feature-matrix hygiene and selection, on long tables (entity, feature, value)."""
+"""Feature-matrix hygiene and selection.
+
+Works on the long table (entity, feature, value), where one grouping by
+feature answers for any number of features; a missing row is a missing value
+unless a fill says otherwise. Feature lists that reach the driver are names
+and one number each.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from .. import skew
+from ..functions import scalar as x
 
 
+# --- label encoding ---------------------------------------------------------
 def fit_labels(df: DataFrame, c: str) -> DataFrame:
     """Alphabetical integer codes of the levels seen in training (one row per level)."""
     levels = df.where(F.col(c).isNotNull()).select(c).distinct()
@@ -15,3 +27,218 @@ def fit_labels(df: DataFrame, c: str) -> DataFrame:
 def apply_labels(df: DataFrame, fitted: DataFrame, c: str, out: str) -> DataFrame:
     """Codes by lookup; unseen levels become -1."""
     return df.join(fitted.select(c, F.col("id").alias(out)), c, "left").na.fill(-1, [out])
+
+
+# --- profiles ---------------------------------------------------------------
+def profile(ev: DataFrame, by: Sequence[str] = ("label",), cols: Sequence[str] = ("event_date", "category", "code", "value")) -> DataFrame:
+    """Rows, entities, dates, halves, NULLs per column and months out of range, per label."""
+    m = F.col("months_before")
+    return ev.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("entity").alias("entities"), F.min("event_date").alias("first_date"), F.max("event_date").alias("last_date"),
+        x.count_where(F.col("time_window") == "A").alias("rows_A"), x.count_where(F.col("time_window") == "B").alias("rows_B"),
+        x.count_where((m < 0) | (m > 60)).alias("months_out_of_range"), *[x.count_where(F.col(c).isNull()).alias(f"null_{c}") for c in cols])
+
+
+def top_categories(ev: DataFrame, k: int = 10, by: str = "category") -> DataFrame:
+    n = ev.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("entity").alias("entities"))
+    return n.orderBy(F.desc("rows"), by).limit(k)
+
+
+def prevalence(ev: DataFrame, spine: DataFrame, defs: dict[str, Column]) -> DataFrame:
+    """Share of entities of each class with a matching event, their difference and ratio."""
+    per = ev.groupBy("entity").agg(*[F.max(x.flag(F.coalesce(c, F.lit(False)))).alias(n) for n, c in defs.items()])
+    full = spine.select("entity", "label").join(per, "entity", "left").na.fill(0, list(defs))
+    agg = full.agg(*[F.avg(F.when(F.col("label") == y, F.col(n))).alias(f"{n}|{y}") for n in defs for y in (0, 1)])
+    rows = F.array(*[F.struct(F.lit(n).alias("item"), F.col(f"{n}|1").alias("pos"), F.col(f"{n}|0").alias("neg")) for n in defs])
+    t = agg.select(F.explode(rows).alias("r")).select("r.*")
+    return t.select("item", (F.col("pos") * 100).alias("pct_pos"), (F.col("neg") * 100).alias("pct_neg"),
+                    ((F.col("pos") - F.col("neg")) * 100).alias("diff"), F.try_divide(F.col("pos"), F.col("neg")).alias("ratio"))
+
+
+# --- column quality ---------------------------------------------------------
+def feature_stats(long: DataFrame, n_entities: int) -> DataFrame:
+    """Per feature: NULL share, variance, share of the most frequent value.
+
+    Distinct (feature, value) counts come first, so a constant feature is one row.
+    """
+    cells = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    v, n = F.col("value"), F.col("n")
+    t = cells.groupBy("feature").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.sum(v * n).alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return t.select("feature", "n", (1.0 - F.col("n") / float(n_entities)).alias("null_share"), (F.col("top") / F.col("n")).alias("top_share"),
+                    (F.col("s") / F.col("n")).alias("mean"), (F.col("lo") == F.col("hi")).alias("constant"))
+
+
+def weak_features(long: DataFrame, n_entities: int, max_null: float = 0.95, max_top: float = 0.995, protect: Sequence[str] = ()) -> DataFrame:
+    """Each feature with the reason it leaves: high_null, constant, near_constant, or 'keep'."""
+    s = feature_stats(long, n_entities)
+    safe = x.any_of([F.col("feature").startswith(p) for p in protect]) if protect else F.lit(False)
+    why = (F.when(F.col("null_share") > max_null, "high_null").when(F.col("constant"), "constant")
+           .when((F.col("top_share") > max_top) & ~safe, "near_constant").otherwise("keep"))
+    return s.withColumn("verdict", why)
+
+
+def drop_features(long: DataFrame, bad: DataFrame) -> DataFrame:
+    return long.join(bad.select("feature"), "feature", "left_anti")
+
+
+def duplicate_features(long: DataFrame) -> DataFrame:
+    """Features equal to an alphabetically earlier one on every entity, exactly.
+
+    Order-free fingerprints over all rows (two 64-bit hash sums, xor and
+    count) find the candidates; candidates are then compared row by row.
+    """
+    h1 = F.xxhash64("entity", F.col("value").cast("double"))
+    h2 = F.xxhash64(F.lit("b"), "entity", F.col("value").cast("double"))
+    fp = long.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(h1.cast("decimal(20,0)")).alias("s1"), F.sum(h2.cast("decimal(20,0)")).alias("s2"), F.bit_xor(h1).alias("x1"))
+    key = ["n", "s1", "s2", "x1"]
+    first = fp.groupBy(*key).agg(F.min("feature").alias("same_as"), F.count(F.lit(1)).alias("_k")).where(F.col("_k") > 1)
+    cand = fp.join(first, key).where(F.col("feature") != F.col("same_as")).select("feature", "same_as")
+    a = long.join(cand, "feature").select("feature", "same_as", "entity", F.col("value").alias("va"))
+    b = long.select(F.col("feature").alias("same_as"), "entity", F.col("value").alias("vb"))
+    diff = a.join(b, ["same_as", "entity"], "left").where(~F.col("va").eqNullSafe(F.col("vb"))).select("feature").distinct()
+    return cand.join(diff, "feature", "left_anti")
+
+
+def fit_fill(long: DataFrame, rules: dict[str, Sequence[str]]) -> DataFrame:
+    """(feature, fill): training median for level features, 0 or -1 for the others."""
+    level = long.where(F.col("feature").isin(*rules.get("median", ())))
+    med = skew.quantiles(level, ["feature"], "value", {"fill": 0.5})
+    fixed = [(f, v) for k, v in (("zero", 0.0), ("minus_one", -1.0)) for f in rules.get(k, ())]
+    if not fixed:
+        return med
+    return med.unionByName(long.sparkSession.createDataFrame(fixed, "feature string, fill double"))
+
+
+def typed_fill(long: DataFrame, roster: DataFrame, fills: DataFrame) -> DataFrame:
+    """Dense long table: every (roster entity, fitted feature) with its value or the feature's fill; infinite values become 0.
+
+    The grid is entities times the fitted features, which is the size of the
+    dense matrix itself: the features come as one array per entity, exploded
+    in place.
+    """
+    feats = F.array_sort(F.collect_list(F.struct("feature", "fill")))
+    grid = fills.groupBy(F.lit(1).alias("_k")).agg(feats.alias("_f"))
+    per = roster.select("entity").withColumn("_k", F.lit(1)).join(F.broadcast(grid), "_k").select("entity", F.explode("_f").alias("_f"))
+    per = per.select("entity", F.col("_f.feature").alias("feature"), F.col("_f.fill").alias("fill"))
+    out = per.join(long, ["entity", "feature"], "left")
+    return out.select("entity", "feature", x.finite(F.coalesce("value", "fill")).alias("value"))
+
+
+def utilisation_confounds(long: DataFrame, spine: DataFrame, suffix: str = "_count", limit: float = 0.15) -> DataFrame:
+    """Count features whose zero share is more than ``limit`` larger in cases, with all features of the same stem."""
+    y = spine.select("entity", "label")
+    tot = y.agg(x.count_where(F.col("label") == 1).alias("p"), x.count_where(F.col("label") == 0).alias("q")).first()
+    nz = long.where(F.col("feature").endswith(suffix) & (F.col("value") != 0)).join(y, "entity").groupBy("feature").agg(
+        x.count_where(F.col("label") == 1).alias("a"), x.count_where(F.col("label") == 0).alias("b"))
+    diff = (1 - F.col("a") / float(tot["p"])) - (1 - F.col("b") / float(tot["q"]))
+    bad = nz.withColumn("diff", diff).where(F.col("diff") > limit).withColumn("stem", F.expr(f"left(feature, length(feature) - {len(suffix)})"))
+    names = long.select("feature").distinct().withColumn("stem", F.regexp_replace("feature", "_[^_]*$", ""))
+    return names.join(bad.select("stem", "diff"), "stem").select("feature", "stem", "diff")
+
+
+def select_families(long: DataFrame, drop: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """Whole families out (or only some in) by regular expression on the feature name."""
+    if drop:
+        long = long.where(~F.col("feature").rlike("|".join(drop)))
+    return long.where(F.col("feature").rlike("|".join(keep))) if keep else long
+
+
+# --- correlation and separation ---------------------------------------------
+def label_correlation(long: DataFrame, spine: DataFrame) -> DataFrame:
+    """Correlation of every feature with the label from sums over the stored rows; absent rows count as 0."""
+    y = spine.select("entity", "label")
+    r = y.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s")).first()
+    n, sy = float(r["n"]), float(r["s"])
+    v, lab = F.col("value"), F.col("label")
+    t = long.join(y, "entity").groupBy("feature").agg(F.sum(v).alias("sx"), F.sum(v * v).alias("sxx"), F.sum(v * lab).alias("sxy"))
+    var = F.col("sxx") * n - F.col("sx") * F.col("sx")
+    den = F.sqrt(F.greatest(var, F.lit(0.0))) * (n * sy - sy * sy) ** 0.5
+    return t.select("feature", F.try_divide(F.col("sxy") * n - F.col("sx") * sy, F.nullif(den, F.lit(0.0))).alias("corr"))
+
+
+def leakage_check(long: DataFrame, spine: DataFrame, drop: float = 0.5, review: float = 0.3, top: int = 30) -> DataFrame:
+    """Features by absolute label correlation with verdict drop / review / ok and a top flag."""
+    c = label_correlation(long, spine).withColumn("abs_corr", F.abs("corr"))
+    verdict = F.when(F.col("abs_corr") > drop, "drop").when(F.col("abs_corr") > review, "review").otherwise("ok")
+    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.round("abs_corr", 12).desc_nulls_last(), "feature"))  # one row per feature
+    return c.withColumn("verdict", verdict).withColumn("in_top", x.flag(rank <= top))
+
+
+def correlated_drops(mat: DataFrame, features: Sequence[str], label: str = "label", limit: float = 0.98) -> list[str]:
+    """Features to drop: of every pair above ``limit`` the one less correlated with the label.
+
+    The matrix comes from one distributed pass (features x features, for up
+    to some thousand features); the greedy choice runs over its numbers.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    vec = VectorAssembler(inputCols=[*features, label], outputCol="_v", handleInvalid="skip").transform(mat).select("_v")
+    m = abs(Correlation.corr(vec, "_v").first()[0].toArray())
+    own, k, gone = m[:, -1], len(features), set()
+    for j in range(k):
+        if j in gone:
+            continue
+        for i in range(j):
+            if i in gone or not m[i, j] > limit:
+                continue
+            if own[j] >= own[i]:
+                gone.add(i)
+            else:
+                gone.add(j)
+    return [features[i] for i in sorted(gone)]
+
+
+def drop_correlated(mat: DataFrame, features: Sequence[str], label: str = "label", limit: float = 0.98) -> DataFrame:
+    return mat.drop(*correlated_drops(mat, features, label, limit))
+
+
+def auc_table(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", bucket: Column | None = None) -> DataFrame:
+    """Rank-sum AUROC per key with ties counted half, exact at any size.
+
+    Rows reduce to distinct scores with class counts; ranks come from
+    segment totals. No key is sorted in one task.
+    """
+    cells = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(
+        x.count_where(F.col(label) == 1).alias("p"), x.count_where(F.col(label) == 0).alias("q"))
+    r = skew.running_total(cells, keys, score, ["p", "q"], skew.number_bucket(F.col(score)) if bucket is None else bucket)
+    u = F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2.0))
+    return r.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), u.alias("_u")).select(
+        *keys, "n_pos", "n_neg", F.try_divide(F.col("_u"), F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).alias("auroc"))
+
+
+def univariate_auc(long: DataFrame, spine: DataFrame, top: int = 50) -> DataFrame:
+    """max(AUROC, 1 - AUROC) of each feature, absent rows as 0, with a signal band and rank.
+
+    Absent rows are never built: their class counts are the class totals
+    minus the stored ones and enter as one more cell with score 0.
+    """
+    y = spine.select("entity", "label")
+    tot = y.agg(x.count_where(F.col("label") == 1).alias("p"), x.count_where(F.col("label") == 0).alias("q")).first()
+    cells = long.join(y, "entity").groupBy("feature", "value").agg(x.count_where(F.col("label") == 1).alias("p"), x.count_where(F.col("label") == 0).alias("q"))
+    seen = cells.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    rest = seen.select("feature", F.lit(0.0).alias("value"), (F.lit(tot["p"]) - F.col("p")).alias("p"), (F.lit(tot["q"]) - F.col("q")).alias("q"))
+    cells = cells.unionByName(rest).groupBy("feature", "value").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    r = skew.running_total(cells, ["feature"], "value", ["p", "q"], skew.number_bucket(F.col("value")))
+    u = r.groupBy("feature").agg(F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2.0)).alias("u"))
+    a = F.col("u") / (float(tot["p"]) * float(tot["q"]))
+    t = u.select("feature", F.greatest(a, 1.0 - a).alias("auc"))
+    band = F.when(F.col("auc") > 0.55, "signal").when(F.col("auc") <= 0.52, "noise").otherwise("weak")
+    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.round("auc", 12).desc(), "feature"))  # one row per feature
+    return t.withColumn("band", band).withColumn("rank", rank).withColumn("in_top", x.flag(F.col("rank") <= top))
+
+
+def deconfound(mat: DataFrame, drop: Sequence[str], per_event: dict[str, tuple[str, str]], despite: dict[str, tuple[str, str]],
+               signal: dict[str, float], burden: str) -> DataFrame:
+    """Recording counts out, rates per event and comorbidity-adjusted signals in.
+
+    per_event: name -> (count, total). despite: name -> (signal, comorbidity
+    flag). signal: weights of the index, which is also divided by the burden.
+    """
+    rate = [(F.col(a) / F.greatest(F.col(b), F.lit(1))).alias(n) for n, (a, b) in per_event.items()]
+    adj = [(F.coalesce(F.col(a), F.lit(0)) * F.col(b)).alias(n) for n, (a, b) in despite.items()]
+    idx = x.total([F.coalesce(F.col(c), F.lit(0)) * w for c, w in signal.items()])
+    out = mat.select("*", *rate, *adj, idx.alias("signal_index"))
+    out = out.withColumn("signal_per_burden", F.col("signal_index") / F.greatest(F.col(burden), F.lit(1)))
+    return out.drop(*drop)
