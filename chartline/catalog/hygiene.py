@@ -20,18 +20,20 @@ FEATS = """fl AS (SELECT entity, brand || '_count' AS feature, CAST(count(*) AS
 
 
 def features(t):
-    a = t.anch
-    one = F.lit(1.0)
+    a, one = t.anch, F.lit(1.0)
+
+    def named(name, value):
+        return F.struct(F.lit(name).alias("feature"), value.cast("double").alias("value"))
+
     brand = a.groupBy("entity", "brand").agg(F.count(F.lit(1)).cast("double").alias("value")).select("entity", F.concat("brand", F.lit("_count")).alias("feature"), "value")
-    last = a.groupBy("entity", "category").agg(v.last_value().alias("value"))
-    ids = a.select("entity").distinct()
-    return assemble.union_long(
-        brand, last.select("entity", F.concat("category", F.lit("_last")).alias("feature"), "value"),
-        last.where("category = 'SMALL'").select("entity", F.lit("SMALL_copy").alias("feature"), "value"),
-        ids.select("entity", F.lit("constant").alias("feature"), one.alias("value")),
-        ids.select("entity", F.lit("mostly_one").alias("feature"), F.when(F.col("entity") % 400 == 1, 2.0).otherwise(1.0).alias("value")),
-        ids.where("entity % 40 = 1").select("entity", F.lit("rare").alias("feature"), F.col("entity").cast("double").alias("value")),
-        a.groupBy("entity").agg(F.sum("value").alias("value")).select("entity", F.lit("total").alias("feature"), "value"))
+    cat = a.groupBy("entity", "category").agg(v.last_value().alias("value"))
+    last = F.struct(F.concat("category", F.lit("_last")).alias("feature"), F.col("value"))
+    copies = F.when(F.col("category") == "SMALL", F.array(last, named("SMALL_copy", F.col("value")))).otherwise(F.array(last))
+    own = a.groupBy("entity").agg(F.sum("value").alias("total"))
+    flags = [named("constant", one), named("mostly_one", F.when(F.col("entity") % 400 == 1, 2.0).otherwise(1.0)), named("total", F.col("total"))]
+    rare = F.when(F.col("entity") % 40 == 1, F.array(named("rare", F.col("entity")), *flags)).otherwise(F.array(*flags))
+    return assemble.union_long(brand, cat.select("entity", F.explode(copies).alias("s")).select("entity", "s.*"),
+                               own.select("entity", F.explode(rare).alias("s")).select("entity", "s.*"))
 
 
 @query("f01_profile", f"""{AN} SELECT label, count(*) AS "rows", count(DISTINCT entity) AS entities, min(event_date) AS first_date, max(event_date) AS last_date, count(*) FILTER (WHERE time_window = 'A') AS rows_A, count(*) FILTER (WHERE time_window = 'B') AS rows_B,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as x
 from ..operators import discover, evaluate as e, hygiene as h, learn as m, split as sp
+from ..session import cut_lineage
 from .base import PRED, SPINE, query, r, rounded, with_
 
 FEATS = ["price", "age", "big", "male", "urgent"]
@@ -21,7 +22,8 @@ def matrix(t):
     y = F.when((F.col("price") / 500000.0 + F.when(F.col("grp") == "1-URGENT", 0.3).otherwise(0.0) + (F.col("age") % 7) / 20.0 + (F.col("entity") % 13) / 26.0) > 0.95, 1).otherwise(0)
     mat = p.select("entity", y.alias("label"), (F.col("price") / 100000.0).alias("price"), F.col("age"), x.flag(F.col("price") > 300000).cast("double").alias("big"),
                    x.flag(F.col("sex") == "M").cast("double").alias("male"), x.flag(F.col("grp") == "1-URGENT").cast("double").alias("urgent"))
-    return sp.split(mat.select("entity", "label"), {"train": 0.7, "valid": 0.15, "test": 0.15}).select("entity", "split").join(mat, "entity")
+    assigned = sp.split(mat.select("entity", "label"), {"train": 0.7, "valid": 0.15, "test": 0.15}).select("entity", "split")
+    return cut_lineage(assigned.join(mat, "entity"))  # learners read the finished matrix many times
 
 
 def _split_sql(fracs, seed, src="spine"):
@@ -67,7 +69,7 @@ def _(t):
 @query("m05_train_panel", None)
 def _(t):
     w = sp.class_weights(matrix(t))
-    _, preds, scores = m.panel(w, FEATS, weighted=True)
+    _, preds, scores = m.panel(w, FEATS, weighted=True, trees=10, rounds=5)
     return rounded(m.pick(preds, scores))
 
 
@@ -80,7 +82,7 @@ def _(t):
 @query("m07_ensemble", None)
 def _(t):
     mat = matrix(t)
-    models, preds, _ = m.panel(mat, FEATS)
+    models, preds, _ = m.panel(mat, FEATS, trees=10, rounds=5)
     wide = preds.groupBy("entity", "label", "split").pivot("model", list(models)).agg(F.max("score"))
     weights, best = m.weight_grid(wide.where("split = 'valid'"), ["lr", "rf", "gb"])
     mix = x.total([F.col(n) * w for n, w in zip(["lr", "rf", "gb"], weights)])
@@ -156,7 +158,7 @@ def _(t):
 
 @query("k07_model_importance", None)
 def _(t):
-    return rounded(m.importance(matrix(t), FEATS, folds=2))
+    return rounded(m.importance(matrix(t), FEATS, folds=2, trees=10, rounds=4))
 
 
 @query("f11_importance_fusion", None)

@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalar as x
+from ..session import literal_table
 
 
 def safe_name(s: str) -> str:
@@ -107,7 +108,7 @@ def vectors(long: DataFrame, index: DataFrame, size: int, out: str = "features")
 
 
 def feature_index(features: Sequence[str], spark) -> DataFrame:
-    return spark.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, idx int")
+    return literal_table(spark, [{"feature": f, "idx": i} for i, f in enumerate(features)], "feature string, idx int")
 
 
 def parity(a: DataFrame, b: DataFrame, tol: float = 1e-9) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import skew
 from ..functions import scalar as x
+from ..session import literal_table
 
 
 # --- label encoding ---------------------------------------------------------
@@ -104,10 +105,10 @@ def fit_fill(long: DataFrame, rules: dict[str, Sequence[str]]) -> DataFrame:
     """(feature, fill): training median for level features, 0 or -1 for the others."""
     level = long.where(F.col("feature").isin(*rules.get("median", ())))
     med = skew.quantiles(level, ["feature"], "value", {"fill": 0.5})
-    fixed = [(f, v) for k, v in (("zero", 0.0), ("minus_one", -1.0)) for f in rules.get(k, ())]
+    fixed = [{"feature": f, "fill": v} for k, v in (("zero", 0.0), ("minus_one", -1.0)) for f in rules.get(k, ())]
     if not fixed:
         return med
-    return med.unionByName(long.sparkSession.createDataFrame(fixed, "feature string, fill double"))
+    return med.unionByName(literal_table(long.sparkSession, fixed, "feature string, fill double"))
 
 
 def typed_fill(long: DataFrame, roster: DataFrame, fills: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.storagelevel import StorageLevel
 
 from .. import skew
 from ..functions import scalar as x
+from ..session import literal_table
 from . import discover, evaluate, hygiene, split as sp
 
 BAND_EDGES, BAND_LABELS = (0, 55, 65, 75, 200), ("<55", "55-65", "65-75", "75+")
@@ -67,7 +68,7 @@ def auc(pred: DataFrame) -> float:
 def importances(model: Model, features: Sequence[str], spark) -> DataFrame:
     """(feature, importance) of a linear (absolute coefficient) or tree model."""
     v = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients
-    return spark.createDataFrame([(f, abs(float(c))) for f, c in zip(features, v.toArray())], "feature string, importance double")
+    return literal_table(spark, [{"feature": f, "importance": abs(float(c))} for f, c in zip(features, v.toArray())], "feature string, importance double")
 
 
 # --- preparation ------------------------------------------------------------
@@ -237,22 +238,18 @@ def oof(mat: DataFrame, features: Sequence[str], k: int = 5, seed: int = 42, lea
 # --- calibration and scoring ------------------------------------------------
 @dataclass
 class Calibrator:
-    """Platt (slope, intercept) or isotonic (knots) map of a score, as plain numbers that become an expression."""
+    """Platt (slope and intercept, an expression) or isotonic (a fitted model, a binary search per row)."""
 
     kind: str
-    params: tuple
+    params: object
 
-    def column(self, score: str = "score") -> Column:
-        s = F.col(score)
+    def apply(self, df: DataFrame, out: str = "score", score: str = "score") -> DataFrame:
         if self.kind == "platt":
             a, b = self.params
-            return x.sigmoid(a * s + b)
-        xs, ys = self.params
-        out = F.lit(float(ys[-1]))
-        for (x0, x1), (y0, y1) in reversed(list(zip(zip(xs, xs[1:]), zip(ys, ys[1:])))):
-            step = F.lit(float(y0)) if x1 == x0 else y0 + (s - x0) * ((y1 - y0) / (x1 - x0))
-            out = F.when(s <= x1, step).otherwise(out)
-        return F.when(s <= float(xs[0]), F.lit(float(ys[0]))).otherwise(out)
+            return df.withColumn(out, x.sigmoid(a * F.col(score) + b))
+        vec = VectorAssembler(inputCols=[score], outputCol="_iso_in", handleInvalid="keep").transform(df)
+        got = self.params.copy({self.params.featuresCol: "_iso_in", self.params.predictionCol: "_iso_out"}).transform(vec)
+        return got.withColumn(out, F.col("_iso_out")).drop("_iso_in", "_iso_out")
 
 
 def fit_platt(calib: DataFrame) -> Calibrator:
@@ -265,14 +262,13 @@ def fit_isotonic(calib: DataFrame, digits: int = 3) -> Calibrator:
     """Isotonic fit on scores rounded to a grid: the solver sees at most 1001 weighted points at three digits."""
     pts = calib.groupBy(F.round("score", digits).alias("s")).agg(F.avg("label").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
     vec = VectorAssembler(inputCols=["s"], outputCol="features").transform(pts)
-    m = IsotonicRegression(featuresCol="features", labelCol="y", weightCol="w").fit(vec)
-    return Calibrator("isotonic", (list(m.boundaries), list(m.predictions)))
+    return Calibrator("isotonic", IsotonicRegression(featuresCol="features", labelCol="y", weightCol="w").fit(vec))
 
 
 def fit_calibrator(calib: DataFrame, check: DataFrame) -> Calibrator:
     """Isotonic if its AUROC on the check rows is at least Platt's, else Platt."""
     iso, platt = fit_isotonic(calib), fit_platt(calib)
-    a, b = (auc(check.withColumn("score", c.column())) for c in (iso, platt))
+    a, b = (auc(c.apply(check)) for c in (iso, platt))
     return iso if a >= b else platt
 
 
@@ -291,12 +287,13 @@ def calibrate(calib: DataFrame, check: DataFrame, by: Column | None = None, min_
 
 def apply_calibration(pred: DataFrame, cals: dict, by: Column | None = None) -> DataFrame:
     """Calibrated score beside the raw one; bands without an own calibrator use the global one."""
-    out = cals[None].column()
-    if by is not None:
-        for band, c in cals.items():
-            if band is not None:
-                out = F.when(by == band, c.column()).otherwise(out)
-    return pred.withColumn("score_cal", out)
+    out = cals[None].apply(pred, "_cal")
+    best = F.col("_cal")
+    own = [b for b in cals if b is not None] if by is not None else []
+    for i, band in enumerate(own):
+        out = cals[band].apply(out, f"_cal{i}")
+        best = F.when(by == band, F.col(f"_cal{i}")).otherwise(best)
+    return out.withColumn("score_cal", best).drop("_cal", *[f"_cal{i}" for i in range(len(own))])
 
 
 def age_band(age: str = "age") -> Column:
@@ -362,10 +359,10 @@ def fit_bundle(mat: DataFrame, features: Sequence[str], seeds: Sequence[int] = (
 
 
 # --- importance, selection, explanation -------------------------------------
-def importance(mat: DataFrame, features: Sequence[str], folds: int = 3, seed: int = 42) -> DataFrame:
+def importance(mat: DataFrame, features: Sequence[str], folds: int = 3, seed: int = 42, **kw) -> DataFrame:
     """Min-max scaled importances of an L1 logistic, a forest and boosted trees, blended, with their cross-validated AUROC."""
     spark = mat.sparkSession
-    lrn = {"lr": LogisticRegression(maxIter=50, regParam=0.01, elasticNetParam=1.0), "rf": learners(seed)["rf"], "gb": learners(seed)["gb"]}
+    lrn = {"lr": LogisticRegression(maxIter=50, regParam=0.01, elasticNetParam=1.0), "rf": learners(seed, **kw)["rf"], "gb": learners(seed, **kw)["gb"]}
     with held(vectorise(mat, features)) as vec:
         parts = []
         for n, est in lrn.items():

@@ -53,18 +53,18 @@ def second_difference(n: Column, right: bool = False, c: str = "mo") -> Column:
 
 def occurrence(ev: DataFrame, keys: Sequence[str] = KEYS, zero: float | None = None) -> DataFrame:
     """All occurrence dynamics per key from one table of (key, day) counts."""
-    ev = with_zero(ev, zero)
-    days = tl.daily(ev, keys, mo=F.min("mo"))
-    st = tl.steps(days, keys)
+    st = tl.steps(tl.daily(with_zero(ev, zero), keys, mo=F.min("mo")), keys)
     n = F.col("n")
-    base = days.groupBy(*keys).agg(
-        F.sum("n").alias("count"), F.min("mo").alias("recency"), F.max("mo").alias("onset"),
-        F.sum(n * F.exp(-F.col("mo") / DECAY_MONTHS)).alias("decay"), second_difference(n).alias("accel"),
-        (F.sum(F.when(F.col("mo") <= RECENT_RATIO_MONTHS, n).otherwise(0)) / F.sum("n")).alias("recent_ratio"),
-        (F.date_diff(F.max("event_date"), F.min("event_date")) / 365.25).alias("span_years"),
-    ).withColumn("freq_per_year", F.try_divide(F.col("count"), F.nullif(F.col("span_years"), F.lit(0.0))))
-    iv = tl.intervals(st, keys, recent_first=True).select(*keys, "interval_median", "interval_min", "interval_max", "interval_slope")
-    return base.join(iv, list(keys)).join(tl.halves(st, keys), list(keys), "left")
+    extra = [
+        F.min("mo").alias("recency"), F.max("mo").alias("onset"), F.sum(n * F.exp(-F.col("mo") / DECAY_MONTHS)).alias("decay"),
+        second_difference(n).alias("accel"), (F.sum(F.when(F.col("mo") <= RECENT_RATIO_MONTHS, n).otherwise(0)) / F.sum(n)).alias("recent_ratio"),
+    ]
+    t = tl.profile(st, keys, extra, recent_first=True)
+    span = F.col("span_days") / 365.25
+    return t.select(
+        *keys, F.col("n").alias("count"), "recency", "onset", "decay", "accel", "recent_ratio", span.alias("span_years"),
+        F.try_divide(F.col("n"), F.nullif(span, F.lit(0.0))).alias("freq_per_year"), "interval_median", "interval_min", "interval_max",
+        "interval_slope", "first_half_freq", "second_half_freq", "is_worsening")
 
 
 def chronicity(occ: DataFrame) -> DataFrame:
@@ -76,12 +76,13 @@ def chronicity(occ: DataFrame) -> DataFrame:
 
 
 def halves(ev: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return tl.halves(tl.steps(tl.daily(ev, keys), keys), keys)
+    t = tl.profile(tl.steps(tl.daily(ev, keys), keys), keys).where(F.col("n") >= 2)
+    return t.select(*keys, "first_half_freq", "second_half_freq", "is_worsening")
 
 
 def interval_stats(ev: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Mean interval (-1 if none) and slope of interval length against its index (0 if undefined)."""
-    t = tl.intervals(tl.steps(tl.daily(ev, keys), keys), keys)
+    t = tl.interval_rows(tl.steps(tl.daily(ev, keys), keys), keys).groupBy(*keys).agg(*tl.interval_aggs())
     return t.select(*keys, "n", "span_days", F.coalesce("interval_mean", F.lit(-1.0)).alias("interval_mean"),
                     F.when(F.col("n") >= 3, F.coalesce("interval_slope", F.lit(0.0))).otherwise(0.0).alias("interval_slope"))
 
@@ -119,9 +120,7 @@ TREND_LABELS = ("Increasing frequency (worsening)", "Decreasing frequency (impro
 
 
 def _profile(st: DataFrame, keys: Sequence[str]) -> DataFrame:
-    iv = tl.intervals(st, keys)
-    hv = tl.halves(st, keys, "floor", both=True).drop("is_worsening")
-    t = iv.join(hv, list(keys), "left")
+    t = tl.profile(st, keys, first_half="floor", both=True)
     span = F.col("span_days") / 365.25
     s = F.col("interval_slope")
     inc, dec, same, single = TREND_LABELS

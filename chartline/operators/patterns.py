@@ -139,7 +139,7 @@ def weekly(ev: DataFrame, with_cat: str | None = None) -> DataFrame:
 
 def gaps(ev: DataFrame) -> DataFrame:
     """Largest, mean and median gap in days between consecutive events of an entity."""
-    t = tl.intervals(tl.steps(tl.daily(ev, ["entity"]), ["entity"]), ["entity"])
+    t = tl.interval_rows(tl.steps(tl.daily(ev, ["entity"]), ["entity"]), ["entity"]).groupBy("entity").agg(*tl.interval_aggs())
     return t.select("entity", F.col("interval_max").alias("max_gap"), F.col("interval_mean").alias("mean_gap"), F.col("interval_median").alias("median_gap"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import scalar as x
 from ..skew import hash_rank
@@ -47,15 +47,16 @@ def class_weights(spine: DataFrame, by: str | None = None) -> DataFrame:
     All counts come from one small table (classes x bands)."""
     keys = ["label"] + ([by] if by else [])
     cells = spine.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    n_all = cells.agg(F.sum("n").alias("n_all"), F.countDistinct("label").alias("n_classes"))
-    per_class = cells.groupBy("label").agg(F.sum("n").alias("n_class"))
-    w = cells.join(per_class, "label").join(F.broadcast(n_all))
-    weight = F.col("n_all") / (F.col("n_classes") * F.col("n_class"))
+
+    def over(*part):  # the windows run over classes x bands rows
+        return F.sum("n").over(W.partitionBy(*part) if part else W.partitionBy(F.lit(0)))
+
+    w = cells.withColumns({"_all": over(), "_class": over("label")})
+    classes = F.size(F.collect_set("label").over(W.partitionBy(F.lit(0))))
+    weight = F.col("_all") / (classes * F.col("_class"))
     if by:
-        per_band = cells.groupBy(by).agg(F.sum("n").alias("n_band"))
-        w = w.join(per_band, by)
-        weight = weight * (F.col("n_band") / F.col("n_all")) / (F.col("n") / F.col("n_class"))
+        weight = weight * (over(by) / F.col("_all")) / (F.col("n") / F.col("_class"))
     w = w.withColumn("weight", weight)
-    mean = w.agg((F.sum(F.col("weight") * F.col("n")) / F.sum("n")).alias("_mean"))
-    w = w.join(F.broadcast(mean)).withColumn("weight", F.col("weight") / F.col("_mean"))
+    mean = F.sum(F.col("weight") * F.col("n")).over(W.partitionBy(F.lit(0))) / F.col("_all")
+    w = w.withColumn("weight", F.col("weight") / mean)
     return spine.join(w.select(*keys, "weight"), keys)

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import skew
 from ..functions import scalar as x
+from ..session import literal_table
 from .assemble import feature_index, vectors
 
 # --- fixed values -----------------------------------------------------------
@@ -125,7 +127,7 @@ def comment_features(ev: DataFrame, groups: dict[str, Sequence[str]], text: str
 def words(c: Column | str) -> Column:
     """Lower-case words of two letters or more, accents removed; tokens with digits or other letters are dropped."""
     flat = F.translate(F.lower(x.col(c)), ACCENTED, PLAIN)
-    return F.filter(F.split(flat, r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z][a-z]+$"))
+    return F.regexp_extract_all(flat, F.lit(r"(?<![\p{L}\p{N}_])([a-z]{2,})(?![\p{L}\p{N}_])"), F.lit(1))
 
 
 def term_counts(pcs: DataFrame, order: Sequence[str] | None = None, text: str = "body") -> DataFrame:
@@ -136,8 +138,8 @@ def term_counts(pcs: DataFrame, order: Sequence[str] | None = None, text: str =
     """
     t = pcs.withColumn("_w", words(text)).where(F.size("_w") > 0)
     w = F.col("_w")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
-    grams = F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    rest = F.size(w) - 1
+    grams = F.concat(w, F.zip_with(F.slice(w, 1, rest), F.slice(w, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b)))
     rows = t.select("entity", F.explode(grams).alias("term"))
     if order:
         ends = t.select("entity", *order, F.element_at(w, 1).alias("a"), F.element_at(w, -1).alias("b"), F.hash(text).alias("_h"))
@@ -152,25 +154,30 @@ def _segment(df: DataFrame, c: str) -> Column:
 
 
 def fit_vocabulary(tc: DataFrame, n_docs: int, min_df: int = 10, max_df: float = 0.5, size: int = 500) -> DataFrame:
-    """The ``size`` most frequent terms inside the document-frequency bounds, with their idf."""
+    """The ``size`` most frequent terms inside the document-frequency bounds, with their idf.
+
+    A fit step: the table of at most ``size`` rows is computed once and
+    carried as literals, so applying it does not repeat the counting.
+    """
     t = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("freq"))
     t = t.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     top = t.orderBy(F.desc("freq"), "term").limit(size)
-    return top.select("term", "df", "freq", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    rows = top.select("term", "df", "freq", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")).collect()
+    return literal_table(tc.sparkSession, [r.asDict() for r in rows], "term string, df bigint, freq bigint, idf double")
 
 
 def tfidf(tc: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Unit-length weights (1 + ln tf) * idf as (entity, term, weight) rows."""
+    """Unit-length weights (1 + ln tf) * idf as (entity, term, weight) rows. The norm's window holds at most one row per vocabulary term."""
     w = tc.join(vocabulary.select("term", "idf"), "term").select("entity", "term", ((F.log("tf") + 1.0) * F.col("idf")).alias("w"))
-    norm = w.groupBy("entity").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-    return w.join(norm, "entity").select("entity", "term", (F.col("w") / F.col("_n")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("entity")))
+    return w.select("entity", "term", (F.col("w") / norm).alias("weight"))
 
 
 def fit_svd(weights: DataFrame, vocabulary: DataFrame, k: int = 15) -> DataFrame:
     """Right singular vectors as (term, component, loading): a vocabulary-by-k table.
 
-    The Gram matrix is summed on the executors; only k vectors of vocabulary
-    length come back.
+    The Gram matrix is summed on the executors in one pass; only its numbers,
+    vocabulary by vocabulary, come back.
     """
     from pyspark.mllib.linalg.distributed import RowMatrix
     from pyspark.mllib.util import MLUtils
@@ -180,10 +187,12 @@ def fit_svd(weights: DataFrame, vocabulary: DataFrame, k: int = 15) -> DataFrame
     spark, size = weights.sparkSession, len(index)
     long = weights.select("entity", F.col("term").alias("feature"), F.col("weight").alias("value"))
     vec = vectors(long, feature_index(terms, spark), size, "v").select("v")
-    mat = RowMatrix(MLUtils.convertVectorColumnsFromML(vec, "v"), 0, size)
-    v = mat.computeSVD(min(k, size - 1)).V.toArray()
-    flat = [(t, j, float(v[i, j])) for t, i in index.items() for j in range(v.shape[1])]
-    return spark.createDataFrame(flat, "term string, component int, loading double")
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vec, "v"), 0, size).computeGramianMatrix().toArray()
+    values, v = np.linalg.eigh(gram)  # vocabulary x vocabulary numbers
+    v = v[:, np.argsort(-values)[: min(k, size - 1)]]
+    v = v * np.sign(v[np.abs(v).argmax(axis=0), range(v.shape[1])])  # largest loading positive
+    flat = [{"term": t, "component": j, "loading": float(v[i, j])} for t, i in index.items() for j in range(v.shape[1])]
+    return literal_table(spark, flat, "term string, component int, loading double")
 
 
 def project(weights: DataFrame, loadings: DataFrame) -> DataFrame:

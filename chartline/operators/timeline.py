@@ -44,42 +44,63 @@ def span_freq(w: str) -> Column:
     return F.try_divide(F.sum(w), F.nullif(F.date_diff(F.max(d), F.min(d)) / 365.25, F.lit(0.0)))
 
 
-def halves(st: DataFrame, keys: Sequence[str], first_half: str = "ceil", factor: float = 1.1, both: bool = False) -> DataFrame:
-    """Frequency of each half, and whether the newer exceeds ``factor`` times the older; keys with two events or more."""
-    w = half_weights(st, first_half).where(F.col("n_all") >= 2)
-    out = w.groupBy(*keys).agg(span_freq("w1").alias("first_half_freq"), span_freq("w2").alias("second_half_freq"))
-    f, s = F.col("first_half_freq"), F.col("second_half_freq")
-    if both:  # neither frequency counts unless both halves have a span
-        ok = f.isNotNull() & s.isNotNull()
-        out = out.withColumn("first_half_freq", F.when(ok, f)).withColumn("second_half_freq", F.when(ok, s))
-        f, s = F.col("first_half_freq"), F.col("second_half_freq")
-    return out.withColumn("is_worsening", F.when(s > factor * f, 1).otherwise(0))
-
-
-def intervals(st: DataFrame, keys: Sequence[str], recent_first: bool = False) -> DataFrame:
-    """Per key: n, span, mean/median/min/max interval between consecutive events, and the slope of the
-    interval against its position (two intervals or more).
-
-    Events of one day are zero intervals; they enter as a weight, not as rows. The median runs over
-    distinct gaps of the key, of which there are at most as many as days.
+def interval_rows(st: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two rows per day: the gap to the day before with weight 1, and the zero gaps between
+    the day's own events with their number as weight. The day's other columns stand on the
+    first row only, so that sums over both rows count them once."""
+    n, g = F.col("n"), F.col("gap")
+    own = [c for c in st.columns if c not in (*keys, "event_date", "n_all", "gap")]
+    pair = F.array(
+        F.struct(g.alias("iv"), F.when(g.isNull(), 0).otherwise(1).cast("bigint").alias("w"), (F.col("n_before") - 1).alias("idx"),
+                 *[F.col(c).alias(c) for c in own]),
+        F.struct(F.lit(0).alias("iv"), (n - 1).cast("bigint").alias("w"), F.lit(None).cast("bigint").alias("idx"),
+                 *[F.lit(None).cast(t).alias(c) for c, t in st.dtypes if c in own]))
+    return st.select(*keys, "event_date", "n_all", F.explode(pair).alias("s")).select(*keys, "event_date", "n_all", "s.*")
+
+
+def interval_aggs(recent_first: bool = False) -> list[Column]:
+    """n, span, mean/median/min/max interval between consecutive events, and the slope of the
+    interval against its position (two intervals or more), over interval rows.
+
+    The median runs over distinct gaps of the key, of which there are at most as many as days.
     """
-    n, nb, g = F.col("n"), F.col("n_before"), F.col("gap")
-    rows = st.select(*keys, "event_date", "n_all", F.posexplode(F.array(
-        F.struct(g.alias("iv"), F.when(g.isNull(), 0).otherwise(1).cast("bigint").alias("w"), (nb - 1).alias("idx")),
-        F.struct(F.lit(0).alias("iv"), (n - 1).cast("bigint").alias("w"), F.lit(None).cast("bigint").alias("idx")),
-    )).alias("k", "s")).select(*keys, "event_date", "n_all", "s.*")
     m = (F.max("n_all") - 1).cast("double")
     sy = F.date_diff(F.max("event_date"), F.min("event_date")).cast("double")
     sxy = F.coalesce(F.sum(F.col("idx") * F.col("iv")), F.lit(0)).cast("double")
     sx, sxx = m * (m - 1) / 2, (m - 1) * m * (2 * m - 1) / 6
     slope = F.when(m >= 2, F.try_divide(m * sxy - sx * sy, m * sxx - sx * sx)) * (-1 if recent_first else 1)
     iv = F.when(F.col("w") > 0, F.col("iv"))
-    return rows.groupBy(*keys).agg(
+    return [
         F.max("n_all").alias("n"), F.min("event_date").alias("first_date"), F.max("event_date").alias("last_date"),
         sy.cast("int").alias("span_days"), F.when(m > 0, F.try_divide(sy, m)).alias("interval_mean"),
         F.percentile(iv, F.lit(0.5), F.col("w")).alias("interval_median"), F.min(iv).alias("interval_min"),
         F.max(iv).alias("interval_max"), slope.alias("interval_slope"),
-    )
+    ]
+
+
+def half_aggs() -> list[Column]:
+    """Frequency of each half (two events or more), over rows with half weights."""
+    two = F.max("n_all") >= 2
+    return [F.when(two, span_freq("w1")).alias("first_half_freq"), F.when(two, span_freq("w2")).alias("second_half_freq")]
+
+
+def worsening(out: DataFrame, factor: float = 1.1, both: bool = False) -> DataFrame:
+    """Newer half more than ``factor`` times as frequent as the older; NULL with one event.
+
+    both: neither frequency counts unless both halves have a span.
+    """
+    f, s = F.col("first_half_freq"), F.col("second_half_freq")
+    if both:
+        ok = f.isNotNull() & s.isNotNull()
+        out = out.withColumns({"first_half_freq": F.when(ok, f), "second_half_freq": F.when(ok, s)})
+    return out.withColumn("is_worsening", F.when(F.col("n") >= 2, F.when(s > factor * f, 1).otherwise(0)))
+
+
+def profile(st: DataFrame, keys: Sequence[str], extra: Sequence[Column] = (), first_half: str = "ceil", recent_first: bool = False, both: bool = False) -> DataFrame:
+    """Intervals, halves and any further aggregates of the day rows, in one grouping that
+    reuses the partitioning of the day windows."""
+    rows = interval_rows(half_weights(st, first_half), keys)
+    return worsening(rows.groupBy(*keys).agg(*interval_aggs(recent_first), *half_aggs(), *extra), both=both)
 
 
 def last_months(ev: DataFrame, months: int, keys: Sequence[str] = ("entity",)) -> DataFrame:

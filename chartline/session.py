@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -63,3 +64,14 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="chartline-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+LITERAL_ROWS = 20000
+
+
+def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small fitted table carried inside the plan, so that joins know its size and broadcast it."""
+    if len(rows) > LITERAL_ROWS:
+        raise ValueError(f"{len(rows)} rows are too many for a literal table; write them to storage")
+    lit = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in schema.split(','))}>>")
+    return spark.range(1).select(F.inline(lit))
