@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalar as x
 
-A, B = F.col("time_window") == "A", F.col("time_window") == "B"
+
+def half(h: str) -> Column:
+    """Event in the earlier (A) or recent (B) half of the window."""
+    return F.col("time_window") == h
 
 
 def windowed(ev: DataFrame) -> DataFrame:
@@ -33,8 +36,8 @@ def top_values(df: DataFrame, c: str, k: int) -> list:
 def category_counts(ev: DataFrame, by: str = "category") -> DataFrame:
     """count_A, count_B, count_total and has_ever per (entity, category)."""
     return ev.groupBy("entity", by).agg(
-        x.count_where(A).alias("count_A"), x.count_where(B).alias("count_B"),
-        x.count_where(A | B).alias("count_total"),
+        x.count_where(half("A")).alias("count_A"), x.count_where(half("B")).alias("count_B"),
+        x.count_where(half("A") | half("B")).alias("count_total"),
     ).withColumn("has_ever", x.flag(F.col("count_total") > 0))
 
 
@@ -55,10 +58,10 @@ def group_counts(ev: DataFrame, cats: Sequence[str]) -> DataFrame:
     """A/B/total, distinct types, acceleration and the first-listed subtype of a category group."""
     first = F.col("category") == cats[0]
     t = ev.where(F.col("category").isin(*cats)).groupBy("entity").agg(
-        x.count_where(A).alias("count_A"), x.count_where(B).alias("count_B"), x.count_where(A | B).alias("count_total"),
-        F.count_distinct(F.when(A | B, F.col("category"))).alias("unique_types"),
-        x.count_where(first & A).alias("first_A"), x.count_where(first & B).alias("first_B"),
-        x.count_where(first & (A | B)).alias("first_total"),
+        x.count_where(half("A")).alias("count_A"), x.count_where(half("B")).alias("count_B"), x.count_where(half("A") | half("B")).alias("count_total"),
+        F.count_distinct(F.when(half("A") | half("B"), F.col("category"))).alias("unique_types"),
+        x.count_where(first & half("A")).alias("first_A"), x.count_where(first & half("B")).alias("first_B"),
+        x.count_where(first & (half("A") | half("B"))).alias("first_total"),
     )
     return t.withColumn("acceleration", x.flag(F.col("count_B") > F.col("count_A")))
 
@@ -67,7 +70,7 @@ def totals(ev: DataFrame) -> DataFrame:
     """Distinct categories and codes, all events, A and B events per entity."""
     return windowed(ev).groupBy("entity").agg(
         F.count_distinct("category").alias("unique_categories"), F.count_distinct("code").alias("unique_codes"),
-        F.count(F.lit(1)).alias("total_events"), x.count_where(A).alias("events_A"), x.count_where(B).alias("events_B"),
+        F.count(F.lit(1)).alias("total_events"), x.count_where(half("A")).alias("events_A"), x.count_where(half("B")).alias("events_B"),
     )
 
 
@@ -106,7 +109,7 @@ def interactions(mat: DataFrame, pairs: Sequence[tuple[str, str, str]], burden:
 
 def clusters(ev: DataFrame, defs: dict[str, Sequence[str]], n_pairs: int = 6) -> DataFrame:
     """Per cluster any, count, breadth, count_B; systems touched; pairwise ANDs of the first clusters."""
-    cells = ev.groupBy("entity", "category").agg(F.count(F.lit(1)).alias("n"), x.count_where(B).alias("n_B"))
+    cells = ev.groupBy("entity", "category").agg(F.count(F.lit(1)).alias("n"), x.count_where(half("B")).alias("n_B"))
     aggs = []
     for name, cats in defs.items():
         inside = F.col("category").isin(*cats)
@@ -127,7 +130,7 @@ def visits(ev: DataFrame) -> DataFrame:
     """
     days = windowed(ev).groupBy("entity", "event_date", "time_window").agg(F.count(F.lit(1)).alias("n"))
     out = days.groupBy("entity").agg(
-        F.count(F.lit(1)).alias("visits"), x.count_where(A).alias("visits_A"), x.count_where(B).alias("visits_B"),
+        F.count(F.lit(1)).alias("visits"), x.count_where(half("A")).alias("visits_A"), x.count_where(half("B")).alias("visits_B"),
         F.sum("n").alias("_n"),
     )
     a, b = F.col("visits_A"), F.col("visits_B")
@@ -168,7 +171,7 @@ def quarter_trajectory(ev: DataFrame, edges: Sequence[int] = (0, 6, 12, 18, 24,
 
 def escalation(med: DataFrame, cats: Sequence[str], repeat_cat: str, single_cat: str, repeat: int = 3) -> DataFrame:
     """Groups of one drug class used, A/B counts, repeats, polypharmacy per half."""
-    cells = windowed(med).groupBy("entity", "category").agg(x.count_where(A).alias("a"), x.count_where(B).alias("b"))
+    cells = windowed(med).groupBy("entity", "category").agg(x.count_where(half("A")).alias("a"), x.count_where(half("B")).alias("b"))
     ins, rep = F.col("category").isin(*cats), F.col("category") == repeat_cat
     n = F.col("a") + F.col("b")
     out = cells.groupBy("entity").agg(

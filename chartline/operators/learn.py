@@ -274,9 +274,10 @@ def fit_calibrator(calib: DataFrame, check: DataFrame) -> Calibrator:
 
 def calibrate(calib: DataFrame, check: DataFrame, by: Column | None = None, min_band: int = MIN_BAND) -> dict[str | None, Calibrator]:
     """Global calibrator (key None) and one per band with enough rows in both sets."""
-    out = {None: fit_calibrator(calib, check)}
-    if by is not None:
-        c, k = calib.withColumn("band", by), check.withColumn("band", by)
+    if by is None:
+        return {None: fit_calibrator(calib, check)}
+    with held(calib.withColumn("band", by)) as c, held(check.withColumn("band", by)) as k:
+        out = {None: fit_calibrator(c, k)}
         n = {r["band"]: (r["a"], r["b"]) for r in c.groupBy("band").agg(F.count(F.lit(1)).alias("a")).join(
             k.groupBy("band").agg(F.count(F.lit(1)).alias("b")), "band").collect()}
         for band, (a, b) in sorted(n.items()):

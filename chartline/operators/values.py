@@ -16,7 +16,6 @@ from .. import skew
 from ..functions import scalar as x
 
 KEYS = ("entity", "category")
-ORDER = F.struct("event_date", "value")
 
 
 def measured(ev: DataFrame) -> DataFrame:
