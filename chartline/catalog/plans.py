@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import assemble
-from ..plans import matrix
+from ..plans import disease, matrix
 from .base import ANCH, TYPES, query, rounded, with_
 
 CFG = matrix.MatrixConfig(
@@ -87,3 +87,42 @@ def _(t):
     n = full.agg(F.count(F.lit(1)).alias("n_compared"), F.lit(1).alias("k"))
     bad = assemble.parity(full, part).agg(F.count(F.lit(1)).alias("n_different"), F.lit(1).alias("k"))
     return n.join(bad, "k").drop("k")
+
+
+DEMO = disease.Disease(
+    name="demo", groups={"small": ["SMALL"], "large": ["LARGE"], "deal": ["PROMO", "ECONOMY"]}, subtypes={"small_ring": ("small", "ring"), "large_red": ("large", "^red")},
+    labs={"bolt": (["SMALL", "LARGE"], "bolt")}, lab_flags={"bolt_high": "bolt_latest > 30", "bolt_rising": "bolt_latest - bolt_first > 0"},
+    flags={"both": "has_small = 1 AND has_large = 1", "both_old": "both = 1 AND age >= 60", "heavy_deal": "b_deal >= 3"}, scores={"risk": "has_small * 2 + has_deal + bolt_high"},
+    systems={"size": ["small", "large"], "price": ["deal"]}, trends=["small"], onsets=["deal"], sequences=[("small", "large", 90)], products={"small_bolt": ["b_small", "bolt_high"]},
+    weights={"SMALL": 3.0, "PROMO": 1.5}, symptoms=["SMALL", "LARGE", "MEDIUM"])
+
+
+@query("plan_disease_features", f"""{with_(ANCH)}, wa AS (SELECT * FROM anch WHERE time_window IS NOT NULL),
+lb AS (SELECT entity, max({{'d': event_date, 'v': value}}).v AS lt, min({{'d': event_date, 'v': value}}).v AS ft, max(value) AS mx, min(value) AS mn FROM wa WHERE category IN ('SMALL', 'LARGE') AND term LIKE '%bolt%' GROUP BY 1),
+dd AS (SELECT DISTINCT entity, event_date, category FROM wa WHERE category IN ('SMALL', 'LARGE', 'MEDIUM')),
+bu AS (SELECT entity, CAST(max(k) AS INTEGER) AS k FROM (SELECT a.entity, a.event_date, count(DISTINCT b.category) AS k FROM dd a JOIN dd b ON a.entity = b.entity AND b.event_date BETWEEN a.event_date - 30 AND a.event_date GROUP BY 1, 2) GROUP BY 1),
+g AS (SELECT entity, count(*) FILTER (WHERE time_window = 'A') AS events_A, count(*) FILTER (WHERE time_window = 'B') AS events_B, count(DISTINCT category) AS n_categories,
+  count(*) FILTER (WHERE category = 'SMALL' AND time_window = 'A') AS a_small, count(*) FILTER (WHERE category = 'SMALL' AND time_window = 'B') AS b_small,
+  count(*) FILTER (WHERE category = 'LARGE' AND time_window = 'A') AS a_large, count(*) FILTER (WHERE category = 'LARGE' AND time_window = 'B') AS b_large,
+  count(*) FILTER (WHERE category IN ('PROMO', 'ECONOMY') AND time_window = 'A') AS a_deal, count(*) FILTER (WHERE category IN ('PROMO', 'ECONOMY') AND time_window = 'B') AS b_deal,
+  count(*) FILTER (WHERE category = 'SMALL' AND term LIKE '%ring%') AS small_ring_count, count(*) FILTER (WHERE category = 'LARGE' AND term LIKE 'red%') AS large_red_count,
+  3.0::DOUBLE * max(CAST(category = 'SMALL' AS INTEGER)) + 1.5::DOUBLE * max(CAST(category = 'PROMO' AS INTEGER)) AS wb,
+  CAST(min(event_date) FILTER (WHERE category = 'LARGE') - min(event_date) FILTER (WHERE category = 'SMALL') AS INTEGER) AS gap,
+  CAST(max(anchor_date) - min(event_date) FILTER (WHERE category IN ('PROMO', 'ECONOMY')) AS INTEGER) / 30.44::DOUBLE AS fd FROM wa GROUP BY 1),
+f AS (SELECT s.entity, s.age, s.sex, coalesce(events_A, 0) AS events_A, coalesce(events_B, 0) AS events_B, coalesce(n_categories, 0) AS n_categories, coalesce(a_small, 0) AS a_small, coalesce(b_small, 0) AS b_small,
+  coalesce(a_large, 0) AS a_large, coalesce(b_large, 0) AS b_large, coalesce(a_deal, 0) AS a_deal, coalesce(b_deal, 0) AS b_deal, coalesce(small_ring_count, 0) AS small_ring_count, coalesce(large_red_count, 0) AS large_red_count,
+  coalesce(wb, 0) AS weighted_burden, gap, fd, lt, ft, mx, mn, coalesce(k, 0) AS k FROM spine s LEFT JOIN g USING (entity) LEFT JOIN lb USING (entity) LEFT JOIN bu USING (entity))
+SELECT entity, age, sex, events_A, events_B, n_categories, a_small, b_small, a_large, b_large, a_deal, b_deal, small_ring_count, large_red_count, weighted_burden, lt AS bolt_latest, ft AS bolt_first, mx AS bolt_max, mn AS bolt_min,
+  CAST(lt IS NOT NULL AS INTEGER) AS bolt_tested, k AS max_in_window, CAST(k >= 3 AS INTEGER) AS burst_3, CAST(k >= 4 AS INTEGER) AS burst_4, a_small + b_small AS n_small, a_large + b_large AS n_large, a_deal + b_deal AS n_deal,
+  CAST(a_small + b_small > 0 AS INTEGER) AS has_small, CAST(a_large + b_large > 0 AS INTEGER) AS has_large, CAST(a_deal + b_deal > 0 AS INTEGER) AS has_deal, CAST(small_ring_count > 0 AS INTEGER) AS small_ring_flag,
+  CAST(large_red_count > 0 AS INTEGER) AS large_red_flag, CAST(coalesce(lt > 30, false) AS INTEGER) AS bolt_high, CAST(coalesce(lt - ft > 0, false) AS INTEGER) AS bolt_rising,
+  CAST(a_small + b_small > 0 AND a_large + b_large > 0 AS INTEGER) AS "both", CAST(a_small + b_small > 0 AND a_large + b_large > 0 AND age >= 60 AS INTEGER) AS both_old, CAST(b_deal >= 3 AS INTEGER) AS heavy_deal,
+  CAST(CAST(a_small + b_small > 0 AS INTEGER) * 2 + CAST(a_deal + b_deal > 0 AS INTEGER) + CAST(coalesce(lt > 30, false) AS INTEGER) AS DOUBLE) AS risk,
+  CAST(b_small > 0 OR b_large > 0 AS INTEGER) + CAST(b_deal > 0 AS INTEGER) AS systems_B, CAST((b_small > 0 OR b_large > 0) AND b_deal > 0 AS INTEGER) AS systems_pair_B, 0 AS systems_trifecta_B,
+  greatest(b_small - a_small, 0) AS vel_small, CAST(b_small > 0 AND a_small = 0 AS INTEGER) AS new_small_B_only, age * b_small AS age_x_small_B, age * greatest(b_small - a_small, 0) AS age_x_vel_small,
+  age * CAST(b_small > 0 AND a_small = 0 AS INTEGER) AS age_x_new_small, CAST(age >= 70 AND b_small > 0 AS INTEGER) AS elderly_small, round(coalesce(fd, -1), 6) AS first_deal_months, CAST(coalesce(fd >= 0 AND fd < 12, false) AS INTEGER) AS recent_deal,
+  CAST(coalesce(gap BETWEEN 0 AND 90, false) AS INTEGER) AS seq_small_then_large_90d, coalesce(gap, -1) AS gap_small_to_large_days, age * b_small * CAST(coalesce(lt > 30, false) AS INTEGER) AS age_x_small_bolt,
+  CAST(abs(age - 75) AS DOUBLE) AS age_peak_distance, greatest(events_B - events_A, 0) AS activity_velocity, round(least(events_B / (CASE WHEN events_A = 0 THEN 1 ELSE events_A END)::DOUBLE, 10), 6) AS activity_ratio,
+  age * n_categories AS age_x_categories, CAST(n_categories >= 5 AS INTEGER) AS many_categories, CAST(weighted_burden >= 5 AS INTEGER) AS weighted_burden_high, age * weighted_burden AS age_x_weighted_burden FROM f""")
+def _(t):
+    return rounded(disease.features(t.anch, t.spine, DEMO))

@@ -30,3 +30,22 @@ def test_only_needed_columns_are_read(spark):
 
 def test_filter_reaches_the_scan(spark):
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan(spark, "s01_read_table")
+
+
+def test_every_disease_runs_on_its_own_categories(spark):
+    """Each configuration compiles and finds its groups, series and orderings on events of its categories."""
+    import datetime as dt
+
+    from chartline.plans import disease
+    from chartline.plans.diseases import ALL
+
+    sp = spark.createDataFrame([(1, 72, "M"), (2, 40, "F")], "entity int, age int, sex string")
+    for name, d in ALL.items():
+        cats = sorted({c for cs in d.groups.values() for c in cs} | {c for cs, _ in d.labs.values() for c in cs})
+        rows = [(1, dt.date(2019, 1, 1) + dt.timedelta(3 * i), c, "haemoglobin psa culture frank", 50.0 + i, "B" if i % 2 else "A", dt.date(2020, 6, 1), "obs")
+                for i, c in enumerate(cats)]
+        ev = spark.createDataFrame(rows, "entity int, event_date date, category string, term string, value double, time_window string, anchor_date date, event_type string")
+        out = {r["entity"]: r.asDict() for r in disease.features(ev, sp, d).collect()}
+        assert all(out[1][f"has_{g}"] == 1 and out[2][f"has_{g}"] == 0 for g in d.groups), name
+        assert all(out[1][f"first_{g}_months"] > 0 and out[2][f"first_{g}_months"] == -1 for g in d.onsets), name
+        assert set(d.flags) | set(d.lab_flags) | set(d.scores) <= set(out[1]), name
