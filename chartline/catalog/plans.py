@@ -7,8 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import assemble
-from ..plans import disease, matrix
-from .base import ANCH, TYPES, query, rounded, with_
+from ..plans import disease, extract, matrix
+from . import cohort as co
+from .base import ANCH, HIST, TYPES, query, rounded, with_
 
 CFG = matrix.MatrixConfig(
     categories=TYPES, lab_categories=("SMALL", "LARGE"), symptom_categories=("SMALL", "LARGE", "MEDIUM"), investigation_categories=("PROMO", "ECONOMY"),
@@ -126,3 +127,31 @@ SELECT entity, age, sex, events_A, events_B, n_categories, a_small, b_small, a_l
   age * n_categories AS age_x_categories, CAST(n_categories >= 5 AS INTEGER) AS many_categories, CAST(weighted_burden >= 5 AS INTEGER) AS weighted_burden_high, age * weighted_burden AS age_x_weighted_burden FROM f""")
 def _(t):
     return rounded(disease.features(t.anch, t.spine, DEMO))
+
+
+PARAMS = extract.CohortParams("1997-01-01", "2001-01-01", years_before=3, months_before=1, min_obs=5, min_med=3, min_age=30, ratio=1, admin_codes=(7, 11), excluded_types=("A",), excluded_like="%plate%")
+_WIN = "event_date >= anchor_date - INTERVAL 36 MONTH AND event_date < anchor_date - INTERVAL 1 MONTH"
+_B = "CAST(DATE '1930-06-15' + CAST(entity % 20000 AS INTEGER) AS DATE)"
+_OUT = "SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%red ring%' OR lower(p_name) LIKE '%red bolt%'"
+
+
+@query("plan_cohort_extraction", f"""{with_(HIST)}, ob AS (SELECT entity, event_date, code, term, value, status FROM hist WHERE event_type = 'obs'), md AS (SELECT entity, event_date, code, term, value AS duration FROM hist WHERE event_type = 'med'),
+gd AS (SELECT * FROM ob WHERE code NOT IN (7, 11) AND status NOT IN ('A') AND lower(term) NOT LIKE '%plate%' AND code NOT IN ({_OUT})),
+ex AS (SELECT DISTINCT entity FROM ob WHERE code IN (SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%blue bolt%')),
+ca AS (SELECT entity, min(event_date) AS anchor_date FROM ob WHERE code IN (SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%red ring%') AND event_date >= DATE '1997-01-01' AND event_date < DATE '2001-01-01'
+  AND date_diff('year', {_B}, event_date) >= 30 AND entity NOT IN (SELECT entity FROM ex) GROUP BY 1),
+ct AS (SELECT entity, event_date AS anchor_date FROM (SELECT entity, event_date, row_number() OVER (PARTITION BY entity ORDER BY md5(concat_ws('|', entity, event_date, code)), event_date) AS k FROM gd
+  WHERE event_date >= DATE '1997-01-01' AND event_date < DATE '2001-01-01' AND date_diff('year', {_B}, event_date) >= 30 AND entity NOT IN (SELECT entity FROM ob WHERE code IN ({_OUT})) AND entity NOT IN (SELECT entity FROM ex)) WHERE k = 1),
+cd AS (SELECT entity, anchor_date, 1 AS label FROM ca UNION ALL SELECT entity, anchor_date, 0 FROM ct),
+ro AS (SELECT DISTINCT cd.entity, cd.label, anchor_date, event_date, code, term, value FROM cd JOIN gd USING (entity) WHERE {_WIN}), rm AS (SELECT DISTINCT cd.entity, cd.label, anchor_date, event_date, code, term, duration FROM cd JOIN md USING (entity) WHERE {_WIN}),
+el AS (SELECT entity, anchor_date, label, year(anchor_date) AS y FROM cd WHERE entity IN (SELECT entity FROM ro GROUP BY 1 HAVING count(*) >= 5) AND entity IN (SELECT entity FROM rm GROUP BY 1 HAVING count(*) >= 3)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY label, y ORDER BY md5(concat_ws('|', entity, 'ncsalt'))) AS k, count(*) FILTER (WHERE label = 1) OVER (PARTITION BY y) AS need FROM el), sp AS (SELECT * FROM rk WHERE label = 1 OR k <= need),
+ev AS (SELECT entity, anchor_date, 'observation' AS event_type, event_date, code, term, value, CAST(NULL AS DOUBLE) AS duration FROM ro UNION ALL SELECT entity, anchor_date, 'medication', event_date, code, term, NULL, duration FROM rm)
+SELECT ev.entity, sp.label, ev.anchor_date, sp.y AS anchor_year, event_type, event_date, code, term, value, duration, CAST(ev.anchor_date - event_date AS INTEGER) AS days_before,
+  date_diff('year', {_B.replace('entity', 'ev.entity')}, ev.anchor_date) AS age_at_anchor, date_diff('year', {_B.replace('entity', 'ev.entity')}, event_date) AS event_age FROM ev JOIN sp ON sp.entity = ev.entity""")
+def _(t):
+    obs = t.hist.where("event_type = 'obs'").select("entity", "event_date", "code", "term", "value", F.col("status").alias("obs_type"))
+    med = t.hist.where("event_type = 'med'").select("entity", "event_date", "code", "term", F.col("value").alias("duration"))
+    red = t.part.where("lower(p_name) LIKE '%red ring%' OR lower(p_name) LIKE '%red bolt%'").select(F.col("p_partkey").alias("code"))
+    _, events = extract.extract(obs, med, co.target(t), red, co.other(t), co.birth(t), PARAMS)
+    return events.withColumn("age_at_anchor", F.col("age_at_anchor").cast("bigint")).withColumn("event_age", F.col("event_age").cast("bigint"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalar as x
 from ..skew import hash_rank, top_by
@@ -269,16 +269,15 @@ def extend_ratio(split: DataFrame, pool: DataFrame, ratio: int, salt: str = "42"
     The pool is put in hash order once; each split takes the next range of
     ranks. Members of the 1:1 split stay where they are.
     """
-    counts = split.groupBy("split").agg(
-        x.count_where(F.col("label") == 1).alias("p"), x.count_where(F.col("label") == 0).alias("n")
-    ).withColumn("add", F.greatest(F.lit(ratio) * F.col("p") - F.col("n"), F.lit(0)))
-    pos = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("split"))
-    run = W.partitionBy(F.lit(0)).orderBy("pos")  # one row per split: three rows
-    ranges = counts.withColumn("pos", pos).withColumn("hi", F.sum("add").over(run)).select(
-        "split", (F.col("hi") - F.col("add")).alias("lo"), "hi"
-    )
+    rows = split.groupBy("split").agg(
+        x.count_where(F.col("label") == 1).alias("p"), x.count_where(F.col("label") == 0).alias("n")).collect()  # one row per split
+    need = {r["split"]: max(ratio * r["p"] - r["n"], 0) for r in rows}
     extra = hash_rank(exclude(pool.select("entity").distinct(), split), [], ["entity"], salt)
-    extra = extra.join(F.broadcast(ranges), (F.col("rank") > F.col("lo")) & (F.col("rank") <= F.col("hi")))
+    goes, hi = F.lit(None).cast("string"), sum(need.values())
+    for name in reversed([s for s in order if s in need]):
+        goes = F.when(F.col("rank") <= hi, F.lit(name)).otherwise(goes)
+        hi -= need[name]
+    extra = extra.withColumn("split", goes).where(F.col("split").isNotNull())
     return split.select("entity", "split", "label").unionByName(
         extra.select("entity", "split", F.lit(0).alias("label"))
     )
