@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as x
 from ..operators import cohort as c, hygiene, split as sp
+from ..skew import one_row
 from .base import ANCH, HIST, SPINE, query, r, with_
 
 TARGET = "SELECT p_partkey AS code FROM part WHERE lower(p_name) LIKE '%red ring%'"
@@ -305,8 +306,7 @@ def _(t):
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE event_date >= anchor_date) AS n_leaky, count(*) FILTER (WHERE event_date < anchor_date) AS n_kept FROM j""")
 def _(t):
     j = t.hist.join(t.spine.select("entity", "anchor_date"), "entity")
-    kept = c.leak_guard(j).agg(one("n_kept"), F.lit(1).alias("k"))
-    return c.leak_counts(j).withColumn("k", F.lit(1)).join(kept, "k").drop("k")
+    return one_row(c.leak_counts(j), c.leak_guard(j).agg(one("n_kept")))
 
 
 @query("c29_drop_leaky_codes", f"{with_(ANCH)} SELECT event_type, count(*) AS n FROM anch WHERE code NOT IN (SELECT p_partkey FROM part WHERE p_name LIKE '%ring%') GROUP BY 1")

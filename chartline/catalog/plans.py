@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assemble
 from ..plans import disease, extract, matrix
+from ..skew import one_row
 from . import cohort as co
 from .base import ANCH, HIST, TYPES, query, rounded, with_
 
@@ -85,9 +86,7 @@ def _(t):
     cols = [*KEEP, "total_events"]
     full = assemble.to_long(matrix.build(t.anch, spine, CFG), ["entity"], cols)
     part = assemble.to_long(matrix.build(t.anch, spine, CFG, keep=KEEP), ["entity"], cols)
-    n = full.agg(F.count(F.lit(1)).alias("n_compared"), F.lit(1).alias("k"))
-    bad = assemble.parity(full, part).agg(F.count(F.lit(1)).alias("n_different"), F.lit(1).alias("k"))
-    return n.join(bad, "k").drop("k")
+    return one_row(full.agg(F.count(F.lit(1)).alias("n_compared")), assemble.parity(full, part).agg(F.count(F.lit(1)).alias("n_different")))
 
 
 DEMO = disease.Disease(

@@ -171,7 +171,7 @@ def calibration(pred: DataFrame, by: Sequence[str] = (), bins: int = 10) -> Data
         F.count(F.lit(1)).alias("n"), F.avg((p - y) * (p - y)).alias("brier"), F.avg(y).alias("base"),
         F.regr_slope(y, F.col("_lg")).alias("slope"), F.regr_intercept(y, F.col("_lg")).alias("intercept"))
     m = m.withColumn("brier_skill", 1.0 - F.try_divide(F.col("brier"), F.nullif(F.col("base") * (1 - F.col("base")), F.lit(0.0))))
-    return skew.join_null_safe(m, ece, list(by)) if by else m.withColumn("_k", F.lit(1)).join(ece.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return skew.join_null_safe(m, ece, list(by)) if by else skew.one_row(m, ece)
 
 
 def audit(pred: DataFrame, strata: dict[str, Column | str], threshold: float, min_n: int = 30, points: float = 0.05) -> DataFrame:
@@ -209,8 +209,8 @@ def combined(test: DataFrame, holdout: DataFrame, thresholds: dict[str, float])
     fresh = operating_points(both).where(F.col("rule") == "youden").first()["threshold"]
     t = sweep(both, [*thresholds.values(), fresh])
     names = x.lookup(F.col("i"), dict(enumerate([*thresholds, "fresh"])))
-    auc = auroc_auprc(both).select(F.lit(1).alias("_k"), "auroc")
-    return t.withColumn("run", names).withColumn("_k", F.lit(1)).join(auc, "_k").drop("_k", "i")
+    auc = auroc_auprc(both).first()["auroc"]
+    return t.withColumn("run", names).withColumn("auroc", F.lit(auc)).drop("i")
 
 
 def sweep(pred: DataFrame, grid: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

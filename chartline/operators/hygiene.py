@@ -8,6 +8,7 @@ and one number each.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -115,13 +116,12 @@ def typed_fill(long: DataFrame, roster: DataFrame, fills: DataFrame) -> DataFram
     """Dense long table: every (roster entity, fitted feature) with its value or the feature's fill; infinite values become 0.
 
     The grid is entities times the fitted features, which is the size of the
-    dense matrix itself: the features come as one array per entity, exploded
-    in place.
+    dense matrix itself: the fitted features, a name and a number each, are a
+    literal array exploded per entity.
     """
-    feats = F.array_sort(F.collect_list(F.struct("feature", "fill")))
-    grid = fills.groupBy(F.lit(1).alias("_k")).agg(feats.alias("_f"))
-    per = roster.select("entity").withColumn("_k", F.lit(1)).join(F.broadcast(grid), "_k").select("entity", F.explode("_f").alias("_f"))
-    per = per.select("entity", F.col("_f.feature").alias("feature"), F.col("_f.fill").alias("fill"))
+    rows = [r.asDict() for r in fills.select("feature", "fill").orderBy("feature").collect()]
+    grid = F.from_json(F.lit(json.dumps(rows)), "array<struct<feature:string,fill:double>>")
+    per = roster.select("entity", F.inline(grid))
     out = per.join(long, ["entity", "feature"], "left")
     return out.select("entity", "feature", x.finite(F.coalesce("value", "fill")).alias("value"))
 

@@ -489,6 +489,7 @@ def faithfulness(mat: DataFrame, features: Sequence[str], model: Model, contrib:
         changed = base.select("entity", "label", *cut)
         d = proba(model, vectorise(changed, features)).select("entity", "score").join(p0, "entity").select((F.col("score") - F.col("p0")).alias("d"))
         a = d.withColumn("a", F.abs("d"))
-        q = skew.quantiles(a, [], "a", {"median_abs": 0.5, "p95_abs": 0.95}, skew.unit_bucket(F.col("a"))).withColumn("k", F.lit(k))
-        out.append(a.agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_abs"), F.avg("d").alias("mean_signed")).withColumn("k", F.lit(k)).join(q, "k"))
+        q = skew.quantiles(a, [], "a", {"median_abs": 0.5, "p95_abs": 0.95}, skew.unit_bucket(F.col("a")))
+        m = a.agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_abs"), F.avg("d").alias("mean_signed"))
+        out.append(skew.one_row(m, q).withColumn("k", F.lit(k)))
     return functools.reduce(DataFrame.unionByName, out)

@@ -10,6 +10,7 @@ one small row per segment.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -152,3 +153,9 @@ def top_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int =
     w = W.partitionBy(*keys).orderBy(*order)
     out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
     return out.drop(name) if k == 1 else out
+
+
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Single-row results side by side, without a join: their union reduced by max."""
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return every.agg(*[F.max(c).alias(c) for c in every.columns])

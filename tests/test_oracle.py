@@ -18,5 +18,8 @@ def con():
 @pytest.mark.parametrize("name", WITH_SQL)
 def test_equal(name, spark, con):
     q = load()[name]
-    msg, _ = oracle.compare(q.run(base.Tables(spark, FOLDER)), con, q.sql)
+    df = q.run(base.Tables(spark, FOLDER))
+    msg, _ = oracle.compare(df, con, q.sql)
     assert not msg, msg
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
