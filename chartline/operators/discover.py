@@ -199,14 +199,21 @@ def leadtime(ev: DataFrame, spine: DataFrame, by: str = "code", process: str = P
 POISSON_1 = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
 
 
-def poisson_weight(id_col: Column, draw: int, seed: str) -> Column:
-    """Poisson(1) weight of an entity in a resample, from its md5: the same in every run and on every cluster."""
+def uniform(id_col: Column, draw: int, seed: str) -> Column:
+    """Number in [0, 1) from the md5 of id, seed and draw: the same in every run and on every cluster."""
     h = F.substring(F.md5(F.concat_ws("|", id_col.cast("string"), F.lit(seed), F.lit(str(draw)))), 1, 7)
-    u = F.conv(h, 16, 10).cast("double") / 268435456.0
-    w = F.lit(len(POISSON_1))
-    for k in range(len(POISSON_1) - 1, -1, -1):
-        w = F.when(u < POISSON_1[k], F.lit(k)).otherwise(w)
-    return w
+    return F.conv(h, 16, 10).cast("double") / 268435456.0
+
+
+def poisson(u: Column) -> Column:
+    """Poisson(1) weight for a uniform number: how many steps of the distribution function it passes."""
+    return x.total([(u >= t).cast("int") for t in POISSON_1])
+
+
+def with_weights(df: DataFrame, draws: int, seed: str, keep: Sequence[str], id_col: str = "entity") -> DataFrame:
+    """Columns w0.. of resampling weights. The hashes are one projection, the weights the next, so each hash is computed once."""
+    u = df.select(*keep, *[uniform(F.col(id_col), b, seed).alias(f"u{b}") for b in range(draws)])
+    return u.select(*keep, *[poisson(F.col(f"u{b}")).alias(f"w{b}") for b in range(draws)])
 
 
 def bootstrap_stability(pairs: DataFrame, spine: DataFrame, draws: int = 20, top_k: int = 20, by: str = "code", seed: str = "42", threshold: float = 0.8) -> DataFrame:
@@ -215,7 +222,7 @@ def bootstrap_stability(pairs: DataFrame, spine: DataFrame, draws: int = 20, top
     Each entity carries its ``draws`` weights as columns, so one grouping of
     the presence pairs gives every resample; rows are not multiplied.
     """
-    w = spine.select("entity", "label", *[poisson_weight(F.col("entity"), b, seed).alias(f"w{b}") for b in range(draws)])
+    w = with_weights(spine, draws, seed, ["entity", "label"])
     pos = F.col("label") == 1
     tot = w.agg(*[F.sum(F.when(pos, F.col(f"w{b}")).otherwise(0)).alias(f"tp{b}") for b in range(draws)],
                 *[F.sum(F.when(pos, 0).otherwise(F.col(f"w{b}"))).alias(f"tn{b}") for b in range(draws)]).first()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import skew
 from ..functions import scalar as x
-from .discover import poisson_weight
+from .discover import with_weights
 from .hygiene import auc_table
 
 SENS_POINTS = (0.80, 0.85, 0.90, 0.95)
@@ -67,11 +67,11 @@ def bootstrap(pred: DataFrame, threshold: float, draws: int = 100, seed: str = "
     give every draw. Weights come from md5 of the id, so the intervals are reproducible.
     """
     y = F.col("label") == 1
-    ws = [poisson_weight(F.col(id_col), b, seed) for b in range(draws)]
     aggs = []
-    for b, w in enumerate(ws):
+    for b in range(draws):
+        w = F.col(f"w{b}")
         aggs += [F.sum(F.when(y, w).otherwise(0)).alias(f"p{b}"), F.sum(F.when(y, 0).otherwise(w)).alias(f"q{b}")]
-    c = pred.groupBy("score").agg(*aggs)
+    c = with_weights(pred, draws, seed, ["label", "score"], id_col).groupBy("score").agg(*aggs)
     r = skew.running_total(c, [], "score", [f"q{b}" for b in range(draws)], skew.number_bucket(F.col("score"), 4096))
     hit = F.col("score") >= threshold
     out = []

@@ -252,10 +252,29 @@ class Calibrator:
         return got.withColumn(out, F.col("_iso_out")).drop("_iso_in", "_iso_out")
 
 
-def fit_platt(calib: DataFrame) -> Calibrator:
-    vec = VectorAssembler(inputCols=["score"], outputCol="features").transform(calib.select("score", "label"))
-    m = LogisticRegression(maxIter=100, regParam=1e-6).fit(vec)
-    return Calibrator("platt", (float(m.coefficients[0]), float(m.intercept)))
+def fit_platt(calib: DataFrame, penalty: float = 1.0, steps: int = 25) -> Calibrator:
+    """Logistic map of one score by Newton steps, with an L2 penalty on the slope.
+
+    Each step is one aggregation to five sums over distinct (score, label)
+    points with their counts; nothing but these sums comes back.
+    """
+    pts = calib.where(F.col("score").isNotNull()).groupBy("score", "label").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    a = b = 0.0
+    with held(pts) as pts:
+        s, w = F.col("score"), F.col("w")
+        for _ in range(steps):
+            p = x.sigmoid(F.lit(a) * s + F.lit(b))
+            d, h = w * (F.col("label") - p), w * p * (1.0 - p)
+            r = pts.agg(*[F.sum(c).alias(n) for n, c in (("ga", d * s), ("gb", d), ("haa", h * s * s), ("hab", h * s), ("hbb", h))]).first()
+            ga, haa = r["ga"] - penalty * a, r["haa"] + penalty
+            det = haa * r["hbb"] - r["hab"] ** 2
+            if det <= 1e-12:
+                break
+            da, db = (ga * r["hbb"] - r["gb"] * r["hab"]) / det, (haa * r["gb"] - r["hab"] * ga) / det
+            a, b = a + da, b + db
+            if abs(da) + abs(db) < 1e-9:
+                break
+    return Calibrator("platt", (a, b))
 
 
 def fit_isotonic(calib: DataFrame, digits: int = 3) -> Calibrator:

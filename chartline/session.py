@@ -15,6 +15,8 @@ SETTINGS = {
     # A hot entity in an event-to-spine join is split even where the join
     # output feeds a grouping on the same key (costs one extra exchange).
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # persisted tables get as many partitions as their size asks for
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 

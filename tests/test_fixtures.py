@@ -222,3 +222,11 @@ def test_literal_table_has_a_limit(spark):
     with pytest.raises(ValueError):
         session.literal_table(spark, [{"a": 1}] * (session.LITERAL_ROWS + 1), "a int")
     assert [tuple(r) for r in session.literal_table(spark, [{"a": 1, "b": "x, y"}], "a int, b string").collect()] == [(1, "x, y")]
+
+
+def test_platt_solves_its_score_equations(spark):
+    rows = [(i, i / 50.0, int((i * 7) % 50 < i)) for i in range(50)]
+    a, b = learn.fit_platt(spark.createDataFrame(rows, "entity int, score double, label int")).params
+    p = [1 / (1 + math.exp(-(a * s + b))) for _, s, _ in rows]
+    assert sum(y - q for (_, _, y), q in zip(rows, p)) == pytest.approx(0, abs=1e-6)
+    assert sum((y - q) * s for (_, s, y), q in zip(rows, p)) - a == pytest.approx(0, abs=1e-6)
