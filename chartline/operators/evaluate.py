@@ -63,8 +63,9 @@ def auroc_auprc(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def bootstrap(pred: DataFrame, threshold: float, draws: int = 100, seed: str = "42", id_col: str = "entity") -> DataFrame:
     """Percentile intervals of AUROC, sensitivity, specificity, PPV and NPV over Poisson resamples within class.
 
-    The weights of all draws ride along as columns: one pass and one ranking
-    give every draw. Weights come from md5 of the id, so the intervals are reproducible.
+    The weights of all draws ride along as columns and reduce to distinct
+    scores in one pass; only those small sums are ranked per draw. Weights
+    come from md5 of the id, so the intervals are reproducible.
     """
     y = F.col("label") == 1
     aggs = []
@@ -72,17 +73,16 @@ def bootstrap(pred: DataFrame, threshold: float, draws: int = 100, seed: str = "
         w = F.col(f"w{b}")
         aggs += [F.sum(F.when(y, w).otherwise(0)).alias(f"p{b}"), F.sum(F.when(y, 0).otherwise(w)).alias(f"q{b}")]
     c = with_weights(pred, draws, seed, ["label", "score"], id_col).groupBy("score").agg(*aggs)
-    r = skew.running_total(c, [], "score", [f"q{b}" for b in range(draws)], skew.number_bucket(F.col("score"), 4096))
-    hit = F.col("score") >= threshold
-    out = []
-    for b in range(draws):
-        p, q = F.col(f"p{b}"), F.col(f"q{b}")
-        u = F.sum(p * (F.col(f"q{b}_before") + q / 2.0))
-        tp, fp = F.sum(F.when(hit, p).otherwise(0)), F.sum(F.when(hit, q).otherwise(0))
-        P, N = F.sum(p), F.sum(q)
-        out.append(F.struct(_div(u, P * N).alias("auroc"), _div(tp, P).alias("sensitivity"), _div(N - fp, N).alias("specificity"),
-                            _div(tp, tp + fp).alias("ppv"), _div(N - fp, N - fp + P - tp).alias("npv")).alias(f"d{b}"))
-    per = r.groupBy().agg(*out).select(F.explode(F.array(*[F.col(f"d{b}") for b in range(draws)])).alias("d")).select("d.*")
+    pair = F.array(*[F.struct(F.col(f"p{b}").alias("p"), F.col(f"q{b}").alias("q")) for b in range(draws)])
+    long = c.select("score", F.posexplode(pair).alias("draw", "s")).select("draw", "score", "s.p", "s.q")
+    r = skew.running_total(long, ["draw"], "score", ["q"], skew.number_bucket(F.col("score"), 4096))
+    p, q, hit = F.col("p"), F.col("q"), F.col("score") >= threshold
+    t = r.groupBy("draw").agg(
+        F.sum(p * (F.col("q_before") + q / 2.0)).alias("u"), F.sum(p).alias("P"), F.sum(q).alias("N"),
+        F.sum(F.when(hit, p).otherwise(0)).alias("tp"), F.sum(F.when(hit, q).otherwise(0)).alias("fp"))
+    P, N, tp, fp = (F.col(k) for k in ("P", "N", "tp", "fp"))
+    per = t.select(_div(F.col("u"), P * N).alias("auroc"), _div(tp, P).alias("sensitivity"), _div(N - fp, N).alias("specificity"),
+                   _div(tp, tp + fp).alias("ppv"), _div(N - fp, N - fp + P - tp).alias("npv"))
     names = ("auroc", "sensitivity", "specificity", "ppv", "npv")
     stats = per.agg(*[F.percentile(n, F.lit(q)).alias(f"{n}|{k}") for n in names for q, k in ((0.025, "lo"), (0.975, "hi"))])
     return stats.select(F.explode(F.array(*[
