@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balance, pii, quality, quotes
+from . import balance, packing, pii, quality, quotes, rans, simhash
 from .common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_rans_token_ids": lambda s, d: rans.report(tables(s, d, "documents")),
+    "op5_hilbert_packing": lambda s, d: packing.report(tables(s, d, "documents")),
     "op6_quotation_linking": lambda s, d: quotes.threads(tables(s, d, "conversations")),
     "op7_entropy_balancing": lambda s, d: balance.report(tables(s, d, "documents")),
+    "op8_simhash_tiles": lambda s, d: simhash.report(tables(s, d, "documents")),
     "op9_pii_spans": lambda s, d: pii.report(tables(s, d, "documents")),
     "op10_quality_weak_labels": lambda s, d: quality.report(tables(s, d, "documents")),
 }
