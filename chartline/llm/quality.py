@@ -21,10 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buffers, mix, slice_hashes, stored, words
+from .common import buffers, mix, slice_hashes, words
+from .tokens import sliced
 
 LABELLERS = ("symbols", "capitals", "doubled", "bars", "repeats", "lengths", "variety", "ends")
 SAMPLE = 8000
+STRETCH = 2 << 20  # bytes of text measured together
 FEWEST = 6  # labellers abstain on shorter texts
 BUCKETS, SHAPES = 1 << 15, 1 << 8
 EPOCHS, RATE, DECAY = 60, 0.5, 1e-6
@@ -128,8 +130,9 @@ def patterns(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = Measured(b.column("text")).votes()
-            yield pa.RecordBatch.from_arrays([pa.array((v @ 3 ** np.arange(v.shape[1])).astype(np.int32))], names=["pattern"])
+            for x, y in sliced(b.column("text"), STRETCH):
+                v = Measured(b.column("text").slice(x, y - x)).votes()
+                yield pa.RecordBatch.from_arrays([pa.array((v @ 3 ** np.arange(v.shape[1])).astype(np.int32))], names=["pattern"])
 
     return docs.select("text").mapInArrow(run, "pattern int")
 
@@ -165,13 +168,14 @@ def estimate(counts: dict[int, int], rounds: int = 300) -> tuple[dict[int, float
 
 def fit(texts: pa.Array, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights of trigram buckets and word shapes, and the bias; target: the chance that a text is bad."""
-    tri, to, shape, so = Measured(texts).features()
-    groups = []
-    for index, off, size in ((tri, to, BUCKETS), (shape, so, SHAPES)):
-        row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        cell, n = np.unique(row * size + index, return_counts=True)
-        row, col = cell // size, cell % size
-        groups.append((row, col, n / np.maximum(np.diff(off), 1)[row], np.zeros(size), np.full(size, 1e-8)))
+    cells: list[list[tuple]] = [[], []]
+    for x, y in sliced(texts, STRETCH):
+        tri, to, shape, so = Measured(texts.slice(x, y - x)).features()
+        for k, (index, off, size) in enumerate(((tri, to, BUCKETS), (shape, so, SHAPES))):
+            cell, n = np.unique(np.repeat(np.arange(len(off) - 1), np.diff(off)) * size + index, return_counts=True)
+            row = cell // size
+            cells[k].append(((x + row).astype(np.int32), (cell % size).astype(np.int32), (n / np.maximum(np.diff(off), 1)[row]).astype(np.float32)))
+    groups = [(*(np.concatenate(c) for c in zip(*got)), np.zeros(size), np.full(size, 1e-8)) for got, size in zip(cells, (BUCKETS, SHAPES))]
     bias, bias_g, rows = 0.0, 1e-8, max(len(target), 1)
     for _ in range(EPOCHS):
         z = np.full(len(target), bias)
@@ -215,16 +219,18 @@ def scored(docs: DataFrame, text: str = "text") -> DataFrame:
     post, (tri_w, shape_w, bias) = train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = Measured(batch.column(text))
-            v = m.votes()
-            code = v @ 3 ** np.arange(v.shape[1])
-            tri, to, shape, so = m.features()
-            z = _mean(tri_w, tri, to) + _mean(shape_w, shape, so) + bias
-            good = np.where(m.n_words == 0, 0.0, 1 / (1 + np.exp(np.clip(z, -50, 50))))
-            more = [pa.array(m.n_words.astype(np.int64)), pa.array(["".join("gb."[x] for x in r) for r in v], pa.string()),
-                    pa.array([1 - post[int(c)] for c in code], pa.float64()), pa.array(good), pa.array(good >= 0.5)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_words", "_votes", "_posterior", "_score", "_keep"])
+        for whole in batches:
+            for a, b in sliced(whole.column(text), STRETCH):
+                batch = whole.slice(a, b - a)
+                m = Measured(batch.column(text))
+                v = m.votes()
+                code = v @ 3 ** np.arange(v.shape[1])
+                tri, to, shape, so = m.features()
+                z = _mean(tri_w, tri, to) + _mean(shape_w, shape, so) + bias
+                good = np.where(m.n_words == 0, 0.0, 1 / (1 + np.exp(np.clip(z, -50, 50))))
+                more = [pa.array(m.n_words.astype(np.int64)), pa.array(["".join("gb."[x] for x in r) for r in v], pa.string()),
+                        pa.array([1 - post[int(c)] for c in code], pa.float64()), pa.array(good), pa.array(good >= 0.5)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_words", "_votes", "_posterior", "_score", "_keep"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, _words long, _votes string, _posterior double, _score double, _keep boolean")
