@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balance, packing, pii, quality, quotes, rans, simhash
+from . import balance, hamming, packing, pii, quality, quotes, rans, simhash, substrings
 from .common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multi_index_hashing": lambda s, d: hamming.report(tables(s, d, "embeddings")),
+    "op2_prefix_suffix_trees": lambda s, d: substrings.report(tables(s, d, "documents")),
     "op3_rans_token_ids": lambda s, d: rans.report(tables(s, d, "documents")),
     "op5_hilbert_packing": lambda s, d: packing.report(tables(s, d, "documents")),
     "op6_quotation_linking": lambda s, d: quotes.threads(tables(s, d, "conversations")),
@@ -19,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_weak_labels": lambda s, d: quality.report(tables(s, d, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_quotation_linking": quotes.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_multi_index_hashing": hamming.SQL, "op6_quotation_linking": quotes.SQL}

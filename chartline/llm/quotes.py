@@ -138,8 +138,8 @@ v AS (SELECT q.uid, passage, level, o.o.u AS origin, o.o.t AS origin_turn, sum(l
       FROM q JOIN o ON q.conv_id = o.conv_id AND q.norm = o.norm WHERE o.o.t < q.turn GROUP BY 1, 2, 3, 4, 5),
 f AS (SELECT uid, passage, level, max({'m': matched, 't': origin_turn, 'u': origin}) AS b FROM v GROUP BY 1, 2, 3),
 p AS (SELECT uid, max({'l': -level, 'm': b.m, 't': b.t, 'u': b.u}) AS b, count(*) AS n_quoted FROM f GROUP BY 1),
-t AS (SELECT uid, b.u AS at, 1 AS depth FROM p UNION ALL SELECT t.uid, p.b.u, depth + 1 FROM t JOIN p ON p.uid = t.at),
-r AS (SELECT uid, max(depth) AS depth, arg_max(at, depth) AS root FROM t GROUP BY 1),
+t AS (SELECT uid, b.u AS node, 1 AS depth FROM p UNION ALL SELECT t.uid, p.b.u, depth + 1 FROM t JOIN p ON p.uid = t.node),
+r AS (SELECT uid, max(depth) AS depth, arg_max(node, depth) AS root FROM t GROUP BY 1),
 z AS (SELECT m.conv_id, m.turn, m.role, w.own AS own_text, CAST(coalesce(p.n_quoted, 0) AS BIGINT) AS n_quoted, pm.turn AS parent_turn, coalesce(rm.turn, m.turn) AS root_turn,
              CAST(coalesce(r.depth, 0) AS BIGINT) AS depth, m.n
       FROM m JOIN w USING (uid) LEFT JOIN p USING (uid) LEFT JOIN r USING (uid) LEFT JOIN m pm ON pm.uid = p.b.u LEFT JOIN m rm ON rm.uid = r.root)

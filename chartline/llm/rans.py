@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -176,7 +177,7 @@ def _tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    n = int(pa.compute.sum(batch.column("n")).as_py() or 0)
+    n = int(pc.sum(batch.column("n")).as_py() or 0)
     raw = b"".join(batch.column("ids").to_pylist())
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
 
