@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balance, hamming, packing, pii, quality, quotes, rans, simhash, substrings
+from . import balance, hamming, media, packing, pii, quality, quotes, rans, simhash, substrings
 from .common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multi_index_hashing": lambda s, d: hamming.report(tables(s, d, "embeddings")),
     "op2_prefix_suffix_trees": lambda s, d: substrings.report(tables(s, d, "documents")),
     "op3_rans_token_ids": lambda s, d: rans.report(tables(s, d, "documents")),
+    "op4_lossless_webp": lambda s, d: media.report(tables(s, d, "documents")),
     "op5_hilbert_packing": lambda s, d: packing.report(tables(s, d, "documents")),
     "op6_quotation_linking": lambda s, d: quotes.threads(tables(s, d, "conversations")),
     "op7_entropy_balancing": lambda s, d: balance.report(tables(s, d, "documents")),
