@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..skew import join_null_safe
 from .common import SPACE, buffers, stored, words
 from .graph import components
+from .tokens import sliced
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 BLOCKS = 5
 HOT, TILE = 8192, 512
-_ROWS = 1 << 18  # shingles whose bits are unpacked at a time
+STRETCH = 4 << 20  # bytes of text taken together
+_ROWS = 1 << 17  # shingles whose bits are unpacked at a time
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
@@ -70,8 +72,10 @@ def marked(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(b.column(text)).view(np.int64))], names=["doc_id", "fp"])
+        for whole in batches:
+            for x, y in sliced(whole.column(text), STRETCH):
+                b = whole.slice(x, y - x)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(b.column(text)).view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select("doc_id", text).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
