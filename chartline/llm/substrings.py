@@ -30,7 +30,7 @@ from .common import buffers, mix, ragged, slice_hashes, stored, words
 from .tokens import sliced
 
 WORDS, GRAM = 20, 6
-GROUP = 20_000  # suffixes of a group that a task builds at once
+GROUP = 4_000  # suffixes of a group that a task builds at once
 CHUNK = 1 << 20  # words of records that a task looks at together
 LONGEST = 256  # suffixes in a record
 LAST = (1 << 63) - 1  # stands for a null doc_id
