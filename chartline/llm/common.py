@@ -15,13 +15,14 @@ from .. import session
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH = 2000
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Written as Parquet into the shared folder and read back: cuts lineage, survives lost executors."""
     path = session.scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -118,7 +119,9 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def importable(spark: SparkSession) -> SparkSession:
-    """Python workers started from now on find this package where it lies, whatever folder the driver was started in."""
+    """Python workers started from now on find this package where it lies, whatever folder the driver was started in,
+    and get texts in batches of ``BATCH`` rows, which bounds what a worker holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,9 +19,9 @@ import pyarrow as pa
 
 from .common import SPACE, buffers, ragged
 
-KEPT = 1_000_000  # pieces remembered by a worker; others are encoded again when they come up
-KEPT_CHUNKS = 500_000
-CHUNK = 24 << 20  # bytes of text looked at together
+KEPT = 400_000  # pieces remembered by a worker; others are encoded again when they come up
+KEPT_CHUNKS = 250_000
+CHUNK = 8 << 20  # bytes of text looked at together
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 # a chunk of these characters alone can be cut into the pieces that the finder gives
 _PLAIN = re.compile(f"[ \n]?[!-&(-~{_LETTER[6:]}]*", re.ASCII)
@@ -67,7 +68,7 @@ class Encoder:
         self.piece: dict[str, int] = {}  # number of a piece
         self.chunk: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size = [], []  # where the ids of a piece or chunk are, by number
+        self.at, self.size = array("q"), array("q")  # where the ids of a piece or chunk are, by number
 
     def _store(self, flat: np.ndarray, n: np.ndarray) -> int:
         """Keeps new lists of ids; the number of the first."""
@@ -75,8 +76,8 @@ class Encoder:
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint32)))
         self.ids[self.used:self.used + len(flat)] = flat
-        self.at += (self.used + np.cumsum(n) - n).tolist()
-        self.size += n.tolist()
+        self.at.frombytes((self.used + np.cumsum(n) - n).tobytes())
+        self.size.frombytes(n.astype(np.int64).tobytes())
         self.used += len(flat)
         return k
 
@@ -101,15 +102,21 @@ class Encoder:
             k = self._store(np.fromiter((x for s in lists for x in s), np.uint32, int(n.sum())), n)
             self.piece.update(zip(new, range(k, k + len(new))))
         number = np.fromiter(map(get, pieces), np.int64, len(pieces))
-        at, size = np.array(self.at, np.int64)[number], np.array(self.size, np.int64)[number]
+        at, size = self._place(number)
         return self.ids[ragged(at, size)], size
 
+    def _place(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of these numbers are, and how many each has (copies: the arrays can grow later)."""
+        if not len(number):
+            return number, number
+        return np.frombuffer(self.at, np.int64)[number], np.frombuffer(self.size, np.int64)[number]
+
     def _chunks(self, chunks: list[bytes]) -> np.ndarray:
         """The number of each chunk, new ones cut and encoded."""
         if len(self.piece) > KEPT:  # start anew: bounded memory, same ids
             self.piece.clear()
             self.chunk.clear()
-            self.at, self.size, self.used = [], [], 0
+            self.at, self.size, self.used = array("q"), array("q"), 0
         elif len(self.chunk) > KEPT_CHUNKS:
             self.chunk.clear()
         get = self.chunk.get
@@ -144,7 +151,7 @@ class Encoder:
         raw = buffers(coded.dictionary)
         text, edge = raw[0].tobytes(), raw[1].tolist()
         number = self._chunks([text[x:y] for x, y in zip(edge, edge[1:])])
-        at_id, size = np.array(self.at, np.int64)[number], np.array(self.size, np.int64)[number]
+        at_id, size = self._place(number)
         index = coded.indices.to_numpy()
         long = size[index]
         out = self.ids[ragged(at_id[index], long)]
