@@ -6,7 +6,7 @@ renormalised by 32-bit words into one interleaved stream. Blocks are independent
 checkpoints (states and place in the stream, every ``EVERY`` steps) let its parts be decoded apart, and checksums
 cover the block and tie it to its table. Numpy codes all lanes at once.
 
-A block, little-endian, all of it opaque to the table that carries it (columns part, seq, n_docs, n_tokens, block):
+A block, little-endian, all of it opaque to the table that carries it (columns part, seq, before, n_docs, n_tokens, block):
 
     4s magic, u16 version, u16 lanes, u8 scale bits, 3x, u32 crc of the table, u32 documents, u64 ids, u32 checkpoints,
     u32 words; per document i64 doc_id, u8 whether it is null, u32 ids; per checkpoint u32 step, u32 word, lanes x u64
@@ -29,7 +29,6 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ..skew import running_total
 from .common import stored
 from .packing import tokenizer_path
 from .tokens import encoder, regrouped
@@ -156,24 +155,25 @@ class Block:
 
 
 def _tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """(part, seq, doc_id, n, ids): documents in order, ids as little-endian unsigned 32-bit or, where all fit, 16-bit."""
+    """(part, seq, before, doc_id, n, ids): documents in order; before: ids earlier in the part; ids little-endian unsigned
+    32-bit or, where the whole vocabulary fits, 16-bit."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     order = ["doc_id", F.xxhash64("text")]
     laid = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq = encoder(path, "word"), TaskContext.get().partitionId(), 0
+        enc, part, seq, before = encoder(path, "word"), TaskContext.get().partitionId(), 0, 0
         unit = "<u2" if enc.tok.get_vocab_size() <= 1 << 16 else "<u4"
         for b in regrouped(batches, "text"):
             ids, off = enc.encode(b.column("text"))
             ids, tail = ids.astype(unit), np.array([end], unit).tobytes()
             n = np.diff(off) + 1
             rows = [ids[x:y].tobytes() + tail for x, y in zip(off.tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(seq + np.arange(len(n))), b.column("doc_id"), pa.array(n), pa.array(rows, pa.binary())],
-                                             names=["part", "seq", "doc_id", "n", "ids"])
-            seq += len(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(seq + np.arange(len(n))), pa.array(before + np.cumsum(n) - n), b.column("doc_id"), pa.array(n),
+                                              pa.array(rows, pa.binary())], names=["part", "seq", "before", "doc_id", "n", "ids"])
+            seq, before = seq + len(n), before + int(n.sum())
 
-    return laid.mapInArrow(run, f"part int, seq long, doc_id {kind}, n long, ids binary")
+    return laid.mapInArrow(run, f"part int, seq long, before long, doc_id {kind}, n long, ids binary")
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -207,19 +207,19 @@ def _blocks(tokens: DataFrame, table: Table) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(freq)
         rows: list[tuple] = []
-        held: list[tuple] = []  # part, seq, doc_id, ids of the documents of the next block
+        held: list[tuple] = []  # part, seq, doc_id, ids, before of the documents of the next block
 
         def close() -> None:
             ids = np.concatenate([x[3] for x in held])
             sizes = np.array([len(x[3]) for x in held])
-            rows.append((held[0][0], held[0][1], len(held), len(ids), encode(ids, sizes, [x[2] for x in held], table)))
+            rows.append((held[0][0], held[0][1], held[0][4], len(held), len(ids), encode(ids, sizes, [x[2] for x in held], table)))
             held.clear()
 
         def batch() -> pa.RecordBatch:
-            cols = list(zip(*rows)) if rows else [()] * 5
+            cols = list(zip(*rows)) if rows else [()] * 6
             rows.clear()
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["part", "seq", "n_docs", "n_tokens", "block"])
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["part", "seq", "before", "n_docs", "n_tokens", "block"])
 
         size = 0
         for b in batches:
@@ -227,23 +227,23 @@ def _blocks(tokens: DataFrame, table: Table) -> DataFrame:
                 continue
             ids, n = _ids(b), b.column("n").to_numpy()
             at = np.cumsum(n) - n
-            for part, seq, doc, x, k in zip(b.column("part").to_pylist(), b.column("seq").to_pylist(), b.column("doc_id").to_pylist(), at.tolist(), n.tolist()):
+            for part, seq, before, doc, x, k in zip(*(b.column(c).to_pylist() for c in ("part", "seq", "before", "doc_id")), at.tolist(), n.tolist()):
                 if held and (size >= BLOCK or part != held[-1][0] or seq != held[-1][1] + 1):
                     close()
                     size = 0
-                held.append((part, seq, doc, ids[x:x + k].astype(np.uint32)))
+                held.append((part, seq, doc, ids[x:x + k].astype(np.uint32), before))
                 size += k
             yield batch()
         if held:
             close()
         yield batch()
 
-    return tokens.mapInArrow(run, "part int, seq long, n_docs long, n_tokens long, block binary")
+    return tokens.mapInArrow(run, "part int, seq long, before long, n_docs long, n_tokens long, block binary")
 
 
 def written(docs: DataFrame, path: str | None = None, end: int = END) -> tuple[DataFrame, Table]:
     """The corpus in the format: a stored table of blocks, and the frequencies they share."""
-    tokens = stored(_tokenised(docs, path or tokenizer_path(TOKENIZER), end), "rans-tokens")
+    tokens = stored(_tokenised(docs, path or tokenizer_path(TOKENIZER), end), "rans-tokens", "zstd")
     table = frequencies(tokens)
     return stored(_blocks(tokens, table), "rans-blocks"), table
 
@@ -251,23 +251,22 @@ def written(docs: DataFrame, path: str | None = None, end: int = END) -> tuple[D
 def read(blocks: DataFrame, table: Table) -> DataFrame:
     """One row per document: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
     freq = table.freq.astype(np.int64)
+    # ids before each part: one number per range partition reaches the driver
+    first, total = {}, 0
+    for r in blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
+        first[r["part"]], total = total, total + r["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(freq)
         for b in batches:
-            for part, seq, raw in zip(b.column("part").to_pylist(), b.column("seq").to_pylist(), b.column("block")):
+            for part, before, raw in zip(b.column("part").to_pylist(), b.column("before").to_pylist(), b.column("block")):
                 block = Block(raw.as_py(), table)
                 ids, edge = block.ids(), np.concatenate(([0], np.cumsum(block.sizes)))
                 docs = [ids[x:y].tobytes() for x, y in zip(edge.tolist(), edge[1:].tolist())]
-                n = len(docs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, seq, np.int64)), pa.array(block.docs, pa.int64()), pa.array(edge[:-1]),
-                                                  pa.array(block.sizes), pa.array(docs, pa.binary())], names=["part", "seq", "doc_id", "inside", "n_tokens", "ids"])
-
-    rows = blocks.select("part", "seq", "block").mapInArrow(run, "part int, seq long, doc_id long, inside long, n_tokens long, ids binary")
-    # ids before a block: totals of the parts before, and of the blocks before in its part
-    place = blocks.select("part", "seq", "n_tokens").withColumn("_at", F.struct("part", "seq"))
-    place = running_total(place, [], "_at", ["n_tokens"], F.col("part")).select("part", "seq", F.col("n_tokens_before").alias("before"))
-    return rows.join(place, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids")
+                yield pa.RecordBatch.from_arrays([pa.array(block.docs, pa.int64()), pa.array(first[part] + before + edge[:-1]), pa.array(block.sizes), pa.array(docs, pa.binary())],
+                                                 names=["doc_id", "start", "n_tokens", "ids"])
+
+    return blocks.select("part", "before", "block").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def report(docs: DataFrame) -> DataFrame:
