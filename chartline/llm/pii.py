@@ -132,9 +132,9 @@ def listed(spans: Column) -> Column:
 
 
 def mask(text: Column, spans: Column) -> Column:
-    """The text with each span, or each stretch of overlapping ones, replaced by the name of its first kind."""
+    """The text with each span, or each stretch of overlapping ones, replaced by the name of its first, longest one."""
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("_longest"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
     def step(a: Column, x: Column) -> Column:
         fresh = x["start"] >= a["at"]
