@@ -105,7 +105,7 @@ def rates(cells: DataFrame, goal: DataFrame, features: dict[str, Column], cap: f
         lam, mu = tilt(cells, goal, (), cap)
         return lam, F.least(F.exp(F.col("lam")), F.lit(cap))
     mass = F.col("size") * F.col("n")
-    mean = cells.agg(*[(F.sum(mass * c) / F.sum(mass)).alias(x) for x, c in features.items()]).first()
+    mean = cells.agg(*[F.try_divide(F.sum(mass * c), F.sum(mass)).alias(x) for x, c in features.items()]).first()
     centred = {x: c - F.lit(float(mean[x] or 0.0)) for x, c in features.items()}
     lam, mu = tilt(cells.select("source", "size", "n", *[c.alias(f"_z_{x}") for x, c in centred.items()]), goal, [f"_z_{x}" for x in names], cap)
     tilted = F.col("lam") + sum((F.lit(float(m)) * centred[x] for m, x in zip(mu, names)), F.lit(0.0))
