@@ -50,9 +50,9 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = C
     upto = by.rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy(F.lit(0))
     d = d.withColumn("_capped", F.coalesce(F.sum("_top").over(upto), F.lit(0.0))).withColumn("_left", F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(upto), F.lit(0.0)))
-    # c if this source and all after it stay below their caps; right for the first source where it holds
+    # c if this source and all after it stay below their caps: right for the first source where it holds, less for later ones
     d = d.withColumn("_c", (F.lit(share) * F.sum("source_size").over(every) - F.col("_capped")) / F.col("_left"))
-    c = F.min(F.when(F.col("_c") * F.col("_w") <= F.col("_top"), F.struct(F.col("_top") / F.col("_w"), F.col("_c").alias("c")))).over(every)["c"]
+    c = F.max(F.when(F.col("_c") * F.col("_w") <= F.col("_top"), F.col("_c"))).over(every)
     return d.select("source", "source_size", F.least(F.col("_top"), F.coalesce(c, F.lit(float("inf"))) * F.col("_w")).alias("target"))
 
 
