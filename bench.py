@@ -14,9 +14,10 @@ import time
 
 HEADLINE = [
     "plan_feature_matrix",        # events -> day cells -> category rows -> matrix
-    "c01_latest_snapshot", "c12_ratio_sample", "c16_lookback_observations", "a01_category_counts", "b01_occurrence", "l01_value_stats", "l12_max_jump",
-    "p09_burst", "q03_sequences", "k03_association", "k08_bootstrap_stability", "f10_univariate_auc", "m01_stratified_split", "v02_auroc_auprc",
-    "v08_subgroup_audit",
+    "c01_latest_snapshot", "c12_ratio_sample", "c16_lookback_observations", "a01_category_counts", "a36_code_aggregates_midpoint", "b01_occurrence",
+    "b07_occurrence_profile", "l01_value_stats", "l04_volatility", "l12_max_jump", "l15_value_trend_profile", "l17_percentile_vs_reference", "p09_burst",
+    "q03_sequences", "k03_association", "k08_bootstrap_stability", "k12_leadtime_screen", "f04_duplicate_columns", "f10_univariate_auc",
+    "m01_stratified_split", "v02_auroc_auprc", "v08_subgroup_audit", "w05_tfidf_svd", "s08_code_map_qc",
 ]
 
 

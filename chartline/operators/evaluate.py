@@ -16,6 +16,7 @@ from ..functions import scalar as x
 from .discover import with_weights
 from .hygiene import auc_table
 
+# Sensitivity points and the floors (sensitivity, specificity) of the tiers.
 SENS_POINTS = (0.80, 0.85, 0.90, 0.95)
 TIERS = (("tier0", 0.80, 0.70), ("tier1", 0.75, 0.65), ("tier2", 0.70, 0.65), ("tier2b", 0.70, 0.60))
 
@@ -45,7 +46,7 @@ def confusion(pred: DataFrame, threshold: float | Column, by: Sequence[str] = ()
 def score_cells(pred: DataFrame, by: Sequence[str] = (), score: str = "score") -> DataFrame:
     """Distinct scores with cumulative counts tp, fp (at or above the score) and class totals p_all, q_all."""
     c = pred.where(F.col(score).isNotNull()).groupBy(*by, score).agg(x.count_where(F.col("label") == 1).alias("p"), x.count_where(F.col("label") == 0).alias("q"))
-    r = skew.running_total(c, list(by), score, ["p", "q"], skew.number_bucket(F.col(score), 4096))
+    r = skew.running_total(c, list(by), score, ["p", "q"], skew.number_buckets(F.col(score)))
     return r.select(*by, score, "p", "q", (F.col("p_all") - F.col("p_before")).alias("tp"), (F.col("q_all") - F.col("q_before")).alias("fp"),
                     "p_all", "q_all")
 
@@ -75,7 +76,7 @@ def bootstrap(pred: DataFrame, threshold: float, draws: int = 100, seed: str = "
     c = with_weights(pred, draws, seed, ["label", "score"], id_col).groupBy("score").agg(*aggs)
     pair = F.array(*[F.struct(F.col(f"p{b}").alias("p"), F.col(f"q{b}").alias("q")) for b in range(draws)])
     long = c.select("score", F.posexplode(pair).alias("draw", "s")).select("draw", "score", "s.p", "s.q")
-    r = skew.running_total(long, ["draw"], "score", ["q"], skew.number_bucket(F.col("score"), 4096))
+    r = skew.running_total(long, ["draw"], "score", ["q"], skew.number_buckets(F.col("score")))
     p, q, hit = F.col("p"), F.col("q"), F.col("score") >= threshold
     t = r.groupBy("draw").agg(
         F.sum(p * (F.col("q_before") + q / 2.0)).alias("u"), F.sum(p).alias("P"), F.sum(q).alias("N"),
@@ -118,7 +119,7 @@ def operating_points(pred: DataFrame, by: Sequence[str] = (), min_sens: float |
 
 def sens_threshold(pred: DataFrame, target: float = 0.90, by: Sequence[str] = ()) -> DataFrame:
     """Positive score at 0-based position floor((1 - target) * n): the highest cut that keeps the target sensitivity."""
-    v = skew.value_ranks(pred.where(F.col("label") == 1), list(by), "score", skew.number_bucket(F.col("score"), 4096))
+    v = skew.value_ranks(pred.where(F.col("label") == 1), list(by), "score", skew.number_buckets(F.col("score")))
     idx = F.least(F.greatest(F.floor((1.0 - target) * F.col("n_all")), F.lit(0)), F.col("n_all") - 1)
     at = (F.col("n_before") <= idx) & (idx < F.col("n_before") + F.col("n"))
     return v.groupBy(*by).agg(F.max(F.when(at, F.col("score"))).alias("threshold"), F.max("n_all").alias("n_pos"))
@@ -192,7 +193,7 @@ def audit(pred: DataFrame, strata: dict[str, Column | str], threshold: float, mi
 def iso_sensitivity(test: DataFrame, holdout: DataFrame, prevalence: float = 0.0015, points: Sequence[float] = SENS_POINTS) -> DataFrame:
     """At fixed sensitivities: threshold from the test positives, specificity on test and on an all-negative hold-out, PPV and alerts per 1000."""
     names = {f"s{int(s * 100)}": 1.0 - s for s in points}
-    thr = skew.quantiles(test.where(F.col("label") == 1), [], "score", names, skew.number_bucket(F.col("score"), 4096)).first()
+    thr = skew.quantiles(test.where(F.col("label") == 1), [], "score", names, skew.number_buckets(F.col("score"))).first()
     def below(df):
         return df.agg(*[F.avg(x.flag(F.col("score") < thr[n])).alias(n) for n in names]).first()
     neg, hold = below(test.where(F.col("label") == 0)), below(holdout)
@@ -246,7 +247,7 @@ def error_profile(pred: DataFrame, long: DataFrame, threshold: float) -> DataFra
     j = long.join(g, "entity")
     m = j.groupBy("feature").agg(F.avg(F.when(F.col("grp") == "FN", F.col("value"))).alias("fn_mean"), F.avg(F.when(F.col("grp") == "TP", F.col("value"))).alias("tp_mean"))
     c = j.groupBy("feature", "value").agg(x.count_where(F.col("grp") == "FN").alias("p"), x.count_where(F.col("grp") == "TP").alias("q"))
-    r = skew.running_total(c, ["feature"], "value", ["p", "q"], skew.number_bucket(F.col("value")))
+    r = skew.running_total(c, ["feature"], "value", ["p", "q"], skew.number_buckets(F.col("value")))
     t3 = (F.col("p") + F.col("q")).cast("double")
     u = r.groupBy("feature").agg(F.sum("p").alias("n1"), F.sum("q").alias("n2"), F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2.0)).alias("u"), F.sum(t3 * t3 * t3 - t3).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")

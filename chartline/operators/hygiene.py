@@ -9,8 +9,12 @@ and one number each.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import skew
@@ -21,9 +25,10 @@ from ..session import literal_table
 # --- label encoding ---------------------------------------------------------
 def fit_labels(df: DataFrame, c: str) -> DataFrame:
     """Alphabetical integer codes of the levels seen in training (one row per level)."""
-    levels = df.where(F.col(c).isNotNull()).select(c).distinct()
-    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(c)) - 1  # ranks the vocabulary, not the rows
-    return levels.select(c, rank.cast("bigint").alias("id"))
+    levels = df.where(F.col(c).isNotNull()).select(c).distinct().withColumn("_one", F.lit(1).cast("bigint"))
+    text = dict(levels.dtypes)[c] == "string"
+    nested = [F.substring(c, 1, 2), F.substring(c, 1, 6)] if text else skew.number_buckets(F.col(c))
+    return skew.running_total(levels, [], c, ["_one"], nested).select(c, F.col("_one_before").alias("id"))
 
 
 def apply_labels(df: DataFrame, fitted: DataFrame, c: str, out: str) -> DataFrame:
@@ -166,28 +171,79 @@ def leakage_check(long: DataFrame, spine: DataFrame, drop: float = 0.5, review:
     return c.withColumn("verdict", verdict).withColumn("in_top", x.flag(rank <= top))
 
 
+BLOCK = 256  # features of a block
+
+
+def correlated_pairs(mat: DataFrame, features: Sequence[str], limit: float, last: bool = False) -> DataFrame:
+    """(i, j, corr) of positions i < j with absolute correlation above ``limit``, NULLs as missing rows left out.
+
+    Columns are centred and scaled first, so sums of products do not cancel. Each task sums them block by block (256 by
+    256 features); a pair of blocks is added up in one task, and only pairs above the limit leave it. Nothing of the
+    size features x features meets anywhere. ``last``: pairs with the last feature are returned at any correlation.
+    """
+    k = len(features)
+    cols = [F.col(f).cast("double") for f in features]
+    rows = mat.select(F.array(*cols).alias("v")).where(~F.exists("v", lambda v: v.isNull() | F.isnan(v)))
+    vec = array_to_vector("v")
+    st = rows.agg(Summarizer.metrics("count", "mean", "std").summary(vec).alias("s")).first()["s"]
+    n, mean, scale = st["count"], st["mean"].toArray(), st["std"].toArray()
+    if not len(mean):
+        mean, scale = np.zeros(k), np.zeros(k)
+    scale = np.where(scale > 0, scale, np.inf)  # a constant column correlates with nothing
+    blocks = [(a, min(a + BLOCK, k)) for a in range(0, k, BLOCK)]
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            at = sorted(held)
+            batch = pa.RecordBatch.from_arrays([pa.array([a for a, _ in at], pa.int32()), pa.array([b for _, b in at], pa.int32()), pa.array([held[x].tobytes() for x in at], pa.binary())], names=["a", "b", "x"])
+            held.clear()
+            return batch
+
+        for batch in batches:
+            z = (batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, k) - mean) / scale
+            for a, (a0, a1) in enumerate(blocks):
+                for b, (b0, b1) in enumerate(blocks[a:], a):
+                    got = z[:, a0:a1].T @ z[:, b0:b1]
+                    held[a, b] = held[a, b] + got if (a, b) in held else got
+                    if len(held) >= 64 and len(blocks) > 8:  # bounded memory on wide tables
+                        yield out()
+        yield out()
+
+    def above(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = key[0].as_py(), key[1].as_py()
+        shape = (blocks[a][1] - blocks[a][0], blocks[b][1] - blocks[b][0])
+        total = np.zeros(shape)
+        for batch in batches:
+            for x in batch.column("x"):
+                total += np.frombuffer(x.as_buffer(), float).reshape(shape)
+        total /= max(n - 1, 1)
+        i, j = np.nonzero((np.abs(total) > limit) | (last & (np.arange(blocks[b][0], blocks[b][1]) == k - 1)[None, :]))
+        c, i, j = total[i, j], i + blocks[a][0], j + blocks[b][0]
+        ok = i < j
+        yield pa.RecordBatch.from_arrays([pa.array(i[ok]), pa.array(j[ok]), pa.array(c[ok])], names=["i", "j", "corr"])
+
+    sums = rows.mapInArrow(products, "a int, b int, x binary")
+    return sums.groupBy("a", "b").applyInArrow(above, "i long, j long, corr double")
+
+
 def correlated_drops(mat: DataFrame, features: Sequence[str], label: str = "label", limit: float = 0.98) -> list[str]:
     """Features to drop: of every pair above ``limit`` the one less correlated with the label.
 
-    The matrix comes from one distributed pass (features x features, for up
-    to some thousand features); the greedy choice runs over its numbers.
+    Only pairs above the limit, and one number per feature, reach the driver for the greedy choice.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    vec = VectorAssembler(inputCols=[*features, label], outputCol="_v", handleInvalid="skip").transform(mat).select("_v")
-    m = abs(Correlation.corr(vec, "_v").first()[0].toArray())
-    own, k, gone = m[:, -1], len(features), set()
-    for j in range(k):
-        if j in gone:
-            continue
-        for i in range(j):
-            if i in gone or not m[i, j] > limit:
-                continue
-            if own[j] >= own[i]:
-                gone.add(i)
-            else:
-                gone.add(j)
+    k = len(features)
+    own, pairs = [0.0] * k, []
+    for r in correlated_pairs(mat, [*features, label], limit, last=True).orderBy("j", "i").collect():
+        if r["j"] == k:
+            own[r["i"]] = abs(r["corr"])
+        else:
+            pairs.append((r["i"], r["j"]))
+    gone: set[int] = set()
+    for i, j in pairs:
+        if i not in gone and j not in gone:
+            gone.add(i if own[j] >= own[i] else j)
     return [features[i] for i in sorted(gone)]
 
 
@@ -203,7 +259,7 @@ def auc_table(df: DataFrame, keys: Sequence[str], score: str = "score", label: s
     """
     cells = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(
         x.count_where(F.col(label) == 1).alias("p"), x.count_where(F.col(label) == 0).alias("q"))
-    r = skew.running_total(cells, keys, score, ["p", "q"], skew.number_bucket(F.col(score)) if bucket is None else bucket)
+    r = skew.running_total(cells, keys, score, ["p", "q"], skew.number_buckets(F.col(score)) if bucket is None else bucket)
     u = F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2.0))
     return r.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), u.alias("_u")).select(
         *keys, "n_pos", "n_neg", F.try_divide(F.col("_u"), F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).alias("auroc"))
@@ -221,7 +277,7 @@ def univariate_auc(long: DataFrame, spine: DataFrame, top: int = 50) -> DataFram
     seen = cells.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     rest = seen.select("feature", F.lit(0.0).alias("value"), (F.lit(tot["p"]) - F.col("p")).alias("p"), (F.lit(tot["q"]) - F.col("q")).alias("q"))
     cells = cells.unionByName(rest).groupBy("feature", "value").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    r = skew.running_total(cells, ["feature"], "value", ["p", "q"], skew.number_bucket(F.col("value")))
+    r = skew.running_total(cells, ["feature"], "value", ["p", "q"], skew.number_buckets(F.col("value")))
     u = r.groupBy("feature").agg(F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2.0)).alias("u"))
     a = F.col("u") / (float(tot["p"]) * float(tot["q"]))
     t = u.select("feature", F.greatest(a, 1.0 - a).alias("auc"))

@@ -25,6 +25,7 @@ from ..functions import scalar as x
 from ..session import literal_table
 from . import discover, evaluate, hygiene, split as sp
 
+# Age bands of calibration.
 BAND_EDGES, BAND_LABELS = (0, 55, 65, 75, 200), ("<55", "55-65", "65-75", "75+")
 MIN_BAND = 200
 
@@ -86,7 +87,6 @@ class Prep:
     max_missing: float = 0.95
     min_variance: float = 1e-8
     max_corr: float = 0.95
-    max_corr_features: int = 4000
     encoders: dict = field(default_factory=dict)
     features: list = field(default_factory=list)
     fills: dict = field(default_factory=dict)
@@ -108,7 +108,7 @@ class Prep:
             d = d.na.fill({**{f: 0.0 for f in keep}, **self.fills})
             var = d.agg(*[F.var_samp(f).alias(f) for f in keep]).first()
             keep = [f for f in keep if (var[f] or 0.0) >= self.min_variance]
-            if 1 < len(keep) <= self.max_corr_features:
+            if len(keep) > 1:
                 keep = self._uncorrelated(d, keep)
             st = d.agg(*[F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f) for f in keep]).first()
         self.features = keep
@@ -116,11 +116,8 @@ class Prep:
         return self
 
     def _uncorrelated(self, d: DataFrame, feats: list[str]) -> list[str]:
-        from pyspark.ml.stat import Correlation
-
-        vec = VectorAssembler(inputCols=feats, outputCol="_v").transform(d).select("_v")
-        m = abs(Correlation.corr(vec, "_v").first()[0].toArray())
-        high = [feats[j] for j in range(len(feats)) if any(m[i, j] > self.max_corr for i in range(j))]
+        hits = hygiene.correlated_pairs(d, feats, self.max_corr).select("j").distinct().orderBy("j").collect()
+        high = [feats[r["j"]] for r in hits]
         return [f for f in feats if f not in set(high[: len(high) // 2])]
 
     def _encode(self, df: DataFrame) -> DataFrame:
@@ -277,9 +274,9 @@ def fit_platt(calib: DataFrame, penalty: float = 1.0, steps: int = 25) -> Calibr
     return Calibrator("platt", (a, b))
 
 
-def fit_isotonic(calib: DataFrame, digits: int = 3) -> Calibrator:
-    """Isotonic fit on scores rounded to a grid: the solver sees at most 1001 weighted points at three digits."""
-    pts = calib.groupBy(F.round("score", digits).alias("s")).agg(F.avg("label").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+def fit_isotonic(calib: DataFrame) -> Calibrator:
+    """Isotonic fit on the raw scores: one weighted point per distinct score, pooled on the executors first."""
+    pts = calib.where(F.col("score").isNotNull()).groupBy(F.col("score").alias("s")).agg(F.avg("label").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
     vec = VectorAssembler(inputCols=["s"], outputCol="features").transform(pts)
     return Calibrator("isotonic", IsotonicRegression(featuresCol="features", labelCol="y", weightCol="w").fit(vec))
 

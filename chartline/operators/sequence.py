@@ -18,7 +18,7 @@ def vocab(train: DataFrame, min_freq: int = 10, on: str = "code") -> DataFrame:
     numbered without one global sort.
     """
     n = train.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= min_freq)
-    bucket = skew.number_bucket(F.col(on)) if dict(n.dtypes)[on] != "string" else F.substring(on, 1, 3)
+    bucket = skew.number_buckets(F.col(on)) if dict(n.dtypes)[on] != "string" else F.substring(on, 1, 3)
     r = skew.running_total(n.withColumn("one", F.lit(1).cast("bigint")), [], on, ["one"], bucket)
     return r.select(on, "freq", (F.col("one_before") + FIRST_ID).cast("int").alias("id"))
 

@@ -32,8 +32,14 @@ def last_value(cond: Column | None = None) -> Column:
     return F.max(v if cond is None else F.when(cond, v))["value"]
 
 
-def month_segment(c: str = "event_date") -> Column:
-    return F.year(c) * 12 + F.month(c)
+def steps(ev: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct (day, value) readings with their count ``n`` and the reading before each (``prev_value``).
+
+    A key's days are worked on apart, so however many readings a key has on however few months, no task holds
+    more than the different values of one of its days. Equal readings of a day follow each other: steps of 0.
+    """
+    cells = measured(ev).groupBy(*keys, "event_date", "value").agg(F.count(F.lit(1)).alias("n"))
+    return skew.previous(cells, keys, ["event_date", "value"], ["value"], F.col("event_date"))
 
 
 def day_axis(c: str = "days_before") -> Column:
@@ -77,8 +83,8 @@ def volatility(ev: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         F.count(F.lit(1)).alias("n"), x.ratio(F.stddev_samp("value"), F.avg("value"), "null").alias("cv"),
         (F.max("value") - F.min("value")).alias("range"), (last_value() - first_value()).alias("first_last_diff"))
     q = skew.quantiles(m, keys, "value", {"q1": 0.25, "q3": 0.75})
-    step = skew.previous(m.select(*keys, "event_date", "value"), keys, ["event_date", "value"], ["value"], month_segment())
-    step = step.groupBy(*keys).agg(F.max(F.abs(F.col("value") - F.col("prev_value"))).alias("max_step"))
+    size = F.greatest(F.abs(F.col("value") - F.col("prev_value")), F.when(F.col("n") > 1, 0.0))
+    step = steps(ev, keys).groupBy(*keys).agg(F.max(size).alias("max_step"))
     out = base.join(q, list(keys)).join(step, list(keys))
     return out.select(*keys, "n", "cv", "range", (F.col("q3") - F.col("q1")).alias("iqr"), "max_step", "first_last_diff")
 
@@ -91,7 +97,7 @@ def value_accel(ev: DataFrame, keys: Sequence[str] = KEYS, min_n: int = 4) -> Da
     """
     m = measured(ev).withColumn("_o", F.struct("event_date", "value"))
     cells = m.groupBy(*keys, "_o").agg(F.count(F.lit(1)).alias("n"), F.max("days_before").alias("days_before"))
-    r = skew.running_total(cells, keys, "_o", ["n"], month_segment("_o.event_date"))
+    r = skew.running_total(cells, keys, "_o", ["n"], F.col("_o.event_date"))
     w1 = F.greatest(F.least(F.ceil(F.col("n_all") / 2) - F.col("n_before"), F.col("n")), F.lit(0)).cast("double")
     r = r.where(F.col("n_all") >= min_n).select(*keys, w1.alias("w1"), (F.col("n") - w1).alias("w2"), F.col("_o.value").cast("double").alias("y"),
                                                (-F.col("days_before")).cast("double").alias("t"))
@@ -173,11 +179,10 @@ def own_z(ev: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def max_jump(ev: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Largest rise between consecutive readings, absolute and relative; 0 with one reading."""
-    m = measured(ev).select(*keys, "event_date", "value")
-    p = skew.previous(m, keys, ["event_date", "value"], ["value"], month_segment())
-    diff = F.col("value") - F.col("prev_value")
-    t = p.groupBy(*keys).agg(F.coalesce(F.max(diff), F.lit(0.0)).alias("max_jump"),
-                             F.coalesce(F.max(diff / F.greatest(F.col("prev_value"), F.lit(0.1))), F.lit(0.0)).alias("rel"))
+    diff, same = F.col("value") - F.col("prev_value"), F.when(F.col("n") > 1, 0.0)
+    t = steps(ev, keys).groupBy(*keys).agg(
+        F.coalesce(F.max(F.greatest(diff, same)), F.lit(0.0)).alias("max_jump"),
+        F.coalesce(F.max(F.greatest(diff / F.greatest(F.col("prev_value"), F.lit(0.1)), same)), F.lit(0.0)).alias("rel"))
     rel = F.least(F.greatest("rel", F.lit(0.0)), F.lit(50.0))
     return t.select(*keys, "max_jump", rel.alias("max_rel_jump"), x.flag(F.col("max_jump") > 2).alias("over_2"),
                     x.flag(F.col("max_jump") > 5).alias("over_5"), x.flag(rel > 0.5).alias("rel_half"))
@@ -287,7 +292,7 @@ def apply_pctl(query_df: DataFrame, ref: DataFrame, value: str = "latest", band:
         both = ref.select(*keys, F.col(value).alias("_v"), F.lit(1).cast("bigint").alias("c")).unionByName(
             query_df.select(*keys, F.col(value).alias("_v"), F.lit(0).cast("bigint").alias("c")))
         cells = both.where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.sum("c").alias("c"))
-        r = skew.running_total(cells, keys, "_v", ["c"], skew.number_bucket(F.col("_v")))
+        r = skew.running_total(cells, keys, "_v", ["c"], skew.number_buckets(F.col("_v")))
         return r.select(*keys, "_v", F.try_divide(F.col("c_before"), F.col("c_all")).alias(name), F.col("c_all").alias(f"{name}_n"))
 
     q = query_df.withColumn("_v", F.col(value))

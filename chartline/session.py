@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,6 +20,8 @@ SETTINGS = {
     # persisted tables get as many partitions as their size asks for
     "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # first k rows of a key are limited before the shuffle for any k, not only up to 1000
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000000",
 }
 
 
@@ -68,12 +72,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-LITERAL_ROWS = 20000
-
-
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A small fitted table carried inside the plan, so that joins know its size and broadcast it."""
-    if len(rows) > LITERAL_ROWS:
-        raise ValueError(f"{len(rows)} rows are too many for a literal table; write them to storage")
-    lit = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in schema.split(','))}>>")
-    return spark.range(1).select(F.inline(lit))
+    """A fitted table that the driver holds, as a table; joins know its size and broadcast it only where it is small."""
+    fields = StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(fields)), fields)

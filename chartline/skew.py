@@ -15,10 +15,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def number_bucket(c: Column, per_octave: int = 64) -> Column:
-    """Order-preserving bucket of any double; depends on nothing but the value."""
+def number_bucket(c: Column, per_octave: int) -> Column:
+    """Order-preserving bucket of any double: equal steps of its logarithm; depends on nothing but the value."""
     c = c.cast("double")
-    return (F.signum(c) * F.floor(F.log2(F.abs(c) + 1.0) * per_octave)).cast("int")
+    return F.when(c == 0, 0).otherwise((F.signum(c) * F.floor((F.log2(F.abs(c)) + 1100.0) * per_octave)).cast("bigint"))
+
+
+def number_buckets(c: Column) -> list[Column]:
+    """Nested buckets of any double, 2^8 and 2^20 to a doubling, so that values crowded in a narrow range spread too:
+    those from 36.5 to 37.5 fall into some 40,000 fine buckets, and a coarse one holds at most 4096 of these."""
+    fine = number_bucket(c, 1 << 20)
+    return [F.floor(fine / 4096).cast("bigint"), fine]
 
 
 def unit_bucket(c: Column, n: int = 4096) -> Column:
@@ -41,33 +48,37 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str], bucket: Column
+    df: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str], bucket: Column | Sequence[Column]
 ) -> DataFrame:
     """Adds, per measure m, ``m_before`` (sum over smaller order values of the
     key) and ``m_all`` (sum over the key).
 
     ``order`` must be unique within a key (aggregate first) and ``bucket`` must
-    not decrease with it. Only bucket totals meet per key: their number is
-    bounded by the bucket function, whatever the number of rows.
+    not decrease with it. Buckets may be nested, the coarsest first: rows are
+    summed inside the finest, its totals inside the next, and only the totals
+    of the coarsest meet per key, whatever the number of rows.
     """
-    keys = list(keys)
-    df = df.withColumn("_b", bucket)
-    tot = df.groupBy(*keys, "_b").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-    by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    earlier = by_key.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offs = tot.select(
-        *keys, "_b",
-        *[F.coalesce(F.sum(f"_t_{m}").over(earlier), F.lit(0)).alias(f"_o_{m}") for m in measures],
-        *[F.sum(f"_t_{m}").over(by_key).alias(f"{m}_all") for m in measures],
-    )
-    inside = W.partitionBy(*keys, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    part = df.select("*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_i_{m}") for m in measures])
-    out = join_null_safe(part, offs, [*keys, "_b"])
-    return out.select(
-        *[c for c in df.columns if c != "_b"],
-        *[(F.col(f"_o_{m}") + F.col(f"_i_{m}")).alias(f"{m}_before") for m in measures],
-        *[f"{m}_all" for m in measures],
-    )
+    keys, levels = list(keys), [bucket] if isinstance(bucket, Column) else list(bucket)
+    names = [f"_b{i}" for i in range(len(levels))]
+    df = df.withColumns(dict(zip(names, levels)))
+
+    def summed(rows: DataFrame, by: str, sums: dict[str, str], inner: list[str]) -> DataFrame:
+        """rows with, per measure, _o_ (sum before by, in the key) and _a_ (sum of the key); inner: buckets still around the rows."""
+        earlier = W.partitionBy(*(keys or [F.lit(0)]), *inner).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+        if not inner:
+            whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+            return rows.select("*", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_o_{m}") for m, c in sums.items()],
+                               *[F.sum(c).over(whole).alias(f"_a_{m}") for m, c in sums.items()])
+        part = rows.select("*", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_i_{m}") for m, c in sums.items()])
+        total = rows.groupBy(*keys, *inner).agg(*[F.sum(c).alias(f"_t_{m}") for m, c in sums.items()])
+        offs = summed(total, inner[-1], {m: f"_t_{m}" for m in sums}, inner[:-1])
+        offs = offs.select(*keys, *inner, *[f"_{p}_{m}" for m in sums for p in "oa"])
+        out = join_null_safe(part, offs, [*keys, *inner])
+        return out.withColumns({f"_o_{m}": F.col(f"_o_{m}") + F.col(f"_i_{m}") for m in sums})
+
+    out = summed(df, order, {m: m for m in measures}, names)
+    return out.select(*[c for c in df.columns if c not in names], *[F.col(f"_o_{m}").alias(f"{m}_before") for m in measures],
+                      *[F.col(f"_a_{m}").alias(f"{m}_all") for m in measures])
 
 
 def hash_rank(df: DataFrame, strata: Sequence[str], id_cols: Sequence[str], salt: str) -> DataFrame:
@@ -91,7 +102,7 @@ def value_ranks(
 ) -> DataFrame:
     """Distinct values per key with n, n_before, n_all; ranks follow from these."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    return running_total(counts, keys, value, ["n"], number_bucket(F.col(value)) if bucket is None else bucket)
+    return running_total(counts, keys, value, ["n"], number_buckets(F.col(value)) if bucket is None else bucket)
 
 
 def quantiles(
