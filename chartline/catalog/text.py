@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as x
-from ..operators import learn, text as w
+from ..operators import learn, text as w, text_dictionaries as td
 from .base import ANCH, SPINE, query, r, rounded, with_
 
 # Conversations as text events of an entity: user and system turns count as clinical types.
@@ -54,14 +54,65 @@ def _(t):
     return a.join(b, "entity").join(w.report_flags(d, scope, "the|de"), "entity")
 
 
-@query("w02_clinical_dictionaries", None)
+def _hit(rx: str) -> str:
+    """A pattern's match in SQL; a negative look-ahead at its end becomes removal of what it forbids."""
+    head, sep, tail = rx.partition("(?!")
+    return f"regexp_matches(regexp_replace(body, '{head}{tail[:-1]}', '', 'g'), '{head}')" if sep else f"regexp_matches(body, '{rx}')"
+
+
+def _flag_sql(scoped: dict[str, str], free: dict[str, str], scope: str, normal: str) -> str:
+    one = [f"CAST(bool_or(regexp_matches(body, '{scope}') AND {_hit(rx)}) AS INTEGER) AS {n}" for n, rx in scoped.items()]
+    one += [f"CAST(bool_or({_hit(rx)}) AS INTEGER) AS {n}" for n, rx in free.items()]
+    one += [f"CAST(bool_or(regexp_matches(body, '{scope}')) AS INTEGER) AS TEXT_IMG_has_report",
+            f"CAST(bool_or(regexp_matches(body, '{scope}') AND NOT regexp_matches(body, '{normal}')) AS INTEGER) AS TEXT_IMG_abnormal_report"]
+    return f"SELECT entity, {', '.join(one)} FROM d GROUP BY 1"
+
+
+# Clinical words do not occur in the invented prose, so each document gets some of them, by its id.
+_WORDS = ("ovarian cyst on scan", "worsening pain", "normal scan", "biopsy and histology", "lymph node enlarged", "night sweats and itch", "fever range", "high temperature", "new mole, irregular border",
+          "blast cells in blood film", "persistent fatigue", "weight loss", "monoclonal paraprotein", "recurrent infection", "severe anaemia", "family history", "no significant findings")
+
+
+def clinical_texts(t):
+    """Documents as entities' texts, three of the words above added to each."""
+    pick = [F.element_at(F.array(*[F.lit(v) for v in _WORDS]), (F.col("doc_id") * m % len(_WORDS) + 1).cast("int")) for m in (1, 3, 7)]
+    return t.documents.select((F.col("doc_id") % 400).alias("entity"), F.lower(F.concat_ws(" ", "text", *pick)).alias("body"))
+
+
+_CLINICAL = "d AS (SELECT doc_id % 400 AS entity, lower(concat_ws(' ', text, " + ", ".join(
+    f"(ARRAY[{', '.join(chr(39) + v + chr(39) for v in _WORDS)}])[doc_id * {m} % {len(_WORDS)} + 1]" for m in (1, 3, 7)) + ")) AS body FROM documents)"
+
+
+@query("w02_clinical_dictionaries", f"{with_(_CLINICAL)} {_flag_sql(w.IMAGING, {**w.SEVERITY, **w.CONTEXT}, w.SCAN_PATTERN, w.NORMAL_PATTERN)}")
 def _(t):
-    d = t.documents.select(F.col("doc_id").alias("entity"), F.lower("text").alias("body"))
+    d = clinical_texts(t)
     scope = F.col("body").rlike(w.SCAN_PATTERN)
     out = w.keyword_flags(d, w.IMAGING, scope).join(w.keyword_flags(d, {**w.SEVERITY, **w.CONTEXT}), "entity")
     return out.join(w.report_flags(d, scope), "entity")
 
 
+def _dictionary_sql(d: td.Dictionary) -> str:
+    some = lambda names: "(" + " OR ".join(f"{n} = 1" for n in names) + ")"
+    comp = [" + ".join(n for n in d.findings if n != "TEXT_IMG_normal") + " AS TEXT_COMP_imaging_finding_count",
+            f"CAST({some(d.key_findings)} AND {some(d.key_severity)} AS INTEGER) AS TEXT_COMP_finding_with_severity",
+            f"CAST(TEXT_IMG_abnormal_report = 1 AND {some(d.abnormal_severity)} AS INTEGER) AS TEXT_COMP_abnormal_img_with_severity",
+            *[f"CAST({' AND '.join(some(g) for g in groups)} AS INTEGER) AS {n}" for n, groups in d.clusters.items()]]
+    names = [*d.findings, *d.severity, *d.context, "TEXT_IMG_abnormal_report", *[c.rpartition(" AS ")[2] for c in comp]]
+    total = " + ".join(n for n in names if n != "TEXT_IMG_normal")
+    return f"""{with_(_CLINICAL, f"f AS ({_flag_sql(d.findings, {**d.severity, **d.context}, d.search, d.normal)})", f"c AS (SELECT *, {', '.join(comp)} FROM f)")}
+SELECT *, CAST({total} > 0 AS INTEGER) AS TEXT_COMP_any_signal, {total} AS TEXT_COMP_total_signal_count FROM c"""
+
+
+def _dictionary_query(name: str) -> None:
+    @query(f"w02_dictionary_{name}", _dictionary_sql(td.ALL[name]))
+    def _(t):
+        return td.flags(clinical_texts(t), td.ALL[name])
+
+
+for _name in td.ALL:
+    _dictionary_query(_name)
+
+
 _F3 = r"f AS (SELECT doc_id AS entity, CAST(regexp_matches(lower(text), 'tion') AS INTEGER) AS a, CAST(regexp_matches(lower(text), 'ung') AS INTEGER) AS b, CAST(regexp_matches(lower(text), 'eaux') AS INTEGER) AS c, CAST(regexp_matches(lower(text), 'the\s') AS INTEGER) AS s, CAST(NOT regexp_matches(lower(text), 'de') AS INTEGER) AS ab FROM documents)"
 
 
