@@ -28,6 +28,8 @@ class Disease:
     lab_flags: Mapping[str, str] = field(default_factory=dict)  # name -> condition over <lab>_latest, _first, _max, _min, _tested
     flags: Mapping[str, str] = field(default_factory=dict)  # name -> condition over has_<group>, n_<group>, a_<group>, b_<group>, age, sex, earlier flags
     scores: Mapping[str, str] = field(default_factory=dict)  # name -> number over the same columns
+    cuts: Mapping[str, str] = field(default_factory=dict)  # name -> condition over scores and all columns before them
+    burden_products: Sequence[str] = ()  # columns, times the burden score
     systems: Mapping[str, Sequence[str]] = field(default_factory=dict)  # system -> groups, active in the recent half
     trends: Sequence[str] = ()  # groups with velocity, new onset, age products
     onsets: Sequence[str] = ()  # groups with months since the first event
@@ -83,8 +85,11 @@ def lab_rows(ev: DataFrame, d: Disease) -> DataFrame:
     return rows.groupBy("entity").agg(*_exprs(f))
 
 
-def features(ev: DataFrame, spine: DataFrame, d: Disease, burst_days: int = 30) -> DataFrame:
-    """One row per spine entity (entity, age, sex) with the disease's blocks; absent counts and flags are 0, laboratory levels stay NULL."""
+def features(ev: DataFrame, spine: DataFrame, d: Disease, burst_days: int = 30, age_deciles: bool = False) -> DataFrame:
+    """One row per spine entity (entity, age, sex) with the disease's blocks; absent counts and flags are 0, laboratory levels stay NULL.
+
+    ``age_deciles`` adds each entity's decile (0 to 9) of age within the spine.
+    """
     d.check()
     ev = ev.where(F.col("time_window").isNotNull())
     f = {"events_A": "count_if(time_window = 'A')", "events_B": "count_if(time_window = 'B')", "n_categories": "count(DISTINCT category)", "_anchor": "max(anchor_date)"}
@@ -113,6 +118,8 @@ def features(ev: DataFrame, spine: DataFrame, d: Disease, burst_days: int = 30)
         out = out.selectExpr("*", *[f"int(coalesce({c}, false)) AS `{n}`" for n, c in level.items()])
     if d.scores:
         out = out.selectExpr("*", *[f"double({e}) AS `{n}`" for n, e in d.scores.items()])
+    if d.cuts:
+        out = out.selectExpr("*", *[f"int(coalesce({c}, false)) AS `{n}`" for n, c in d.cuts.items()])
 
     last = {}
     active = {s: " OR ".join(f"b_{g} > 0" for g in gs) for s, gs in d.systems.items()}
@@ -135,5 +142,7 @@ def features(ev: DataFrame, spine: DataFrame, d: Disease, burst_days: int = 30)
              "activity_ratio": "least(events_B / if(events_A = 0, 1, events_A), 10D)", "age_x_categories": "age * n_categories", "many_categories": "int(n_categories >= 5)"}
     if d.weights:
         last |= {"weighted_burden_high": "int(weighted_burden >= 5)", "age_x_weighted_burden": "age * weighted_burden"}
+        last |= {f"burden_x_{c}": f"weighted_burden * {c}" for c in d.burden_products}
     cols = [c for c in out.columns if not c.startswith("_")]
-    return out.selectExpr(*[f"`{c}`" for c in cols], *[f"{e} AS `{n}`" for n, e in last.items()])
+    out = out.selectExpr(*[f"`{c}`" for c in cols], *[f"{e} AS `{n}`" for n, e in last.items()])
+    return patterns.deciles(out, "age", name="age_decile") if age_deciles else out

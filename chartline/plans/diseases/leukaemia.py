@@ -1,6 +1,8 @@
 from ..disease import Disease
 
 # --- fixed values -----------------------------------------------------------
+SUSPICION = ("CASE WHEN age >= 60 THEN 1 ELSE 0 END + 3 * blasts_present + 2 * lymphocytosis + 2 * pancytopenia + immunoparesis_2plus"
+             " + has_blood_abn + has_lymphad + has_bsym + has_bleeding + has_infection")
 BLOOD, HAEM = ["KEY_BLOOD_TESTS"], ["HAEMATOLOGY_INVESTIGATIONS"]
 
 DISEASE = Disease(
@@ -39,6 +41,7 @@ DISEASE = Disease(
         "cardinals_3plus": "has_lymphad + has_bsym + has_infection + has_bleeding + has_bone_pain + has_skin >= 3",
         "cardinals_4plus": "has_lymphad + has_bsym + has_infection + has_bleeding + has_bone_pain + has_skin >= 4",
         "persistent_infection": "b_infection >= 2", "persistent_bleeding": "b_bleeding >= 2", "persistent_bsym": "b_bsym >= 2", "persistent_blood_abn": "b_blood_abn >= 2",
+        "over50_with_cardinal": "age >= 50 AND has_lymphad + has_bsym + has_infection + has_bleeding + has_bone_pain + has_skin >= 1",
         "over50_2plus": "age >= 50 AND cardinals_2plus = 1", "over60_blood_abn": "age >= 60 AND has_blood_abn = 1",
         "infection_mimic": "has_infection = 1 AND n_antibiotics + n_antibiotic_immuno >= 2", "infection_mimic_recurrent": "has_infection = 1 AND n_antibiotics + n_antibiotic_immuno >= 3",
         "anaemia_mimic": "has_iron = 1 AND has_bleeding = 0", "bleeding_treated": "has_tranexamic = 1 AND has_bleeding = 1", "crp_with_infection": "crp_elevated = 1 AND has_infection = 1",
@@ -52,8 +55,10 @@ DISEASE = Disease(
     scores={
         "cardinal_count": "has_lymphad + has_bsym + has_infection + has_bleeding + has_bone_pain + has_skin", "immunoparesis_score": "igg_low + iga_low + igm_low",
         "cytopenia_score": "hb_low + thrombocytopenia + neutropenia", "persistent_count": "persistent_infection + persistent_bleeding + persistent_bsym + persistent_blood_abn",
-        "pathway": "least(has_imaging + has_haem_inv + has_lymph_proc, 3)",
+        "pathway": "least(has_imaging + has_haem_inv + has_lymph_proc, 3)", "suspicion_score": SUSPICION,
     },
+    cuts={"suspicion_high": "suspicion_score >= 4", "suspicion_very_high": "suspicion_score >= 6"},
+    burden_products=["has_blood_abn", "blasts_present", "suspicion_score"],
     systems={"blood": ["blood_abn"], "bsym": ["bsym"], "consequence": ["bleeding", "infection"], "constitutional": ["bone_pain", "gi"]},
     trends=["blood_abn", "bsym", "infection", "bleeding", "lymphad", "bone_pain", "skin", "imaging", "haem_inv"],
     onsets=["blood_abn", "bsym", "infection", "bleeding", "lymphad", "bone_pain", "skin", "haem_inv", "imaging"],

@@ -34,7 +34,10 @@ DISEASE = Disease(
         "recurrent_inf_immunoparesis": "has_recurrent_inf = 1 AND immunoparesis_2plus = 1", "steroid_acceleration": "b_steroids > a_steroids", "heavy_steroid": "b_steroids >= 3",
         "pruritus_with_antihistamine": "has_skin = 1 AND has_antihistamines = 1", "pruritus_with_bsym": "has_skin = 1 AND has_bsym = 1",
     },
-    scores={"immunoparesis_score": "igg_low + iga_low + igm_low", "antimicrobials_B": "b_antibiotics + b_antifungals + b_antivirals", "pathway": "least(has_imaging + has_lab, 2)"},
+    scores={"immunoparesis_score": "igg_low + iga_low + igm_low", "antimicrobials_B": "b_antibiotics + b_antifungals + b_antivirals", "pathway": "least(has_imaging + has_lab, 2)",
+            "ipi_score": "CASE WHEN age >= 60 THEN 1 ELSE 0 END + ldh_elevated + has_bsym + has_lymphad + has_spleno"},
+    cuts={"ipi_high": "ipi_score >= 3", "ipi_very_high": "ipi_score >= 4"},
+    burden_products=["ipi_score"],
     systems={"nodal": ["nodal"], "bsym": ["bsym"], "haem": ["haem_abn"], "constitutional": ["constitutional"]},
     trends=["lymphad", "spleno", "masses", "bsym", "constitutional", "skin", "imaging", "haem_abn", "recurrent_inf", "nodal"],
     onsets=["lymphad", "spleno", "masses", "bsym", "constitutional", "haem_abn", "skin", "recurrent_inf", "imaging", "infection_markers"],

@@ -1,6 +1,9 @@
 from ..disease import Disease
 
 # --- fixed values -----------------------------------------------------------
+SUSPICION = ("4 * has_personal_hx + 3 * has_excision + 2 * has_histology + 2 * has_pcl + has_dermoscopy + has_referral + has_lesion + has_mole"
+             " + has_biopsy + has_prior_bcc_scc + has_immunosuppressants + has_actinic_tx")
+
 DISEASE = Disease(
     name="melanoma",
     groups={
@@ -20,13 +23,17 @@ DISEASE = Disease(
         "keratosis_mimic": "has_other_lesions = 1 AND has_cryo = 1 AND has_histology = 0", "insect_mimic": "has_insect = 1 AND has_dermoscopy = 0 AND has_histology = 0",
         "infection_mimic": "(has_skin_infection = 1 OR has_virology = 1) AND has_histology = 0",
         "symptoms_no_investigation": "has_pcl + has_referral + has_dermoscopy + has_lesion + has_mole + has_signs >= 2 AND has_dermoscopy = 0 AND has_histology = 0 AND has_biopsy = 0",
+        "over50_with_lesion": "age >= 50 AND has_lesion = 1",
+        "over50_2plus": "age >= 50 AND has_pcl + has_referral + has_dermoscopy + has_lesion + has_mole + has_signs >= 2",
         "persistent_lesion": "b_lesion >= 2", "persistent_mole": "b_mole >= 2", "persistent_pcl": "b_pcl >= 2",
     },
     scores={
         "cardinal_count": "has_pcl + has_referral + has_dermoscopy + has_lesion + has_mole + has_signs",
         "risk_factor_count": "has_sun_damage + has_prior_bcc_scc + has_family_hx + has_personal_hx + has_immunosuppressants + has_risk_factor",
-        "pathway": "least(has_dermoscopy + has_histology + has_referral, 3)",
+        "pathway": "least(has_dermoscopy + has_histology + has_referral, 3)", "suspicion_score": SUSPICION,
     },
+    cuts={"suspicion_high": "suspicion_score >= 5", "suspicion_very_high": "suspicion_score >= 8"},
+    burden_products=["suspicion_score"],
     systems={"lesion": ["lesion", "mole", "pcl"], "workup": ["dermoscopy", "referral", "biopsy", "histology"], "treatment": ["excision", "plastic", "cryo"]},
     trends=["lesion", "mole", "pcl", "dermoscopy", "referral", "biopsy", "histology", "excision"],
     onsets=["lesion", "mole", "pcl", "dermoscopy", "referral", "biopsy", "histology", "excision", "personal_hx", "sun_damage"],
