@@ -7,7 +7,7 @@ from . import base
 
 def load() -> dict[str, base.Query]:
     from . import (  # noqa: F401
-        cohort, counts, discover, evaluate, exprs, hygiene, learn, occurrence, patterns, plans, sequence, storage, text,
+        cohort, counts, discover, diseases, evaluate, exprs, hygiene, learn, occurrence, patterns, plans, sequence, storage, text,
         values,
     )
 

@@ -35,7 +35,7 @@ DISEASE = Disease(
     scores={
         "cardiometabolic": CARDIO, "repro_pathway": "has_tah + has_tah_bso + has_menopause + has_atrophic_vag + has_menstrual + has_pms + has_parity", "symptom_burden": SYMPTOMS,
         "hereditary_load": "has_brca + has_famhx_breast + has_famhx_other", "lifestyle_burden": LIFESTYLE, "diabetes_care": "has_dm_foot + has_dm_eye",
-        "risk_score": "int(age >= 50) + int(age >= 65) + 0.5 * int(age >= 75) + 0.8 * hba1c_diabetic + 0.8 * metabolic_syndrome + 0.5 * has_alcohol + 0.5 * has_smoking - has_tah_bso "
+        "risk_score": "CAST(age >= 50 AS INT) + CAST(age >= 65 AS INT) + 0.5 * CAST(age >= 75 AS INT) + 0.8 * hba1c_diabetic + 0.8 * metabolic_syndrome + 0.5 * has_alcohol + 0.5 * has_smoking - has_tah_bso "
                       "- 0.5 * early_menopause + 0.5 * late_menstruation + 2.0 * has_famhx_breast + has_hrt + 0.5 * hrt_postmeno + 1.5 * has_hodgkin + 0.3 * has_oc + 3.0 * has_brca "
                       "+ 0.5 * has_famhx_other + 2.5 * has_lump + 1.5 * has_nipple + 0.5 * has_pain + 0.3 * has_benign + multi_symptom + lump_postmeno - 1.5 * has_oophorectomy",
     },

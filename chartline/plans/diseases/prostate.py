@@ -45,7 +45,7 @@ DISEASE = Disease(
         "bone_pair": "alp_elevated + calcium_high + hb_low >= 2", "family_relevant": "famhx_prostate_flag + famhx_male_genital_flag > 0",
     },
     scores={
-        "risk_score": "int(age >= 65) + psa_elevated_10 + has_luts + has_bone + has_imaging", "family_score": "famhx_prostate_flag * 2 + famhx_male_genital_flag + famhx_any_cancer_flag",
+        "risk_score": "CAST(age >= 65 AS INT) + psa_elevated_10 + has_luts + has_bone + has_imaging", "family_score": "famhx_prostate_flag * 2 + famhx_male_genital_flag + famhx_any_cancer_flag",
         "bone_score": "alp_elevated + calcium_high + hb_low",
     },
     systems={"constitutional": ["constitutional"], "urinary": ["urinary"], "bone": ["bone"]},
