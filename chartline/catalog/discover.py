@@ -68,17 +68,17 @@ def _(t):
     return rounded(d.mutual_info(counts(t, "brand")).select("code", "mutual_info"))
 
 
-@query("k08_bootstrap_stability", f"""{with_(ANCH)}, pr AS (SELECT DISTINCT entity, code FROM anch), dr AS (SELECT unnest(range(8)) AS draw),
+@query("k08_bootstrap_stability", f"""{with_(ANCH)}, pr AS (SELECT DISTINCT entity, code FROM anch), dr AS (SELECT unnest(range(20)) AS draw),
 u AS (SELECT entity, label, draw, CAST('0x' || substr(md5(concat_ws('|', entity, '42', draw)), 1, 7) AS BIGINT) / 268435456.0::DOUBLE AS u FROM spine, dr),
 w AS (SELECT *, CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.91969860 THEN 2 WHEN u < 0.98101184 THEN 3 WHEN u < 0.99634015 THEN 4 WHEN u < 0.99940582 THEN 5 WHEN u < 0.99991676 THEN 6 ELSE 7 END AS w FROM u),
 tt AS (SELECT draw, sum(w) FILTER (WHERE label = 1) AS tp, sum(w) FILTER (WHERE label = 0) AS tn FROM w GROUP BY 1),
 s AS (SELECT code, draw, sum(CASE WHEN label = 1 THEN w ELSE 0 END) + 0.5::DOUBLE AS p, sum(CASE WHEN label = 0 THEN w ELSE 0 END) + 0.5::DOUBLE AS q FROM pr JOIN w USING (entity) GROUP BY 1, 2),
 o AS (SELECT code, draw, row_number() OVER (PARTITION BY draw ORDER BY round(p * (tn + 1 - q) / ((tp + 1 - p) * q), 9) DESC, code) AS k FROM s JOIN tt USING (draw)),
-h AS (SELECT code, count(*) FILTER (WHERE k <= 100) / 8.0::DOUBLE AS stability FROM o GROUP BY 1)
+h AS (SELECT code, count(*) FILTER (WHERE k <= 150) / 20.0::DOUBLE AS stability FROM o GROUP BY 1)
 SELECT code, stability, CAST(stability >= 0.5 AS INTEGER) AS stable FROM h""")
 def _(t):
     pairs = t.anch.select("entity", "code").distinct()
-    return d.bootstrap_stability(pairs, t.spine, draws=8, top_k=100, threshold=0.5)
+    return d.bootstrap_stability(pairs, t.spine, threshold=0.5)
 
 
 COMB = """sc AS (SELECT st.code, ln(orr) AS lo, x2, greatest(mi, 0) AS mi, row_number() OVER (ORDER BY round(orr, 12) DESC, st.code) AS stat_rank, row_number() OVER (ORDER BY st.code) AS ml_rank FROM st JOIN c2 USING (code) JOIN mi USING (code)),

@@ -147,6 +147,24 @@ def _(t):
     return rounded(e.iso_sensitivity(*halves(t)))
 
 
+def _iso_spec(score: str) -> str:
+    at = ", ".join(f"quantile_cont({score}, {round(1 - p, 2)}) FILTER (WHERE label = 1) AS t{round(p * 100)}" for p in e.SENS_POINTS)
+    return "(" + " UNION ALL ".join(f"SELECT {p}::DOUBLE AS sens, (SELECT avg(CAST({score} < t{round(p * 100)} AS INTEGER)) FROM ho) AS v FROM (SELECT {at} FROM te)" for p in e.SENS_POINTS) + ")"
+
+
+_FLAT, _STEEP = "(0.5::DOUBLE * score + 0.5::DOUBLE * (age - 40) / 50.0::DOUBLE)", "(score * score)"
+
+
+@query("v09_iso_winner", f"""{with_(PRED, TEST)}, a AS {_iso_spec('score')}, b AS {_iso_spec(_FLAT)}, c AS {_iso_spec(_STEEP)}
+SELECT sens, round(a.v, 6) AS plain, round(b.v, 6) AS with_age, round(c.v, 6) AS squared, CASE WHEN a.v >= b.v AND a.v >= c.v THEN 'plain' WHEN b.v >= c.v THEN 'with_age' ELSE 'squared' END AS winner
+FROM a JOIN b USING (sens) JOIN c USING (sens)""")
+def _(t):
+    with_age = F.lit(0.5) * F.col("score") + F.lit(0.5) * (F.col("age") - 40) / F.lit(50.0)
+    test, hold = halves(t)
+    make = {"plain": F.col("score"), "with_age": with_age, "squared": F.col("score") * F.col("score")}
+    return rounded(e.iso_winner({n: (test.withColumn("score", c), hold.withColumn("score", c)) for n, c in make.items()}))
+
+
 @query("v10_combined_eval", f"""{with_(PRED, TEST)}, bo AS (SELECT entity, label, score FROM te UNION ALL SELECT entity, 0, score FROM ho), {auc_sql('bo', '')},
 rc AS (SELECT score, sum(sum(label)) OVER (ORDER BY score DESC) / (sum(sum(label)) OVER ())::DOUBLE AS se, 1 - sum(count(*) - sum(label)) OVER (ORDER BY score DESC) / (sum(count(*) - sum(label)) OVER ())::DOUBLE AS sp FROM bo GROUP BY 1),
 ts AS (SELECT 'A' AS run, 0.5::DOUBLE AS threshold UNION ALL SELECT 'B', 0.7::DOUBLE UNION ALL SELECT 'fresh', max({{'o': round(se + sp, 12), 't': score}}).t FROM rc),
@@ -195,6 +213,17 @@ def _(t):
     return rounded(e.fn_rates(t.pred, {"sex": "sex", "group": "grp"}, THR))
 
 
+@query("v12_archetypes", f"""{PR}, h AS (SELECT o_custkey AS cust, count(*) AS orders FROM orders GROUP BY 1), m AS (SELECT p.*, h.orders FROM pred p JOIN h USING (cust) WHERE label = 1 AND score < 0.55),
+k AS (SELECT 'silent' AS archetype, m.*, orders <= 9 AND price < 100000 AS hit FROM m UNION ALL SELECT 'young', m.*, age < 50 FROM m UNION ALL SELECT 'busy', m.*, orders > 11 FROM m UNION ALL SELECT 'near_miss', m.*, score >= 0.44::DOUBLE FROM m)
+SELECT archetype, count(*) FILTER (WHERE hit) AS missed, round(avg(CAST(hit AS INTEGER)), 6) AS share, round(avg(age) FILTER (WHERE hit), 6) AS mean_age, round(avg(CAST(sex = 'M' AS INTEGER)) FILTER (WHERE hit), 6) AS male_share,
+  round(avg(score) FILTER (WHERE hit), 6) AS mean_score FROM k GROUP BY 1""")
+def _(t):
+    n = t.orders.groupBy(F.col("o_custkey").alias("cust")).agg(F.count(F.lit(1)).alias("orders"))
+    rows = t.pred.select("entity", "age", "sex", "price", "cust", F.col("score").alias("s")).join(n, "cust")
+    kinds = {"silent": (F.col("orders") <= 9) & (F.col("price") < 100000), "young": F.col("age") < 50, "busy": F.col("orders") > 11, "near_miss": F.col("s") >= 0.44}
+    return rounded(e.archetypes(t.pred, rows, 0.55, kinds))
+
+
 @query("v13_rule_mining", f"""{with_(ANCH, FEATS)}, cu AS (SELECT feature, unnest([quantile_cont(value, 0.25), quantile_cont(value, 0.5), quantile_cont(value, 0.75), quantile_cont(value, 0.9)]) AS cut FROM fl WHERE value > 0 GROUP BY feature), dc AS (SELECT DISTINCT feature, cut FROM cu),
 tot AS (SELECT count(*) FILTER (WHERE label = 1)::DOUBLE AS tp, count(*) FILTER (WHERE label = 0)::DOUBLE AS tn FROM spine),
 ab AS (SELECT dc.feature, cut, count(*) FILTER (WHERE value > cut AND label = 1)::DOUBLE AS pa, count(*) FILTER (WHERE value > cut AND label = 0)::DOUBLE AS qa FROM dc JOIN fl ON fl.feature = dc.feature JOIN spine USING (entity) GROUP BY 1, 2),

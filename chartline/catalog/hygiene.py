@@ -19,8 +19,8 @@ FEATS = """fl AS (SELECT entity, brand || '_count' AS feature, CAST(count(*) AS
   UNION ALL SELECT entity, 'total', sum(value) FROM anch GROUP BY 1)"""
 
 
-def features(t):
-    a, one = t.anch, F.lit(1.0)
+def features(t, events=None):
+    a, one = t.anch if events is None else events, F.lit(1.0)
 
     def named(name, value):
         return F.struct(F.lit(name).alias("feature"), value.cast("double").alias("value"))
@@ -144,10 +144,13 @@ def _(t):
     return rounded(h.deconfound(m, ["events"], {"small_rate": ("small", "events")}, {"small_despite": ("small", "comorbid")}, {"small": 5.0, "comorbid": 3.0}, "burden"))
 
 
-@query("f16_build_parity", f"""{with_(ANCH, FEATS)}, a AS (SELECT * FROM fl WHERE feature LIKE '%\\_last' ESCAPE '\\'), b AS (SELECT entity, feature, CASE WHEN entity % 50 = 3 THEN value + 0.5 ELSE value END AS value FROM a WHERE entity % 60 <> 7)
-SELECT coalesce(a.entity, b.entity) AS entity, coalesce(a.feature, b.feature) AS feature, a.value AS va, b.value AS vb FROM a FULL JOIN b ON a.entity = b.entity AND a.feature = b.feature WHERE NOT coalesce(abs(a.value - b.value) <= 1e-9, false)""")
+@query("f16_build_parity", f"""{with_(ANCH, FEATS)}, a AS (SELECT * FROM fl), anch4 AS (SELECT * FROM anch WHERE event_date >= anchor_date - INTERVAL 48 MONTH),
+fl2 AS ({FEATS.partition(" AS (")[2][:-1].replace("FROM anch", "FROM anch4")})
+SELECT coalesce(a.entity, b.entity) AS entity, coalesce(a.feature, b.feature) AS feature, round(a.value, 6) AS va, round(b.value, 6) AS vb FROM a FULL JOIN fl2 b ON a.entity = b.entity AND a.feature = b.feature
+WHERE NOT coalesce(abs(a.value - b.value) <= 1e-9, false)""")
 def _(t):
-    full = features(t)
-    a = assemble.keep(full, [f"{c}_last" for c in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")])
-    b = a.where("entity % 60 <> 7").withColumn("value", F.when(F.col("entity") % 50 == 3, F.col("value") + 0.5).otherwise(F.col("value")))
-    return assemble.parity(a, b)
+    """Two builds of all features, from five and from four years of events: what differs."""
+    short = t.anch.where(F.col("event_date") >= F.add_months("anchor_date", -48))
+    return rounded(assemble.parity(features(t), features(t, short)))
+
+

@@ -216,7 +216,7 @@ def with_weights(df: DataFrame, draws: int, seed: str, keep: Sequence[str], id_c
     return u.select(*keep, *[poisson(F.col(f"u{b}")).alias(f"w{b}") for b in range(draws)])
 
 
-def bootstrap_stability(pairs: DataFrame, spine: DataFrame, draws: int = 20, top_k: int = 20, by: str = "code", seed: str = "42", threshold: float = 0.8) -> DataFrame:
+def bootstrap_stability(pairs: DataFrame, spine: DataFrame, draws: int = 20, top_k: int = 150, by: str = "code", seed: str = "42", threshold: float = 0.8) -> DataFrame:
     """Share of entity resamples in which a code is among the top k by odds ratio.
 
     Each entity carries its ``draws`` weights as columns, so one grouping of

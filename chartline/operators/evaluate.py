@@ -8,6 +8,7 @@ for the cumulative sums, so they are exact and no group is sorted whole.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -204,6 +205,15 @@ def iso_sensitivity(test: DataFrame, holdout: DataFrame, prevalence: float = 0.0
     return test.sparkSession.createDataFrame(rows, "sens double, threshold double, spec_test double, spec_holdout double, ppv double, alerts_per_1k double")
 
 
+def iso_winner(models: dict[str, tuple[DataFrame, DataFrame]], prevalence: float = 0.0015, points: Sequence[float] = SENS_POINTS) -> DataFrame:
+    """Hold-out specificity of several models (test, hold-out) at equal sensitivities, one row per point, and the winner: the
+    highest, the first named on ties."""
+    parts = [iso_sensitivity(a, b, prevalence, points).select("sens", F.lit(i).alias("i"), F.lit(n).alias("model"), "spec_holdout") for i, (n, (a, b)) in enumerate(models.items())]
+    every = reduce(DataFrame.unionByName, parts)
+    best = F.max(F.struct("spec_holdout", (-F.col("i")).alias("first"), "model"))["model"]
+    return every.groupBy("sens").agg(*[F.max(F.when(F.col("model") == n, F.col("spec_holdout"))).alias(n) for n in models], best.alias("winner"))
+
+
 def combined(test: DataFrame, holdout: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """Internal test and an all-negative hold-out as one set, at named thresholds and at a fresh Youden point."""
     both = test.select("entity", "label", "score").unionByName(holdout.select("entity", F.lit(0).alias("label"), "score"))
@@ -271,6 +281,16 @@ def fn_rates(pred: DataFrame, strata: dict[str, Column | str], threshold: float)
         x.count_where(miss & (F.col("score") >= 0.8 * threshold)).alias("near_miss"), x.count_where(F.col("score") < 0.1).alias("very_low"))
 
 
+def archetypes(pred: DataFrame, rows: DataFrame, threshold: float, kinds: dict[str, Column], age: str = "age", sex: str = "sex") -> DataFrame:
+    """Missed cases that fit each archetype (a condition over ``rows``' columns): number, share of all missed, mean age, share
+    of men, mean score. Archetypes may overlap; one grouping, no rows multiplied."""
+    missed = pred.select("entity", "label", "score").where((F.col("label") == 1) & (F.col("score") < threshold)).join(rows.drop("label", "score"), "entity")
+    hit = {n: F.coalesce(c, F.lit(False)) for n, c in kinds.items()}
+    one = [F.struct(F.lit(n).alias("archetype"), x.count_where(h).alias("missed"), F.avg(x.flag(h)).alias("share"), F.avg(F.when(h, F.col(age))).alias("mean_age"),
+                    F.avg(F.when(h, x.flag(F.col(sex) == "M"))).alias("male_share"), F.avg(F.when(h, F.col("score"))).alias("mean_score")) for n, h in hit.items()]
+    return missed.agg(F.array(*one).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+
+
 # --- rules and points -------------------------------------------------------
 def rules(long: DataFrame, spine: DataFrame, pcts: Sequence[float] = (0.25, 0.5, 0.75, 0.90), min_side: int = 50) -> DataFrame:
     """Best single-feature cut by lift: percentiles of the positive values, both directions, absent rows as 0.
