@@ -7,8 +7,8 @@ The posterior of a pattern is the soft label of its documents, on which a hashed
 byte trigrams and word shapes hashed into 2^15 and 2^8 buckets, each group as shares of its text, logistic
 loss, adaptive steps. Scoring takes the mean weight of a text's trigrams plus that of its words.
 
-The scorer is fitted on at most ``SAMPLE`` rows, the smallest in the order of a hash of id and text; counts,
-patterns and scores cover all rows. A text without words (null, empty, white space) is rejected with score 0.
+The scorer is fitted on about ``SAMPLE`` rows (all, if there are fewer): those with a hash of id and text in the lowest
+SAMPLE / n of its range, repeated rows once. Counts, patterns and scores cover all rows. A text without words (null, empty, white space) is rejected with score 0.
 Repeated rows are scored alike; an empty table gives an empty result.
 """
 
@@ -195,8 +195,11 @@ def train(docs: DataFrame) -> tuple[dict[int, float], tuple[np.ndarray, np.ndarr
     """The posterior of each pattern, and the scorer fitted on the sample, in one executor task."""
     counts = {r["pattern"]: r["n"] for r in patterns(docs).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     post, _, _ = estimate(counts)
+    # rows whose hash is in the lowest part of its range: no row of the corpus is moved to choose them
+    share = min(1.0, SAMPLE / max(1, sum(counts.values())))
+    below = int(-(1 << 63) + share * ((1 << 64) - 1))
     keyed = docs.select("doc_id", "text").withColumn("_h", F.xxhash64("doc_id", "text"))
-    sample = keyed.orderBy("_h", "doc_id").limit(SAMPLE)
+    sample = keyed.where(F.col("_h") <= F.lit(min(below, (1 << 63) - 1))).dropDuplicates(["_h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
