@@ -25,6 +25,7 @@ from .common import buffers
 from .tokens import encoder, regrouped, sliced
 
 LENGTH, END = 1024, 0
+RANGES = 4  # ranges of the curve for each shuffle partition
 BUCKETS, DIMS, BITS = 256, 4, 15
 TOKENIZER = "byte_bpe_50k.json"
 _DIRECTIONS = np.random.default_rng(42).standard_normal((BUCKETS, DIMS))
@@ -159,7 +160,9 @@ def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, end:
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text").mapInArrow(_keyed, f"doc_id {kind}, text string, _key long")
     order = ["_key", "doc_id", F.xxhash64("text")]
-    laid = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    # ranges hold equal numbers of documents, and long ones lie close on the curve: more, smaller ranges even out bytes
+    parts = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, layer, doc_type = encoder(path, "byte"), Layer(TaskContext.get().partitionId() << 36, length), pa.int64()
