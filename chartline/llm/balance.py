@@ -130,7 +130,8 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP,
     d = d.withColumn("_key", F.when(F.col("_part") > 0, u / F.col("_part")).otherwise(F.lit(1e18) + u))
     d = d.withColumn("_order", F.struct("_key", F.lit(h).alias("h"), "doc_id"))
     d = d.withColumn("_mass", F.col("size") * F.col("n")).withColumn("_whole", F.col("_mass") * F.col("_floor"))
-    d = running_total(d, ["source"], "_order", ["_mass", "_whole"], F.floor(F.least(F.col("_key"), F.lit(64.0)) * 1024).cast("int"))
+    key = F.least(F.col("_key"), F.lit(64.0))
+    d = running_total(d, ["source"], "_order", ["_mass", "_whole"], [F.floor(key * 64).cast("int"), F.floor(key * 4096).cast("int")])
     need = F.col("target") - F.col("_whole_all")
     more = (F.col("_part") > 0) & (F.col("_mass_before") + F.col("_mass") / 2 < need)
     copies = (F.col("_floor") + more.cast("long")).cast("long")
