@@ -1,7 +1,7 @@
 """Exact top-k search in binary codes by incremental multi-index hashing.
 
-A code of ``BITS`` bits is cut into m segments of about log2(n) bits, n the number of different codes; each segment
-has its own table. A code at distance d from a query is within floor(d / m) of it in one segment at least. So segment
+A code of ``BITS`` bits is cut into m segments of about log2(n) - 2 bits, n the number of different codes; each
+segment has its own table. A code at distance d from a query is within floor(d / m) of it in one segment at least. So segment
 radii grow step by step: step r probes each table with all values at distance r from the query's segment. After it
 every code within m * (r + 1) - 1 of the query has been met; the query is finished when its k-th verified distance
 is not beyond that. Met codes are verified by their whole distance, once, in the first table and step that meets
@@ -41,8 +41,11 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
 
 
 def segments(n: int, bits: int = BITS) -> list[tuple[int, int]]:
-    """(lowest bit, width) of each segment: as many as keep a segment near log2(n) bits."""
-    m = max(1, round(bits / max(4.0, log2(max(n, 2)))))
+    """(lowest bit, width) of each segment: as many as leave about four codes to each of a segment's values.
+
+    Wider segments need larger radii, whose values to probe grow faster than the codes met become fewer.
+    """
+    m = max(1, round(bits / max(4.0, log2(max(n, 2)) - 2)))
     edge = [round(bits * i / m) for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(edge, edge[1:])]
 
