@@ -93,7 +93,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -
     near = [F.bit_count(_piece(F.col("code").bitwiseXOR(F.col("qcode")), low, width)) for low, width in parts]
     for r in range(max(w for _, w in parts) + 1):
         probe = open_.mapInArrow(_probes(parts, r), "q long, qcode long, part int, value long")
-        met = probe.join(table, ["part", "value"])
+        met = probe.hint("merge").join(table, ["part", "value"])  # many rows from few: their size can't be estimated
         # met at a smaller radius, or in an earlier table at this one: already verified
         seen = reduce(lambda a, b: a | b, [(x < r) | ((F.col("part") > i) & (x == r)) for i, x in enumerate(near)])
         met = met.where(~seen).withColumn("distance", F.bit_count(F.col("code").bitwiseXOR(F.col("qcode"))))
