@@ -188,6 +188,7 @@ def links(fps: DataFrame) -> DataFrame:
     pairs = tile.join(near, ["key", "p"]).where("p < p2 OR s <= s2").select("key", "p", "s", "p2", "s2")
     pairs = pairs.withColumn("pair", F.xxhash64("key", "p", "s", "p2", "s2"))
     same = (F.col("p") == F.col("p2")) & (F.col("s") == F.col("s2"))
+    pairs = pairs.hint("merge")  # never broadcast: it grows with the square of a hot key's tiles
     left = hot.join(pairs, ["key", "p", "s"]).select(F.col("pair").alias("key"), "fp", F.when(same, 0).otherwise(1).alias("side"))
     right = hot.withColumnsRenamed({"p": "p2", "s": "s2"}).join(pairs.where(~same), ["key", "p2", "s2"]).select(F.col("pair").alias("key"), "fp", F.lit(2).alias("side"))
     over = left.unionByName(right).repartition("key").sortWithinPartitions("key", "side").mapInArrow(lambda it: _link(it, True), "a long, b long")
