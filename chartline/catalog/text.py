@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as x
-from ..operators import learn, text as w, text_dictionaries as td
+from ..operators import cohort, learn, text as w, text_dictionaries as td
 from .base import ANCH, SPINE, query, r, rounded, with_
 
 # Conversations as text events of an entity: user and system turns count as clinical types.
@@ -176,8 +176,40 @@ def _(t):
     return rounded(w.reduce_embeddings(t.embeddings.select(F.col("vec_id").alias("entity"), "embedding"), 15))
 
 
+# Text-derived events: a document of a customer mentions a concept, or mentions it as absent.
+CONCEPTS = {"TEXT_tion": "tion", "TEXT_ung": "ung", "TEXT_eaux": "eaux"}
+ARMS = ["SMALL", "LARGE", "PROMO", *CONCEPTS]
+_TXE = "tx AS (" + " UNION ALL ".join(
+    f"SELECT doc_id % 1500 + 1 AS entity, {9000 + i} AS code, doc_id % 700 AS days_before, '{n}' AS category, CASE WHEN regexp_matches(lower(text), '[,.] *[a-z]*{w_}') THEN 'absent' ELSE 'present' END AS assertion FROM documents WHERE contains(lower(text), '{w_}')"
+    for i, (n, w_) in enumerate(CONCEPTS.items())) + ")"
+
+
+def text_events(t):
+    low = F.lower("text")
+    parts = [t.documents.where(F.contains(low, F.lit(word))).select(
+        (F.col("doc_id") % 1500 + 1).alias("entity"), F.lit(9000 + i).cast("bigint").alias("code"), (F.col("doc_id") % 700).cast("int").alias("days_before"), F.lit(n).alias("category"),
+        F.when(low.rlike(f"[,.] *[a-z]*{word}"), "absent").otherwise("present").alias("assertion")) for i, (n, word) in enumerate(CONCEPTS.items())]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def arms(t):
+    """Events of the orders alone, and with the events found in texts merged in."""
+    base = t.anch.select("entity", "code", "days_before", "category")
+    return {"structured": base.withColumn("assertion", F.lit(None).cast("string")), "with_text": cohort.merge_text(base, text_events(t), tie=("category",))}
+
+
+@query("w08_text_arms", f"""{with_(ANCH, _TXE)}, one AS (SELECT entity, code, days_before, assertion, min(category) AS category FROM tx GROUP BY 1, 2, 3, 4),
+bs AS (SELECT entity, code, days_before, category FROM anch), nw AS (SELECT entity, code, days_before, category FROM one o WHERE assertion = 'present' AND NOT EXISTS (SELECT 1 FROM bs WHERE bs.entity = o.entity AND bs.code = o.code AND bs.days_before = o.days_before)),
+ev AS (SELECT 'structured' AS build, entity, category, CAST(NULL AS VARCHAR) AS assertion FROM bs UNION ALL SELECT 'with_text', entity, category, NULL FROM bs UNION ALL SELECT 'with_text', entity, category, 'present' FROM nw
+  UNION ALL SELECT 'with_text', entity, category, assertion FROM one WHERE assertion = 'absent')
+SELECT build, category, assertion, count(*) AS events, count(DISTINCT entity) AS entities FROM ev GROUP BY 1, 2, 3""")
+def _(t):
+    out = [ev.groupBy("category", "assertion").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("entity").alias("entities")).withColumn("build", F.lit(n)) for n, ev in arms(t).items()]
+    return out[0].unionByName(out[1])
+
+
 @query("w08_text_ab_lift", None)
 def _(t):
-    base = t.anch.where("event_type = 'obs'").groupBy("entity").pivot("category", ["SMALL", "LARGE", "PROMO"]).count().na.fill(0)
-    more = t.anch.groupBy("entity").pivot("category", ["SMALL", "LARGE", "PROMO"]).count().na.fill(0)
-    return rounded(learn.compare(t.spine, {"structured": base, "with_text": more}, ["SMALL", "LARGE", "PROMO"]))
+    """The same learner on both arms; absent findings stay out of the counts."""
+    mats = {n: ev.where("coalesce(assertion, '') <> 'absent'").groupBy("entity").pivot("category", ARMS).count().na.fill(0) for n, ev in arms(t).items()}
+    return rounded(learn.compare(t.spine, mats, ARMS))
