@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from .. import skew
 from ..functions import scalar as x
 from ..operators import cohort
 
@@ -147,7 +148,9 @@ def feature_catalog(wide: DataFrame, features: Sequence[str], max_levels: int =
     if not texts:
         return out.withColumn("levels", F.lit(None).cast("string"))
     long = wide.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in texts])).alias("s")).select("s.*").where(F.col("v").isNotNull()).distinct()
-    lv = long.groupBy("feature").agg(F.count(F.lit(1)).alias("_k"), F.array_join(F.slice(F.sort_array(F.collect_list("v")), 1, max_levels), "|").alias("levels"))
+    # one level more than can be listed tells that there are too many; the others are cut off before the shuffle
+    few = skew.top_by(long, ["feature"], [F.col("v")], max_levels + 1, "_rn")
+    lv = few.groupBy("feature").agg(F.count(F.lit(1)).alias("_k"), F.array_join(F.sort_array(F.collect_list("v")), "|").alias("levels"))
     lv = lv.select("feature", F.when(F.col("_k") <= max_levels, F.col("levels")).alias("levels"))
     return out.join(lv, "feature", "left")
 
