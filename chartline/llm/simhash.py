@@ -69,15 +69,16 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
 
 
 def marked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, hash, fp): a hash of the text, and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for x, y in sliced(whole.column(text), STRETCH):
                 b = whole.slice(x, y - x)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(b.column(text)).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array(fingerprints(b.column(text)).view(np.int64))], names=["doc_id", "hash", "fp"])
 
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    source = docs.select("doc_id", F.col(text).alias(text), F.xxhash64(text).alias("hash"))
+    return source.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hash long, fp long")
 
 
 def keys(fp: Column) -> Column:
@@ -196,14 +197,14 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def clusters(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id), one row per document."""
+    """(doc_id, hash, fp, root, component_id), one row per document; root: a fingerprint that stands for the component."""
     fp = stored(marked(docs, text), "simhash-fp")
     nodes = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     root = components(links(nodes))
     with_root = nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = with_root.join(least, "root").select("fp", "component_id")
-    return fp.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = with_root.join(least, "root").select("fp", "root", "component_id")
+    return fp.join(of, "fp").select("doc_id", "hash", "fp", "root", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -212,8 +213,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of its smallest doc_id; of repeated rows the first by fingerprint and text."""
-    kept = clusters(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.min("fp").alias("_fp"))
-    d = join_null_safe(docs, kept.select("doc_id"), ["doc_id"])
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return d.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
+    """One row of each component: that with the smallest doc_id, nulls last, then by fingerprint and text hash; repeated rows once."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "fp", "hash")).alias("f")
+    kept = clusters(docs).groupBy("root").agg(first).select("f.doc_id", F.col("f.hash").alias("_hash"))
+    d = join_null_safe(docs.withColumn("_hash", F.xxhash64("text")), kept, ["doc_id", "_hash"])
+    row = W.partitionBy("doc_id", "_hash").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
+    return d.withColumn("_row", F.row_number().over(row)).where("_row = 1").select(*docs.columns)

@@ -159,3 +159,9 @@ def test_simhash_odd_documents(odd_docs, no_docs, clashing):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 8, 9, 10]
     two = simhash.deduplicated(clashing)
     assert two.columns == clashing.columns and sorted(r.doc_id for r in two.collect()) == [1, 3]
+
+
+def test_documents_without_ids_are_kept(make_docs):
+    docs = make_docs((None, "first text of some words"), (None, "quite another text with words"), (None, "first text of some words"), (3, "quite another text with words"), (4, ""), (None, None))
+    got = sorted((r.doc_id or -1, r.text or "") for r in simhash.deduplicated(docs).collect())
+    assert got == [(-1, "first text of some words"), (3, "quite another text with words"), (4, "")]
