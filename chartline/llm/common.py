@@ -94,7 +94,7 @@ def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     out = np.zeros(len(start), dtype=np.uint64)
     if not len(start):
         return out
-    step = 1 << 22
+    step = 1 << 19
     # in stretches, so that the table of powers and the running sums stay small
     cuts = np.searchsorted(start, np.arange(start[0], end[-1] + step, step))
     for a, b in zip(cuts, [*cuts[1:], len(start)]):

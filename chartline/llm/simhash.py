@@ -30,8 +30,8 @@ from .tokens import sliced
 SHINGLE, SEED, RADIUS = 3, 42, 3
 BLOCKS = 5
 HOT, TILE = 8192, 512
-STRETCH = 4 << 20  # bytes of text taken together
-_ROWS = 1 << 17  # shingles whose bits are unpacked at a time
+STRETCH = 2 << 20  # bytes of text taken together
+_ROWS = 1 << 16  # shingles whose bits are unpacked at a time
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:

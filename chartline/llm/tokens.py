@@ -19,9 +19,9 @@ import pyarrow as pa
 
 from .common import SPACE, buffers, ragged
 
-KEPT = 400_000  # pieces remembered by a worker; others are encoded again when they come up
-KEPT_CHUNKS = 250_000
-CHUNK = 8 << 20  # bytes of text looked at together
+KEPT = 250_000  # pieces remembered by a worker; others are encoded again when they come up
+KEPT_CHUNKS = 150_000
+CHUNK = 4 << 20  # bytes of text looked at together
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 # a chunk of these characters alone can be cut into the pieces that the finder gives
 _PLAIN = re.compile(f"[ \n]?[!-&(-~{_LETTER[6:]}]*", re.ASCII)
