@@ -8,9 +8,10 @@ in relative entropy:
               sum_d size_d w_d (z_dk - mean_k) = 0,  0 <= w_d <= cap
 
 whose solution is exponentially tilted, w_d = min(cap, exp(lambda_s + sum_k mu_k (z_dk - mean_k))). The dual is
-convex; Newton's method solves it. Each iteration is one aggregation over the corpus, reduced beforehand to
+convex; Newton's method solves it, with shorter steps where a whole one would raise the dual. Each iteration is one aggregation over the corpus, reduced beforehand to
 cells (source, size, features) with counts. The Hessian is an arrow: one number per source, and a small block
-for the features, so the sources are eliminated in the table and only k + k^2 numbers reach the driver.
+for the features, so the sources are eliminated in the table and only k + k^2 numbers reach the driver. Targets come before features: if no
+rates meet both, the features are let go and w_d = target_s / size_s.
 
 Rates are rounded to whole copies: floor(w) copies, and one more for the documents that come first in the
 order of u / (w - floor(w)), u a hash of the id, until the source has its words (order sampling: a document's
@@ -57,45 +58,58 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = C
 
 
 def tilt(cells: DataFrame, goal: DataFrame, features: Sequence[str] = (), cap: float = CAP) -> tuple[DataFrame, np.ndarray]:
-    """Newton's method on the dual. ``cells``: source, size, n and features (centred); ``goal``: source, target.
+    """Damped Newton on the dual. ``cells``: source, size, n and features (centred); ``goal``: source, target.
 
-    Returns (source, lambda) and mu. Sources without words or with target 0 get lambda -inf (rate 0).
+    Returns (source, lambda) and mu. Sources without words or with target 0 get lambda -inf (rate 0). Targets are hard,
+    features are not: where both can't be met, or the steps don't settle, mu is 0 and lambda log(target / size), which
+    meets the targets. Targets above cap times a source's words are an error.
     """
     k = len(features)
-    mu = np.zeros(k)
+    mu, value, scale = np.zeros(k), None, 1.0
     live = goal.where("target > 0 and source_size > 0")
-    state = live.select("source", "target", F.log(F.col("target") / F.col("source_size")).alias("lam"))
+    state = start = live.select("source", "target", F.log(F.col("target") / F.col("source_size")).alias("lam"))
     for _ in range(STEPS):
-        raw = F.exp(F.least(F.col("lam") + sum((F.lit(float(m)) * F.col(f) for m, f in zip(mu, features)), F.lit(0.0)), F.lit(50.0)))
+        tilted = F.col("lam") + sum((F.lit(float(m)) * F.col(f) for m, f in zip(mu, features)), F.lit(0.0))
+        raw = F.exp(F.least(tilted, F.lit(50.0)))
         d = join_null_safe(cells, state, ["source"]).withColumn("_w", F.least(raw, F.lit(cap))).withColumn("_m", F.col("size") * F.col("n"))
         mass, free = F.col("_m") * F.col("_w"), F.when(raw < cap, F.col("_m") * F.col("_w")).otherwise(0.0)
+        conjugate = F.when(raw < cap, raw).otherwise(F.lit(cap) * (1 + tilted - F.lit(float(np.log(cap)))))
         per = d.groupBy("source", "target", "lam").agg(
-            F.sum(mass).alias("m"), F.sum(free).alias("h"), *[F.sum(mass * F.col(f)).alias(f"g{i}") for i, f in enumerate(features)],
+            F.sum(mass).alias("m"), F.sum(free).alias("h"), F.sum("_m").alias("words"), F.sum(F.col("_m") * conjugate).alias("c"),
+            *[F.sum(mass * F.col(f)).alias(f"g{i}") for i, f in enumerate(features)],
             *[F.sum(free * F.col(f)).alias(f"h{i}") for i, f in enumerate(features)],
             *[F.sum(free * F.col(features[i]) * F.col(features[j])).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)])
         per = cut_lineage(per)
         part = lambda i: F.col(f"h{i}") / F.greatest(F.col("h"), F.lit(1e-9))
         gap = F.col("target") - F.col("m")
-        got = per.agg(F.max(F.abs(gap) / F.col("target")).alias("worst"), F.sum("target").alias("all"),
+        got = per.agg(F.max(F.abs(gap) / F.col("target")).alias("worst"), F.sum("words").alias("words"), F.sum(F.col("c") - F.col("target") * F.col("lam")).alias("dual"),
                       *[F.sum(-F.col(f"g{i}") - part(i) * gap).alias(f"r{i}") for i in range(k)], *[F.sum(F.abs(F.col(f"g{i}"))).alias(f"a{i}") for i in range(k)],
                       *[F.sum(F.col(f"g{i}")).alias(f"s{i}") for i in range(k)],
                       *[F.sum(F.col(f"h{i}_{j}") - part(i) * F.col(f"h{j}")).alias(f"q{i}_{j}") for i in range(k) for j in range(i, k)]).first()
         if got["worst"] is None:  # no source with words
             break
-        step = np.zeros(k)
-        if k:
-            q = np.array([[got[f"q{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-            step = np.linalg.lstsq(q + 1e-9 * np.eye(k) * max(1.0, np.trace(q)), np.array([got[f"r{i}"] for i in range(k)]), rcond=None)[0]
-            step = np.clip(step, -LONGEST, LONGEST)
-        done = got["worst"] < TOLERANCE and all(abs(got[f"s{i}"]) <= 1e-6 * max(1.0, got[f"a{i}"]) for i in range(k))
-        if done:
-            state = per.select("source", "target", "lam")
+        if got["worst"] < TOLERANCE and all(abs(got[f"s{i}"]) <= 1e-6 * max(1.0, got[f"a{i}"]) for i in range(k)):
+            return per.select("source", "lam"), mu
+        if value is None and got["worst"] >= TOLERANCE:
+            raise ValueError(f"a target is above {cap} times its source's words")
+        # no rates cost more than this, so by weak duality nothing meets all constraints
+        if got["dual"] < -max(0.0, cap * (np.log(cap) - 1)) * got["words"] * (1 + 1e-9):
             break
-        mu = mu + step
-        own = (gap - sum((F.col(f"h{i}") * F.lit(float(step[i])) for i in range(k)), F.lit(0.0))) / F.greatest(F.col("h"), 1e-6 * F.col("target"))
-        # near its cap a source has hardly any free mass left; a bounded step keeps it on the way
-        state = per.select("source", "target", (F.col("lam") + F.greatest(F.least(own, F.lit(LONGEST)), F.lit(-LONGEST))).alias("lam"))
-    return state.select("source", "lam"), mu
+        if value is not None and got["dual"] > value + 1e-10 * got["words"]:  # too far: half as long a step from the last good place
+            scale /= 2
+        else:
+            at, value, scale, step = mu, got["dual"], 1.0, np.zeros(k)
+            if k:
+                q = np.array([[got[f"q{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+                step = np.linalg.lstsq(q + 1e-9 * np.eye(k) * max(1.0, np.trace(q)), np.array([got[f"r{i}"] for i in range(k)]), rcond=None)[0]
+                step = np.clip(step, -LONGEST, LONGEST)
+            # near its cap a source has hardly any free mass left; a bounded step keeps it on the way, and it follows mu in full
+            room = F.greatest(F.col("h"), 1e-6 * F.col("target"))
+            follow = sum((F.col(f"h{i}") * F.lit(float(step[i])) for i in range(k)), F.lit(0.0)) / room
+            good = per.withColumn("own", F.greatest(F.least(gap / room, F.lit(LONGEST)), F.lit(-LONGEST)) - follow)
+        mu = at + scale * step
+        state = good.select("source", "target", (F.col("lam") + F.lit(float(scale)) * F.col("own")).alias("lam"))
+    return start.select("source", "lam"), np.zeros(k)
 
 
 def rates(cells: DataFrame, goal: DataFrame, features: dict[str, Column], cap: float = CAP) -> tuple[DataFrame, Column]:
@@ -139,7 +153,7 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP,
 
 
 def length_profile() -> dict[str, Column]:
-    """The production feature: the mix keeps the corpus's mean of log2(1 + size) over words."""
+    """The production feature: the mix keeps the corpus's mean of log2(1 + size) over words where the targets allow it."""
     return {"log_size": F.log2(1.0 + F.col("size"))}
 
 

@@ -92,6 +92,23 @@ def test_newton_finds_the_dual_optimum(spark):
     assert max(slopes) - min(slopes) < 1e-6
 
 
+@pytest.mark.parametrize("kinds", [{"a": [20] * 300, "b": [5000] * 12}, {"a": [7] * 200, "b": [90] * 60, "c": [800] * 20},
+                                   {"a": [3, 4, 5] * 80, "b": [2000, 3000] * 8, "c": [1, 4000] * 6}])
+def test_targets_are_met_whatever_the_sizes(make_docs, kinds):
+    """Sources whose documents differ in length: no rates keep the mean length, or only extreme ones do."""
+    docs = [(s, n) for s, ns in kinds.items() for n in ns]
+    rows = balance.report(make_docs(*((i, "w " * n, s) for i, (s, n) in enumerate(docs)))).collect()
+    want = plain_targets({s: sum(ns) for s, ns in kinds.items()})
+    for s, ns in kinds.items():
+        assert abs(sum(r.taken for r in rows if docs[r.doc_id][0] == s) - want[s]) <= max(ns) / 2 + 1e-4 * sum(ns)
+
+
+def test_targets_above_the_cap_are_an_error(spark):
+    cells = spark.createDataFrame([("a", 10, 1)], "source string, size long, n long")
+    with pytest.raises(ValueError):
+        balance.tilt(cells, spark.createDataFrame([("a", 10, 31.0)], "source string, source_size long, target double"))
+
+
 def test_mix_of_odd_documents(odd_docs, no_docs, clashing, make_docs):
     rows = balance.report(odd_docs).collect()
     assert len(rows) == odd_docs.count() and balance.report(no_docs).count() == 0 and balance.remix(no_docs).count() == 0
