@@ -152,7 +152,7 @@ def test_hot_key_matches_plain_windows(spark):
     rng = random.Random(1)
     rows = [(0 if i % 3 else rng.randrange(1, 30), D(2015, 1, 1) + dt.timedelta(rng.randrange(900)), float(rng.randrange(60))) for i in range(4000)]
     df = spark.createDataFrame(rows, "k int, d date, v double")
-    p = skew.previous(df, ["k"], ["d", "v"], ["v"], values.month_segment("d")).groupBy("k").agg(F.sum("prev_v").alias("s"), F.count("prev_v").alias("n"))
+    p = skew.previous(df, ["k"], ["d", "v"], ["v"], F.col("d")).groupBy("k").agg(F.sum("prev_v").alias("s"), F.count("prev_v").alias("n"))
     df.createOrReplaceTempView("hot")
     want = spark.sql("SELECT k, sum(p) AS s, count(p) AS n FROM (SELECT k, lag(v) OVER (PARTITION BY k ORDER BY d, v) AS p FROM hot) GROUP BY k")
     assert sorted(map(tuple, p.collect())) == sorted(map(tuple, want.collect()))
@@ -163,8 +163,10 @@ def test_hot_key_matches_plain_windows(spark):
 
 def test_number_bucket_never_decreases(spark):
     vals = sorted([0.0, -1.0, 1e-9, 0.5, 0.999, 1.0, 1.0000001, 3.7, 1e6, 1e6 + 1, -1e9, 1e18, 2.0**60])
-    b = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "v double").select(skew.number_bucket(F.col("v"))).collect()]
-    assert b == sorted(b)
+    coarse, fine = skew.number_buckets(F.col("v"))
+    b = [(r[0], r[1]) for r in spark.createDataFrame([(v,) for v in vals], "v double").select(coarse, fine).collect()]
+    assert [x for x, _ in b] == sorted(x for x, _ in b) and [y for _, y in b] == sorted(y for _, y in b)
+    assert all(x == y // 4096 for x, y in b)
 
 
 def test_split_does_not_depend_on_partitioning(spark):
@@ -218,9 +220,10 @@ def test_missing_contract_column_is_reported(spark):
     assert evaluate.validate_preds(df).count() == 5
 
 
-def test_literal_table_has_a_limit(spark):
-    with pytest.raises(ValueError):
-        session.literal_table(spark, [{"a": 1}] * (session.LITERAL_ROWS + 1), "a int")
+def test_literal_table_of_any_length(spark):
+    many = session.literal_table(spark, [{"a": i, "b": f"x{i}"} for i in range(5000)], "a int, b string")
+    assert many.count() == 5000 and many.agg(F.sum("a")).first()[0] == sum(range(5000))
+    assert session.literal_table(spark, [], "a int").count() == 0
     assert [tuple(r) for r in session.literal_table(spark, [{"a": 1, "b": "x, y"}], "a int, b string").collect()] == [(1, "x, y")]
 
 
