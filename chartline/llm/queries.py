@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balance, hamming, media, packing, pii, quality, quotes, rans, simhash, substrings
+from . import balance, hamming, media, merkle, packing, pii, quality, quotes, rans, simhash, substrings
 from .common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_tiles": lambda s, d: simhash.report(tables(s, d, "documents")),
     "op9_pii_spans": lambda s, d: pii.report(tables(s, d, "documents")),
     "op10_quality_weak_labels": lambda s, d: quality.report(tables(s, d, "documents")),
+    "op11_merkle_manifest": lambda s, d: merkle.report(tables(s, d, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_multi_index_hashing": hamming.SQL, "op6_quotation_linking": quotes.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_multi_index_hashing": hamming.SQL, "op6_quotation_linking": quotes.SQL, "op11_merkle_manifest": merkle.SQL}
