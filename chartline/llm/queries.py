@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balance, hamming, media, merkle, ordermin, packing, pii, quality, quotes, rans, simhash, substrings
+from . import alignment, balance, hamming, media, merkle, ordermin, packing, pii, quality, quotes, rans, simhash, substrings
 from .common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii_spans": lambda s, d: pii.report(tables(s, d, "documents")),
     "op10_quality_weak_labels": lambda s, d: quality.report(tables(s, d, "documents")),
     "op11_merkle_manifest": lambda s, d: merkle.report(tables(s, d, "documents")),
+    "op12_cross_tokenizer_alignment": lambda s, d: alignment.report(tables(s, d, "documents")),
     "op13_order_minhash": lambda s, d: ordermin.report(tables(s, d, "documents")),
 }
 

@@ -2,8 +2,8 @@
 
 Both vocabularies split a text into pieces before they merge, and never across the start of a run of white space
 that follows something else. So a batch of texts is cut there, and the distinct chunks are cut further into pieces
-where that is safe (plain Latin letters, digits and punctuation without an apostrophe); a piece is encoded by the
-tokenizers library once and then looked up. What can't be cut safely is encoded whole. Results equal encoding the
+where that is safe (plain Latin letters, digits and punctuation without an apostrophe, and no special token's string); a
+piece is encoded by the tokenizers library once and then looked up. What can't be cut safely is encoded whole. Results equal encoding the
 whole text; the tests check this against the library.
 """
 
@@ -56,12 +56,15 @@ def white_tails(data: np.ndarray) -> np.ndarray:
 class Encoder:
     """One tokenizer file in one worker, with the ids of the pieces seen so far."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok, self.find, self.lower = Tokenizer.from_file(path), _FIND[kind], kind == "word"
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings of special tokens in a text: ordinary text, or the special ids, as the library gives them by default
+        self.tok.encode_special_tokens = plain_specials
+        special = [] if plain_specials else [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)", re.IGNORECASE).search
         self.tok.no_padding()
         self.tok.no_truncation()
         self.letters = dict(enumerate(_byte_letters()))
@@ -123,9 +126,9 @@ class Encoder:
         new = [c for c in chunks if get(c) is None]
         if new:
             pieces, n = [], []
-            plain, find = _PLAIN.fullmatch, self.find.findall
+            plain, find, special = _PLAIN.fullmatch, self.find.findall, self.special
             for c in map(bytes.decode, new):
-                p = find(c.lower() if self.lower else c) if plain(c) else [c]
+                p = find(c.lower() if self.lower else c) if plain(c) and not special(c) else [c]
                 pieces += p
                 n.append(len(p))
             flat, size = self._pieces(pieces)
@@ -167,9 +170,9 @@ def _byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, kind: str) -> Encoder:
-    return Encoder(path, kind)
+@lru_cache(maxsize=1)
+def encoder(path: str, kind: str, plain_specials: bool = False) -> Encoder:
+    return Encoder(path, kind, plain_specials)
 
 
 def sliced(texts: pa.Array, limit: int = CHUNK):
