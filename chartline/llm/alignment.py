@@ -75,10 +75,10 @@ class ByteSide:
         special = set(tok.get_added_tokens_decoder())
         self.bytes = Bytes([b"" if i in special else bytes(byte[c] for c in tok.id_to_token(i)) for i in range(tok.get_vocab_size())])
 
-    def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all chunks, and how many each has."""
-        at, size = self.enc._place(self.enc._chunks(chunks))
-        return self.enc.ids[ragged(at, size)].astype(np.int64), size
+        ids, off = self.enc.encode(pa.LargeStringArray.from_buffers(len(edge) - 1, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))))
+        return ids.astype(np.int64), np.diff(off)
 
 
 class PieceSide:
@@ -100,7 +100,9 @@ class PieceSide:
                 self.whole |= "▁" in p.lstrip("▁")  # an entry goes on over a space: texts can't be cut
         self.bytes, self.kept = Bytes(entries), {}
 
-    def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, cut = data.tobytes(), edge.tolist()
+        chunks = [raw[x:y] for x, y in zip(cut, cut[1:])]
         if len(self.kept) > KEPT:
             self.kept.clear()
         new = [c for c in chunks if c not in self.kept]
@@ -122,10 +124,8 @@ class Aligned:
     """Tokens, groups and links of distinct chunks, one after another; ``ok``: both sides give a chunk's bytes back."""
 
     def __init__(self, data: np.ndarray, edge: np.ndarray, a: ByteSide, b: PieceSide):
-        raw, cut = data.tobytes(), edge.tolist()
-        chunks = [raw[x:y] for x, y in zip(cut, cut[1:])]
-        ids, n = zip(*(side.encode(chunks) for side in (a, b)))
-        self.ok = np.ones(len(chunks), bool)
+        ids, n = zip(*(side.encode(data, edge) for side in (a, b)))
+        self.ok = np.ones(len(edge) - 1, bool)
         for side, i, k in zip((a, b), ids, n):
             self.ok &= self._same(side.bytes, i, k, data, edge)
         (ia, na), (ib, nb) = ((i[np.repeat(self.ok, k)], np.where(self.ok, k, 0)) for i, k in zip(ids, n))

@@ -2,13 +2,13 @@
 
 A text is a sequence of units (stretches of up to four characters between white space), and its k-mers are ``K``
 consecutive units (fewer units: the whole sequence is one k-mer). Equal k-mers are told apart by their occurrence number.
-Every numbered k-mer gets a 36-bit hash; component j of the signature orders the hashes from j / ``SIZE`` of the hash
+Every numbered k-mer has a 36-bit hash; component j of the signature orders the hashes from j / ``SIZE`` of the hash
 range on, around the circle, selects the ``TUPLE`` minimal k-mers in that order, puts them back into text order, and
 hashes the tuple. So a component agrees where the same k-mers are minimal and stand in the same order. The share of equal
 components is the likeness of two texts, 0 to 1. Components keep ``BITS`` bits.
 
 Column functions only. A text's k-mers are an array of longs, 36 bits of hash and 28 of position, sorted twice (to number
-occurrences, to find minima); places in it are found by halving.
+occurrences, to find minima); places in it are found by halving. That holds for texts of up to 2^27 units.
 
 A null text is empty; a text without units has an empty fingerprint, like only to another empty one. Rows of equal doc_id
 and text are one document in the order of documents, and are all returned with the same values; other rows of equal
@@ -35,16 +35,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _powers(n: Column) -> Column:
-    """Powers of two, the largest up to n first."""
-    return F.transform(F.sequence(F.floor(F.log2(n)).cast("int"), F.lit(0), F.lit(-1)), lambda j: F.expr("1") * F.pow(F.lit(2.0), j).cast("int"))
+    """Powers of two up to n, the largest first."""
+    return F.transform(F.sequence(F.floor(F.log2(n)).cast("int"), F.lit(0), F.lit(-1)), lambda j: F.pow(F.lit(2.0), j).cast("int"))
 
 
-def _below(rows: Column, n: Column, powers: Column, bound: Column) -> Column:
-    """How many entries of a sorted array are less than a bound."""
-    def step(acc: Column, p: Column) -> Column:
-        return F.when((acc + p <= n) & (F.get(rows, acc + p - 1) < bound), acc + p).otherwise(acc)
-
-    return F.aggregate(powers, F.lit(0), step)
+def _last_below(rows: Column, powers: Column, bound: Column) -> Column:
+    """Index of the last entry of a sorted array that is less than a bound, or -1; places beyond the array are null."""
+    return F.aggregate(powers, F.lit(-1), lambda at, p: F.when(F.get(rows, at + p) < bound, at + p).otherwise(at))
 
 
 def _packed(h: Column, place: Column) -> Column:
@@ -73,11 +70,15 @@ def kmers(text: Column, k: int = K) -> Column:
 
 
 def numbered(ordered: Column) -> Column:
-    """k-mers in sorted order -> packed hashes of k-mer and occurrence number, in any order."""
+    """k-mers in sorted order, their hashes made those of k-mer and occurrence number (the first keeps its own)."""
     def run(s: Column) -> Column:
-        n = F.size(s)
-        return let(_powers(n), lambda powers: F.transform(s, lambda x, i: _packed(F.xxhash64(_hash(x), F.when((i > 0) & (_hash(x) == _hash(F.get(s, i - 1))),
-                                                          i - _below(s, n, powers, F.shiftleft(_hash(x), _PLACE))).otherwise(0)), _place(x))))
+        def again(x: Column, i: Column, powers: Column) -> Column:
+            occurrence = i - 1 - _last_below(s, powers, F.shiftleft(_hash(x), _PLACE))
+            return _packed(F.xxhash64(_hash(x), occurrence), _place(x))
+
+        # equal hashes: a pair differs in the positions' bits alone; before the first there is null
+        alike = lambda x, i: _hash(x.bitwiseXOR(F.get(s, i - 1))) == 0
+        return let(_powers(F.size(s)), lambda powers: F.transform(s, lambda x, i: F.when(alike(x, i), again(x, i, powers)).otherwise(x)))
 
     return F.when(F.size(ordered) == 0, ordered).otherwise(let(ordered, run))
 
@@ -85,16 +86,16 @@ def numbered(ordered: Column) -> Column:
 def components(ordered: Column, tuple_: int = TUPLE, size: int = SIZE, bits: int = BITS) -> Column:
     """Sorted packed hashes -> array<int>, the signature; empty without k-mers."""
     def component(s: Column, n: Column, powers: Column, j: Column) -> Column:
-        # the circle of hashes starts at the least long; entries of component j start at its part of the circle
+        # the circle of hashes starts at the least long; the order of component j starts at its part of the circle
         low = F.shiftleft((j - size // 2).cast("long"), 64 - (size.bit_length() - 1))
-        first = _below(s, n, powers, low)
-        chosen = let(first, lambda a: F.transform(F.sequence(F.lit(0), F.least(F.lit(tuple_), n) - 1),
-                                                  lambda t: let(F.get(s, (a + t) % n), lambda x: F.struct(_place(x).alias("p"), _hash(x).alias("v")))))
-        return F.xxhash64(F.transform(F.sort_array(chosen), lambda e: e["v"])).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+        # position above hash, so that sorting gives text order
+        turned = lambda x: F.shiftleft(x, 64 - _PLACE) + F.shiftrightunsigned(x, _PLACE)
+        chosen = let(_last_below(s, powers, low) + 1, lambda a: F.transform(F.sequence(F.lit(0), F.least(F.lit(tuple_), n) - 1), lambda t: let(F.get(s, (a + t) % n), turned)))
+        mask = F.lit((1 << 64 - _PLACE) - 1)
+        return F.xxhash64(F.transform(F.sort_array(chosen), lambda e: e.bitwiseAND(mask))).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
     def run(s: Column) -> Column:
-        n = F.size(s)
-        return let(_powers(n), lambda powers: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: component(s, n, powers, j)))
+        return let(F.size(s), lambda n: let(_powers(n), lambda powers: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: component(s, n, powers, j))))
 
     return F.when(F.size(ordered) == 0, F.expr("cast(array() as array<int>)")).otherwise(let(ordered, run))
 

@@ -1,10 +1,10 @@
 """Token ids of many texts with a public tokenizer, each distinct piece encoded once.
 
 Both vocabularies split a text into pieces before they merge, and never across the start of a run of white space
-that follows something else. So a batch of texts is cut there, and the distinct chunks are cut further into pieces
-where that is safe (plain Latin letters, digits and punctuation without an apostrophe, and no special token's string); a
-piece is encoded by the tokenizers library once and then looked up. What can't be cut safely is encoded whole. Results equal encoding the
-whole text; the tests check this against the library.
+that follows something else. So a batch of texts is cut there into chunks, and a chunk is cut further, where that is safe
+(plain Latin letters, digits and punctuation without an apostrophe, and no special token's string), wherever the kind of its
+characters changes. The distinct pieces of a batch are encoded by the tokenizers library once and then looked up. What
+can't be cut safely is encoded whole. Results equal encoding the whole text; the tests check this against the library.
 """
 
 from __future__ import annotations
@@ -13,24 +13,30 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from .common import SPACE, buffers, ragged
 
-KEPT = 250_000  # pieces remembered by a worker; others are encoded again when they come up
-KEPT_CHUNKS = 150_000
+KEPT = 200_000  # pieces remembered by a worker; others are encoded again when they come up
 CHUNK = 4 << 20  # bytes of text looked at together
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-# a chunk of these characters alone can be cut into the pieces that the finder gives
-_PLAIN = re.compile(f"[ \n]?[!-&(-~{_LETTER[6:]}]*", re.ASCII)
-_FIND = {
-    # pieces of the byte-level vocabulary: a leading space belongs to the piece
+# what is one piece to the vocabulary itself
+_ONE = {
+    # byte-level vocabulary: a leading space belongs to the piece
     "byte": re.compile(f" ?[{_LETTER}]+| ?[0-9]+| ?[!-&(-/:-@\\[-`{{-~]+|[ \n]"),
-    # pieces of the vocabulary with word ends: white space is dropped, digits are single, letters are lower case
+    # vocabulary with word ends: white space is dropped, digits are single, letters are lower case
     "word": re.compile(f"[{_LETTER}]+|[0-9]|[!-&(-/:-@\\[-`{{-~]+"),
 }
+# kinds of bytes: 0 not safe, 1 letters, 2 digits, 3 punctuation, 4 space, 5 line feed
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[39] = 0
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[32], _KIND[10] = 4, 5
 
 
 _LEAD = np.zeros(256, bool)
@@ -60,18 +66,16 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tok, self.find, self.lower = Tokenizer.from_file(path), _FIND[kind], kind == "word"
+        self.tok, self.one, self.word = Tokenizer.from_file(path), _ONE[kind].fullmatch, kind == "word"
         # strings of special tokens in a text: ordinary text, or the special ids, as the library gives them by default
         self.tok.encode_special_tokens = plain_specials
-        special = [] if plain_specials else [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)", re.IGNORECASE).search
+        self.special = [] if plain_specials else [re.compile(re.escape(t.content.encode())) for t in self.tok.get_added_tokens_decoder().values()]
         self.tok.no_padding()
         self.tok.no_truncation()
         self.letters = dict(enumerate(_byte_letters()))
-        self.piece: dict[str, int] = {}  # number of a piece
-        self.chunk: dict[bytes, int] = {}
+        self.piece: dict[bytes, int] = {}  # number of a piece
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size = array("q"), array("q")  # where the ids of a piece or chunk are, by number
+        self.at, self.size = array("q"), array("q")  # where the ids of a piece are, by number
 
     def _store(self, flat: np.ndarray, n: np.ndarray) -> int:
         """Keeps new lists of ids; the number of the first."""
@@ -84,81 +88,64 @@ class Encoder:
         self.used += len(flat)
         return k
 
-    def _merged(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece; what the finder gives is one piece to the library too, so its merges alone are run."""
-        one, model, letters = self.find.fullmatch, self.tok.model.tokenize, self.letters
-        out = []
-        for p in pieces:
-            if one(p):
-                out.append([t.id for t in model(p.encode().decode("latin-1").translate(letters))])
-            else:
-                out.append(self.tok.encode(p, add_special_tokens=False).ids)
-        return out
+    def _merged(self, piece: bytes) -> list[int]:
+        """Ids of a piece; what is one piece to the vocabulary too needs its merges alone."""
+        p = piece.decode()
+        q = p.lower().lstrip(" ") if self.word else p
+        if self.one(q):
+            return [t.id for t in self.tok.model.tokenize(q.encode().decode("latin-1").translate(self.letters))]
+        return self.tok.encode(p, add_special_tokens=False).ids
 
-    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces, and how many each has."""
-        get = self.piece.get
-        new = [p for p in dict.fromkeys(pieces) if get(p) is None]
-        if new:
-            lists = self._merged(new)
-            n = np.fromiter(map(len, lists), np.int64, len(lists))
-            k = self._store(np.fromiter((x for s in lists for x in s), np.uint32, int(n.sum())), n)
-            self.piece.update(zip(new, range(k, k + len(new))))
-        number = np.fromiter(map(get, pieces), np.int64, len(pieces))
-        at, size = self._place(number)
-        return self.ids[ragged(at, size)], size
-
-    def _place(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of these numbers are, and how many each has (copies: the arrays can grow later)."""
-        if not len(number):
-            return number, number
-        return np.frombuffer(self.at, np.int64)[number], np.frombuffer(self.size, np.int64)[number]
-
-    def _chunks(self, chunks: list[bytes]) -> np.ndarray:
-        """The number of each chunk, new ones cut and encoded."""
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """The number of each piece, new ones encoded."""
         if len(self.piece) > KEPT:  # start anew: bounded memory, same ids
             self.piece.clear()
-            self.chunk.clear()
             self.at, self.size, self.used = array("q"), array("q"), 0
-        elif len(self.chunk) > KEPT_CHUNKS:
-            self.chunk.clear()
-        get = self.chunk.get
-        new = [c for c in chunks if get(c) is None]
+        new = [p for p in pieces if p not in self.piece]
         if new:
-            pieces, n = [], []
-            plain, find, special = _PLAIN.fullmatch, self.find.findall, self.special
-            for c in map(bytes.decode, new):
-                p = find(c.lower() if self.lower else c) if plain(c) and not special(c) else [c]
-                pieces += p
-                n.append(len(p))
-            flat, size = self._pieces(pieces)
-            edge = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n, dtype=np.int64)))]
-            k = self._store(flat, np.diff(edge))
-            self.chunk.update(zip(new, range(k, k + len(new))))
-        return np.fromiter(map(get, chunks), np.int64, len(chunks))
+            lists = list(map(self._merged, new))
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            k = self._store(np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum())), n)
+            self.piece.update(zip(new, range(k, k + len(new))))
+        return np.fromiter(map(self.piece.__getitem__, pieces), np.int64, len(pieces))
+
+    def _cuts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Where pieces begin."""
+        kind, space = _KIND[data], SPACE[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = 1
+        cut = np.zeros(len(data), bool)
+        cut[1:] = space[1:] & ~space[:-1] & ~white_tails(data)[:-1]
+        cut[off[:-1][off[:-1] < len(data)]] = True
+        chunk = np.flatnonzero(cut)
+        unsafe = (kind == 0) | (space & ~cut)
+        raw = data.tobytes() if self.special else b""
+        for s in self.special:
+            unsafe[[m.start() for m in s.finditer(raw)]] = True
+        safe = np.repeat(~np.logical_or.reduceat(unsafe, chunk), np.diff(np.append(chunk, len(data))))
+        change = kind[1:] != kind[:-1]
+        if self.word:
+            change |= kind[1:] == 2
+        cut[1:] |= change & (data[:-1] != 32) & safe[1:]
+        return np.flatnonzero(cut)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 offsets of the texts among them; null reads as empty."""
         data, off = buffers(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        space = SPACE[data]
-        cut = np.zeros(len(data), bool)
-        cut[1:] = space[1:] & ~space[:-1] & ~white_tails(data)[:-1]
-        cut[off[:-1][off[:-1] < len(data)]] = True
-        begin = np.flatnonzero(cut)
-        at = np.searchsorted(begin, off)  # chunks of each text
+        begin = self._cuts(data, off)
+        at = np.searchsorted(begin, off)  # pieces of each text
         begin = np.append(begin, len(data))
-        chunks = pa.LargeStringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
-        coded = chunks.dictionary_encode()
+        coded = pa.LargeStringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
         raw = buffers(coded.dictionary)
         text, edge = raw[0].tobytes(), raw[1].tolist()
-        number = self._chunks([text[x:y] for x, y in zip(edge, edge[1:])])
-        at_id, size = self._place(number)
+        number = self._numbers([text[x:y] for x, y in zip(edge, edge[1:])])
         index = coded.indices.to_numpy()
-        long = size[index]
-        out = self.ids[ragged(at_id[index], long)]
-        return out, np.concatenate(([0], np.cumsum(long)))[at]
+        size = np.frombuffer(self.size, np.int64)[number][index]
+        out = self.ids[ragged(np.frombuffer(self.at, np.int64)[number][index], size)]
+        return out, np.concatenate(([0], np.cumsum(size)))[at]
 
 
 def _byte_letters() -> list[str]:

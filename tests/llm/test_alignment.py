@@ -130,5 +130,7 @@ def test_chunks_encode_like_whole_texts():
         raw = data.tobytes()
         chunks = [raw[edge[k]:edge[k + 1]] for k in number.tolist()]
         assert b"".join(chunks) == (" " + t).encode()
-        assert left.encode(chunks)[0].tolist() == a(t)[0]
-        assert right.encode(chunks)[0].tolist() == b(t)[0]
+        edge = np.cumsum([0, *map(len, chunks)])
+        data = np.frombuffer(b"".join(chunks), np.uint8)
+        assert left.encode(data, edge)[0].tolist() == a(t)[0]
+        assert right.encode(data, edge)[0].tolist() == b(t)[0]

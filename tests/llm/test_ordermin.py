@@ -39,12 +39,12 @@ def plain(text, k=3, tup=2, size=64, bits=16):
         v = signed(longs(units[i:i + k])) >> 28
         occ = seen.get(v, 0)
         seen[v] = occ + 1
-        mers.append((signed(h64(struct.pack("<I", occ), longs([v]))) >> 28, i))
+        mers.append((signed(h64(struct.pack("<I", occ), longs([v]))) >> 28 if occ else v, i))
     out = []
     for j in range(size):
         low = (j - size // 2) * (1 << 36) // size
         turn = sorted(mers, key=lambda m: ((m[0] - low) % (1 << 36), m[1]))[:tup]
-        out.append(longs([v for v, _ in sorted(turn, key=lambda m: (m[1], m[0]))]) & ((1 << bits) - 1))
+        out.append(longs([v & ((1 << 36) - 1) for v, _ in sorted(turn, key=lambda m: (m[1], m[0]))]) & ((1 << bits) - 1))
     return out
 
 
