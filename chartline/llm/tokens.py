@@ -20,7 +20,7 @@ import pyarrow as pa
 
 from .common import SPACE, buffers, ragged
 
-KEPT = 200_000  # pieces remembered by a worker; others are encoded again when they come up
+KEPT = 250_000  # pieces remembered by a worker; others are encoded again when they come up
 CHUNK = 4 << 20  # bytes of text looked at together
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 # what is one piece to the vocabulary itself
@@ -28,7 +28,7 @@ _ONE = {
     # byte-level vocabulary: a leading space belongs to the piece
     "byte": re.compile(f" ?[{_LETTER}]+| ?[0-9]+| ?[!-&(-/:-@\\[-`{{-~]+|[ \n]"),
     # vocabulary with word ends: white space is dropped, digits are single, letters are lower case
-    "word": re.compile(f"[{_LETTER}]+|[0-9]|[!-&(-/:-@\\[-`{{-~]+"),
+    "word": re.compile(f"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{{-~]+"),
 }
 # kinds of bytes: 0 not safe, 1 letters, 2 digits, 3 punctuation, 4 space, 5 line feed
 _KIND = np.zeros(256, np.uint8)
@@ -91,9 +91,8 @@ class Encoder:
     def _merged(self, piece: bytes) -> list[int]:
         """Ids of a piece; what is one piece to the vocabulary too needs its merges alone."""
         p = piece.decode()
-        q = p.lower().lstrip(" ") if self.word else p
-        if self.one(q):
-            return [t.id for t in self.tok.model.tokenize(q.encode().decode("latin-1").translate(self.letters))]
+        if self.one(p):
+            return [t.id for t in self.tok.model.tokenize(piece.decode("latin-1").translate(self.letters))]
         return self.tok.encode(p, add_special_tokens=False).ids
 
     def _numbers(self, pieces: list[bytes]) -> np.ndarray:
@@ -109,8 +108,8 @@ class Encoder:
             self.piece.update(zip(new, range(k, k + len(new))))
         return np.fromiter(map(self.piece.__getitem__, pieces), np.int64, len(pieces))
 
-    def _cuts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Where pieces begin."""
+    def _cuts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces begin; and the bytes, in lower case where the vocabulary has no other and chunks are safe."""
         kind, space = _KIND[data], SPACE[data]
         lead = np.flatnonzero(data[:-1] == 0xC3)
         lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
@@ -125,17 +124,20 @@ class Encoder:
             unsafe[[m.start() for m in s.finditer(raw)]] = True
         safe = np.repeat(~np.logical_or.reduceat(unsafe, chunk), np.diff(np.append(chunk, len(data))))
         change = kind[1:] != kind[:-1]
-        if self.word:
-            change |= kind[1:] == 2
-        cut[1:] |= change & (data[:-1] != 32) & safe[1:]
-        return np.flatnonzero(cut)
+        if not self.word:
+            cut[1:] |= change & (data[:-1] != 32) & safe[1:]
+            return np.flatnonzero(cut), data
+        cut[1:] |= (change | (kind[1:] == 2)) & safe[1:]
+        upper = safe & (data >= 65) & (data <= 90)
+        upper[lead + 1] |= safe[lead + 1] & (data[lead + 1] <= 0x9E)
+        return np.flatnonzero(cut), data + (upper.view(np.uint8) << np.uint8(5))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 offsets of the texts among them; null reads as empty."""
         data, off = buffers(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        begin = self._cuts(data, off)
+        begin, data = self._cuts(data, off)
         at = np.searchsorted(begin, off)  # pieces of each text
         begin = np.append(begin, len(data))
         coded = pa.LargeStringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
