@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as x
-from ..operators import evaluate as e
+from ..operators import evaluate as e, resample
 from . import learn
 from .base import ANCH, PRED, SPINE, query, r, rounded, with_
 from .hygiene import FEATS, features
@@ -47,17 +47,20 @@ def _(t):
     return rounded(e.auroc_auprc(t.pred, ["grp"]))
 
 
-@query("v03_bootstrap_ci", f"""{PR}, dr AS (SELECT unnest(range(20)) AS draw), u AS (SELECT label, score, draw, CAST('0x' || substr(md5(concat_ws('|', entity, '42', draw)), 1, 7) AS BIGINT) / 268435456.0::DOUBLE AS u FROM pred, dr),
-w AS (SELECT *, CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.91969860 THEN 2 WHEN u < 0.98101184 THEN 3 WHEN u < 0.99634015 THEN 4 WHEN u < 0.99940582 THEN 5 WHEN u < 0.99991676 THEN 6 ELSE 7 END AS w FROM u),
+_CUTS = " ".join(f"WHEN u < {c!r} THEN {i}" for i, c in enumerate(resample.POISSON))
+
+
+@query("v03_bootstrap_ci", f"""{PR}, dr AS (SELECT unnest(range(-1, 1000)) AS draw), u AS (SELECT label, score, draw, CASE WHEN draw < 0 THEN -1 ELSE CAST('0x' || substr(sha256(concat_ws('|', entity, '42', draw // 8)), CAST(1 + 8 * (draw % 8) AS INTEGER), 8) AS BIGINT) / 4294967296.0::DOUBLE END AS u FROM pred, dr),
+w AS (SELECT draw, score, label, CASE WHEN draw < 0 THEN 1 {_CUTS} ELSE {len(resample.POISSON)} END AS w FROM u),
 c AS (SELECT draw, score, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN label = 0 THEN w ELSE 0 END) AS q FROM w GROUP BY 1, 2),
-k AS (SELECT *, sum(q) OVER (PARTITION BY draw ORDER BY score) - q AS qb FROM c),
-m AS (SELECT draw, sum(p * (qb + q / 2.0::DOUBLE)) / (sum(p) * sum(q)) AS auroc, sum(p) FILTER (WHERE score >= 0.55::DOUBLE) / sum(p)::DOUBLE AS sensitivity, (sum(q) - sum(q) FILTER (WHERE score >= 0.55::DOUBLE)) / sum(q)::DOUBLE AS specificity,
+k AS (SELECT *, sum(q) OVER (PARTITION BY draw ORDER BY score) - q AS qb, sum(p) OVER d AS tp, sum(q) OVER d AS fp FROM c WINDOW d AS (PARTITION BY draw ORDER BY score DESC)),
+m AS (SELECT draw, sum(p * (qb + q / 2.0::DOUBLE)) / (sum(p) * sum(q)) AS auroc, sum(CASE WHEN tp + fp > 0 THEN p * tp / (tp + fp)::DOUBLE ELSE 0 END) / sum(p) AS auprc, sum(p) FILTER (WHERE score >= 0.55::DOUBLE) / sum(p)::DOUBLE AS sensitivity, (sum(q) - sum(q) FILTER (WHERE score >= 0.55::DOUBLE)) / sum(q)::DOUBLE AS specificity,
   sum(p) FILTER (WHERE score >= 0.55::DOUBLE) / (sum(p) FILTER (WHERE score >= 0.55::DOUBLE) + sum(q) FILTER (WHERE score >= 0.55::DOUBLE))::DOUBLE AS ppv,
   sum(q) FILTER (WHERE score < 0.55::DOUBLE) / (sum(q) FILTER (WHERE score < 0.55::DOUBLE) + sum(p) FILTER (WHERE score < 0.55::DOUBLE))::DOUBLE AS npv FROM k GROUP BY 1),
-l AS (UNPIVOT m ON auroc, sensitivity, specificity, ppv, npv INTO NAME metric VALUE v)
-SELECT metric, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM l GROUP BY 1""")
+l AS (UNPIVOT m ON auroc, auprc, sensitivity, specificity, ppv, npv INTO NAME metric VALUE v)
+SELECT metric, round(max(v) FILTER (WHERE draw < 0), 6) AS point, round(quantile_cont(v, 0.025) FILTER (WHERE draw >= 0), 6) AS lo, round(quantile_cont(v, 0.975) FILTER (WHERE draw >= 0), 6) AS hi FROM l GROUP BY 1""")
 def _(t):
-    return rounded(e.bootstrap(t.pred, THR, draws=20))
+    return rounded(resample.bootstrap(t.pred, THR))
 
 
 ROC = """sc AS (SELECT grp, score, sum(label) AS p, count(*) - sum(label) AS q FROM pred GROUP BY 1, 2),

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import skew
 from ..functions import scalar as x
-from .discover import with_weights
 from .hygiene import auc_table
 
 # Sensitivity points and the floors (sensitivity, specificity) of the tiers.
@@ -62,35 +61,6 @@ def auroc_auprc(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return t.select(*by, "n_pos", "n_neg", _div(F.col("_u"), F.col("n_pos") * F.col("n_neg")).alias("auroc"), _div(F.col("_a"), F.col("n_pos")).alias("auprc"))
 
 
-def bootstrap(pred: DataFrame, threshold: float, draws: int = 100, seed: str = "42", id_col: str = "entity") -> DataFrame:
-    """Percentile intervals of AUROC, sensitivity, specificity, PPV and NPV over Poisson resamples within class.
-
-    The weights of all draws ride along as columns and reduce to distinct
-    scores in one pass; only those small sums are ranked per draw. Weights
-    come from md5 of the id, so the intervals are reproducible.
-    """
-    y = F.col("label") == 1
-    aggs = []
-    for b in range(draws):
-        w = F.col(f"w{b}")
-        aggs += [F.sum(F.when(y, w).otherwise(0)).alias(f"p{b}"), F.sum(F.when(y, 0).otherwise(w)).alias(f"q{b}")]
-    c = with_weights(pred, draws, seed, ["label", "score"], id_col).groupBy("score").agg(*aggs)
-    pair = F.array(*[F.struct(F.col(f"p{b}").alias("p"), F.col(f"q{b}").alias("q")) for b in range(draws)])
-    long = c.select("score", F.posexplode(pair).alias("draw", "s")).select("draw", "score", "s.p", "s.q")
-    r = skew.running_total(long, ["draw"], "score", ["q"], skew.number_buckets(F.col("score")))
-    p, q, hit = F.col("p"), F.col("q"), F.col("score") >= threshold
-    t = r.groupBy("draw").agg(
-        F.sum(p * (F.col("q_before") + q / 2.0)).alias("u"), F.sum(p).alias("P"), F.sum(q).alias("N"),
-        F.sum(F.when(hit, p).otherwise(0)).alias("tp"), F.sum(F.when(hit, q).otherwise(0)).alias("fp"))
-    P, N, tp, fp = (F.col(k) for k in ("P", "N", "tp", "fp"))
-    per = t.select(_div(F.col("u"), P * N).alias("auroc"), _div(tp, P).alias("sensitivity"), _div(N - fp, N).alias("specificity"),
-                   _div(tp, tp + fp).alias("ppv"), _div(N - fp, N - fp + P - tp).alias("npv"))
-    names = ("auroc", "sensitivity", "specificity", "ppv", "npv")
-    stats = per.agg(*[F.percentile(n, F.lit(q)).alias(f"{n}|{k}") for n in names for q, k in ((0.025, "lo"), (0.975, "hi"))])
-    return stats.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("metric"), F.col(f"{n}|lo").alias("lo"), F.col(f"{n}|hi").alias("hi")) for n in names])).alias("r")).select("r.*")
-
-
 # --- thresholds -------------------------------------------------------------
 def operating_points(pred: DataFrame, by: Sequence[str] = (), min_sens: float | None = None, min_spec: float | None = None) -> DataFrame:
     """Youden, tier ladder, balanced and high-sensitivity operating points per group, and the tier chosen.
