@@ -8,9 +8,9 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import functions as F
 
 from ..functions import scalar as x
-from ..operators import discover, evaluate as e, hygiene as h, learn as m, split as sp
+from ..operators import discover, evaluate as e, horizons as hz, hygiene as h, learn as m, split as sp
 from ..session import cut_lineage
-from .base import PRED, SPINE, query, r, rounded, with_
+from .base import ANCH, PRED, SPINE, query, r, rounded, with_
 
 FEATS = ["price", "age", "big", "male", "urgent"]
 MATRIX = f"""{PRED}"""
@@ -105,17 +105,20 @@ def _(t):
     return rounded(m.fit_bundle(mat, FEATS, rounds=5, trees=10).score(mat.where("split = 'test'")))
 
 
-HORIZON = """near AS (SELECT entity, score, CASE WHEN cust % 5 = 0 THEN 1 ELSE 0 END AS insufficient FROM pred WHERE entity % 7 <> 0),
-far AS (SELECT entity, score * 0.9::DOUBLE + 0.05::DOUBLE AS score, CASE WHEN cust % 10 = 0 THEN 1 ELSE 0 END AS insufficient FROM pred WHERE entity % 11 <> 0)"""
+HORIZON = """near AS (SELECT entity, sum(value) / (sum(value) + 300.0::DOUBLE) AS score, CASE WHEN count(*) < 3 THEN 1 ELSE 0 END AS insufficient FROM anch WHERE days_before < 400 GROUP BY 1),
+far AS (SELECT entity, sum(value) / (sum(value) + 1500.0::DOUBLE) AS score, CASE WHEN count(*) < 10 THEN 1 ELSE 0 END AS insufficient FROM anch GROUP BY 1)"""
 
 
 def horizons(t):
-    near = t.pred.where("entity % 7 <> 0").select("entity", "score", x.flag(F.col("cust") % 5 == 0).alias("insufficient"))
-    far = t.pred.where("entity % 11 <> 0").select("entity", (F.col("score") * 0.9 + 0.05).alias("score"), x.flag(F.col("cust") % 10 == 0).alias("insufficient"))
-    return near, far
+    """Scores of two lookbacks: a customer without events in a window is not scored by it."""
+    def window(ev, half, few):
+        s = F.sum("value")
+        return ev.groupBy("entity").agg((s / (s + half)).alias("score"), x.flag(F.count(F.lit(1)) < few).alias("insufficient"))
 
+    return window(t.anch.where("days_before < 400"), 300.0, 3), window(t.anch, 1500.0, 10)
 
-@query("m10_dual_horizon", f"""{with_(PRED, HORIZON)}, j AS (SELECT coalesce(n.entity, f.entity) AS entity, n.score AS pn, f.score AS pf, coalesce(n.insufficient, 1) AS i1, coalesce(f.insufficient, 1) AS i2 FROM near n FULL JOIN far f ON f.entity = n.entity),
+
+@query("m10_dual_horizon", f"""{with_(ANCH, HORIZON)}, j AS (SELECT coalesce(n.entity, f.entity) AS entity, n.score AS pn, f.score AS pf, coalesce(n.insufficient, 1) AS i1, coalesce(f.insufficient, 1) AS i2 FROM near n FULL JOIN far f ON f.entity = n.entity),
 k AS (SELECT *, coalesce(pn >= 0.7, false) AS fn, coalesce(pf >= 0.65, false) AS ff FROM j)
 SELECT entity, round(greatest(pn, pf), 6) AS p_max, round(coalesce((pn + pf) / 2, pn, pf), 6) AS p_mean, CAST(fn OR ff AS INTEGER) AS flag_or, CASE WHEN fn OR ff THEN 'Cancer' WHEN i1 = 1 AND i2 = 1 THEN 'Not enough data' ELSE 'No Cancer' END AS verdict,
   concat_ws(',', CASE WHEN fn THEN '1mo' END, CASE WHEN ff THEN '12mo' END) AS fired_by FROM k""")
@@ -123,6 +126,57 @@ def _(t):
     return rounded(e.combine_horizons(*horizons(t), 0.7, 0.65))
 
 
+def _newton(name: str, x1: str, x2: str, penalty: str) -> str:
+    """Coefficients of a logistic regression on two columns of ``cal``: 30 Newton steps, three equations solved by determinants."""
+    det = lambda a, b, c: f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {b[0]} * ({a[1]} * {c[2]} - {a[2]} * {c[1]}) + {c[0]} * ({a[1]} * {b[2]} - {a[2]} * {b[1]}))"
+    h = [["h00", "h01", "h02"], ["h01", "h11", "h12"], ["h02", "h12", "h22"]]
+    col = [[h[i][j] for i in range(3)] for j in range(3)]
+    g = ["g0", "g1", "g2"]
+    step = [det(*[g if j == i else col[j] for j in range(3)]) + " / " + det(*col) for i in range(3)]
+    return f"""{name}_pts AS (SELECT {x1}::DOUBLE AS x1, {x2}::DOUBLE AS x2, label AS y, count(*)::DOUBLE AS w FROM cal GROUP BY 1, 2, 3),
+{name}(i, b0, b1, b2) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT i + 1, b0 + {step[0]}, b1 + {step[1]}, b2 + {step[2]} FROM (
+  SELECT i, b0, b1, b2, sum(w * (y - p)) AS g0, sum(w * (y - p) * x1) - {penalty} * b1 AS g1, sum(w * (y - p) * x2) - {penalty} * b2 AS g2, sum(v) AS h00, sum(v * x1) AS h01, sum(v * x2) AS h02,
+    sum(v * x1 * x1) + {penalty} AS h11, sum(v * x1 * x2) AS h12, sum(v * x2 * x2) + {penalty} AS h22
+  FROM (SELECT *, w * p * (1 - p) AS v FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM {name}, {name}_pts)) GROUP BY i, b0, b1, b2) WHERE i < 30)"""
+
+
+DUAL = f"""{with_(ANCH, HORIZON).replace("WITH ", "WITH RECURSIVE ", 1)}, dual AS (SELECT n.entity, CASE WHEN f.score + n.entity % 13 / 26.0::DOUBLE > 0.9 THEN 1 ELSE 0 END AS label, n.score AS near, f.score AS far FROM near n JOIN far f ON f.entity = n.entity),
+parted AS (SELECT d.*, s.split FROM dual d JOIN {_split_sql({'cal': 0.5, 'test': 0.5}, 42, 'dual')} s ON s.entity = d.entity), cal AS (SELECT * FROM parted WHERE split = 'cal'),
+{_newton("pn", "near", "0", "1e-9::DOUBLE")}, {_newton("pf", "far", "0", "1e-9::DOUBLE")}, {_newton("st", "near", "far", "1.0::DOUBLE")}"""
+_LOGIT = "1 / (1 + exp(-({m}.b0 + {m}.b1 * {a} + {m}.b2 * {b})))"
+SCORED = f"""{DUAL}, scored AS (SELECT entity, label, {_LOGIT.format(m="pn", a="near", b="0")} AS near, {_LOGIT.format(m="pf", a="far", b="0")} AS far, {_LOGIT.format(m="st", a="near", b="far")} AS stack
+  FROM parted, (SELECT * FROM pn WHERE i = 30) pn, (SELECT * FROM pf WHERE i = 30) pf, (SELECT * FROM st WHERE i = 30) st WHERE split = 'test')"""
+
+
+def dual(t):
+    near, far = horizons(t)
+    both = near.select("entity", F.col("score").alias("near")).join(far.select("entity", F.col("score").alias("far")), "entity")
+    d = both.withColumn("label", x.flag(F.col("far") + F.col("entity") % 13 / 26.0 > 0.9))
+    part = sp.split(d.select("entity", "label"), {"cal": 0.5, "test": 0.5}).select("entity", "split")
+    return hz.stacked(cut_lineage(d.join(part, "entity")), F.col("split") == "cal")
+
+
+@query("m10_stacked_scores", f"{SCORED} SELECT entity, label, round(near, 6) AS near, round(far, 6) AS far, round(greatest(near, far), 6) AS max, round((near + far) / 2, 6) AS mean, round(stack, 6) AS stack FROM scored")
+def _(t):
+    return rounded(dual(t)[0])
+
+
+@query("m10_stack_weights", f"""{DUAL} SELECT unnest(['intercept', 'near', 'far']) AS name, round(unnest([b0, b1, b2]), 6) AS weight FROM st WHERE i = 30""")
+def _(t):
+    return rounded(dual(t)[1].table(t.spark))
+
+
+@query("m10_horizon_report", f"""{SCORED}, long AS (SELECT label, 'near' AS combine, near AS score FROM scored UNION ALL SELECT label, 'far', far FROM scored UNION ALL SELECT label, 'max', greatest(near, far) FROM scored UNION ALL SELECT label, 'mean', (near + far) / 2 FROM scored UNION ALL SELECT label, 'stack', stack FROM scored),
+g AS (SELECT combine, score, sum(label) AS p, count(*) - sum(label) AS q FROM long GROUP BY 1, 2),
+k AS (SELECT *, sum(p) OVER d AS tp, sum(q) OVER d AS fp, sum(p) OVER (PARTITION BY combine) AS pa, sum(q) OVER (PARTITION BY combine) AS qa FROM g WINDOW d AS (PARTITION BY combine ORDER BY score DESC)),
+b AS (SELECT combine, sum(p * (qa - fp + q / 2.0::DOUBLE)) / (max(pa) * max(qa)) AS auroc, sum(p * tp / (tp + fp)::DOUBLE) / max(pa) AS auprc, max({{'o': round(tp / pa::DOUBLE + 1 - fp / qa::DOUBLE, 12), 's': score, 'tp': tp, 'fp': fp, 'pa': pa, 'qa': qa}}) AS m FROM k GROUP BY 1),
+cm AS (SELECT combine, m.s AS threshold, auroc, auprc, m.tp AS tp, m.fp AS fp, m.pa AS pa, m.qa AS qa FROM b UNION ALL
+  SELECT 'or', NULL, NULL, NULL, sum(CASE WHEN hit THEN label ELSE 0 END), sum(CASE WHEN hit THEN 1 - label ELSE 0 END), sum(label), sum(1 - label) FROM (SELECT label, near >= (SELECT m.s FROM b WHERE combine = 'near') OR far >= (SELECT m.s FROM b WHERE combine = 'far') AS hit FROM scored))
+SELECT combine, round(threshold, 6) AS threshold, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, round(tp / pa::DOUBLE, 6) AS sensitivity, round((qa - fp) / qa::DOUBLE, 6) AS specificity, round(tp / (tp + fp)::DOUBLE, 6) AS ppv, round((qa - fp) / (qa - fp + pa - tp)::DOUBLE, 6) AS npv FROM cm""")
+def _(t):
+    return rounded(hz.report(cut_lineage(dual(t)[0])))
+
+
 _CONTRACT = """c AS (SELECT entity // 2 AS entity, CASE WHEN entity % 100 = 3 THEN 'train' WHEN entity % 2 = 0 THEN 'valid' ELSE 'test' END AS split, CASE WHEN entity % 50 = 7 THEN NULL WHEN entity % 90 = 4 THEN 1.5::DOUBLE ELSE score END AS proba_1,
   CASE WHEN entity % 70 = 9 THEN 0.0::DOUBLE ELSE 1 - score END AS proba_0, entity % 25 = 7 AS abstained FROM pred)"""
 
