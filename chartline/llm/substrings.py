@@ -4,7 +4,8 @@ The suffixes of all texts (at words, with ``WORDS`` words or more left) are spli
 length: a suffix's prefix ends with the least, by hash, of the ``GRAM``-word grams among its first WORDS words, and
 that gram is the group's key. Suffixes that agree on WORDS words have the same prefix, so a repeat never crosses
 groups. Neighbouring suffixes of a text mostly share their gram, so they travel as one record, a short stretch of
-words; grams that occur once in the corpus can't begin a repeat and are dropped before any words are sent.
+words. Grams that occur once in the corpus can't begin a repeat: the others are marked in a bitmap of fixed size, and a
+stretch is sent only if its gram's bit is set (a gram that shares a bit by chance is a group of its own and finds nothing).
 
 A task reads its groups in chunks of bounded size and builds their trees as sorted suffixes with common prefixes,
 cut at WORDS words: internal nodes at that depth are the repeated word sequences, the first leaf of a node by
@@ -12,8 +13,9 @@ cut at WORDS words: internal nodes at that depth are the repeated word sequences
 by document: each part reports its nodes' earliest leaves, and these meet once more under the whole sequence's
 128-bit hash, at most one per part. Adjacent repeats of a text join to maximal repeated stretches.
 
-Windows are judged on the input. A null text has no words; a null doc_id counts as later than all others; repeated
-rows (same doc_id and text) are one document, equally treated and all returned; an empty table gives an empty one.
+Windows are judged on the input. A null text has no words; a null doc_id counts as later than all others; different texts
+of one doc_id follow each other by a hash; repeated rows (same doc_id and text) are one document, equally treated and all
+returned; an empty table gives an empty one; columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..skew import join_null_safe
 from .common import buffers, mix, ragged, slice_hashes, stored, words
 from .tokens import sliced
 
@@ -33,6 +35,7 @@ WORDS, GRAM = 20, 6
 GROUP = 4_000  # suffixes of a group that a task builds at once
 CHUNK = 1 << 20  # words of records that a task looks at together
 LONGEST = 256  # suffixes in a record
+SLOTS = 26  # bits of the map of keys that occur again, 8 MB whatever the corpus
 LAST = (1 << 63) - 1  # stands for a null doc_id
 _R = np.uint64(0xD1342543DE82EF95)
 _Q = np.uint64(0xAF251AF3B0F025B5)
@@ -93,13 +96,9 @@ class Stretches:
         self.lo, self.n = s - at[self.text], n
 
 
-def _doc(c: str = "doc_id") -> Column:
-    return F.coalesce(F.col(c).cast("long"), F.lit(LAST)).alias("doc")
-
-
-def _tag() -> Column:
-    """24 bits that tell texts with one doc_id apart."""
-    return F.shiftrightunsigned(F.xxhash64("text"), 40).alias("tag")
+def _keys() -> list[Column]:
+    """What a document is known by: its id, and a hash of its text that tells texts of one id (or of none) apart."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("tag")]
 
 
 def grams(docs: DataFrame) -> DataFrame:
@@ -116,44 +115,37 @@ def grams(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, n long")
 
 
-def stretches(docs: DataFrame) -> DataFrame:
-    """(doc, key, at): all records; ``at`` packs the first suffix (30 bits), the number of suffixes (9) and the tag (24)."""
+def bitmap(many: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """A bit for each value of a key's upper ``slots`` bits: whether such a key is in the table. Its size is fixed."""
+    slot = F.shiftrightunsigned("key", 64 - slots)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    rows = many.select(F.shiftright(slot, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (slots - 6), np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def records(docs: DataFrame, seen: np.ndarray) -> DataFrame:
+    """(key, doc, tag, lo, n, words): the stretches whose key may occur again, with their words."""
+    shift, low = np.uint64(64 - (len(seen).bit_length() + 5)), np.uint64(63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x, y in sliced(b.column("text"), 8 << 20):
+            for x, y in sliced(b.column("text"), 4 << 20):
                 part = b.slice(x, y - x)
                 s = Stretches(part.column("text"))
-                tag = part.column("tag").to_numpy()[s.text]
-                at = s.lo << 33 | s.n << 24 | tag
-                yield pa.RecordBatch.from_arrays([pa.array(part.column("doc").to_numpy()[s.text]), pa.array(s.key.view(np.int64)), pa.array(at)], names=["doc", "key", "at"])
-
-    return docs.select(_doc(), "text", _tag()).mapInArrow(run, "doc long, key long, at long")
-
+                slot = s.key >> shift
+                use = np.flatnonzero(seen[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & low) & np.uint64(1))
+                data, off = buffers(part.column("text"))
+                start, end, edge = words(data, off)
+                row, lo, n = s.text[use], s.lo[use], s.n[use]
+                first = edge[row] + lo
+                raw = data.tobytes()
+                cut = [raw[i:j] for i, j in zip(start[first].tolist(), end[first + n + WORDS - 2].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(s.key[use].view(np.int64)), *[pa.array(part.column(c).to_numpy()[row]) for c in ("doc", "tag")], pa.array(lo), pa.array(n), pa.array(cut, pa.binary())],
+                                                 names=["key", "doc", "tag", "lo", "n", "words"])
 
-def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """The words of each wanted record: key, salt, parts, doc, tag, lo, n, words."""
-    for b in batches:
-        for x, y in sliced(b.column("text"), 8 << 20):
-            part = b.slice(x, y - x)
-            data, off = buffers(part.column("text"))
-            start, end, edge = words(data, off)
-            rec = part.column("recs")
-            row = np.repeat(np.arange(len(part)), pc.list_value_length(rec).fill_null(0).to_numpy())
-            flat = rec.flatten()
-            at, key, many = (flat.field(c).to_numpy() for c in ("at", "key", "n"))
-            doc, tag = part.column("doc").to_numpy()[row], part.column("tag").to_numpy()[row]
-            own = (at & ((1 << 24) - 1)) == tag  # records of another text with this doc_id are left to it
-            row, at, key, many, doc, tag = row[own], at[own], key[own], many[own], doc[own], tag[own]
-            lo, n = at >> 33, at >> 24 & 511
-            first = edge[row] + lo
-            buf = data.tobytes()
-            a, z = start[first].tolist(), end[first + n + WORDS - 2].tolist()
-            parts = -(-many // most)
-            salt = (mix(doc.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(salt), pa.array(parts), pa.array(doc), pa.array(tag), pa.array(lo), pa.array(n), pa.array([buf[i:j] for i, j in zip(a, z)], pa.binary())],
-                names=["key", "salt", "parts", "doc", "tag", "lo", "n", "words"])
+    return docs.select(*_keys(), "text").mapInArrow(run, "key long, doc long, tag long, lo long, n long, words binary")
 
 
 def _subtrees(t: pa.Table) -> pa.RecordBatch:
@@ -180,7 +172,7 @@ def _subtrees(t: pa.Table) -> pa.RecordBatch:
             if j + i < WORDS:
                 c |= ids[p + j + i] << (42 - 21 * i)
         cols.append(c)
-    order = np.lexsort((begin, doc[rec], *cols[::-1], group[rec]))
+    order = np.lexsort((begin, tag[rec], doc[rec], *cols[::-1], group[rec]))
     new = np.ones(len(order), bool)
     if len(order):
         alike = group[rec][order][1:] == group[rec][order][:-1]
@@ -190,7 +182,7 @@ def _subtrees(t: pa.Table) -> pa.RecordBatch:
     # the earliest leaf of each node; leaves at the very same place (repeated rows) are no repeats
     first = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
     later = np.zeros(len(order), bool)
-    later[order] = (doc[rec][order] != doc[rec][first]) | (begin[order] != begin[first])
+    later[order] = (doc[rec][order] != doc[rec][first]) | (tag[rec][order] != tag[rec][first]) | (begin[order] != begin[first])
     kept = ~later & (parts[rec] > 1)
     # repeats as stretches of suffixes
     i = np.flatnonzero(later)
@@ -240,24 +232,22 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc, tag, lo, hi): suffixes lo .. hi of a document start with WORDS words that also start earlier."""
-    many = grams(docs).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    wanted = stretches(docs).join(many, "key").groupBy("doc").agg(F.collect_list(F.struct("at", "key", "n")).alias("recs"))
-    source = docs.select(_doc(), "text", _tag()).join(wanted, "doc")
-    recs = source.mapInArrow(lambda it: _cut(it, group), "key long, salt long, parts long, doc long, tag long, lo long, n long, words binary")
+    many = stored(grams(docs).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "grams", "zstd")
+    hot = stored(many.where(F.col("n") > group).select("key", F.ceil(F.col("n") / group).cast("long").alias("parts")), "hot-grams")
+    recs = records(docs, bitmap(many)).join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("salt", F.pmod(F.xxhash64("doc", "tag"), F.col("parts")))
     found = recs.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_trees, "whole boolean, doc long, tag long, lo long, hi long, w1 long, w2 long")
     found = stored(found, "repeats")
     leaves = found.where("NOT whole")
-    least = leaves.groupBy("w1", "w2").agg(F.min(F.struct("doc", "lo")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    late = leaves.join(least, ["w1", "w2"]).where("struct(doc, lo) > m")
+    least = leaves.groupBy("w1", "w2").agg(F.min(F.struct("doc", "tag", "lo")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    late = leaves.join(least, ["w1", "w2"]).where("struct(doc, tag, lo) > m")
     return found.where("whole").select("doc", "tag", "lo", "hi").unionByName(late.select("doc", "tag", "lo", "hi"))
 
 
 def removed(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """All columns of ``docs`` with _n_words, _n_removed and _kept: the words no repeat covers, joined by one space."""
-    runs = repeats(docs.select("doc_id", "text"), group).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("_runs"))
-    names = docs.columns
-    d = docs.select("*", _doc().alias("_doc"), _tag().alias("_tag"))
-    d = join_null_safe(d, runs.withColumnsRenamed({"doc": "_doc", "tag": "_tag"}), ["_doc", "_tag"], "left").select(*names, "_runs")
+    """(row, n_words, n_removed, kept): each row of ``docs`` as a struct, and the words no repeat covers, joined by one space."""
+    runs = repeats(docs.select("doc_id", "text"), group).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    # the input's columns travel as one, so that their names meet no others
+    d = docs.select(F.struct(*docs.columns).alias("row"), *_keys()).join(runs, ["doc", "tag"], "left").select("row", F.col("row.text").alias("text"), "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -265,7 +255,7 @@ def removed(docs: DataFrame, group: int = GROUP) -> DataFrame:
                 b = whole.slice(x, y - x)
                 data, off = buffers(b.column("text"))
                 start, end, edge = words(data, off)
-                rec = b.column("_runs")
+                rec = b.column("runs")
                 row = np.repeat(np.arange(b.num_rows), pc.list_value_length(rec).fill_null(0).to_numpy())
                 flat = rec.flatten()
                 lo, hi = (flat.field(c).to_numpy() for c in ("lo", "hi"))
@@ -287,18 +277,18 @@ def removed(docs: DataFrame, group: int = GROUP) -> DataFrame:
                 kept = [raw[i:max(i, j - 1)] for i, j in zip(at.tolist(), at[1:].tolist())]
                 n_gone = np.concatenate(([0], np.cumsum(gone)))[edge]
                 more = [pa.array(np.diff(edge)), pa.array(np.diff(n_gone)), pa.array(kept, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *more], names=[*names, "_n_words", "_n_removed", "_kept"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), *more], names=["row", "n_words", "n_removed", "kept"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return d.mapInArrow(run, f"{fields}, _n_words long, _n_removed long, _kept string")
+    schema = StructType([StructField("row", docs.schema), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
+    return d.mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """op2: per document its words, those removed, and the digest of the kept ones."""
     d = removed(docs.select("doc_id", "text"), group)
-    return d.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+    return d.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with their texts cut down to the kept words; all other columns unchanged."""
-    return removed(docs).select(*[F.col("_kept").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return removed(docs).select(*[F.col("kept").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -3,7 +3,9 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chartline.llm import substrings
 from chartline.llm.common import tables
@@ -60,4 +62,28 @@ def test_odd_documents(odd_docs, no_docs, clashing):
 def test_rows_with_one_id_and_different_texts(make_docs):
     a = " ".join(f"a{i}" for i in range(30))
     got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.report(make_docs((1, a), (1, "b " + a), (2, a))).collect())
-    assert [g[:2] for g in got] == [(1, 30), (1, 31), (2, 30)] and got[2][2] == 30
+    assert [g[:2] for g in got] == [(1, 30), (1, 31), (2, 30)] and got[2][2] == 30 and sorted(g[2] for g in got[:2]) in ([0, 30], [0, 31])
+
+
+def test_texts_without_ids_are_different_documents(make_docs):
+    """At the same place of two texts without an id, or of one id, a passage is still a repeat."""
+    a = " ".join(f"a{i}" for i in range(40))
+    for i in (None, 4):
+        got = sorted(r.n_removed for r in substrings.report(make_docs((i, a + " x"), (i, a + " y"), (i, a + " y"))).collect())
+        assert got in ([0, 40, 40], [0, 0, 40])
+
+
+def test_columns_of_any_name(make_docs):
+    d = make_docs((1, "some words"), (2, "others"))
+    for c in ("row", "runs", "tag", "doc", "kept", "_runs", "_doc"):
+        d = d.withColumn(c, F.lit(c))
+    got = substrings.deduplicated(d)
+    assert got.columns == d.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, d.collect()))
+
+
+def test_bitmap_has_every_key(spark):
+    keys = [0, 1, -1, 1 << 62, -(1 << 63), 123456789 << 20]
+    seen = substrings.bitmap(spark.createDataFrame([(k,) for k in keys], "key long"), 10)
+    u = np.array(keys, np.int64).view(np.uint64) >> np.uint64(54)
+    assert all(int(seen[int(x >> np.uint64(6))]) >> int(x & np.uint64(63)) & 1 for x in u)
+    assert sum(int(x).bit_count() for x in seen) == len({int(x) for x in u})
