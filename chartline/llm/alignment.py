@@ -347,7 +347,8 @@ def spilled(docs: DataFrame, a: str, b: str, slice_bytes: int = SLICE, run_links
                 place, size = place + n, size + int(buffers(rows.column("text"))[1][-1])
         if doc_type is not None:
             yield ended()
-        sides.cache_clear()  # workers are used again by other operators
+        for kept in (sides, encoder):  # workers are used again by other operators
+            kept.cache_clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, _FOUND.format(kind=kind))
 

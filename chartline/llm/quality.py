@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import buffers, mix, slice_hashes, words
-from .tokens import sliced
+from .tokens import encoder, sliced
 
 LABELLERS = ("symbols", "capitals", "doubled", "bars", "repeats", "lengths", "variety", "ends")
 SAMPLE = 8000
-STRETCH = 2 << 20  # bytes of text measured together
+STRETCH = 256 << 10  # bytes of text measured together
 FEWEST = 6  # labellers abstain on shorter texts
 BUCKETS, SHAPES = 1 << 15, 1 << 8
 EPOCHS, RATE, DECAY = 60, 0.5, 1e-6
@@ -95,12 +95,14 @@ class Measured:
 
     def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Bucket of each byte trigram with its offsets per text, shape of each word with its offsets."""
-        d = self.data.astype(np.uint64)
-        tri = np.zeros(0, np.int64)
+        d, tri = self.data, np.zeros(0, np.int64)
         n = np.maximum(self.n_bytes - 2, 0)
         if len(d) > 2:
-            t = d[:-2] << np.uint64(16) | d[1:-1] << np.uint64(8) | d[2:]
-            t = (mix(t + np.uint64(1)) >> np.uint64(64 - 15)).astype(np.int64)
+            t = np.empty(len(d) - 2, np.uint16)
+            for x in range(0, len(t), STRETCH):  # a long text is a stretch of its own
+                w = d[x:x + STRETCH + 2].astype(np.uint64)
+                w = w[:-2] << np.uint64(16) | w[1:-1] << np.uint64(8) | w[2:]
+                t[x:x + STRETCH] = mix(w + np.uint64(1)) >> np.uint64(64 - 15)
             inside = np.ones(len(d), bool)  # trigrams that cross the end of a text don't count
             for k in (1, 2):
                 ends = self.off[1:] - k
@@ -129,6 +131,7 @@ def patterns(docs: DataFrame) -> DataFrame:
     """(doc_id, text hash, pattern): the votes as a string of digits, one per labeller."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # a worker may have served a stage that encodes: nothing of it is needed here
         for b in batches:
             for x, y in sliced(b.column("text"), STRETCH):
                 v = Measured(b.column("text").slice(x, y - x)).votes()
