@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import skew
 from ..operators import discover as d
 from .base import ANCH, query, r, rounded, with_
 
@@ -89,7 +90,7 @@ rk AS (SELECT *, row_number() OVER (ORDER BY round(combined, 12) DESC, code) AS
 
 def combined(t):
     s = d.mutual_info(d.chi2(d.association(counts(t, "brand"))))
-    s = d.ranked(d.ranked(s, F.round("odds_ratio", 12), "code", "stat_rank"), F.lit(0), "code", "ml_rank")
+    s = skew.rank_all(d.ranked(s, F.round("odds_ratio", 12), "code", "stat_rank"), [F.col("code")], "ml_rank")
     w = {k: v for k, v in d.RANK_WEIGHTS.items() if k != "ml_importance"}
     return d.combine_ranks(s, {"stat_score": "log_odds_ratio", "chi2_score": "chi_squared", "mi_score": "mutual_info"}, w, top_n=10)
 

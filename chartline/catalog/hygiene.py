@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as x
-from ..operators import assemble, hygiene as h, values as v
+from ..operators import assemble, hygiene as h, sparse_correlation as sc, values as v
 from .base import ANCH, query, r, rounded, with_
 
 AN = with_(ANCH)
@@ -117,6 +117,12 @@ def _(t):
     return m.groupBy().agg(F.count(F.lit(1))).select(F.explode(rows).alias("r")).select("r.*")
 
 
+@query("f08_sparse_pairs", f"""{with_(ANCH, FEATS)}, grid AS (SELECT s.entity, f.feature, coalesce(fl.value, 0) AS v FROM spine s CROSS JOIN (SELECT DISTINCT feature FROM fl) f LEFT JOIN fl ON fl.entity = s.entity AND fl.feature = f.feature)
+SELECT a.feature AS a, b.feature AS b, round(corr(a.v, b.v), 6) AS corr FROM grid a JOIN grid b ON a.entity = b.entity AND a.feature < b.feature GROUP BY 1, 2 HAVING abs(corr(a.v, b.v)) > 0.4""")
+def _(t):
+    return rounded(sc.correlated_pairs(features(t), t.spine, 0.4))
+
+
 def _label_corr(src="fl"):
     return f"""n0 AS (SELECT count(*)::DOUBLE AS n, sum(label)::DOUBLE AS sy FROM spine), lc AS (SELECT feature, (max(n) * sum(value * label) - sum(value) * max(sy)) / nullif(sqrt(greatest(max(n) * sum(value * value) - sum(value) * sum(value), 0)) * sqrt(max(n) * max(sy) - max(sy) * max(sy)), 0) AS c FROM {src} JOIN spine USING (entity), n0 GROUP BY 1)"""
 

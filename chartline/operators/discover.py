@@ -10,11 +10,12 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from .. import skew
 from ..functions import scalar as x
+from ..session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 PROCESS_PATTERN = (
@@ -88,8 +89,8 @@ def chi2(counts: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, by: Column, id_col: str, name: str) -> DataFrame:
-    """Position 1..n by a score, ties by id: one row per code of a filtered list."""
-    return df.withColumn(name, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(by.desc(), id_col)))
+    """Position 1..n by a score, ties by id."""
+    return skew.rank_all(df, [by.desc(), F.col(id_col)], name)
 
 
 def filter_rank(stats: DataFrame, min_or: float = 1.2, max_p: float = 0.05, min_n: int = 10, id_col: str = "code") -> DataFrame:
@@ -111,12 +112,16 @@ def mutual_info(counts: DataFrame) -> DataFrame:
     return counts.withColumn("mutual_info", F.greatest(mi, F.lit(0.0)))
 
 
-def minmax(c: str) -> Column:
-    """Score scaled to 0..1 over a code list; all equal gives 0."""
-    w = W.partitionBy(F.lit(0))
-    v = F.coalesce(F.col(c), F.lit(0.0))
-    lo, hi = F.min(v).over(w), F.max(v).over(w)
-    return F.when(hi > lo, F.try_divide(v - lo, hi - lo)).otherwise(0.0)
+def minmax(df: DataFrame, parts: dict[str, str]) -> list[Column]:
+    """Scores scaled to 0..1 over all rows, under new names; missing counts as 0, all equal gives 0. Two numbers a score reach
+    the driver."""
+    value = {n: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for n, c in parts.items()}
+    ends = df.agg(*[f(v).alias(f"{k}|{n}") for n, v in value.items() for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    out = []
+    for n, v in value.items():
+        lo, hi = ends[f"lo|{n}"], ends[f"hi|{n}"]
+        out.append(((v - lo) / (hi - lo) if lo is not None and hi > lo else F.lit(0.0)).alias(n))
+    return out
 
 
 def combine_ranks(df: DataFrame, parts: dict[str, str], weights: dict[str, float], id_col: str = "code", top_n: int = 150,
@@ -125,7 +130,8 @@ def combine_ranks(df: DataFrame, parts: dict[str, str], weights: dict[str, float
 
     ``parts`` maps a score name of ``weights`` to a column. Runs on one row per code.
     """
-    t = df.select("*", *[minmax(c).alias(n) for n, c in parts.items()])
+    df = cut_lineage(df)
+    t = df.select("*", *minmax(df, parts))
     score = x.total([F.col(n) * w for n, w in weights.items() if n in parts])
     t = ranked(t.withColumn("combined_score", score), F.round("combined_score", 12), id_col, "combined_rank")
     tier = F.lit(None).cast("string")

@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import skew
 from ..functions import scalar as x
 from ..session import literal_table
+from .sparse_correlation import label_correlation
 
 
 # --- label encoding ---------------------------------------------------------
@@ -151,24 +152,12 @@ def select_families(long: DataFrame, drop: Sequence[str] = (), keep: Sequence[st
 
 
 # --- correlation and separation ---------------------------------------------
-def label_correlation(long: DataFrame, spine: DataFrame) -> DataFrame:
-    """Correlation of every feature with the label from sums over the stored rows; absent rows count as 0."""
-    y = spine.select("entity", "label")
-    r = y.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s")).first()
-    n, sy = float(r["n"]), float(r["s"])
-    v, lab = F.col("value"), F.col("label")
-    t = long.join(y, "entity").groupBy("feature").agg(F.sum(v).alias("sx"), F.sum(v * v).alias("sxx"), F.sum(v * lab).alias("sxy"))
-    var = F.col("sxx") * n - F.col("sx") * F.col("sx")
-    den = F.sqrt(F.greatest(var, F.lit(0.0))) * (n * sy - sy * sy) ** 0.5
-    return t.select("feature", F.try_divide(F.col("sxy") * n - F.col("sx") * sy, F.nullif(den, F.lit(0.0))).alias("corr"))
-
-
 def leakage_check(long: DataFrame, spine: DataFrame, drop: float = 0.5, review: float = 0.3, top: int = 30) -> DataFrame:
     """Features by absolute label correlation with verdict drop / review / ok and a top flag."""
     c = label_correlation(long, spine).withColumn("abs_corr", F.abs("corr"))
     verdict = F.when(F.col("abs_corr") > drop, "drop").when(F.col("abs_corr") > review, "review").otherwise("ok")
-    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.round("abs_corr", 12).desc_nulls_last(), "feature"))  # one row per feature
-    return c.withColumn("verdict", verdict).withColumn("in_top", x.flag(rank <= top))
+    r = skew.rank_all(c.withColumn("verdict", verdict), [F.round("abs_corr", 12).desc_nulls_last(), F.col("feature")], "_rank")
+    return r.withColumn("in_top", x.flag(F.col("_rank") <= top)).drop("_rank")
 
 
 BLOCK = 256  # features of a block
@@ -282,8 +271,7 @@ def univariate_auc(long: DataFrame, spine: DataFrame, top: int = 50) -> DataFram
     a = F.col("u") / (float(tot["p"]) * float(tot["q"]))
     t = u.select("feature", F.greatest(a, 1.0 - a).alias("auc"))
     band = F.when(F.col("auc") > 0.55, "signal").when(F.col("auc") <= 0.52, "noise").otherwise("weak")
-    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.round("auc", 12).desc(), "feature"))  # one row per feature
-    return t.withColumn("band", band).withColumn("rank", rank).withColumn("in_top", x.flag(F.col("rank") <= top))
+    return skew.rank_all(t.withColumn("band", band), [F.round("auc", 12).desc(), F.col("feature")]).withColumn("in_top", x.flag(F.col("rank") <= top))
 
 
 def deconfound(mat: DataFrame, drop: Sequence[str], per_event: dict[str, tuple[str, str]], despite: dict[str, tuple[str, str]],

@@ -414,12 +414,10 @@ def fuse(imp1: DataFrame, imp2: DataFrame, label_corr: DataFrame, n: int, force:
 
 def cumulative_set(imp: DataFrame, cutoff: float = 0.99) -> DataFrame:
     """Smallest set of features that covers the share ``cutoff`` of the importance (one row per feature)."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "feature")
-    before = F.coalesce(F.sum("importance").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    total = F.sum("importance").over(W.partitionBy(F.lit(0)))
-    return imp.select("feature", "importance", (before / F.greatest(total, F.lit(1e-12))).alias("before")).where(F.col("before") < cutoff).drop("before")
+    r = skew.rank_all(imp.select("feature", "importance"), [F.desc("importance"), F.col("feature")])
+    run = skew.running_total(r, [], "rank", ["importance"], F.floor(F.col("rank") / 4096))
+    share = F.col("importance_before") / F.greatest(F.col("importance_all"), F.lit(1e-12))
+    return run.where(share < cutoff).select("feature", "importance")
 
 
 def stability_select(mat: DataFrame, features: Sequence[str], folds: int = 5, min_folds: int = 3, cutoff: float = 0.99, force: Sequence[str] = (), seed: int = 42) -> DataFrame:

@@ -14,6 +14,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .session import cut_lineage
+
 
 def number_bucket(c: Column, per_octave: int) -> Column:
     """Order-preserving bucket of any double: equal steps of its logarithm; depends on nothing but the value."""
@@ -97,6 +99,17 @@ def hash_rank(df: DataFrame, strata: Sequence[str], id_cols: Sequence[str], salt
     )
 
 
+def rank_all(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Adds the 1-based place of every row in one order, which must fix it up to identical rows. Rows are sorted in ranges of the
+    order; what meets in one task is a row for each range."""
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    laid = cut_lineage(laid).withColumn("_part", F.shiftright("_at", 33))
+    ranges = laid.groupBy("_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = laid.join(ranges.select("_part", "_first", before.alias("_before")), "_part")
+    return out.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("int").alias(name))
+
+
 def value_ranks(
     df: DataFrame, keys: Sequence[str], value: str, bucket: Column | None = None
 ) -> DataFrame:
