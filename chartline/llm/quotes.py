@@ -106,7 +106,8 @@ def threads(conversations: DataFrame) -> DataFrame:
     quoted = found.groupBy("uid").agg(F.count(F.lit(1)).alias("n_quoted"))
     d = join_null_safe(join_null_safe(msgs, tree.select("uid", "parent_turn", "root_turn", "depth"), ["uid"], "left"), quoted, ["uid"], "left")
     root, depth = F.coalesce("root_turn", "turn"), F.coalesce("depth", F.lit(0)).cast("long")
-    pad = lambda c: F.lpad(F.coalesce(c, F.lit(0)).cast("string"), 12, "0")
+    # 20 digits that sort like the numbers, negative ones included
+    pad = lambda c: F.lpad((F.coalesce(c, F.lit(0)).cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")).cast("string"), 20, "0")
     return d.select("conv_id", "turn", "role", F.col("own").alias("own_text"), F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"), "parent_turn",
                     root.alias("root_turn"), depth.alias("depth"), F.concat_ws("/", pad(root), pad(depth), pad(F.col("turn"))).alias("reply_order"),
                     F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_i")).drop("_i")
@@ -144,6 +145,6 @@ z AS (SELECT m.conv_id, m.turn, m.role, w.own AS own_text, CAST(coalesce(p.n_quo
              CAST(coalesce(r.depth, 0) AS BIGINT) AS depth, m.n
       FROM m JOIN w USING (uid) LEFT JOIN p USING (uid) LEFT JOIN r USING (uid) LEFT JOIN m pm ON pm.uid = p.b.u LEFT JOIN m rm ON rm.uid = r.root)
 SELECT conv_id, turn, role, own_text, n_quoted, parent_turn, root_turn, depth,
-       lpad(CAST(coalesce(root_turn, 0) AS VARCHAR), 12, '0') || '/' || lpad(CAST(depth AS VARCHAR), 12, '0') || '/' || lpad(CAST(coalesce(turn, 0) AS VARCHAR), 12, '0') AS reply_order
+       lpad(CAST(CAST(coalesce(root_turn, 0) AS HUGEINT) + 9223372036854775808 AS VARCHAR), 20, '0') || '/' || lpad(CAST(CAST(depth AS HUGEINT) + 9223372036854775808 AS VARCHAR), 20, '0') || '/' || lpad(CAST(CAST(coalesce(turn, 0) AS HUGEINT) + 9223372036854775808 AS VARCHAR), 20, '0') AS reply_order
 FROM (SELECT *, unnest(range(n)) AS i FROM z)
 """
