@@ -8,7 +8,7 @@ hashes the tuple. So a component agrees where the same k-mers are minimal and st
 components is the likeness of two texts, 0 to 1. Components keep ``BITS`` bits.
 
 Column functions only. A text's k-mers are an array of longs, 36 bits of hash and 28 of position, sorted twice (to number
-occurrences, to find minima); places in it are found by halving. That holds for texts of up to 2^27 units.
+occurrences, to find minima). That holds for texts of up to 2^27 units.
 
 A null text is empty; a text without units has an empty fingerprint, like only to another empty one. Rows of equal doc_id
 and text are one document in the order of documents, and are all returned with the same values; other rows of equal
@@ -80,24 +80,29 @@ def numbered(ordered: Column) -> Column:
         alike = lambda x, i: _hash(x.bitwiseXOR(F.get(s, i - 1))) == 0
         return let(_powers(F.size(s)), lambda powers: F.transform(s, lambda x, i: F.when(alike(x, i), again(x, i, powers)).otherwise(x)))
 
-    return F.when(F.size(ordered) == 0, ordered).otherwise(let(ordered, run))
+    return let(ordered, lambda s: F.when(F.size(s) == 0, s).otherwise(run(s)))
 
 
 def components(ordered: Column, tuple_: int = TUPLE, size: int = SIZE, bits: int = BITS) -> Column:
     """Sorted packed hashes -> array<int>, the signature; empty without k-mers."""
-    def component(s: Column, n: Column, powers: Column, j: Column) -> Column:
-        # the circle of hashes starts at the least long; the order of component j starts at its part of the circle
-        low = F.shiftleft((j - size // 2).cast("long"), 64 - (size.bit_length() - 1))
-        # position above hash, so that sorting gives text order
-        turned = lambda x: F.shiftleft(x, 64 - _PLACE) + F.shiftrightunsigned(x, _PLACE)
-        chosen = let(_last_below(s, powers, low) + 1, lambda a: F.transform(F.sequence(F.lit(0), F.least(F.lit(tuple_), n) - 1), lambda t: let(F.get(s, (a + t) % n), turned)))
-        mask = F.lit((1 << 64 - _PLACE) - 1)
-        return F.xxhash64(F.transform(F.sort_array(chosen), lambda e: e.bitwiseAND(mask))).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    # the circle of hashes starts at the least long; the order of component j starts at its part of the circle
+    marks = F.array(*[F.lit((j - size // 2) << (64 - (size.bit_length() - 1))).cast("long") for j in range(size)])
+    mask = F.lit((1 << 64 - _PLACE) - 1)
 
-    def run(s: Column) -> Column:
-        return let(F.size(s), lambda n: let(_powers(n), lambda powers: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: component(s, n, powers, j))))
+    def run(s: Column, starts: Column) -> Column:
+        n = F.size(s)
+        # position above hash, so that sorting gives text order; the circle closes at its end
+        turned = F.transform(F.concat(s, F.slice(s, 1, tuple_)), lambda x: F.shiftleft(x, 64 - _PLACE) + F.shiftrightunsigned(x, _PLACE))
+
+        def component(circle: Column, length: Column, a: Column) -> Column:
+            chosen = F.slice(circle, a % n + 1, length)
+            return F.xxhash64(F.transform(F.sort_array(chosen), lambda e: e.bitwiseAND(mask))).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+        return let(turned, lambda circle: let(F.least(n, F.lit(tuple_)), lambda length: F.transform(starts, lambda a: component(circle, length, a))))
 
-    return F.when(F.size(ordered) == 0, F.expr("cast(array() as array<int>)")).otherwise(let(ordered, run))
+    # places of the marks among the hashes, from sorting both together
+    starts = lambda s: let(F.sort_array(F.concat(s, marks)), lambda m: F.transform(marks, lambda t, j: (F.array_position(m, t) - 1 - j).cast("int")))
+    return let(ordered, lambda s: F.when(F.size(s) == 0, F.expr("cast(array() as array<int>)")).otherwise(let(starts(s), lambda at: run(s, at))))
 
 
 def fingerprint(text: Column, k: int = K, tuple_: int = TUPLE, size: int = SIZE, bits: int = BITS) -> Column:
