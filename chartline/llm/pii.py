@@ -4,6 +4,9 @@ Column functions only. A pattern's matches are found by Java's matcher twice: on
 pieces between them; lengths of both give every match's place in code points. The patterns are anchored at
 the start of a run (or at the end of the match before), so that they need no backtracking over long runs.
 
+A text is cut into chunks once and places in it are sums over blocks, so the cost grows with the text and its spans, not with
+their product.
+
 Spans: array of struct(kind, start, end, score, base), ordered by kind and start; ``end`` is exclusive.
 Base spans are those the plain patterns and checksums give. The method adds others, where they overlap no
 span before them: account numbers (mod-97), cards and phones inside longer runs of digits, and, where a
@@ -35,20 +38,56 @@ CONTEXT = {  # words that speak for a kind, looked for in the 48 characters befo
     "phone": r"phone|call|tel\b|tel[.:]|mobile|fax|cell", "iban": r"iban|account|bank|konto|transfer", "id": r"ssn|social security|national id|tax id",
 }
 BEFORE, AFTER, ACCEPT, BONUS = 48, 24, 0.5, 0.3
+BLOCK, CHUNK = 64, 512  # entries scanned one by one, code points of a piece of text
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scan(xs: Column, op, depth: int = 3) -> Column:
+    """array<int>: for each entry ``op`` of all before it, 0 for the first; op is associative and 0 leaves entries as they are.
+    In blocks, their totals scanned alike, so that the arrays built entry by entry are short."""
+    def fold(a: Column) -> Column:
+        empty = F.struct(F.lit(0).alias("t"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(a, empty, lambda s, x: F.struct(op(s["t"], x).alias("t"), F.concat(s["out"], F.array(s["t"])).alias("out")))
+
+    if depth == 1:
+        return fold(xs)["out"]
+
+    def blocks(a: Column) -> Column:
+        count = F.ceil(F.size(a) / BLOCK).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), count - 1), lambda b: fold(F.slice(a, b * BLOCK + 1, F.lit(BLOCK))))
+        joined = let(parts, lambda p: F.flatten(F.zip_with(p, scan(F.transform(p, lambda q: q["t"]), op, depth - 1), lambda q, o: F.transform(q["out"], lambda v: op(o, v)))))
+        return F.when(F.size(a) == 0, F.expr("cast(array() as array<int>)")).otherwise(joined)
+
+    return let(xs, blocks)
+
+
+def chunks(text: Column) -> Column:
+    """A text in pieces of CHUNK code points, so that a place in it is reached without reading all before."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from start to end (code points, end exclusive), from its chunks."""
+    i, j = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+    head = F.substring(piece(i), start % CHUNK + 1, F.when(i == j, end - start).otherwise(F.lit(CHUNK)))
+    return F.when(i == j, head).otherwise(F.concat(head, F.array_join(F.slice(pieces, i + 2, j - i - 1), ""), F.substring(piece(j), F.lit(1), end % CHUNK)))
 
 
 def _found(text: Column, pattern: str) -> Column:
     """array<struct<start,end,match>> of a pattern's matches, leftmost and not overlapping."""
-    match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.zip_with(match, F.slice(between, F.lit(1), F.size(match)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["m"].alias("match")))).alias("out"))
+    def build(match: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(match))
+        pairs = F.zip_with(match, between, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
+        return let(pairs, lambda p: F.zip_with(p, scan(F.transform(p, lambda x: x["g"] + x["n"]), lambda a, b: a + b),
+                                               lambda x, at: F.struct((at + x["g"]).alias("start"), (at + x["g"] + x["n"]).alias("end"), x["m"].alias("match"))))
 
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    none = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(build(m)))
 
 
 def digits(s: Column) -> Column:
@@ -78,13 +117,14 @@ def mod97(s: Column) -> Column:
 def _spans(text: Column, kind: str, pattern: str, valid, score: float, base: bool) -> Column:
     order = KINDS.index(kind)
 
-    def build(x: Column) -> Column:
-        # word sets nearby are read only for what passed the checks
-        near = F.lower(F.concat_ws(" ", F.substring(text, F.greatest(x["start"] - BEFORE, F.lit(0)) + 1, F.least(x["start"], F.lit(BEFORE))), F.substring(text, x["end"] + 1, F.lit(AFTER))))
+    def build(x: Column, pieces: Column) -> Column:
+        # words nearby are read only for what passed the checks
+        near = F.lower(F.concat_ws(" ", cut(pieces, F.greatest(x["start"] - BEFORE, F.lit(0)), x["start"]), cut(pieces, x["end"], x["end"] + AFTER)))
         s = F.lit(score) + F.when(near.rlike(CONTEXT[kind]), BONUS).otherwise(0.0)
         return F.struct(F.lit(order).alias("k"), x["start"].alias("start"), x["end"].alias("end"), F.least(s, F.lit(1.0)).alias("score"), F.lit(base).alias("base"))
 
-    out = F.transform(F.filter(_found(text, pattern), lambda x: valid(x["match"])), build)
+    good = F.filter(_found(text, pattern), lambda x: valid(x["match"]))
+    out = let(good, lambda g: F.when(F.size(g) == 0, _none()).otherwise(let(chunks(text), lambda c: F.transform(g, lambda x: build(x, c)))))
     return out if base else F.filter(out, lambda x: x["score"] >= ACCEPT)
 
 
@@ -111,19 +151,36 @@ def find(text: Column) -> list[tuple[str, Column]]:
     ]
 
 
+def _free(spans: Column, taken: Column) -> Column:
+    """Those of the spans that overlap none that is taken: among the taken ones that start before a span's end, found by
+    halving, the furthest end decides."""
+    def check(t: Column) -> Column:
+        powers = F.transform(F.sequence(F.floor(F.log2(F.size(t) + F.lit(1))).cast("int"), F.lit(0), F.lit(-1)), lambda j: F.pow(F.lit(2.0), j).cast("int"))
+        # furthest end of the first i taken spans, at i
+        ends = F.concat(scan(F.transform(t, lambda x: x["end"]), F.greatest), F.array(F.array_max(F.transform(t, lambda x: x["end"]))))
+
+        def far(x: Column, e: Column, p: Column) -> Column:
+            before = F.aggregate(p, F.lit(-1), lambda at, step: F.when(F.get(t, at + step)["start"] < x["end"], at + step).otherwise(at))
+            return F.get(e, before + 1)
+
+        return let(ends, lambda e: let(powers, lambda p: F.filter(spans, lambda x: far(x, e, p) <= x["start"])))
+
+    ordered = F.transform(taken, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return F.when((F.size(spans) == 0) | (F.size(taken) == 0), spans).otherwise(let(F.array_sort(ordered), check))
+
+
 def with_spans(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """Adds ``out``, all spans of the text: array<struct<kind,start,end,score,base>> by kind and start."""
-    names, d = [], df
-    for name, c in find(F.col(text)):
-        d = d.withColumn(f"_pii_{name}", c)
+    names, d = [], df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"))
+    for name, c in find(F.col("text")):
+        d = d.withColumn(name, c)
         names.append(name)
-    d = d.withColumn("_pii", F.concat(*[f"_pii_{n}" for n in names[:4]]))
+    d = d.withColumn("found", F.concat(*names[:4]))
     for name in names[4:]:
-        free = F.filter(f"_pii_{name}", lambda x: ~F.exists("_pii", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        d = d.withColumn("_pii", F.concat("_pii", free))
+        d = d.withColumn("found", F.concat("found", _free(F.col(name), F.col("found"))))
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    named = F.transform(F.array_sort("_pii"), lambda x: F.struct(kinds[x["k"]].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score"), x["base"].alias("base")))
-    return d.select(*[c for c in df.columns if c != out], named.alias(out))
+    named = F.transform(F.array_sort("found"), lambda x: F.struct(kinds[x["k"]].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score"), x["base"].alias("base")))
+    return d.select(*[F.col("row")[c].alias(c) for c in df.columns if c != out], named.alias(out))
 
 
 def listed(spans: Column) -> Column:
@@ -133,22 +190,22 @@ def listed(spans: Column) -> Column:
 
 def mask(text: Column, spans: Column) -> Column:
     """The text with each span, or each stretch of overlapping ones, replaced by the name of its first, longest one."""
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("_longest"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    def masked(x: Column) -> Column:
+        """x: spans in order. A span that starts after all before it have ended begins a stretch."""
+        reach = scan(F.transform(x, lambda s: s["end"]), F.greatest)
+        heads = let(reach, lambda r: F.filter(F.transform(x, lambda s, i: F.struct(s["start"].alias("start"), F.get(r, i).alias("after"), s["kind"].alias("kind"))), lambda s: s["start"] >= s["after"]))
+        last = F.array_max(F.transform(x, lambda s: s["end"]))
+        out = let(chunks(text), lambda c: F.concat(F.array_join(F.transform(heads, lambda s: F.concat(cut(c, s["after"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))), ""), cut(c, last, F.length(text))))
+        return out
 
-    def step(a: Column, x: Column) -> Column:
-        fresh = x["start"] >= a["at"]
-        piece = F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(fresh, piece).otherwise(a["out"]).alias("out"))
-
-    whole = F.aggregate(ordered, first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("_longest"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    return F.when(F.size(spans) > 0, let(ordered, masked)).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns, personal data in the text masked; a null text stays null."""
-    d = with_spans(docs, text, "_spans")
-    return d.select(*[mask(F.col(text), F.col("_spans")).alias(text) if c == text else F.col(c) for c in docs.columns])
+    d = with_spans(docs.select(F.struct(*docs.columns).alias("whole"), F.col(text).alias("text")))
+    return d.select(*[mask(F.col("text"), F.col("spans")).alias(c) if c == text else F.col("whole")[c].alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:

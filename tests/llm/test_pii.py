@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +101,26 @@ def test_no_python_in_the_plan(spark):
 def test_checksums(spark):
     d = spark.createDataFrame([("79927398713", "GB82WEST12345698765432"), ("79927398710", "GB82WEST12345698765431"), ("", "")], "a string, b string")
     assert [tuple(r) for r in d.select(F.coalesce(pii.luhn(F.col("a")), F.lit(False)), pii.mod97(F.col("b"))).collect()][:2] == [(True, True), (False, False)]
+
+
+def test_scan_and_cut(spark):
+    for n in (0, 1, 63, 64, 65, 5000):
+        xs = [(i * 7919) % 31 for i in range(n)]
+        d = spark.createDataFrame([(xs,)], "xs array<int>")
+        add, top = d.select(pii.scan(F.col("xs"), lambda a, b: a + b), pii.scan(F.col("xs"), F.greatest)).first()
+        assert add == [sum(xs[:i]) for i in range(n)] and top == [max([0, *xs[:i]]) for i in range(n)]
+    text = "".join(chr(97 + i % 26) if i % 7 else "😀\n"[i % 2] for i in range(2000))
+    d = spark.createDataFrame([(text, a, b) for a, b in ((0, 0), (0, 2000), (511, 513), (512, 1024), (1999, 2000), (100, 1700), (2000, 2000), (1990, 2100))], "t string, a int, b int")
+    for r in d.select("a", "b", pii.cut(pii.chunks(F.col("t")), F.col("a"), F.col("b")).alias("c")).collect():
+        assert r.c == text[r.a:r.b]
+
+
+def test_cost_does_not_grow_with_spans_times_length(make_docs):
+    """A hundred thousand spans in one text."""
+    text = " ".join(f"a{i}@b.co" if i % 2 else f"call 555 123-{i % 9000 + 1000} 10.0.{i % 256}.{i % 200}" for i in range(80_000))
+    began = time.monotonic()
+    r = pii.report(make_docs((1, text))).first()
+    assert r.n_email == 40_000 and r.n_ip == 40_000 and r.spans.count(",") + 1 >= 100_000
+    masked = pii.redact(make_docs((1, text))).first().text
+    assert masked.count("[EMAIL]") == 40_000 and "@" not in masked
+    assert time.monotonic() - began < 120
