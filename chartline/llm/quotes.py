@@ -107,7 +107,7 @@ def threads(conversations: DataFrame) -> DataFrame:
     d = join_null_safe(join_null_safe(msgs, tree.select("uid", "parent_turn", "root_turn", "depth"), ["uid"], "left"), quoted, ["uid"], "left")
     root, depth = F.coalesce("root_turn", "turn"), F.coalesce("depth", F.lit(0)).cast("long")
     # 20 digits that sort like the numbers, negative ones included
-    pad = lambda c: F.lpad((F.coalesce(c, F.lit(0)).cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")).cast("string"), 20, "0")
+    pad = lambda c: F.lpad((F.coalesce(c, F.lit(0)).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
     return d.select("conv_id", "turn", "role", F.col("own").alias("own_text"), F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"), "parent_turn",
                     root.alias("root_turn"), depth.alias("depth"), F.concat_ws("/", pad(root), pad(depth), pad(F.col("turn"))).alias("reply_order"),
                     F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_i")).drop("_i")
