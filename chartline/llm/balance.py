@@ -29,7 +29,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..skew import join_null_safe, running_total
+from ..skew import join_null_safe, number_buckets, running_total
 from ..session import cut_lineage
 from .common import n_words, stored
 
@@ -140,14 +140,15 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP,
     d = d.withColumn("_floor", F.floor("rate")).withColumn("_part", F.col("rate") - F.col("_floor"))
     h = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("source"), F.col("size").cast("string"), F.lit(salt)))
     u = (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(16 ** 13))
-    # rows that can't take another copy come last
-    d = d.withColumn("_key", F.when(F.col("_part") > 0, u / F.col("_part")).otherwise(F.lit(1e18) + u))
-    d = d.withColumn("_order", F.struct("_key", F.lit(h).alias("h"), "doc_id"))
-    d = d.withColumn("_mass", F.col("size") * F.col("n")).withColumn("_whole", F.col("_mass") * F.col("_floor"))
-    key = F.least(F.col("_key"), F.lit(64.0))
-    d = running_total(d, ["source"], "_order", ["_mass", "_whole"], [F.floor(key * 64).cast("int"), F.floor(key * 4096).cast("int")])
-    need = F.col("target") - F.col("_whole_all")
-    more = (F.col("_part") > 0) & (F.col("_mass_before") + F.col("_mass") / 2 < need)
+    d = d.withColumn("_key", F.when(F.col("_part") > 0, u / F.col("_part"))).withColumn("_order", F.struct("_key", F.lit(h).alias("h"), "doc_id"))
+    d = stored(d.withColumn("_mass", F.col("size") * F.col("n")).withColumn("_whole", F.col("_mass") * F.col("_floor")), "mix-rates", "zstd")
+    # rows with whole rates take no other copy: they need no order, only their sum
+    whole = d.groupBy("source").agg(F.sum("_whole").alias("_whole_all"))
+    run = running_total(d.where("_part > 0"), ["source"], "_order", ["_mass"], number_buckets(F.col("_key")))
+    run = join_null_safe(run, whole, ["source"])
+    d = run.select(*d.columns, (F.col("_mass_before") + F.col("_mass") / 2 < F.col("target") - F.col("_whole_all")).alias("_more")).unionByName(
+        d.where("_part <= 0").withColumn("_more", F.lit(False)))
+    more = F.col("_more")
     copies = (F.col("_floor") + more.cast("long")).cast("long")
     return d.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_i")).drop("_i")
 
@@ -165,7 +166,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def remix(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as its copies say; repeated rows count one by one."""
-    take = mixed(docs, features=length_profile()).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-    d = docs.withColumn("_size", n_words(F.col("text")))
-    joined = join_null_safe(d, take.withColumnRenamed("size", "_size"), ["doc_id", "source", "_size"])
-    return joined.where("_copies > 0").select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_i")).drop("_i")
+    take = mixed(docs, features=length_profile()).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
+    d = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    joined = join_null_safe(d, take, ["doc_id", "source", "size"])
+    return joined.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
