@@ -56,7 +56,7 @@ def _(t):
 
 @query("m03_out_of_fold", None)
 def _(t):
-    return rounded(m.oof(matrix(t), FEATS, 3))
+    return rounded(m.oof(matrix(t), FEATS, 5))
 
 
 @query("m04_class_weights", f"""{with_(SPINE)}, b AS (SELECT entity, label, CAST(floor(age / 10) * 10 AS INTEGER) AS band FROM spine), c AS (SELECT label, band, count(*) AS n FROM b GROUP BY 1, 2),
@@ -227,7 +227,7 @@ def _(t):
 
 @query("f12_stability_select", None)
 def _(t):
-    return rounded(m.stability_select(matrix(t).where("split = 'train'"), FEATS, folds=3, min_folds=2, force=["age"]))
+    return rounded(m.stability_select(matrix(t).where("split = 'train'"), FEATS, folds=5, min_folds=3, force=["age"]))
 
 
 @query("f13_group_contribution", None)

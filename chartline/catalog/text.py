@@ -139,7 +139,7 @@ TOK = rf"""tk AS (SELECT entity, turn, list_filter(regexp_split_to_array(transla
 tp AS (SELECT entity, unnest(ws) AS term FROM tk UNION ALL SELECT entity, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM tk WHERE len(ws) > 1
   UNION ALL SELECT entity, pw || ' ' || fw FROM (SELECT entity, ws[1] AS fw, lag(ws[len(ws)]) OVER (PARTITION BY entity ORDER BY turn) AS pw FROM tk WHERE len(ws) > 0) WHERE pw IS NOT NULL),
 tc AS (SELECT entity, term, count(*) AS tf FROM tp GROUP BY 1, 2), nd AS (SELECT count(DISTINCT entity) AS n FROM pc),
-vo AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS freq, ln((1.0::DOUBLE + max(n)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM tc, nd GROUP BY 1 HAVING count(*) >= 10 AND count(*) <= 0.5 * max(n) ORDER BY freq DESC, term LIMIT 200),
+vo AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS freq, ln((1.0::DOUBLE + max(n)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM tc, nd GROUP BY 1 HAVING count(*) >= 10 AND count(*) <= 0.5 * max(n) ORDER BY freq DESC, term LIMIT 500),
 wt AS (SELECT entity, term, (ln(tf) + 1) * idf AS w FROM tc JOIN vo USING (term)), tw AS (SELECT entity, term, w / sqrt(sum(w * w) OVER (PARTITION BY entity)) AS weight FROM wt)"""
 
 
@@ -147,7 +147,7 @@ def weights(t):
     pcs = pieces(t)
     n = pcs.select("entity").distinct().count()
     tc = w.term_counts(pcs, order=["turn"])
-    vocab = w.fit_vocabulary(tc, n, size=200)
+    vocab = w.fit_vocabulary(tc, n, size=500)
     return w.tfidf(tc, vocab), vocab
 
 
