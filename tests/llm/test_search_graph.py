@@ -19,12 +19,16 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-@pytest.mark.parametrize("bits", [16, 64])
+def longs(code, bits):
+    return [signed(code >> i & (1 << 64) - 1) for i in range(0, bits, 64)]
+
+
+@pytest.mark.parametrize("bits", [16, 64, 100])
 def test_search_equals_all_distances(spark, bits):
     rnd = random.Random(bits)
     codes = [rnd.getrandbits(bits) for _ in range(60)]
     rows = [(i, c ^ (1 << rnd.randrange(bits)) if i % 3 else c) for i, c in enumerate(codes * 4)]
-    index = spark.createDataFrame([(i, signed(c)) for i, c in rows], "id long, code long")
+    index = spark.createDataFrame([(i, longs(c, bits)) for i, c in rows], "id long, code array<long>")
     queries = index.where("id % 17 = 0").select(F.col("id").alias("q"), F.col("code").alias("qcode"))
     got = {}
     for r in hamming.search(index, queries, 5, bits).collect():
@@ -35,8 +39,8 @@ def test_search_equals_all_distances(spark, bits):
 
 
 def test_search_fewer_rows_than_k_and_ties(spark):
-    index = spark.createDataFrame([(i, 7) for i in range(1, 5)] + [(9, 8)], "id long, code long")
-    got = hamming.search(index, spark.createDataFrame([(1, 7)], "q long, qcode long"), 10).collect()
+    index = spark.createDataFrame([(i, [7]) for i in range(1, 5)] + [(9, [8])], "id long, code array<long>")
+    got = hamming.search(index, spark.createDataFrame([(1, [7])], "q long, qcode array<long>"), 10).collect()
     assert sorted((r.distance, r.id) for r in got) == [(0, 2), (0, 3), (0, 4), (4, 9)]
 
 
@@ -48,9 +52,16 @@ def test_search_nulls_and_empty(spark):
 
 
 def test_sign_code(spark):
-    v = [1.0 if i in (0, 5, 63) else -1.0 for i in range(70)]
-    got = spark.createDataFrame([(v,)], "v array<float>").select(hamming.sign_code(F.col("v")).alias("c")).first().c
-    assert got == signed(1 | 1 << 5 | 1 << 63)
+    v = [1.0 if i in (0, 5, 63, 67) else -1.0 for i in range(70)]
+    got = spark.createDataFrame([(v,)], "v array<float>").select(hamming.sign_code(F.col("v"), 70).alias("c")).first().c
+    assert got == [signed(1 | 1 << 5 | 1 << 63), 1 << 3]
+
+
+def test_entries_beyond_64_count(spark):
+    """The width comes from the longest vector; shorter ones have zeros there."""
+    rows = [(0, [1.0] * 64 + [1.0] * 36), (1, [1.0] * 64 + [-1.0] * 36), (2, [1.0] * 64 + [1.0] * 35 + [-1.0]), (3, [1.0] * 64)]
+    got = hamming.report(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()
+    assert [(r.vec_id, r.distance) for r in got] == [(2, 1), (1, 36), (3, 36)]
 
 
 def test_components(spark):
