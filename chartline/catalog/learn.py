@@ -126,18 +126,21 @@ def _(t):
     return rounded(e.combine_horizons(*horizons(t), 0.7, 0.65))
 
 
-def _newton(name: str, x1: str, x2: str, penalty: str) -> str:
-    """Coefficients of a logistic regression on two columns of ``cal``: 30 Newton steps, three equations solved by determinants."""
+def _newton(name: str, x1: str, x2: str, penalty: str, source: str = "cal", folds: bool = False) -> str:
+    """Coefficients of a logistic regression on two columns: 30 Newton steps, three equations solved by determinants. With folds,
+    one model for each fold, fitted on the others."""
     det = lambda a, b, c: f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {b[0]} * ({a[1]} * {c[2]} - {a[2]} * {c[1]}) + {c[0]} * ({a[1]} * {b[2]} - {a[2]} * {b[1]}))"
     h = [["h00", "h01", "h02"], ["h01", "h11", "h12"], ["h02", "h12", "h22"]]
     col = [[h[i][j] for i in range(3)] for j in range(3)]
     g = ["g0", "g1", "g2"]
     step = [det(*[g if j == i else col[j] for j in range(3)]) + " / " + det(*col) for i in range(3)]
-    return f"""{name}_pts AS (SELECT {x1}::DOUBLE AS x1, {x2}::DOUBLE AS x2, label AS y, count(*)::DOUBLE AS w FROM cal GROUP BY 1, 2, 3),
-{name}(i, b0, b1, b2) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT i + 1, b0 + {step[0]}, b1 + {step[1]}, b2 + {step[2]} FROM (
-  SELECT i, b0, b1, b2, sum(w * (y - p)) AS g0, sum(w * (y - p) * x1) - {penalty} * b1 AS g1, sum(w * (y - p) * x2) - {penalty} * b2 AS g2, sum(v) AS h00, sum(v * x1) AS h01, sum(v * x2) AS h02,
+    own, on, start = ("m, ", f"JOIN {name}_pts p0 ON p0.fold <> {name}.m", f"SELECT DISTINCT fold AS m, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM {name}_pts") if folds else (
+        "", f", {name}_pts p0", "SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE")
+    return f"""{name}_pts AS (SELECT {x1}::DOUBLE AS x1, {x2}::DOUBLE AS x2, label AS y, {"fold" if folds else "0"} AS fold, count(*)::DOUBLE AS w FROM {source} GROUP BY ALL),
+{name}({own}i, b0, b1, b2) AS ({start} UNION ALL SELECT {own}i + 1, b0 + {step[0]}, b1 + {step[1]}, b2 + {step[2]} FROM (
+  SELECT {own}i, b0, b1, b2, sum(w * (y - p)) AS g0, sum(w * (y - p) * x1) - {penalty} * b1 AS g1, sum(w * (y - p) * x2) - {penalty} * b2 AS g2, sum(v) AS h00, sum(v * x1) AS h01, sum(v * x2) AS h02,
     sum(v * x1 * x1) + {penalty} AS h11, sum(v * x1 * x2) AS h12, sum(v * x2 * x2) + {penalty} AS h22
-  FROM (SELECT *, w * p * (1 - p) AS v FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM {name}, {name}_pts)) GROUP BY i, b0, b1, b2) WHERE i < 30)"""
+  FROM (SELECT *, w * p * (1 - p) AS v FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM {name} {on})) GROUP BY {own}i, b0, b1, b2) WHERE i < 30)"""
 
 
 DUAL = f"""{with_(ANCH, HORIZON).replace("WITH ", "WITH RECURSIVE ", 1)}, dual AS (SELECT n.entity, CASE WHEN f.score + n.entity % 13 / 26.0::DOUBLE > 0.9 THEN 1 ELSE 0 END AS label, n.score AS near, f.score AS far FROM near n JOIN far f ON f.entity = n.entity),
@@ -177,6 +180,18 @@ def _(t):
     return rounded(hz.report(cut_lineage(dual(t)[0])))
 
 
+@query("m03_out_of_fold_logit", f"""{with_(PRED).replace("WITH ", "WITH RECURSIVE ", 1)}, d AS (SELECT entity, CASE WHEN price / 500000.0::DOUBLE + CASE WHEN grp = '1-URGENT' THEN 0.3::DOUBLE ELSE 0 END + age % 7 / 20.0::DOUBLE > 0.85 THEN 1 ELSE 0 END AS label, price / 100000.0::DOUBLE AS amount, age / 10.0::DOUBLE AS decade FROM pred),
+fd AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', entity, '42'))) - 1) % 5 AS INTEGER) AS fold FROM d),
+{_newton("nt", "amount", "decade", "1.0::DOUBLE", "fd", True)}
+SELECT entity, label, fold, round(1 / (1 + exp(-(b0 + b1 * amount + b2 * decade))), 6) AS score FROM fd JOIN nt ON nt.m = fold AND nt.i = 30""")
+def _(t):
+    """A learner that SQL can follow: every entity is scored once, by the model that has not seen its fold."""
+    late = F.col("price") / 500000.0 + F.when(F.col("grp") == "1-URGENT", 0.3).otherwise(0.0) + F.col("age") % 7 / 20.0 > 0.85
+    d = t.pred.select("entity", x.flag(late).alias("label"), (F.col("price") / 100000.0).alias("amount"), (F.col("age") / 10.0).alias("decade"))
+    rows = cut_lineage(d.join(sp.folds(d, 5).select("entity", "fold"), "entity"))
+    return rounded(hz.out_of_fold(rows, ["amount", "decade"]).select("entity", "label", "fold", "score"))
+
+
 _CONTRACT = """c AS (SELECT entity // 2 AS entity, CASE WHEN entity % 100 = 3 THEN 'train' WHEN entity % 2 = 0 THEN 'valid' ELSE 'test' END AS split, CASE WHEN entity % 50 = 7 THEN NULL WHEN entity % 90 = 4 THEN 1.5::DOUBLE ELSE score END AS proba_1,
   CASE WHEN entity % 70 = 9 THEN 0.0::DOUBLE ELSE 1 - score END AS proba_0, entity % 25 = 7 AS abstained FROM pred)"""
 

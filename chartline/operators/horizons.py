@@ -72,6 +72,15 @@ def fit_logit(rows: DataFrame, features: Sequence[str], label: str = "label", pe
     return Logit(list(features), float(b[0]), [float(v) for v in b[1:]])
 
 
+def out_of_fold(rows: DataFrame, features: Sequence[str], fold: str = "fold", label: str = "label", penalty: float = 1.0) -> DataFrame:
+    """The rows with ``score``: every row is scored once, by the model fitted on the other folds. A handful of folds is assumed;
+    rows without a fold get no score."""
+    score = F.lit(None).cast("double")
+    for (f,) in rows.select(fold).where(F.col(fold).isNotNull()).distinct().orderBy(fold).collect():
+        score = F.when(F.col(fold) == f, fit_logit(rows.where(F.col(fold) != f), features, label, penalty).score()).otherwise(score)
+    return rows.withColumn("score", score)
+
+
 COMBINED = ("near", "far", "max", "mean", "stack")
 
 

@@ -24,6 +24,7 @@ DISEASE = Disease(
         "luts_dribbling": ("luts", "dribbling"), "luts_frequency": ("luts", "frequency|polyuria"), "luts_retention": ("luts", "retention"),
         "luts_uti": ("luts", "urinary tract infect"),
     },
+    # --- end of fixed values: what follows is combined from them, but for weights, orders and vocabularies ---
     flags={
         "haem_recurrent": "n_haem > 1", "haem_frequent": "n_haem >= 3", "luts_recurrent": "n_luts > 1", "smoking_any": "has_smoker_current = 1 OR has_smoker_ex = 1",
         "smoker_over65": "age >= 65 AND smoking_any = 1", "haem_over65": "age >= 65 AND has_haem = 1", "haem_x_urineinv": "has_haem = 1 AND has_urineinv = 1",

@@ -21,6 +21,7 @@ DISEASE = Disease(
     },
     labs={"hba1c": (["LAB_HBA1C"], ".")},
     lab_flags={"hba1c_diabetic": "hba1c_latest >= 48", "hba1c_prediabetic": "hba1c_latest >= 42 AND hba1c_latest < 48", "hba1c_poor_control": "hba1c_latest >= 58"},
+    # --- end of fixed values: what follows is combined from them, but for weights, orders and vocabularies ---
     flags={
         "cardiometabolic_3plus": f"{CARDIO} >= 3", "metabolic_syndrome": f"{CARDIO} >= 2", "tah_no_bso": "has_tah = 1 AND has_tah_bso = 0", "postmenopausal": POSTMENO,
         "early_menopause": "has_menopause = 1 AND age < 50", "late_menstruation": "has_menstrual = 1 AND age >= 50", "hrt_multi": "n_hrt >= 3", "hrt_postmeno": "has_hrt = 1 AND postmenopausal = 1",

@@ -34,6 +34,7 @@ DISEASE = Disease(
         "esr_elevated": "esr_latest > 30", "esr_high": "esr_latest > 50", "crp_elevated": "crp_latest > 10", "crp_high": "crp_max > 30", "inr_elevated": "inr_latest > 1.5",
         "pt_elevated": "pt_latest > 15", "aptt_elevated": "aptt_latest > 35", "igg_low": "igg_latest < 6", "iga_low": "iga_latest < 0.7", "igm_low": "igm_latest < 0.4",
     },
+    # --- end of fixed values: what follows is combined from them, but for weights, orders and vocabularies ---
     flags={
         "coagulopathy": "inr_elevated = 1 OR pt_elevated = 1 OR aptt_elevated = 1", "immunoparesis_2plus": "igg_low + iga_low + igm_low >= 2",
         "bicytopenia": "hb_low + thrombocytopenia + neutropenia >= 2", "pancytopenia": "hb_low + thrombocytopenia + neutropenia >= 3",

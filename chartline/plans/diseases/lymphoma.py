@@ -25,6 +25,7 @@ DISEASE = Disease(
         "iga_elevated": "iga_latest > 4", "igg_elevated": "igg_latest > 16", "igg_low": "igg_latest < 6", "iga_low": "iga_latest < 0.7", "igm_low": "igm_latest < 0.4",
         "kl_ratio_abnormal": "kl_ratio_latest < 0.26 OR kl_ratio_latest > 1.65", "kl_ratio_extreme": "kl_ratio_latest < 0.1 OR kl_ratio_latest > 8",
     },
+    # --- end of fixed values: what follows is combined from them, but for weights, orders and vocabularies ---
     flags={
         "nodal_acceleration": "b_nodal > a_nodal", "nodal_triad": "has_lymphad = 1 AND has_spleno = 1 AND has_masses = 1", "nodal_pair": "has_lymphad + has_spleno + has_masses >= 2",
         "bsym_acceleration": "b_bsym > a_bsym", "bsym_persistent": "b_bsym >= 2", "bsym_or_constitutional": "has_bsym = 1 OR has_constitutional = 1",

@@ -17,6 +17,7 @@ DISEASE = Disease(
         "topical": ["TOPICAL_STEROIDS_SKIN", "TOPICAL_ANTIBIOTICS_SKIN", "TOPICAL_SKIN_OTHER", "TOPICAL_STEROID_SCALP"],
         "surgical_med": ["LOCAL_ANAESTHETICS_SKIN", "SUTURES_WOUND_TAPE", "WOUND_DRESSINGS", "WOUND_CARE"],
     },
+    # --- end of fixed values: what follows is combined from them, but for weights, orders and vocabularies ---
     flags={
         "pathway_complete": "has_lesion = 1 AND has_dermoscopy = 1 AND has_histology = 1", "pathway_with_excision": "pathway_complete = 1 AND has_excision = 1",
         "excision_with_histology": "has_excision = 1 AND has_histology = 1", "excision_with_plastic": "has_excision = 1 AND has_plastic = 1",

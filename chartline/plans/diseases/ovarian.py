@@ -26,6 +26,7 @@ DISEASE = Disease(
         "albumin_low": "albumin_latest < 35", "platelets_high": "platelets_latest > 400", "platelets_very_high": "platelets_latest > 600", "egfr_low": "egfr_latest < 60",
         "egfr_declining": "egfr_first - egfr_latest > 10", "esr_elevated": "esr_latest > 30", "alp_elevated": "alp_latest > 130", "ldh_elevated": "ldh_latest > 250", "calcium_high": "calcium_latest > 2.6",
     },
+    # --- end of fixed values: what follows is combined from them, but for weights, orders and vocabularies ---
     flags={
         "cardinals_2plus": f"{CARDINALS} >= 2", "over50_cardinal": f"age >= 50 AND {CARDINALS} >= 1", "over50_2plus": "age >= 50 AND cardinals_2plus = 1",
         "persistent_bloating": "b_bloating >= 2", "persistent_pain": "b_pain >= 2", "persistent_urinary": "b_urinary >= 2", "persistent_satiety": "b_satiety >= 2",

@@ -39,6 +39,7 @@ DISEASE = Disease(
         "psa_alp_both_high": "psa_value_max > 4 AND alp_max > 130", "psa_alp_both_very_high": "psa_value_max > 10 AND alp_max > 200",
         "psa_high_anaemia": "psa_value_max > 4 AND hb_min BETWEEN 1 AND 130",
     },
+    # --- end of fixed values: what follows is combined from them, but for weights, orders and vocabularies ---
     flags={
         "bph_combination": "has_alpha_blockers = 1 AND has_reductase = 1", "peak_age": "age BETWEEN 50 AND 80", "over65_psa": "age >= 65 AND psa_elevated_4 = 1",
         "over65_luts": "age >= 65 AND has_luts = 1", "psa_plus_bone": "psa_elevated_4 = 1 AND has_bone = 1", "bone_trio": "alp_elevated + calcium_high + hb_low >= 3",
