@@ -387,7 +387,7 @@ def importance(mat: DataFrame, features: Sequence[str], folds: int = 3, seed: in
             parts.append(imp.select("feature", F.lit(n).alias("m"), "importance"))
         aucs = {n: auc(oof(mat, features, folds, seed, est)) for n, est in lrn.items()}
     t = functools.reduce(DataFrame.unionByName, parts).groupBy("feature").pivot("m", list(lrn)).agg(F.max("importance"))
-    t = t.select("feature", *[discover.minmax(n).alias(f"{n}_importance") for n in lrn], *[F.lit(aucs[n]).alias(f"{n}_auroc") for n in lrn])
+    t = t.select("feature", *discover.minmax(t, {f"{n}_importance": n for n in lrn}), *[F.lit(aucs[n]).alias(f"{n}_auroc") for n in lrn])
     w = discover.ML_WEIGHTS
     blend = x.total([F.col(f"{n}_importance") * w[n] for n in lrn]) / sum(w[n] for n in lrn)
     return discover.ranked(t.withColumn("ml_importance", blend), F.round("ml_importance", 12), "feature", "ml_rank")
