@@ -221,9 +221,24 @@ def total(cols: Sequence[Column]) -> Column:
     return reduce(lambda x, y: x + y, cols)
 
 
-def correlation(y: Column | str, x: Column | str) -> Column:
-    """Aggregate: Pearson correlation of the rows where both are known; NULL without spread."""
+def _paired(y: Column | str, x: Column | str) -> tuple[Column, Column, Column]:
+    """Both as doubles where both are known, and the aggregate condition that x is spread. The engine's variance of equal
+    values isn't always 0 (partial means are merged by division), so extremes decide."""
     y, x = col(y).cast("double"), col(x).cast("double")
     both = y.isNotNull() & x.isNotNull()
     y, x = F.when(both, y), F.when(both, x)
-    return F.try_divide(F.covar_pop(y, x), F.nullif(F.stddev_pop(y) * F.stddev_pop(x), F.lit(0.0)))
+    return y, x, F.min(x) < F.max(x)
+
+
+def correlation(y: Column | str, x: Column | str) -> Column:
+    """Aggregate: Pearson correlation of the rows where both are known; NULL without spread."""
+    y, x, spread = _paired(y, x)
+    return F.when(spread & (F.min(y) < F.max(y)), F.try_divide(F.covar_pop(y, x), F.nullif(F.stddev_pop(y) * F.stddev_pop(x), F.lit(0.0))))
+
+
+def slope(y: Column | str, x: Column | str) -> Column:
+    """Aggregate: OLS slope of the rows where both are known; NULL without spread in x, and 0 where the covariance is within
+    the rounding of its sums, so that the sign of a flat series doesn't hang on the order of its rows."""
+    y, x, spread = _paired(y, x)
+    noise = 1e-12 * F.stddev_pop(y) * F.stddev_pop(x)
+    return F.when(spread & (F.min(y) < F.max(y)) & (F.abs(F.covar_pop(y, x)) > noise), F.regr_slope(y, x)).when(spread, 0.0)

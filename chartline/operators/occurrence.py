@@ -162,7 +162,7 @@ def bands(ev: DataFrame, edges: Sequence[tuple[int, int]], keys: Sequence[str] =
     e = e.withColumn("band", label).where(F.col("band").isNotNull())
     return e.withColumn("_x", F.when(F.col("value").isNotNull(), day_axis())).groupBy(*keys, "band").agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("value_mean"), last_value(F.col("value").isNotNull()).alias("value_latest"),
-        F.regr_slope(F.col("value"), F.col("_x")).alias("value_slope"))
+        x.slope("value", "_x").alias("value_slope"))
 
 
 def cumulative(ev: DataFrame, ns: Sequence[int], keys: Sequence[str] = KEYS, zero: float | None = None) -> DataFrame:

@@ -49,7 +49,7 @@ def day_axis(c: str = "days_before") -> Column:
 
 def slope(y: str | Column, axis: Column) -> Column:
     """OLS slope; NULL below two points or without spread in x."""
-    return F.regr_slope(x.col(y).cast("double"), axis)
+    return x.slope(y, axis)
 
 
 def value_stats(ev: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -69,10 +69,10 @@ def ols(ev: DataFrame, keys: Sequence[str] = KEYS, y: str = "value", axis: Colum
     axis = day_axis() if axis is None else axis
     ev = ev.where(F.col(y).isNotNull()).withColumn("_x", axis)
     yy = F.col(y).cast("double")
-    cols = [F.regr_slope(yy, F.col("_x")).alias("slope"), x.correlation(yy, F.col("_x")).alias("corr"), F.count(F.lit(1)).alias("n")]
-    if r2:
-        cols.append(F.regr_r2(yy, F.col("_x")).alias("r2"))
+    cols = [x.slope(yy, "_x").alias("slope"), x.correlation(yy, F.col("_x")).alias("corr"), F.count(F.lit(1)).alias("n")]
     out = ev.groupBy(*keys).agg(*cols)
+    if r2:
+        out = out.withColumn("r2", F.when(F.col("slope").isNotNull(), F.coalesce(F.col("corr") * F.col("corr"), F.lit(1.0))))
     return out.withColumn("direction", F.signum("slope")) if r2 else out
 
 
@@ -163,7 +163,7 @@ def velocity(ev: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def doubling_time(ev: DataFrame, keys: Sequence[str] = KEYS, days_per_month: float = 30.44) -> DataFrame:
     """Months to double from the slope of the logarithm; only for rising, positive series."""
     m = measured(ev).withColumn("_x", day_axis() / days_per_month).withColumn("_y", F.log(F.col("value") + 0.01))
-    t = m.groupBy(*keys).agg(F.regr_slope("_y", "_x").alias("log_slope"), first_value().alias("f"), last_value().alias("l"))
+    t = m.groupBy(*keys).agg(x.slope("_y", "_x").alias("log_slope"), first_value().alias("f"), last_value().alias("l"))
     ok = (F.col("log_slope") > 0) & (F.col("f") > 0) & (F.col("l") > 0)
     t = t.select(*keys, F.when(ok, F.try_divide(F.log(F.lit(2.0)), F.col("log_slope"))).alias("doubling_months"))
     return t.select("*", x.flag(F.col("doubling_months") < 24).alias("fast"), x.flag(F.col("doubling_months") < 12).alias("very_fast"))
@@ -222,7 +222,7 @@ def value_ratio(ev: DataFrame, pairs: dict[str, tuple[Sequence[str], Sequence[st
             return F.max(F.when(F.col(c).isNotNull(), F.struct("event_date", F.col(c).alias("v"))))["v"]
         q = F.try_divide(F.col(f"_n_{name}"), F.nullif(F.col(f"_d_{name}"), F.lit(0.0)))
         latest += [F.try_divide(newest(f"_ln_{name}"), F.nullif(newest(f"_ld_{name}"), F.lit(0.0))).alias(name),
-                   F.regr_slope(q, F.when(q.isNotNull(), day_axis())).alias(f"{name}_trend")]
+                   slope(q, day_axis()).alias(f"{name}_trend")]
     return days.groupBy("entity").agg(*latest)
 
 
@@ -248,7 +248,7 @@ def value_profile(ev: DataFrame, sets: DataFrame, logic: dict[str, Trend] | None
     t = m.withColumn("_x", day_axis()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_records"), F.min("event_date").alias("first_date"), F.max("event_date").alias("last_date"),
         first_value().alias("first"), last_value().alias("last"), F.avg("value").alias("mean"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.stddev_pop("value").alias("std_pop"), F.regr_slope(F.col("value"), F.col("_x")).alias("slope"),
+        F.max("value").alias("max"), F.stddev_pop("value").alias("std_pop"), x.slope("value", "_x").alias("slope"),
         x.correlation("value", "_x").alias("corr"), F.min(F.struct("event_date", "event_age"))["event_age"].alias("first_age"),
         F.max(F.struct("event_date", "event_age"))["event_age"].alias("last_age"),
         F.array_join(F.sort_array(F.collect_set(F.col(on).cast("string"))), ", ").alias("codes"),
@@ -332,7 +332,7 @@ def derangement(ev: DataFrame, keys: Sequence[str] = KEYS, extreme: float = 2.0,
     from . import occurrence as occ
 
     z = measured(ev).withColumn("_x", day_axis()).groupBy(*keys).agg(F.try_divide(last_value() - F.avg("value"), F.nullif(F.stddev_samp("value"), F.lit(0.0))).alias("z"),
-                                    F.regr_slope(F.col("value"), F.col("_x")).alias("slope"))
+                                    x.slope("value", "_x").alias("slope"))
     o = occ.occurrence(ev, keys).select(*keys, "accel", "is_worsening")
     t = o.join(z, list(keys), "left")
     return t.groupBy("entity").agg(

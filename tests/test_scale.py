@@ -94,3 +94,19 @@ def test_levels_are_numbered_in_order(spark):
     words = sorted({f"{a}{b}" for a in ("a", "ab", "é", "Z", "") for b in range(40)})
     df = spark.createDataFrame([(w,) for w in words * 2] + [(None,)], "c string")
     assert {r.c: r.id for r in hygiene.fit_labels(df, "c").collect()} == {w: i for i, w in enumerate(words)}
+
+
+def test_flat_series_have_no_direction(spark):
+    """A slope of exactly 0, and readings of one day, in whatever parts their rows are merged."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for e in range(300):
+        d, v = rng.integers(1, 1500, 7).tolist(), (rng.integers(1, 50, 7) / 7).tolist()
+        rows += [(f"flat{e}", "c", a, y) for a in d for y in v]  # every day has the same readings
+        rows += [(f"day{e}", "c", d[0], y) for y in v * 7]
+    ev = spark.createDataFrame(rows, "entity string, category string, days_before int, value double").repartition(8).withColumn(
+        "event_date", F.date_sub(F.lit("2024-01-01").cast("date"), F.col("days_before")))
+    got = values.ols(ev, r2=True)
+    assert got.where("entity LIKE 'flat%' AND (slope <> 0 OR direction <> 0)").count() == 0
+    assert got.where("entity LIKE 'day%' AND (slope IS NOT NULL OR corr IS NOT NULL OR r2 IS NOT NULL)").count() == 0
+    assert values.doubling_time(ev).where("doubling_months IS NOT NULL OR fast = 1").count() == 0
