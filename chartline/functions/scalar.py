@@ -242,3 +242,15 @@ def slope(y: Column | str, x: Column | str) -> Column:
     y, x, spread = _paired(y, x)
     noise = 1e-12 * F.stddev_pop(y) * F.stddev_pop(x)
     return F.when(spread & (F.min(y) < F.max(y)) & (F.abs(F.covar_pop(y, x)) > noise), F.regr_slope(y, x)).when(spread, 0.0)
+
+
+def deviation(c: Column | str) -> Column:
+    """Aggregate: sample deviation, exactly 0 for equal values; NULL below two."""
+    c = col(c)
+    sd = F.stddev_samp(c)
+    return F.when((F.min(c) < F.max(c)) | sd.isNull(), sd).otherwise(0.0)
+
+
+def settled(z: Column | str) -> Column:
+    """A z-score for comparison with a limit: without the last digits, which hang on the order of summed rows."""
+    return F.round(col(z), 9)

@@ -237,7 +237,7 @@ def structure(ev: DataFrame, extreme: float = 2.0) -> DataFrame:
     az = F.abs("value")
     t = ev.groupBy("entity", "category").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("code").alias("n_codes"), F.max(F.col("days_before") / DAYS_PER_MONTH).alias("first_months"),
-        x.count_where(az >= extreme).alias("n_extreme"), F.max(az).alias("max_abs_z"))
+        x.count_where(x.settled(az) >= extreme).alias("n_extreme"), F.max(az).alias("max_abs_z"))
     own = t.groupBy("entity").agg(F.sum("n").alias("_all"), F.count(F.lit(1)).alias("n_categories"))
     return t.join(own, "entity").select(
         "entity", "category", "n_codes", (F.col("n_codes") / F.col("n")).alias("code_ratio"), (F.col("n") / F.col("_all")).alias("share"),

@@ -172,9 +172,10 @@ def doubling_time(ev: DataFrame, keys: Sequence[str] = KEYS, days_per_month: flo
 def own_z(ev: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Latest reading against the entity's own mean and deviation, clipped to +-10."""
     t = measured(ev).groupBy(*keys).agg(F.count("value").alias("n_reads"), F.try_divide(
-        last_value() - F.avg("value"), F.nullif(F.stddev_samp("value"), F.lit(0.0))).alias("z"))
+        last_value() - F.avg("value"), F.nullif(x.deviation("value"), F.lit(0.0))).alias("z"))
     z = F.least(F.greatest(F.coalesce("z", F.lit(0.0)), F.lit(-10.0)), F.lit(10.0))
-    return t.withColumn("z", z).select("*", x.flag(z > 1.5).alias("high"), x.flag(z > 3).alias("extreme"), x.flag(z < -1.5).alias("low"))
+    t, s = t.withColumn("z", z), x.settled("z")
+    return t.select("*", x.flag(s > 1.5).alias("high"), x.flag(s > 3).alias("extreme"), x.flag(s < -1.5).alias("low"))
 
 
 def max_jump(ev: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -312,7 +313,7 @@ def pctl_rank(df: DataFrame, value: str = "latest", by: Sequence[str] = ("catego
 
 def fit_code_z(train: DataFrame, on: str = "code") -> DataFrame:
     """Training mean and deviation per code."""
-    return measured(train).groupBy(on).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    return measured(train).groupBy(on).agg(F.avg("value").alias("mean"), x.deviation("value").alias("std"))
 
 
 def apply_code_z(ev: DataFrame, fitted: DataFrame, on: str = "code") -> DataFrame:
@@ -331,12 +332,12 @@ def derangement(ev: DataFrame, keys: Sequence[str] = KEYS, extreme: float = 2.0,
     """Burden over an entity's codes: extreme, rising, accelerating and worsening ones, mean |z|."""
     from . import occurrence as occ
 
-    z = measured(ev).withColumn("_x", day_axis()).groupBy(*keys).agg(F.try_divide(last_value() - F.avg("value"), F.nullif(F.stddev_samp("value"), F.lit(0.0))).alias("z"),
+    z = measured(ev).withColumn("_x", day_axis()).groupBy(*keys).agg(F.try_divide(last_value() - F.avg("value"), F.nullif(x.deviation("value"), F.lit(0.0))).alias("z"),
                                     x.slope("value", "_x").alias("slope"))
     o = occ.occurrence(ev, keys).select(*keys, "accel", "is_worsening")
     t = o.join(z, list(keys), "left")
     return t.groupBy("entity").agg(
-        x.count_where(F.abs("z") >= extreme).alias("n_extreme"), F.avg(F.abs("z")).alias("mean_abs_z"), x.count_where(F.col("slope") > 0).alias("n_rising"),
+        x.count_where(x.settled(F.abs("z")) >= extreme).alias("n_extreme"), F.avg(F.abs("z")).alias("mean_abs_z"), x.count_where(F.col("slope") > 0).alias("n_rising"),
         x.count_where(F.col("accel") > 0).alias("n_accelerating"), x.count_where(F.col("is_worsening") == 1).alias("n_worsening"))
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from chartline import session, skew
-from chartline.operators import hygiene, learn, values
+from chartline.operators import hygiene, learn, occurrence, values
 
 
 def test_crowded_values_spread_over_many_segments(spark):
@@ -110,3 +110,21 @@ def test_flat_series_have_no_direction(spark):
     assert got.where("entity LIKE 'flat%' AND (slope <> 0 OR direction <> 0)").count() == 0
     assert got.where("entity LIKE 'day%' AND (slope IS NOT NULL OR corr IS NOT NULL OR r2 IS NOT NULL)").count() == 0
     assert values.doubling_time(ev).where("doubling_months IS NOT NULL OR fast = 1").count() == 0
+
+
+def test_scores_on_a_limit(spark):
+    """One of four readings apart from three equal ones scores exactly 1.5, whatever the rounding."""
+    rows = []
+    for e in range(400):
+        a, b = (e % 37) / 7 + 0.1, (e % 41) / 3 + 6.3
+        rows += [(f"up{e}", "c", f"c{e}", 9 - i, i + 1, v) for i, v in enumerate([b, a, a, a])]
+        rows += [(f"down{e}", "c", f"d{e}", 9 - i, i + 1, v) for i, v in enumerate([a, b, b, b])]
+        rows += [(f"same{e}", "c", f"s{e}", i + 1, i + 1, a) for i in range(7)]
+    ev = spark.createDataFrame(rows, "entity string, category string, code string, d int, days_before int, value double").repartition(8).withColumn(
+        "event_date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("d")))
+    z = values.own_z(ev)
+    assert z.where("high = 1 OR low = 1 OR entity LIKE 'same%' AND z <> 0").count() == 0
+    d = values.derangement(ev, extreme=1.5)
+    assert d.where("n_extreme <> CASE WHEN entity LIKE 'same%' THEN 0 ELSE 1 END").count() == 0
+    s = occurrence.structure(values.apply_code_z(ev, values.fit_code_z(ev)), 1.5)
+    assert s.where("n_extreme <> CASE WHEN entity LIKE 'same%' THEN 0 ELSE 1 END").count() == 0
