@@ -14,6 +14,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A task's tables in memory are some 40 times its compressed input, so inputs stay small at any size of the tables.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "400",
     # A hot entity in an event-to-spine join is split even where the join
     # output feeds a grouping on the same key (costs one extra exchange).
     "spark.sql.adaptive.skewJoin.enabled": "true",

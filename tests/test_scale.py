@@ -128,3 +128,11 @@ def test_scores_on_a_limit(spark):
     assert d.where("n_extreme <> CASE WHEN entity LIKE 'same%' THEN 0 ELSE 1 END").count() == 0
     s = occurrence.structure(values.apply_code_z(ev, values.fit_code_z(ev)), 1.5)
     assert s.where("n_extreme <> CASE WHEN entity LIKE 'same%' THEN 0 ELSE 1 END").count() == 0
+
+
+def test_inputs_of_tasks_stay_small(spark):
+    """A shuffle of 300 MB is read in parts of 16 MB, however few tasks run at once."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    df = session.tune(spark).range(24_000_000, numPartitions=8).select("id", F.xxhash64("id").alias("v")).groupBy("v").agg(F.max("id").alias("id"))
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 12
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
