@@ -10,7 +10,9 @@ are compared tile by tile by exclusive-or and bit counts, tile pairs skipped by
 Keys of at most ``SHORT`` nodes give all their candidates, others two for each node: the nearest and the least of those
 before it. Keys of more than ``HOT`` nodes are salted; nodes with none before them in their part meet once more under the key. So
 a group of copies of any size gives a number of pairs in proportion to it. Every candidate pair is confirmed by the
-Jaccard similarity of its whole sets (as 32-bit hashes); confirmed pairs are linked to components. Meeting is a matter of
+Jaccard similarity of its whole sets (as 32-bit hashes); confirmed pairs are linked to components. Then the longer keys whose
+nodes are not all of one component give all their other candidates: those between different components, the only ones that
+can still link anything. No key drops a pair that would change a component. Meeting under a key is a matter of
 chance, so recall is measured (tests, README), not guaranteed.
 
 No words (null, empty or white space): one node. Repeated rows and equal texts are one node; a null doc_id is last in its
@@ -33,6 +35,7 @@ from .tokens import encoder, sliced
 SHINGLE, SIMILARITY, RADIUS, MEET = 5, 0.8, 30, 0.97
 BITS = 128
 SHORT, HOT, TILE = 32, 8192, 512
+PART = 2048  # nodes of a key compared with as many others at a time
 STRETCH = 512 << 10  # bytes of text taken together
 _ROWS = 1 << 14  # shingles whose bits are unpacked at a time
 _LANE = (np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127))
@@ -210,9 +213,8 @@ def _met(rows: DataFrame, radius: int) -> DataFrame:
     return laid.mapInArrow(run, "a long, b long, key long, f1 long, f2 long")
 
 
-def candidates(nodes: DataFrame, n: int, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """Distinct pairs (a, b) of nodes to be confirmed."""
-    rows = stored(keyed(nodes, bands(n, similarity)), "near-keys")
+def candidates(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Distinct pairs (a, b) of keyed nodes to be confirmed first."""
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).withColumn("parts", F.ceil(F.col("_n") / HOT).cast("long")).drop("_n")
     salted = rows.join(many, "key").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")))
     found = stored(_met(salted, radius), "near-pairs")
@@ -220,8 +222,82 @@ def candidates(nodes: DataFrame, n: int, similarity: float = SIMILARITY, radius:
     return found.where("b IS NOT NULL").select("a", "b").unionByName(_met(again, radius).select("a", "b")).distinct()
 
 
+def remaining(rows: DataFrame, roots: DataFrame, radius: int = RADIUS, known: DataFrame | None = None, facing: bool = False, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs (a, b) of different components within the radius, of keys of more than SHORT nodes.
+
+    Under a key the nodes outside its most frequent component are compared with all, in cells of at most PART by PART nodes. A key
+    of one component is left out. facing: instead, nodes (a) with a candidate in a key's most frequent component, and its root (b).
+    known: (node, root, d) of the Jaccard distance of nodes to such roots. It is a metric, so nodes whose distances to one root
+    differ by more than 1 - similarity are no pair."""
+    rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"))
+    keys = keys.where((F.col("n") > SHORT) & (F.col("n") > F.col("most")))
+    parts = lambda n: F.ceil(n / PART).cast("long")
+    own, hash_ = F.col("root") == F.col("main"), F.xxhash64("node")
+    d = rooted.join(keys, "key").withColumn("own", own).withColumn("others", parts(F.col("n") - F.col("most")))
+    d = d.withColumn("part", F.pmod(hash_, F.when(F.col("own"), parts(F.col("most"))).otherwise(F.col("others"))))
+    row, base = ["key", "node", "root", "f1", "f2", "main", "d"], parts(F.col("most"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    d = d.join(known.withColumnRenamed("root", "main"), ["node", "main"], "left") if known is not None else d.withColumn("d", F.lit(None).cast("double"))
+    d = d.withColumn("d", F.when(F.col("node") == F.col("main"), 0.0).otherwise(F.coalesce("d", F.lit(float("nan")))))
+    rest = d.where("NOT own")
+    # cells (i, j) of one part of the others and one part of the main component, or of the others (j counts on)
+    sides = [d.where("own").select(*row, every(F.col("others")).alias("i"), F.col("part").alias("j"), F.lit(1).alias("side")),
+             rest.select(*row, F.col("part").alias("i"), every(base + F.col("others")).alias("j"), F.lit(0).alias("side")),
+             rest.select(*row, every(F.col("others")).alias("i"), (base + F.col("part")).alias("j"), F.lit(1).alias("side"))]
+    laid = sides[0].unionByName(sides[1]).unionByName(sides[2]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+    def compared(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, root, side, main, to_main = (t.column(c).to_numpy() for c in ("node", "root", "side", "main", "d"))
+        f = np.stack([t.column(c).to_numpy() for c in ("f1", "f2")], 1).view(np.uint64)
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for a in range(0, len(x), TILE):
+            for b in range(0, len(y), TILE):
+                i, j = np.nonzero(_far(f, x[a:a + TILE, None], y[None, b:b + TILE]) <= radius)
+                i, j = x[a + i], y[b + j]
+                if facing:
+                    i = np.unique(i[root[j] == main[j]])
+                    out.append((node[i], main[i]))
+                    continue
+                apart = (root[i] != root[j]) & ~(np.abs(to_main[i] - to_main[j]) > 1 - similarity + 1e-9)
+                i, j = i[apart], j[apart]
+                out.append((np.maximum(node[i], node[j]), np.minimum(node[i], node[j])))
+        return tuple(np.concatenate(v) for v in zip(*out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def ended(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            cell = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cell], 0)) + 1
+            edges = [0, *cut.tolist(), *([t.num_rows] if last else [])]
+            for x, y in zip(edges, edges[1:]):
+                a, b = compared(t.slice(x, y - x))
+                for k in range(0, len(a), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[k:k + (1 << 16)]), pa.array(b[k:k + (1 << 16)])], names=["a", "b"])
+            held[:] = t.slice(edges[-1]).to_batches() if not last else []
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if sum(h.num_rows for h in held) >= 1 << 14:
+                    yield from ended(pa.Table.from_batches(held), False)
+        if held:
+            yield from ended(pa.Table.from_batches(held), True)
+
+    return laid.select(*row, "i", "j", "side").mapInArrow(run, "a long, b long").distinct()
+
+
 def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose whole shingle sets have the similarity. nodes: node, and doc_id, hash of a document that stands for it."""
+    """The pairs whose whole shingle sets have the similarity."""
+    return compared_sets(docs, nodes, pairs, shingle, similarity).where("alike").select("a", "b")
+
+
+def compared_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b, d, alike): the Jaccard distance of each pair's whole shingle sets, and whether they have the similarity. nodes: node,
+    and doc_id, hash of a document that stands for it."""
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     keys = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
     of = nodes.join(used, "node").select("node", *keys, "hash")
@@ -240,14 +316,15 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
+            d, keep = [], []
             for p, q in zip(b.column("p"), b.column("q")):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint32) for v in (p, q))
                 same = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(same >= similarity * (len(p) + len(q) - same))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                d.append(1 - same / max(len(p) + len(q) - same, 1))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(d, pa.float64()), pa.array(keep, pa.bool_())], names=["a", "b", "d", "alike"])
 
-    return both.select("a", "b", "p", "q").mapInArrow(alike, "a long, b long")
+    return both.select("a", "b", "p", "q").mapInArrow(alike, "a long, b long, d double, alike boolean")
 
 
 def clusters(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -257,8 +334,16 @@ def clusters(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     nodes = m.groupBy("d1", "d2").agg(first, F.min("f1").alias("f1"), F.min("f2").alias("f2"))
     nodes = stored(nodes.select("d1", "d2", "f1", "f2", "f.doc_id", "f.hash", F.monotonically_increasing_id().alias("node")), "near-nodes")
     n = nodes.count()
-    pairs = stored(candidates(nodes, n, similarity), "near-candidates")
+    rows = stored(keyed(nodes, bands(n, similarity)), "near-keys")
+    pairs = stored(candidates(rows), "near-candidates")
     links = components(confirmed(docs, nodes, pairs, shingle, similarity))
+    ends = stored(remaining(rows, links, facing=True), "near-facing")
+    members = links.join(ends.select(F.col("b").alias("root")).distinct(), "root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    known = stored(compared_sets(docs, nodes, ends.unionByName(members), shingle, similarity), "near-known")
+    rest = remaining(rows, links, known=known.select(F.col("a").alias("node"), F.col("b").alias("root"), "d"), similarity=similarity)
+    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "near-remaining")
+    more = confirmed(docs, nodes, rest, shingle, similarity).unionByName(known.where("alike").select("a", "b"))
+    links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     root = nodes.select("node", "d1", "d2").join(links, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"))
     return m.join(root, ["d1", "d2"]).select("doc_id", "hash", "root")
 

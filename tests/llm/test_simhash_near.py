@@ -103,6 +103,40 @@ def test_salted_keys_meet_again(spark):
     assert ends == {0, 1, 2} and found.where("b IS NOT NULL").count() >= n - 3
 
 
+def test_remaining_pairs_of_long_keys(spark, monkeypatch):
+    """All candidates between different components of a long key, each in bounded cells; none of a key of one component."""
+    monkeypatch.setattr(near, "PART", 16)
+    g = np.random.default_rng(5)
+    n = 150
+    f = np.repeat(g.integers(0, 1 << 63, (3, 2), dtype=np.uint64), n // 3, 0)
+    for _ in range(10):
+        f ^= np.where(g.random(f.shape) < 0.7, np.uint64(1) << g.integers(0, 64, f.shape, dtype=np.uint64), np.uint64(0))
+    root = np.where(np.arange(n) % 3 == 0, np.arange(n), 1000 + np.arange(n) % 2)
+    keyed = [(k, i, int(a), int(b)) for k in (7, 8) for i, (a, b) in enumerate(f.view(np.int64).tolist())]
+    keyed += [(9, i + 500, *f.view(np.int64)[0].tolist()) for i in range(60)] + [(10, i + 700, *f.view(np.int64)[0].tolist()) for i in range(near.SHORT)]
+    rows = spark.createDataFrame(keyed, "key long, node long, f1 long, f2 long")
+    roots_ = spark.createDataFrame([(i, int(r)) for i, r in enumerate(root) if i != r] + [(i + 500, 500) for i in range(1, 60)], "node long, root long")
+    got = {(r.a, r.b) for r in near.remaining(rows, roots_).collect()}
+    d = np.bitwise_count(f[:, None] ^ f[None]).sum(-1)
+    assert got == {(i, j) for i in range(n) for j in range(i) if d[i, j] <= near.RADIUS and root[i] != root[j]}
+
+
+def test_no_link_of_a_long_key_is_lost(spark, make_docs):
+    """Two groups of near copies joined by one text: its link to the second group is neither to the nearest nor to the least."""
+    g = random.Random(12)
+    base = [f"w{g.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for k in range(90):
+        w = base[:]
+        for at in g.sample(range(400), 1 + k % 9):
+            w[at] = f"z{g.randrange(10**9)}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    root = roots(near.clusters(make_docs(*enumerate(texts)).repartition(4)))
+    pairs = [(i, j) for i in range(90) for j in range(i) if alike(sets[i], sets[j]) >= 0.8]
+    assert all(root[i] == root[j] for i, j in pairs)
+
+
 def test_odd_rows(odd_docs, no_docs, clashing):
     got = near.deduplicated(odd_docs)
     assert got.columns == odd_docs.columns
