@@ -59,4 +59,5 @@ def class_weights(spine: DataFrame, by: str | None = None) -> DataFrame:
     w = w.withColumn("weight", weight)
     mean = F.sum(F.col("weight") * F.col("n")).over(W.partitionBy(F.lit(0))) / F.col("_all")
     w = w.withColumn("weight", F.col("weight") / mean)
-    return spine.join(w.select(*keys, "weight"), keys)
+    # a join by shuffle would gather each class in one task
+    return spine.join(F.broadcast(w.select(*keys, "weight")), keys)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from chartline import session, skew
-from chartline.operators import hygiene, learn, occurrence, values
+from chartline.operators import hygiene, learn, occurrence, split, values
 
 
 def test_crowded_values_spread_over_many_segments(spark):
@@ -136,3 +136,14 @@ def test_inputs_of_tasks_stay_small(spark):
     df = session.tune(spark).range(24_000_000, numPartitions=8).select("id", F.xxhash64("id").alias("v")).groupBy("v").agg(F.max("id").alias("id"))
     assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 12
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_class_weights_leave_rows_where_they_are(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(10_000, numPartitions=8).select("id", (F.col("id") % 4 == 0).cast("int").alias("label"))
+        got = split.class_weights(df)
+        assert got.select(F.spark_partition_id().alias("p")).distinct().count() == 8
+        assert {(r.label, r.weight) for r in got.select("label", F.round("weight", 9).alias("weight")).distinct().collect()} == {(0, 0.666666667), (1, 2.0)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
