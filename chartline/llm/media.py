@@ -2,7 +2,7 @@
 
 Each payload is the text's UTF-8 bytes and bytes 255 up to a positive multiple of 576 (a null or empty text: one such
 block), laid out as RGBA images of 144 pixels a row. The prefix codes are made from counts over the whole corpus, a
-table of 4 x 280 numbers. The files are stored as a column of binaries in the shared folder and read back from there.
+table of 6 x 5 x 344 numbers, one set for each way to write an image; each image is written the shortest way. The files are stored as a column of binaries in the shared folder and read back from there.
 Repeated rows are stored each, with equal files; an empty table gives an empty one.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import buffers, ragged, stored
 from .tokens import regrouped, sliced
-from .webp import LENGTHS, LITERALS, ROWS, WIDTH, Encoder, count_symbols, decode
+from .webp import ROWS, SYMBOLS, WAYS, WIDTH, Encoder, count_symbols, decode
 
 UNIT = 576
 TOGETHER = 6 << 20  # bytes of text encoded or of files decoded at once
@@ -47,7 +47,7 @@ def counted(docs: DataFrame) -> np.ndarray:
     """Symbol counts over the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, LITERALS + LENGTHS), np.int64)
+        total = np.zeros((len(WAYS), 5, SYMBOLS), np.int64)
         for b in batches:
             for x, y in sliced(b.column("text"), TOGETHER):
                 px, off = payloads(b.column("text").slice(x, y - x))
@@ -55,10 +55,10 @@ def counted(docs: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total.reshape(-1))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total.reshape(-1)[used])], names=["i", "n"])
 
-    out = np.zeros(4 * (LITERALS + LENGTHS), np.int64)
+    out = np.zeros(len(WAYS) * 5 * SYMBOLS, np.int64)
     for r in docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
         out[r["i"]] = r["n"]
-    return out.reshape(4, -1)
+    return out.reshape(len(WAYS), 5, SYMBOLS)
 
 
 def encoded(docs: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ green, cross-colour, predictor. Images with sub-images (block-wise transforms, s
 same way, sub-images first. Damaged files raise ValueError.
 
 The encoder lays bytes out as RGBA pixels, ``WIDTH`` a row, at most ``ROWS`` rows a file (a longer payload takes several
-files), with one set of prefix codes counted over the whole corpus, so that equal payloads give equal files wherever
-they are; repeated pixels become back-references. It packs the codes of all images of a batch at once.
+files). Each image is written the way that takes the fewest bits: as it is, with back-references of any distance, with a
+colour cache, after a transform (subtracted green, cross-colour, predictor), or by a palette whose indices share bytes. Each
+way but the last has one set of prefix codes counted over the whole corpus, so that equal payloads give equal files
+wherever they are. The codes of all images of a batch are packed at once.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from .common import ragged
+from .common import mix, ragged
 
 WIDTH, ROWS = 144, 64  # 144 pixels of four bytes: the 576 bytes that payloads are padded to
 LONGEST_CODE, LONGEST_COPY, RUN = 12, 4096, 4
@@ -181,9 +183,9 @@ def container(raw: bytes) -> bytes:
 
 
 class Headers:
-    """Reads image headers; codes of a header that doesn't depend on the image's size are kept and met again by comparing bytes."""
+    """Reads image headers; transforms and codes of a header without a palette or groups are kept and met again by comparing bytes."""
 
-    def __init__(self, kept: int = 4):
+    def __init__(self, kept: int = 8):
         self.kept, self.known = kept, []
 
     def plan(self, raw: bytes) -> Plan:
@@ -194,8 +196,11 @@ class Headers:
         if bits.take(3):
             raise ValueError("unknown version")
         for head, n, plan in self.known:
+            # sub-images of transforms are as large as the image asks for
+            if plan.transforms and (width != plan.full_width or any(_blocks(height, t[2]) != _blocks(plan.height, t[2]) for t in plan.transforms if len(t) > 2)):
+                continue
             if data.startswith(head, 5) and not (n & 7 and (data[5 + len(head)] ^ plan.data[5 + len(head)]) & ((1 << (n & 7)) - 1)):
-                return Plan(data, 40 + n, width, height, plan.groups, plan.cache_bits, full_width=width)
+                return Plan(data, 40 + n, width, height, plan.groups, plan.cache_bits, transforms=plan.transforms, full_width=width)
         transforms, x = [], width
         while bits.take(1):
             kind = bits.take(2)
@@ -215,7 +220,7 @@ class Headers:
                 transforms.append((kind, x))
         plan = _codes(bits, x, height, True)
         plan.transforms, plan.full_width = transforms, width
-        if not transforms and plan.block_map is None:
+        if all(t[0] != PALETTE for t in transforms) and plan.block_map is None:
             n = plan.at - 40
             self.known = [(data[5:5 + (n >> 3)], n, plan), *self.known][:self.kept]
         return plan
@@ -525,28 +530,128 @@ def as_prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return prefix, v & ((1 << extra) - 1), extra
 
 
-class Tokens:
-    """Literals and copies of the pixels of a batch of images, in order."""
+# What an image may be written as: as it is, copies being runs of one pixel; copies of any distance; these and a colour cache;
+# and these after a transform: green subtracted, blue less red, the difference to the left pixel. PALETTE is a way of its own.
+PLAIN, FAR, CACHED, GREEN, CROSS, LEFT = WAYS = range(6)
+CACHE_BITS, BUNDLED = 6, 16  # colours of a palette whose indices share bytes, at most
+SYMBOLS = LITERALS + LENGTHS + (1 << CACHE_BITS)
+_PLACE = np.uint64(28)  # bits of a pixel's place in a batch
+
+
+def _near_codes(width: int) -> np.ndarray:
+    """The distance code of each distance, 0 where it has none of the near ones."""
+    d = np.array([max(x + y * width, 1) for x, y in NEAR])
+    out = np.zeros(int(d.max()) + 1, np.int64)
+    out[d[::-1]] = np.arange(len(NEAR), 0, -1)
+    return out
 
-    def __init__(self, pixels: np.ndarray, off: np.ndarray):
-        same = np.zeros(len(pixels), bool)
-        same[1:] = pixels[1:] == pixels[:-1]
+
+def copies(pixels: np.ndarray, off: np.ndarray, far: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance of the stretches of RUN pixels or more that repeat earlier ones of their image: the next pixel
+    before or, with far, the last place of the same RUN pixels."""
+    back = np.zeros(len(pixels) + 1, np.int64)
+    image = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    room = np.arange(len(pixels)) + RUN <= off[1:][image]
+    if far and room.any():
+        at = np.flatnonzero(room)
+        h = image[at].astype(np.uint64)
+        for j in range(RUN):
+            h = mix(h + pixels[at + j])
+        key = np.sort(h >> _PLACE << _PLACE | at.astype(np.uint64))
+        place = (key & ((np.uint64(1) << _PLACE) - np.uint64(1))).astype(np.int64)
+        same = np.flatnonzero(key[1:] >> _PLACE == key[:-1] >> _PLACE)
+        early, late = place[same], place[same + 1]
+        ok = image[early] == image[late]
+        for j in range(RUN):
+            ok &= pixels[early + j] == pixels[late + j]
+        back[late[ok]] = (late - early)[ok]
+    elif room.any():
+        same = np.zeros(len(pixels) + 1, bool)
+        same[1:-1] = pixels[1:] == pixels[:-1]
         same[off[:-1]] = False
-        head = same.copy()
-        head[1:] &= ~same[:-1]
-        a = np.flatnonzero(head)
-        end = np.flatnonzero(same & ~np.append(same[1:], False)) + 1
-        n = end - a
-        a, n = a[n >= RUN], n[n >= RUN]
+        ok = room.copy()
+        for j in range(RUN):
+            ok[:len(ok) - j] &= same[j:len(pixels)]
+        back[:-1][ok] = 1
+    # neighbours that repeat at one distance are one stretch; it ends where the next begins
+    first = back > 0
+    first[1:] &= back[1:] != back[:-1]
+    first[off[:-1]] = back[off[:-1]] > 0
+    a = np.flatnonzero(first)
+    if not len(a):
+        return a, a, a
+    live = np.flatnonzero(back[:-1])
+    end = live[np.searchsorted(live, np.append(a[1:], len(pixels))) - 1] + RUN
+    end = np.minimum(end, np.append(a[1:], len(pixels)))
+    n = end - a
+    a, n = a[n >= RUN], n[n >= RUN]
+    parts = -(-n // LONGEST_COPY)
+    k = ragged(np.zeros(len(n), np.int64), parts)
+    start = np.repeat(a, parts) + k * LONGEST_COPY
+    return start, np.minimum(np.repeat(n, parts) - k * LONGEST_COPY, LONGEST_COPY), np.repeat(back[a], parts)
+
+
+def slots(pixels: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The place in the colour cache where each pixel is found, -1 where it isn't."""
+    p = pixels.astype(np.uint64)
+    argb = p & np.uint64(0xFF00FF00) | (p & np.uint64(0xFF)) << np.uint64(16) | p >> np.uint64(16) & np.uint64(0xFF)
+    slot = (argb * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)
+    image = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(off))
+    key = np.sort((image << np.uint64(CACHE_BITS) | slot) << _PLACE | np.arange(len(p), dtype=np.uint64))
+    place = (key & ((np.uint64(1) << _PLACE) - np.uint64(1))).astype(np.int64)
+    hit = np.flatnonzero((key[1:] >> _PLACE == key[:-1] >> _PLACE) & (pixels[place[1:]] == pixels[place[:-1]])) + 1
+    out = np.full(len(p), -1)
+    out[place[hit]] = slot[place[hit]]
+    return out
+
+
+def changed(pixels: np.ndarray, off: np.ndarray, way: int, width: int = WIDTH) -> np.ndarray:
+    """The pixels after a way's transform."""
+    if way not in (GREEN, CROSS, LEFT):
+        return pixels
+    b = pixels.view(np.uint8).reshape(-1, 4)
+    out = b.copy()
+    if way == GREEN:
+        out[:, [0, 2]] -= b[:, 1:2]
+    elif way == CROSS:
+        out[:, 2] -= b[:, 0]
+    else:
+        out[1:] -= b[:-1]
+        edge = np.arange(0, len(b), width)  # a row's first pixel goes by the one above, an image's first by opaque black
+        out[edge] = b[edge] - b[edge - width]
+        out[off[:-1]] = b[off[:-1]] - np.array([0, 0, 0, 255], np.uint8)
+    return out.view(np.uint32).reshape(-1)
+
+
+class Tokens:
+    """Literals, copies and cached colours of the pixels of a batch of images that are written one way, in order. found: the
+    copies of any distance, if they are known."""
+
+    def __init__(self, pixels: np.ndarray, off: np.ndarray, way: int, width: int = WIDTH, found: tuple | None = None):
+        self.way, self.pixels = way, changed(pixels, off, way, width)
+        # pixels change one by one but for LEFT, so that equal ones stay equal
+        self.copy, n, d = (found or copies(pixels, off, True)) if way not in (PLAIN, LEFT) else copies(self.pixels, off, False)
         cover = np.zeros(len(pixels) + 1, np.int64)
-        np.add.at(cover, a, 1)
-        np.add.at(cover, a + n, -1)
-        self.literal = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
-        parts = -(-n // LONGEST_COPY)
-        k = ragged(np.zeros(len(n), np.int64), parts)
-        self.copy = np.repeat(a, parts) + k * LONGEST_COPY
-        self.prefix, self.extra, self.extra_bits = as_prefix(np.minimum(np.repeat(n, parts) - k * LONGEST_COPY, LONGEST_COPY))
-        self.pixels = pixels
+        np.add.at(cover, self.copy, 1)
+        np.add.at(cover, self.copy + n, -1)
+        single = np.cumsum(cover[:-1]) == 0
+        self.prefix, self.extra, self.extra_bits = as_prefix(n)
+        near = _near_codes(width)
+        code = near[np.minimum(d, len(near) - 1)]
+        self.far, self.far_extra, self.far_bits = as_prefix(np.where((d < len(near)) & (code > 0), code, d + len(NEAR)))
+        self.cached = self.slot = np.zeros(0, np.int64)
+        if way == CACHED and len(pixels):
+            slot = slots(pixels, off)
+            self.cached = np.flatnonzero(single & (slot >= 0))
+            self.slot = slot[self.cached]
+            single[self.cached] = False
+        self.literal = np.flatnonzero(single)
+
+    def counts(self) -> np.ndarray:
+        """How often each symbol of the five codes occurs: 5 x SYMBOLS."""
+        out = np.stack([*(np.bincount(c, minlength=SYMBOLS) for c in channels(self.pixels[self.literal])), np.bincount(self.far, minlength=SYMBOLS)])
+        out[0] += np.bincount(np.concatenate((LITERALS + self.prefix, LITERALS + LENGTHS + self.slot)).astype(np.int64), minlength=SYMBOLS)
+        return out
 
 
 def channels(pixels: np.ndarray) -> list[np.ndarray]:
@@ -555,50 +660,147 @@ def channels(pixels: np.ndarray) -> list[np.ndarray]:
     return [b[:, 1], b[:, 0], b[:, 2], b[:, 3]]
 
 
+def _every_way(pixels: np.ndarray, off: np.ndarray, width: int = WIDTH) -> list[Tokens]:
+    found = copies(pixels, off, True)
+    return [Tokens(pixels, off, way, width, found) for way in WAYS]
+
+
 def count_symbols(pixels: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """How often each symbol of the four codes occurs: 4 x (256 + 24)."""
-    t = Tokens(pixels, off)
-    out = np.stack([np.bincount(c, minlength=LITERALS + LENGTHS) for c in channels(pixels[t.literal])])
-    out[0, LITERALS:] += np.bincount(t.prefix, minlength=LENGTHS)
-    return out
+    """How often each symbol of the five codes occurs if all images are written one way, for each way: 6 x 5 x SYMBOLS."""
+    return np.stack([t.counts() for t in _every_way(pixels, off)])
+
+
+def _one_symbol(s: int) -> list[tuple[int, int]]:
+    return [(1, 1), (0, 1), (1, 1), (s, 8)]
+
+
+def _one_pixel(blue: int = 0, green: int = 0, red: int = 0) -> list[tuple[int, int]]:
+    """A sub-image of a single pixel."""
+    return [(0, 1), *(x for s in (green, red, blue, 0, 0) for x in _one_symbol(s))]
+
+
+# a block of 512 x 512 pixels is the whole image; mode 1 predicts from the left; blue less 32 / 32 of red
+_TRANSFORM = {GREEN: [(1, 1), (SUBTRACT_GREEN, 2)], CROSS: [(1, 1), (CROSS_COLOUR, 2), (7, 3), *_one_pixel(red=32)], LEFT: [(1, 1), (PREDICTOR, 2), (7, 3), *_one_pixel(green=1)]}
+
+
+def _file(data: bytes) -> bytes:
+    pad = len(data) & 1
+    return b"RIFF" + struct.pack("<I", 12 + len(data) + pad) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data + b"\0" * pad
+
+
+def _own_codes(pixels: np.ndarray) -> list[tuple[int, int]]:
+    """(value, bits) of pixels as literals with prefix codes of their own; the distance code is unused."""
+    out, used = [], []
+    for c, size in zip(channels(pixels), (LITERALS + LENGTHS, LITERALS, LITERALS, LITERALS)):
+        lengths = code_lengths(np.bincount(c, minlength=size), LONGEST_CODE)
+        out += code_header(lengths)
+        used.append((reversed_codes(lengths), lengths if np.count_nonzero(lengths) > 1 else lengths * 0))
+    out += _one_symbol(0)
+    return out + [(int(codes[s]), int(n[s])) for px in zip(*channels(pixels)) for s, (codes, n) in zip(px, used) if n[s]]
+
+
+def palette_file(pixels: np.ndarray, width: int = WIDTH) -> bytes:
+    """The file of an image of at most BUNDLED colours, whose indices share bytes."""
+    table, index = np.unique(pixels, return_inverse=True)
+    pack = 3 if len(table) <= 2 else 2 if len(table) <= 4 else 1
+    colours = table.view(np.uint8).reshape(-1, 4)
+    steps = np.diff(colours, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8).view(np.uint32).reshape(-1)
+    rows = index.reshape(-1, width)
+    rows = np.pad(rows, ((0, 0), (0, -width % (1 << pack)))).reshape(len(rows), -1, 1 << pack)
+    bundle = (rows << np.arange(1 << pack) * (8 >> pack)).sum(2).astype(np.uint32).reshape(-1) << np.uint32(8)
+    parts = [(0x2F, 8), (width - 1, 14), (len(rows) - 1, 14), (1, 1), (0, 3), (1, 1), (PALETTE, 2), (len(table) - 1, 8), (0, 1), *_own_codes(steps), (0, 1), (0, 1), (0, 1), *_own_codes(bundle)]
+    value, n = _joined(parts)
+    return _file(value.to_bytes(-(-n // 8), "little"))
 
 
 class Encoder:
-    """Writes files with one set of prefix codes, made from the symbol counts of a corpus."""
+    """Writes files with one set of prefix codes for each way, made from the symbol counts of a corpus; an image is written the way
+    that takes the fewest bits."""
 
     def __init__(self, counts: np.ndarray):
-        counts = counts + (np.arange(LITERALS + LENGTHS) < LITERALS)  # any byte can be written
-        counts[0, LITERALS:] += 1
-        self.lengths = [code_lengths(counts[0], LONGEST_CODE), *(code_lengths(c[:LITERALS], LONGEST_CODE) for c in counts[1:])]
-        self.codes = [reversed_codes(n).astype(np.uint64) for n in self.lengths]
-        # no transform, no colour cache, one group; every distance is 1, whose code takes no bits
-        head = [(0, 1), (0, 1), (0, 1)]
-        for n in self.lengths:
-            head += code_header(n)
-        head += [(1, 1), (0, 1), (1, 1), (1, 8)]
-        self.head, self.head_bits = _joined(head)
+        self.lengths, self.codes, self.head = [], [], []
+        symbol = np.arange(SYMBOLS)
+        for way in WAYS:
+            # any byte, length, slot and distance can be written
+            green = counts[way, 0] + (symbol < LITERALS + LENGTHS + (1 << CACHE_BITS if way == CACHED else 0))
+            far = counts[way, 4, :DISTANCES] + (symbol[:DISTANCES] == 1 if way in (PLAIN, LEFT) else 1)
+            size = SYMBOLS if way == CACHED else LITERALS + LENGTHS
+            lengths = [code_lengths(green[:size], LONGEST_CODE), *(code_lengths(c[:LITERALS] + 1, LONGEST_CODE) for c in counts[way, 1:4]), code_lengths(far, LONGEST_CODE)]
+            # the transform, the cache, one group of codes
+            head = [*_TRANSFORM.get(way, []), (0, 1), *([(1, 1), (CACHE_BITS, 4)] if way == CACHED else [(0, 1)]), (0, 1), *(x for n in lengths for x in code_header(n))]
+            self.head.append(_joined(head))
+            self.codes.append([reversed_codes(n).astype(np.uint64) for n in lengths])
+            self.lengths.append([n if np.count_nonzero(n) > 1 else n * 0 for n in lengths])  # one symbol takes no bits
+
+    def _events(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, value and bits of what is written for the pixels."""
+        codes, lengths = self.codes[t.way], [n.astype(np.uint64) for n in self.lengths[t.way]]
+        value, bits = np.zeros(len(t.literal), np.uint64), np.zeros(len(t.literal), np.uint64)
+        for c, code, n in zip(channels(t.pixels[t.literal]), codes, lengths):
+            value |= code[c] << bits
+            bits += n[c]
+        s = t.prefix + LITERALS
+        copy_value, copy_bits = codes[0][s], lengths[0][s].copy()
+        for v, n in ((t.extra, t.extra_bits), (codes[4][t.far], lengths[4][t.far]), (t.far_extra, t.far_bits)):
+            copy_value = copy_value | v.astype(np.uint64) << copy_bits
+            copy_bits += n.astype(np.uint64)
+        s = t.slot + LITERALS + LENGTHS if len(t.slot) else t.slot
+        return (np.concatenate((t.literal, t.copy, t.cached)), np.concatenate((value, copy_value, codes[0][s] if len(s) else s.astype(np.uint64))),
+                np.concatenate((bits, copy_bits, lengths[0][s] if len(s) else s.astype(np.uint64))).astype(np.int64))
+
+    def ways(self, pixels: np.ndarray, off: np.ndarray, width: int = WIDTH) -> np.ndarray:
+        """The way of each image that takes the fewest bits."""
+        n = len(off) - 1
+        image = np.repeat(np.arange(n), np.diff(off))
+        cost = np.empty((len(WAYS), n))
+        for t in _every_way(pixels, off, width):
+            size = self.lengths[t.way]
+            bits = np.zeros(len(pixels), np.int64)
+            for c, lengths in zip(channels(t.pixels), size):
+                bits += lengths[c]
+            bits = np.bincount(image[t.literal], bits[t.literal], n)
+            bits += np.bincount(image[t.copy], size[0][t.prefix + LITERALS] + t.extra_bits + size[4][t.far] + t.far_bits, n)
+            if len(t.cached):
+                bits += np.bincount(image[t.cached], size[0][t.slot + LITERALS + LENGTHS], n)
+            cost[t.way] = self.head[t.way][1] + bits
+        return cost.argmin(0)
 
     def encode(self, pixels: np.ndarray, off: np.ndarray, width: int = WIDTH) -> list[bytes]:
         """Files of images whose pixels (bytes red, green, blue, alpha) lie one after another; off: n + 1 offsets."""
-        t = Tokens(pixels, off)
-        value, bits = np.zeros(len(t.literal), np.uint64), np.zeros(len(t.literal), np.uint64)
-        for c, codes, lengths in zip(channels(pixels[t.literal]), self.codes, self.lengths):
-            value |= codes[c] << bits
-            bits += lengths[c].astype(np.uint64)
-        s = t.prefix + LITERALS
-        size = self.lengths[0][s].astype(np.uint64)
-        copy_value, copy_bits = self.codes[0][s] | t.extra.astype(np.uint64) << size, size + t.extra_bits.astype(np.uint64)
+        n = len(off) - 1
+        files: list[bytes] = [b""] * n
+        if not n:
+            return files
+        best = self.ways(pixels, off, width)
+        for way in np.unique(best).tolist():
+            mine = np.flatnonzero(best == way)
+            size = (off[1:] - off[:-1])[mine]
+            own = np.concatenate(([0], np.cumsum(size)))
+            for i, f in zip(mine.tolist(), self._packed(pixels[ragged(off[:-1][mine], size)], own, way, width)):
+                files[i] = f
+        image = np.repeat(np.arange(n, dtype=np.uint64), np.diff(off))
+        seen = np.sort(image << np.uint64(32) | pixels)
+        colours = np.bincount((seen[np.append(True, seen[1:] != seen[:-1])] >> np.uint64(32)).astype(np.int64), minlength=n)
+        for i in np.flatnonzero(colours <= BUNDLED).tolist():
+            f = palette_file(pixels[off[i]:off[i + 1]], width)
+            files[i] = f if len(f) < len(files[i]) else files[i]
+        return files
+
+    def _packed(self, pixels: np.ndarray, off: np.ndarray, way: int, width: int) -> list[bytes]:
+        """Files of images that are all written one way."""
+        events, value, bits = self._events(Tokens(pixels, off, way, width))
+        head, head_bits = self.head[way]
         # events of all images in order: the first 40 bits, the codes in pieces of 32 bits, the pixels
         n = len(off) - 1
         height = np.diff(off) // width
         first = np.uint64(0x2F) | np.uint64(width - 1) << np.uint64(8) | (height - 1).astype(np.uint64) << np.uint64(22) | np.uint64(1 << 36)
-        pieces = [(self.head >> i & 0xFFFFFFFF, min(32, self.head_bits - i)) for i in range(0, self.head_bits, 32)]
+        pieces = [(head >> i & 0xFFFFFFFF, min(32, head_bits - i)) for i in range(0, head_bits, 32)]
         k = 1 + len(pieces)
         begin = off[:-1]
-        place = np.concatenate((np.repeat(begin, k), t.literal, t.copy))
-        rank = np.concatenate((np.tile(np.arange(k), n), np.full(len(t.literal) + len(t.copy), k)))
-        v = np.concatenate((np.column_stack((first, *(np.full(n, p, np.uint64) for p, _ in pieces))).reshape(-1), value, copy_value))
-        b = np.concatenate((np.tile(np.array([40, *(x for _, x in pieces)], np.int64), n), bits.astype(np.int64), copy_bits.astype(np.int64)))
+        place = np.concatenate((np.repeat(begin, k), events))
+        rank = np.concatenate((np.tile(np.arange(k), n), np.full(len(events), k)))
+        v = np.concatenate((np.column_stack((first, *(np.full(n, p, np.uint64) for p, _ in pieces))).reshape(-1), value))
+        b = np.concatenate((np.tile(np.array([40, *(x for _, x in pieces)], np.int64), n), bits))
         order = np.argsort(place * (k + 1) + rank, kind="stable")
         v, b, place = v[order], b[order], place[order]
         # each image starts at a whole 64-bit word
@@ -617,8 +819,4 @@ class Encoder:
             over = np.where(shift > 0, v >> np.minimum(np.uint64(64) - shift, np.uint64(63)) >> (shift == 0).astype(np.uint64), np.uint64(0))
             out[i[cut] + 1] |= np.bitwise_or.reduceat(over, cut)
         raw = out.astype("<u8").tobytes()
-        files = []
-        for a, size in zip((start[:-1] * 8).tolist(), (-(-total // 8)).tolist()):
-            pad = size & 1
-            files.append(b"RIFF" + struct.pack("<I", 12 + size + pad) + b"WEBPVP8L" + struct.pack("<I", size) + raw[a:a + size] + b"\0" * pad)
-        return files
+        return [_file(raw[a:a + size]) for a, size in zip((start[:-1] * 8).tolist(), (-(-total // 8)).tolist())]

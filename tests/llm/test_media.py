@@ -59,6 +59,44 @@ def test_encoder_round_trip():
     assert alone[0] == files[1] and len(files[1]) < 700  # the same file wherever it is encoded; a run costs little
 
 
+def used(raw):
+    """What the file of an image makes use of."""
+    plan = webp.Headers().plan(raw)
+    return {t[0] for t in plan.transforms} | ({"cache"} if plan.cache_bits else set()) | ({"far"} if plan.groups[0][4].width else set())
+
+
+def test_files_of_the_query_use_the_whole_format(spark):
+    """Transforms, colour cache and distances above 1 are met in the stored files and undone when they are read back."""
+    g = random.Random(3)
+    pick = lambda letters, n: g.choices(letters, k=n)
+    texts = ["", "short", "".join(pick(["wxyz", "WXYZ"], 400)), "".join(c * 4 for c in pick("0123456789QXZ", 300)), "".join(a + b + a + c for a, b, c in zip(pick("!#$%&()*+/<=>?@[]^_{|}~QXZJKV0123456789", 900), pick("eta ", 900), pick("eta ", 900))),
+             "".join(chr(33 + k % 90) * 4 for k in range(600)), "".join(pick("QXZJKV", 700)) * 5, "".join(pick(["abcd", "efgh", "ijkl", *("".join(pick("mnopqrst", 4)) for _ in range(20))], 2000))]
+    docs = tables(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1 - k, t) for k, t in enumerate(texts)], docs.schema))
+    files = {r.doc_id: r.media for r in media.encoded(docs).collect()}
+    found = [used(bytes(f)) for m in files.values() for f in m]
+    assert {P, C, G, T, "cache", "far"} <= set().union(*found) and set() in found
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    for d, m in files.items():
+        assert b"".join(x.tobytes() for x in webp.decode(list(map(bytes, m)))).rstrip(b"\xff") == texts[d]
+
+
+def test_every_way_round_trips():
+    """Whatever way is chosen, the pixels come back; a file tells nothing of the batch it was made in."""
+    g = np.random.default_rng(5)
+    parts = [g.integers(0, 1 << 32, 144, dtype=np.uint32), np.tile(g.integers(0, 1 << 32, 37, dtype=np.uint32), 40)[:144 * 10], g.choice(g.integers(0, 1 << 32, 50, dtype=np.uint32), 144 * 3),
+             np.arange(144 * 2, dtype=np.uint32) * np.uint32(0x01010101), np.zeros(144 * 64, np.uint32), g.choice(np.array([1, 2, 3], np.uint32), 144 * 2)]
+    px, off = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    enc = webp.Encoder(webp.count_symbols(px, off))
+    for way in webp.WAYS:
+        files = enc._packed(px, off, way, webp.WIDTH)
+        assert b"".join(x.tobytes() for x in webp.decode(files)) == px.tobytes(), way
+    files = enc.encode(px, off)
+    assert b"".join(x.tobytes() for x in webp.decode(files)) == px.tobytes()
+    for k, p in enumerate(parts):
+        assert enc.encode(p, np.array([0, len(p)])) == [files[k]]
+
+
 def test_code_lengths_are_limited():
     n = webp.code_lengths(np.array([1 << k for k in range(40)]), 12)
     assert n.max() <= 12 and sum(2.0 ** -x for x in n) == 1
