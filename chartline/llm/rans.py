@@ -87,14 +87,19 @@ def encode(ids: np.ndarray, sizes: np.ndarray, docs: list, table: Table) -> byte
     groups: list[np.ndarray] = [np.zeros(0, np.uint32)] * steps
     marks: list[tuple[int, np.ndarray]] = []
     scale = np.uint64(SCALE)
+    freq, cum = table.freq[ids], table.cum[ids]
+    limit = freq << shift
     for t in range(steps - 1, -1, -1):
-        s = ids[t * LANES:(t + 1) * LANES]
-        x, f = state[:len(s)], table.freq[s]
-        full = x >= f << shift
-        groups[t] = x[full].astype(np.uint32)
-        x = np.where(full, x >> _32, x)
+        now = slice(t * LANES, min((t + 1) * LANES, n))
+        f = freq[now]
+        x = state[:len(f)]
+        full = np.flatnonzero(x >= limit[now])
+        over = x[full]
+        groups[t] = over.astype(np.uint32)
+        x[full] = over >> _32
         q = x // f
-        state[:len(s)] = (q << scale) + (x - q * f) + table.cum[s]
+        x -= q * f
+        x += (q << scale) + cum[now]
         if t % EVERY == 0:
             marks.append((t, state.copy()))
     before = np.concatenate(([0], np.cumsum([len(g) for g in groups])))
@@ -140,7 +145,7 @@ class Block:
             k = min(self.lanes, self.n - step * self.lanes)
             y = x[:k]
             slot = y & mask
-            s = tb.symbol[slot.astype(np.int64)]
+            s = tb.symbol[slot.view(np.int64)]
             out[done:done + k] = s
             done += k
             y = tb.freq[s] * (y >> scale) + slot - tb.cum[s]
