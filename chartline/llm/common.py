@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -26,6 +29,23 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable) -> Callable:
+    """A function over record batches whose worker, which lives on for later stages, gives freed memory back to the system when
+    it is done."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def n_words(text: Column) -> Column:
     """Words of a text (null: 0), in the JVM."""
     t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), GAP, " "))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buffers, mix, slice_hashes, words
+from .common import buffers, lean, mix, slice_hashes, words
 from .tokens import encoder, sliced
 
 LABELLERS = ("symbols", "capitals", "doubled", "bars", "repeats", "lengths", "variety", "ends")
@@ -137,7 +137,7 @@ def patterns(docs: DataFrame) -> DataFrame:
                 v = Measured(b.column("text").slice(x, y - x)).votes()
                 yield pa.RecordBatch.from_arrays([pa.array((v @ 3 ** np.arange(v.shape[1])).astype(np.int32))], names=["pattern"])
 
-    return docs.select("text").mapInArrow(run, "pattern int")
+    return docs.select("text").mapInArrow(lean(run), "pattern int")
 
 
 def estimate(counts: dict[int, int], rounds: int = 300) -> tuple[dict[int, float], np.ndarray, np.ndarray]:
@@ -216,7 +216,7 @@ def train(docs: DataFrame) -> tuple[dict[int, float], tuple[np.ndarray, np.ndarr
         a, b, c = fit(text, target)
         yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f8").tobytes() for x in (a, b, np.array([c]))], pa.binary())], names=["w"])
 
-    got = [np.frombuffer(bytes(r["w"]), "<f8") for r in sample.select("_h", F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(1).mapInArrow(run, "w binary").collect()]
+    got = [np.frombuffer(bytes(r["w"]), "<f8") for r in sample.select("_h", F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(1).mapInArrow(lean(run), "w binary").collect()]
     return post, (got[0], got[1], float(got[2][0])) if got else (np.zeros(BUCKETS), np.zeros(SHAPES), 0.0)
 
 
@@ -239,7 +239,7 @@ def scored(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_words", "_votes", "_posterior", "_score", "_keep"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, _words long, _votes string, _posterior double, _score double, _keep boolean")
+    return docs.mapInArrow(lean(run), f"{fields}, _words long, _votes string, _posterior double, _score double, _keep boolean")
 
 
 def report(docs: DataFrame) -> DataFrame:

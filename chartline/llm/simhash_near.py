@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buffers, mix, slice_hashes, stored, words
+from .common import buffers, lean, mix, slice_hashes, stored, words
 from .graph import components
 from .tokens import encoder, sliced
 
@@ -95,7 +95,7 @@ def measured(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in cols]], names=["doc_id", "hash", "d1", "d2", "f1", "f2"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, f"doc_id {kind}, hash long, d1 long, d2 long, f1 long, f2 long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(lean(run), f"doc_id {kind}, hash long, d1 long, d2 long, f1 long, f2 long")
 
 
 def bands(nodes: int, similarity: float = SIMILARITY, meet: float = MEET) -> np.ndarray:
@@ -122,7 +122,7 @@ def keyed(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
                 n = len(chosen)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *[pa.array(np.repeat(v, n)) for v in (part.column("node").to_numpy(), *f)]], names=["key", "node", "f1", "f2"])
 
-    return nodes.select("node", "f1", "f2").mapInArrow(run, "key long, node long, f1 long, f2 long")
+    return nodes.select("node", "f1", "f2").mapInArrow(lean(run), "key long, node long, f1 long, f2 long")
 
 
 def _far(f: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -210,7 +210,7 @@ def _met(rows: DataFrame, radius: int) -> DataFrame:
             yield _candidates(pa.Table.from_batches(held), radius)
 
     laid = rows.select("key", "salt", "parts", "node", "f1", "f2").repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
-    return laid.mapInArrow(run, "a long, b long, key long, f1 long, f2 long")
+    return laid.mapInArrow(lean(run), "a long, b long, key long, f1 long, f2 long")
 
 
 def candidates(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -287,7 +287,7 @@ def remaining(rows: DataFrame, roots: DataFrame, radius: int = RADIUS, known: Da
         if held:
             yield from ended(pa.Table.from_batches(held), True)
 
-    return laid.select(*row, "i", "j", "side").mapInArrow(run, "a long, b long").distinct()
+    return laid.select(*row, "i", "j", "side").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -311,7 +311,7 @@ def compared_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle:
                 raw = [np.unique((sets[i:j] >> np.uint64(32)).astype(np.uint32)).tobytes() for i, j in zip(off.tolist(), off[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(raw, pa.binary())], names=["node", "shingles"])
 
-    sets = stored(texts.select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "near-sets", "zstd")
+    sets = stored(texts.select("node", "text").mapInArrow(lean(run), "node long, shingles binary").dropDuplicates(["node"]), "near-sets", "zstd")
     both = pairs.join(sets.withColumnsRenamed({"node": "b", "shingles": "q"}), "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "p"}), "a")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +324,7 @@ def compared_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle:
                 d.append(1 - same / max(len(p) + len(q) - same, 1))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(d, pa.float64()), pa.array(keep, pa.bool_())], names=["a", "b", "d", "alike"])
 
-    return both.select("a", "b", "p", "q").mapInArrow(alike, "a long, b long, d double, alike boolean")
+    return both.select("a", "b", "p", "q").mapInArrow(lean(alike), "a long, b long, d double, alike boolean")
 
 
 def clusters(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -1,13 +1,15 @@
 """The pipeline: stages against brute force, and the entry's guard."""
 
 import re
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
 from chartline.llm import quality
-from chartline.llm.common import tables
+from chartline.llm.common import lean, tables
 from chartline.llm.queries import ORACLE_SQL, QUERIES
 from tests import oracle
 
@@ -77,3 +79,19 @@ def test_entry():
 def test_sql(spark, name):
     msg, _ = oracle.compare(QUERIES[name](spark, SF), oracle.duck(SF), ORACLE_SQL[name])
     assert not msg, msg
+
+
+def test_workers_give_freed_memory_back():
+    """A worker that is done holds no more than before, though what it freed lies between blocks that are still in use."""
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+    kept = []
+
+    def run(batches):
+        for b in batches:
+            blocks = [np.ones(8000) for _ in range(4000)]
+            kept.extend(blocks[::100])
+            yield b
+
+    before = resident()
+    assert list(lean(run)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 64 << 20
