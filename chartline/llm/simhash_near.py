@@ -9,10 +9,12 @@ are compared tile by tile by exclusive-or and bit counts, tile pairs skipped by
 
 Keys of at most ``SHORT`` nodes give all their candidates, others two for each node: the nearest and the least of those
 before it. Keys of more than ``HOT`` nodes are salted; nodes with none before them in their part meet once more under the key. So
-a group of copies of any size gives a number of pairs in proportion to it. Every candidate pair is confirmed by the
-Jaccard similarity of its whole sets (as 32-bit hashes); confirmed pairs are linked to components. Then the longer keys whose
-nodes are not all of one component give all their other candidates: those between different components, the only ones that
-can still link anything. No key drops a pair that would change a component. Meeting under a key is a matter of
+a group of copies of any size gives a number of pairs in proportion to it. Candidates are screened by parity marks (a bit flips
+with each shingle that falls on it: sets that differ in k shingles differ in at most k bits, so what is too far apart for the
+similarity is known without the sets, and no similar pair is lost), then confirmed by the Jaccard similarity of the whole sets (as
+32-bit hashes); confirmed pairs are linked to components. Then the longer keys whose nodes are not all of one component are
+compared again between different components, the only pairs that can still link anything, and what the marks leave is
+confirmed. No key drops a pair that would change a component. Meeting under a key is a matter of
 chance, so recall is measured (tests, README), not guaranteed.
 
 No words (null, empty or white space): one node. Repeated rows and equal texts are one node; a null doc_id is last in its
@@ -37,6 +39,7 @@ BITS = 128
 SHORT, HOT, TILE = 32, 8192, 512
 PART = 2048  # nodes of a key compared with as many others at a time
 STRETCH = 512 << 10  # bytes of text taken together
+MARKS = 2048  # bits of a set's parity marks
 _ROWS = 1 << 14  # shingles whose bits are unpacked at a time
 _LANE = (np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127))
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -82,20 +85,49 @@ def fingerprints(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.packbits(2 * total > np.diff(off)[:, None], axis=1, bitorder="little").view(np.uint64), digest
 
 
+def short_sets(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets as 32-bit hashes, distinct and ascending in each text, and their offsets."""
+    short, owner = (sets >> np.uint64(32)).astype(np.uint32), np.repeat(np.arange(len(off) - 1), np.diff(off))
+    new = np.ones(len(short), bool)
+    new[1:] = (short[1:] != short[:-1]) | (owner[1:] != owner[:-1])
+    return short[new], np.searchsorted(owner[new], np.arange(len(off)))
+
+
+def marks(short: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(texts, MARKS / 64) parity marks of the sets: each shingle flips one bit."""
+    out = [np.zeros((0, MARKS // 64), np.uint64)]
+    for a in range(0, len(off) - 1, 1024):
+        at = off[a:a + 1025]
+        n = len(at) - 1
+        place = np.repeat(np.arange(n), np.diff(at)) * MARKS + short[at[0]:at[-1]] % MARKS
+        odd = (np.bincount(place, minlength=n * MARKS) & 1).astype(np.uint8).reshape(n, MARKS)
+        out.append(np.packbits(odd, axis=1, bitorder="little").view(np.uint64))
+    return np.concatenate(out)
+
+
+def allowed(similarity: float) -> float:
+    """The share of both sets' sizes in which similar sets may differ."""
+    return (1 - similarity) / (1 + similarity)
+
+
 def measured(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, hash, d1, d2, f1, f2): a hash of the text, the digest of its shingle set and the fingerprint."""
+    """(doc_id, hash, d1, d2, f1, f2, size, marks): a hash of the text, the digest, fingerprint, size and marks of its shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder.cache_clear()  # left by a stage that encodes
         for whole in batches:
             for x, y in sliced(whole.column("text"), STRETCH):
                 b = whole.slice(x, y - x)
-                fp, digest = fingerprints(*shingle_sets(b.column("text"), shingle))
+                sets, off = shingle_sets(b.column("text"), shingle)
+                fp, digest = fingerprints(sets, off)
                 cols = [*digest.T, *fp.T]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in cols]], names=["doc_id", "hash", "d1", "d2", "f1", "f2"])
+                short, off = short_sets(sets, off)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * (MARKS // 64), pa.int32()), pa.array(marks(short, off).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in cols], pa.array(np.diff(off), pa.int64()), bits],
+                                                 names=["doc_id", "hash", "d1", "d2", "f1", "f2", "size", "marks"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(lean(run), f"doc_id {kind}, hash long, d1 long, d2 long, f1 long, f2 long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(lean(run), f"doc_id {kind}, hash long, d1 long, d2 long, f1 long, f2 long, size long, marks array<long>")
 
 
 def bands(nodes: int, similarity: float = SIMILARITY, meet: float = MEET) -> np.ndarray:
@@ -222,13 +254,13 @@ def candidates(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.where("b IS NOT NULL").select("a", "b").unionByName(_met(again, radius).select("a", "b")).distinct()
 
 
-def remaining(rows: DataFrame, roots: DataFrame, radius: int = RADIUS, known: DataFrame | None = None, facing: bool = False, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs (a, b) of different components within the radius, of keys of more than SHORT nodes.
+def remaining(rows: DataFrame, roots: DataFrame, radius: int = RADIUS, nodes: DataFrame | None = None, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs (a, b) of different components within the radius, of keys of more than SHORT nodes; with nodes
+    (node, size, marks) those whose marks allow the similarity.
 
     Under a key the nodes outside its most frequent component are compared with all, in cells of at most PART by PART nodes. A key
-    of one component is left out. facing: instead, nodes (a) with a candidate in a key's most frequent component, and its root (b).
-    known: (node, root, d) of the Jaccard distance of nodes to such roots. It is a metric, so nodes whose distances to one root
-    differ by more than 1 - similarity are no pair."""
+    of one component is left out. What leaves a cell are pairs that the marks can't tell from similar ones."""
+    limit = allowed(similarity)
     rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"))
@@ -237,10 +269,9 @@ def remaining(rows: DataFrame, roots: DataFrame, radius: int = RADIUS, known: Da
     own, hash_ = F.col("root") == F.col("main"), F.xxhash64("node")
     d = rooted.join(keys, "key").withColumn("own", own).withColumn("others", parts(F.col("n") - F.col("most")))
     d = d.withColumn("part", F.pmod(hash_, F.when(F.col("own"), parts(F.col("most"))).otherwise(F.col("others"))))
-    row, base = ["key", "node", "root", "f1", "f2", "main", "d"], parts(F.col("most"))
+    row, base = ["key", "node", "root", "f1", "f2", "size", "marks"], parts(F.col("most"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    d = d.join(known.withColumnRenamed("root", "main"), ["node", "main"], "left") if known is not None else d.withColumn("d", F.lit(None).cast("double"))
-    d = d.withColumn("d", F.when(F.col("node") == F.col("main"), 0.0).otherwise(F.coalesce("d", F.lit(float("nan")))))
+    d = d.join(nodes.select("node", "size", "marks"), "node") if nodes is not None else d.select("*", F.lit(0).cast("long").alias("size"), F.lit([0] * (MARKS // 64)).cast("array<long>").alias("marks"))
     rest = d.where("NOT own")
     # cells (i, j) of one part of the others and one part of the main component, or of the others (j counts on)
     sides = [d.where("own").select(*row, every(F.col("others")).alias("i"), F.col("part").alias("j"), F.lit(1).alias("side")),
@@ -249,7 +280,8 @@ def remaining(rows: DataFrame, roots: DataFrame, radius: int = RADIUS, known: Da
     laid = sides[0].unionByName(sides[1]).unionByName(sides[2]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
 
     def compared(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, root, side, main, to_main = (t.column(c).to_numpy() for c in ("node", "root", "side", "main", "d"))
+        node, root, side, size = (t.column(c).to_numpy() for c in ("node", "root", "side", "size"))
+        bits = t.column("marks").combine_chunks().flatten().to_numpy().reshape(-1, MARKS // 64).view(np.uint64)
         f = np.stack([t.column(c).to_numpy() for c in ("f1", "f2")], 1).view(np.uint64)
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -257,13 +289,13 @@ def remaining(rows: DataFrame, roots: DataFrame, radius: int = RADIUS, known: Da
             for b in range(0, len(y), TILE):
                 i, j = np.nonzero(_far(f, x[a:a + TILE, None], y[None, b:b + TILE]) <= radius)
                 i, j = x[a + i], y[b + j]
-                if facing:
-                    i = np.unique(i[root[j] == main[j]])
-                    out.append((node[i], main[i]))
-                    continue
-                apart = (root[i] != root[j]) & ~(np.abs(to_main[i] - to_main[j]) > 1 - similarity + 1e-9)
+                apart = root[i] != root[j]
                 i, j = i[apart], j[apart]
-                out.append((np.maximum(node[i], node[j]), np.minimum(node[i], node[j])))
+                for k in range(0, len(i), 1 << 14):
+                    p, q = i[k:k + (1 << 14)], j[k:k + (1 << 14)]
+                    near = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64) <= limit * (size[p] + size[q]) + 1e-6
+                    p, q = p[near], q[near]
+                    out.append((np.maximum(node[p], node[q]), np.minimum(node[p], node[q])))
         return tuple(np.concatenate(v) for v in zip(*out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,14 +322,15 @@ def remaining(rows: DataFrame, roots: DataFrame, radius: int = RADIUS, known: Da
     return laid.select(*row, "i", "j", "side").mapInArrow(lean(run), "a long, b long").distinct()
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose whole shingle sets have the similarity."""
-    return compared_sets(docs, nodes, pairs, shingle, similarity).where("alike").select("a", "b")
+def screened(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose marks allow the similarity."""
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("marks").alias(f"marks_{c}"))
+    differ = F.aggregate(F.zip_with("marks_a", "marks_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(differ <= (F.col("size_a") + F.col("size_b")) * allowed(similarity) + 1e-6).select("a", "b")
 
 
-def compared_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b, d, alike): the Jaccard distance of each pair's whole shingle sets, and whether they have the similarity. nodes: node,
-    and doc_id, hash of a document that stands for it."""
+def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose whole shingle sets have the similarity. nodes: node, and doc_id, hash of a document that stands for it."""
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     keys = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
     of = nodes.join(used, "node").select("node", *keys, "hash")
@@ -307,8 +340,8 @@ def compared_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle:
         for whole in batches:
             for x, y in sliced(whole.column("text"), STRETCH):
                 b = whole.slice(x, y - x)
-                sets, off = shingle_sets(b.column("text"), shingle)
-                raw = [np.unique((sets[i:j] >> np.uint64(32)).astype(np.uint32)).tobytes() for i, j in zip(off.tolist(), off[1:].tolist())]
+                short, off = short_sets(*shingle_sets(b.column("text"), shingle))
+                raw = [short[i:j].tobytes() for i, j in zip(off.tolist(), off[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(raw, pa.binary())], names=["node", "shingles"])
 
     sets = stored(texts.select("node", "text").mapInArrow(lean(run), "node long, shingles binary").dropDuplicates(["node"]), "near-sets", "zstd")
@@ -316,33 +349,29 @@ def compared_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle:
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d, keep = [], []
+            keep = []
             for p, q in zip(b.column("p"), b.column("q")):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint32) for v in (p, q))
                 same = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(same >= similarity * (len(p) + len(q) - same))
-                d.append(1 - same / max(len(p) + len(q) - same, 1))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(d, pa.float64()), pa.array(keep, pa.bool_())], names=["a", "b", "d", "alike"])
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
-    return both.select("a", "b", "p", "q").mapInArrow(lean(alike), "a long, b long, d double, alike boolean")
+    return both.select("a", "b", "p", "q").mapInArrow(lean(alike), "a long, b long")
 
 
 def clusters(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, hash, root) of every document; root: a node that stands for its component."""
     m = stored(measured(docs, shingle), "near-measured", "zstd")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("f")
-    nodes = m.groupBy("d1", "d2").agg(first, F.min("f1").alias("f1"), F.min("f2").alias("f2"))
-    nodes = stored(nodes.select("d1", "d2", "f1", "f2", "f.doc_id", "f.hash", F.monotonically_increasing_id().alias("node")), "near-nodes")
+    nodes = m.groupBy("d1", "d2").agg(first, F.min("f1").alias("f1"), F.min("f2").alias("f2"), F.min("size").alias("size"), F.first("marks").alias("marks"))
+    nodes = stored(nodes.select("d1", "d2", "f1", "f2", "size", "marks", "f.doc_id", "f.hash", F.monotonically_increasing_id().alias("node")), "near-nodes", "zstd")
     n = nodes.count()
     rows = stored(keyed(nodes, bands(n, similarity)), "near-keys")
-    pairs = stored(candidates(rows), "near-candidates")
+    pairs = stored(screened(candidates(rows), nodes, similarity), "near-candidates")
     links = components(confirmed(docs, nodes, pairs, shingle, similarity))
-    ends = stored(remaining(rows, links, facing=True), "near-facing")
-    members = links.join(ends.select(F.col("b").alias("root")).distinct(), "root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    known = stored(compared_sets(docs, nodes, ends.unionByName(members), shingle, similarity), "near-known")
-    rest = remaining(rows, links, known=known.select(F.col("a").alias("node"), F.col("b").alias("root"), "d"), similarity=similarity)
-    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "near-remaining")
-    more = confirmed(docs, nodes, rest, shingle, similarity).unionByName(known.where("alike").select("a", "b"))
+    rest = stored(remaining(rows, links, nodes=nodes, similarity=similarity).join(pairs, ["a", "b"], "left_anti"), "near-remaining")
+    more = confirmed(docs, nodes, rest, shingle, similarity)
     links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     root = nodes.select("node", "d1", "d2").join(links, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"))
     return m.join(root, ["d1", "d2"]).select("doc_id", "hash", "root")

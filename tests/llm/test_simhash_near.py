@@ -145,3 +145,41 @@ def test_odd_rows(odd_docs, no_docs, clashing):
     assert near.deduplicated(no_docs).count() == 0
     d = clashing.withColumn("node", F.lit(1)).withColumn("_keep_id", F.lit(2)).withColumn("f1", F.lit(3))
     assert [(r["doc_id"], r["node"], r["_keep_id"], r["f1"]) for r in near.deduplicated(d).orderBy("doc_id").collect()] == [(1, 1, 2, 3), (3, 1, 2, 3)]
+
+
+def test_marks_lose_no_similar_pair():
+    g = np.random.default_rng(11)
+    own = [np.unique(g.integers(0, 1 << 32, n, dtype=np.uint64)) for n in (1, 40, 300, 5000)]
+    sets = []
+    for s in own:
+        for gone in (0.0, 0.05, 0.11, 0.19, 0.2, 0.24, 0.5):
+            keep = s[int(len(s) * gone):]
+            sets += [keep, np.unique(np.concatenate((keep[len(keep) // 20:], g.integers(0, 1 << 32, len(keep) // 20, dtype=np.uint64))))]
+    off = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    short, cut = near.short_sets(np.concatenate(sets) << np.uint64(32), off)
+    bits, size = near.marks(short, cut), np.diff(cut)
+    assert np.array_equal(cut, off)
+    told = 0
+    for i, p in enumerate(sets):
+        for j, q in enumerate(sets):
+            same = len(np.intersect1d(p, q))
+            passes = np.bitwise_count(bits[i] ^ bits[j]).sum(dtype=int) <= near.allowed(0.8) * (size[i] + size[j]) + 1e-6
+            assert passes or same < 0.8 * (len(p) + len(q) - same)
+            told += not passes
+    assert told > 1000
+
+
+def test_pairs_compared_grow_with_a_group(spark, make_docs, monkeypatch):
+    """Texts that share three quarters of their words are candidates of each other but not similar: next to none are read."""
+    seen, plain = [], near.confirmed
+
+    def counted(docs, nodes, pairs, *rest):
+        seen.append(pairs.count())
+        return plain(docs, nodes, pairs, *rest)
+
+    monkeypatch.setattr(near, "confirmed", counted)
+    g = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base[:228] + [f"x{t}y{g.random()}" for _ in range(72)]) for t in range(300)]
+    root = roots(near.clusters(make_docs(*enumerate(texts)).repartition(4)))
+    assert len(set(root.values())) == 300 and sum(seen) < 300
