@@ -9,7 +9,7 @@ and one number each.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +179,17 @@ def correlated_pairs(mat: DataFrame, features: Sequence[str], limit: float, last
     if not len(mean):
         mean, scale = np.zeros(k), np.zeros(k)
     scale = np.where(scale > 0, scale, np.inf)  # a constant column correlates with nothing
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield (batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, k) - mean) / scale
+
+    return block_pairs(rows, matrices, k, limit, max(n - 1, 1), last)
+
+
+def block_pairs(rows: DataFrame, matrices: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], k: int, limit: float, divisor: float = 1.0, last: bool = False) -> DataFrame:
+    """(i, j, corr) of positions i < j whose sum of products, over ``divisor``, is beyond ``limit``. matrices: a task's batches as rows of
+    k centred and scaled columns."""
     blocks = [(a, min(a + BLOCK, k)) for a in range(0, k, BLOCK)]
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +201,7 @@ def correlated_pairs(mat: DataFrame, features: Sequence[str], limit: float, last
             held.clear()
             return batch
 
-        for batch in batches:
-            z = (batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, k) - mean) / scale
+        for z in matrices(batches):
             for a, (a0, a1) in enumerate(blocks):
                 for b, (b0, b1) in enumerate(blocks[a:], a):
                     got = z[:, a0:a1].T @ z[:, b0:b1]
@@ -207,7 +217,7 @@ def correlated_pairs(mat: DataFrame, features: Sequence[str], limit: float, last
         for batch in batches:
             for x in batch.column("x"):
                 total += np.frombuffer(x.as_buffer(), float).reshape(shape)
-        total /= max(n - 1, 1)
+        total /= divisor
         i, j = np.nonzero((np.abs(total) > limit) | (last & (np.arange(blocks[b][0], blocks[b][1]) == k - 1)[None, :]))
         c, i, j = total[i, j], i + blocks[a][0], j + blocks[b][0]
         ok = i < j

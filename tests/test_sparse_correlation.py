@@ -97,3 +97,33 @@ def test_label_correlation_far_from_zero(spark):
     long, spine = long_of(spark, x)
     y = (np.arange(300) % 3 == 0).astype(float)
     assert sc.label_correlation(long, spine).first()["corr"] == pytest.approx(np.corrcoef(x[:, 0] - 1e8, y)[0, 1], abs=1e-6)
+
+
+def test_dense_pairs_come_from_block_sums(spark, monkeypatch):
+    """Pairs of dense columns are not expanded into rows of entities; batches may cut an entity's rows."""
+    g = np.random.default_rng(12)
+    x = np.where(g.random((700, 12)) < 0.4, g.integers(1, 9, (700, 12)), 0).astype(float)
+    x[:, 5] = x[:, 2] * 0.5 + x[:, 4] * 0.2
+    x[:, 8] = np.where(x[:, 3] > 0, 0, 2)
+    x[:, 9] = np.where((x[:, 1] >= 8) & (g.random(700) < 0.7), 3, 0)  # sparse, follows a dense column
+    x[:40] = 0  # entities without any feature
+    long, who = long_of(spark, x)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r["a"], r["b"]): r["corr"] for r in sc.correlated_pairs(long, who, 0.3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = numpy_pairs(x, 0.3)
+    assert got.keys() == want.keys() and len(want) >= 3 and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    counts = []
+    cut = sc.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        if "other" in df.columns:
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(sc, "cut_lineage", counted)
+    sc.correlated_pairs(long.where("feature <> 'f00009'"), who, 0.3).collect()
+    assert counts == [0]  # pairs to be read row by row
