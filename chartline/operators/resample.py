@@ -1,8 +1,9 @@
 """Percentile intervals from many resamples, whose number does not touch the shuffle.
 
 A draw gives every row a Poisson(1) weight taken from a digest of its id, so draws are reproducible and independent of
-partitions. Rows are sorted by score into ranges once, as they are; the weights of all draws exist only inside tasks, a few
-thousand rows at a time, as one array a row. A range gives three sums an array wide (its first score, its last, what lies
+partitions. Rows are sorted by score into ranges of some 65,000 once, as they are; the weights of all draws are made once, inside tasks, a few
+thousand rows at a time. What is kept is one row for each distinct score of a range, the sums of its positives' and negatives' weights
+in as few bytes as they need. A range gives three sums an array wide (its first score, its last, what lies
 between); these small rows are put in order per draw, and a second pass over the ranges starts from what lies before them.
 Scores that many rows share may fill several ranges: their sums meet under the score.
 """
@@ -16,34 +17,90 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch
 
 # Cumulative Poisson(1) probabilities; a draw above the last weighs 7.
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
 PER_DIGEST = 8  # draws read from one SHA-256
-CHUNK = 2048  # rows whose weights are held at once
+CHUNK = 2048  # rows whose weights are held at once (their sums fit 16 bits)
+RANGE = 1 << 16  # rows of a range
 METRICS = ("auroc", "auprc", "sensitivity", "specificity", "ppv", "npv")
 _SLOT = "score double, middle int, p array<bigint>, q array<bigint>"
 
 
+# Weights by the upper two bytes of a draw's 32 bits, as a little-endian machine reads them; UNSURE where a limit lies inside.
+LIMITS = np.ceil(np.array(POISSON) * 4294967296.0).astype(np.uint32)
+UNSURE = 255
+UPPER = np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint32) << np.uint32(16), "right").astype(np.uint8)
+UPPER[LIMITS >> np.uint32(16)] = UNSURE
+UPPER = UPPER[np.arange(1 << 16, dtype=np.uint16).byteswap()]
+
+
 def weights(ids: list, draws: int, seed: str) -> np.ndarray:
     """One row per id: weight 1, the rows as they are, then the weights of the draws."""
-    out = np.ones((len(ids), draws + 1), np.int64)
-    blocks = range(-(-draws // PER_DIGEST))
-    for i, entity in enumerate(ids):
-        head = f"{entity}|{seed}|".encode()
-        raw = b"".join([hashlib.sha256(head + str(b).encode()).digest() for b in blocks])
-        out[i, 1:] = np.searchsorted(POISSON, np.frombuffer(raw, ">u4", draws) / 4294967296.0, "right")
+    out = np.ones((len(ids), draws + 1), np.uint8)
+    tails = [str(b).encode() for b in range(-(-draws // PER_DIGEST))]
+    sha, digest, raw = hashlib.sha256, type(hashlib.sha256()).digest, []
+    for entity in ids:
+        raw.append(b"".join(map(digest, map(sha, map(f"{entity}|{seed}|".encode().__add__, tails)))))
+    raw = b"".join(raw)
+    w = UPPER[np.frombuffer(raw, "<u2").reshape(len(ids), -1)[:, :2 * draws:2]]
+    x, y = np.nonzero(w == UNSURE)
+    w[x, y] = np.searchsorted(LIMITS, np.frombuffer(raw, ">u4").reshape(len(ids), -1)[x, y], "right")
+    out[:, 1:] = w
+    return out
+
+
+def _packed(v: np.ndarray) -> bytes:
+    """Sums not below 0, in 1, 2 or 8 bytes each; the length tells which."""
+    top = v.max(initial=0)
+    return v.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.int64).tobytes()
+
+
+def _unpacked(raw: pa.Array, width: int) -> np.ndarray:
+    kind = {1: np.uint8, 2: np.uint16, 8: np.int64}
+    out = np.empty((len(raw), width), np.int64)
+    for i, v in enumerate(raw):
+        b = v.as_buffer()
+        out[i] = np.frombuffer(b, kind[b.size // width])
     return out
 
 
-def _chunks(rows: pa.Table, draws: int, seed: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Scores in order, and the weights of positives and of negatives."""
-    rows = rows.sort_by("score")
-    for x in range(0, rows.num_rows, CHUNK):
-        part = rows.slice(x, CHUNK)
-        w, y = weights(part.column("id").to_pylist(), draws, seed), part.column("label").to_numpy()[:, None] == 1
-        yield part.column("score").to_numpy(), np.where(y, w, 0), np.where(y, 0, w)
+def _chunks(sums: pa.Table, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct scores in order, and the weights of positives and of negatives."""
+    sums = sums.sort_by("score")
+    for x in range(0, sums.num_rows, CHUNK):
+        part = sums.slice(x, CHUNK)
+        yield part.column("score").to_numpy(), *(_unpacked(part.column(c).combine_chunks(), width) for c in "pq")
+
+
+def _scores(batches: Iterator[pa.RecordBatch], draws: int, seed: str) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of their scores: one row for each distinct score."""
+    held: tuple | None = None  # sums of the last score, which may go on
+
+    def batch(part: int, rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.float64()), *[pa.array([_packed(r[k]) for r in rows], pa.binary()) for k in (1, 2)]],
+                                          names=["part", "score", "p", "q"])
+
+    part = -1
+    for whole in batches:
+        for x in range(0, whole.num_rows, CHUNK):
+            b = whole.slice(x, CHUNK)
+            part = b.column("part")[0].as_py()
+            w, y, s = weights(b.column("id").to_pylist(), draws, seed), b.column("label").to_numpy() == 1, b.column("score").to_numpy()
+            head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            done = []
+            for i, j in zip(head.tolist(), [*head[1:].tolist(), len(s)]):
+                p, q = (w[i:j][m].sum(0, dtype=np.uint16).astype(np.int64) for m in (y[i:j], ~y[i:j]))
+                if held is not None and held[0] == s[i]:
+                    held = (held[0], held[1] + p, held[2] + q)
+                    continue
+                done += [held] if held is not None else []
+                held = (s[i], p, q)
+            if done:
+                yield batch(part, done)
+    if held is not None:
+        yield batch(part, [held])
 
 
 def _place(scores: np.ndarray, lo: float, hi: float) -> np.ndarray:
@@ -57,13 +114,17 @@ def bootstrap(pred: DataFrame, threshold: float, draws: int = 1000, seed: str =
     in which a metric is not defined do not count; with no rows there are none of it."""
     rows = pred.where(F.col("score").isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col("label").cast("int").alias("label"), F.col("score").cast("double").alias("score"))
     # rows of one score may lie in several ranges
-    laid = cut_lineage(rows.repartitionByRange("score", F.xxhash64("id")).withColumn("part", F.spark_partition_id()))
+    n = -(-rows.count() // RANGE) or 1
+    ranges = rows.repartitionByRange(n, "score", F.xxhash64("id")).sortWithinPartitions("score").withColumn("part", F.spark_partition_id())
+    path = scratch(pred.sparkSession, "bootstrap")
+    ranges.mapInArrow(lambda batches: _scores(batches, draws, seed), "part int, score double, p binary, q binary").write.parquet(path, compression="zstd")
+    laid = pred.sparkSession.read.schema("part int, score double, p binary, q binary").parquet(path)
     width = draws + 1
 
     def slots(key: tuple, rows: pa.Table) -> pa.Table:
         lo, hi = (f(rows.column("score").to_numpy()) for f in (np.min, np.max))
         sums = np.zeros((2, 3, width), np.int64)
-        for s, p, q in _chunks(rows, draws, seed):
+        for s, p, q in _chunks(rows, width):
             at = _place(s, lo, hi)
             for k in np.unique(at):
                 sums[0, k] += p[at == k].sum(0)
@@ -106,7 +167,7 @@ def bootstrap(pred: DataFrame, threshold: float, draws: int = 1000, seed: str =
             add(p, pb, qb, q)
             run["p"], run["q"] = run["p"] + p.sum(0), run["q"] + q.sum(0)
 
-        for s, p, q in _chunks(rows, draws, seed):
+        for s, p, q in _chunks(rows, width):
             hit = (s >= threshold)[:, None]
             for n, v in (("p", p), ("q", q), ("tp", p * hit), ("fp", q * hit)):
                 total[n] += v.sum(0)

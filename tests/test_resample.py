@@ -49,3 +49,33 @@ def test_one_class_and_no_rows(spark):
     got = {r["metric"]: r for r in resample.bootstrap(spark.createDataFrame([(1, 1, 0.2), (2, 1, 0.9)], SCHEMA), 0.5, 20).collect()}
     assert got["auroc"]["point"] is None and got["sensitivity"]["point"] == 0.5 and got["ppv"]["point"] == 1.0
     assert all(r["point"] is None for r in resample.bootstrap(spark.createDataFrame([], SCHEMA), 0.5, 20).collect())
+
+
+def test_weights_at_the_limits():
+    """Draws next to a limit of the distribution, and the digests read once for each row."""
+    got = resample.weights(["7", "x"], 1003, "9")
+    for row, name in zip(got, ("7", "x")):
+        for d in range(1003):
+            u = int(hashlib.sha256(f"{name}|9|{d // 8}".encode()).hexdigest()[8 * (d % 8):8 * (d % 8) + 8], 16)
+            assert row[d + 1] == sum(u / 2**32 >= c for c in resample.POISSON)
+    for c, limit in zip(resample.POISSON, resample.LIMITS.tolist()):
+        assert limit / 2**32 >= c > (limit - 1) / 2**32
+
+
+def test_each_row_is_drawn_once(spark, monkeypatch, tmp_path):
+    log, plain = tmp_path / "ids", resample._scores
+
+    def scores(batches, draws, seed):
+        def seen():
+            for b in batches:
+                with open(log, "a") as f:
+                    f.write("".join(f"{i}\n" for i in b.column("id").to_pylist()))
+                yield b
+
+        return plain(seen(), draws, seed)
+
+    monkeypatch.setattr(resample, "_scores", scores)
+    rows = [(i, i % 2, i / 500) for i in range(500)]
+    assert resample.bootstrap(spark.createDataFrame(rows, SCHEMA), 0.5, 20).count() == 6
+    assert sorted(map(int, log.read_text().split())) == list(range(500))
+
