@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from .. import skew
 from ..functions import scalar as x
 from ..operators import cohort
+from ..session import cut_lineage
 
 
 def _read(spark: SparkSession, path: str, schema: StructType | str | None) -> DataFrame:
@@ -157,6 +158,7 @@ def feature_catalog(wide: DataFrame, features: Sequence[str], max_levels: int =
 
 def unpack_json(df: DataFrame, schema: str, c: str = "transformed_features", max_card: int = 20) -> DataFrame:
     """JSON back to numeric columns; text fields with at most ``max_card`` levels become indicators, others are dropped."""
+    df = cut_lineage(df)  # read for the levels and for the rows
     p = df.withColumn("_j", F.from_json(c, schema)).select(*[k for k in df.columns if k != c], "_j.*")
     kinds = {k: t for k, t in p.dtypes if k not in df.columns}
     texts = [k for k, t in kinds.items() if t == "string"]

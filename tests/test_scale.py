@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from chartline import session, skew
 from chartline.operators import hygiene, learn, occurrence, split, values
+from chartline.sources import tables
 
 
 def test_crowded_values_spread_over_many_segments(spark):
@@ -147,3 +148,11 @@ def test_class_weights_leave_rows_where_they_are(spark):
         assert {(r.label, r.weight) for r in got.select("label", F.round("weight", 9).alias("weight")).distinct().collect()} == {(0, 0.666666667), (1, 2.0)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_unpacked_rows_are_made_once(spark):
+    wide = spark.range(100).select(F.col("id").alias("entity"), (F.col("id") % 3).alias("n"), F.when(F.col("id") % 2 == 0, "F").otherwise("M").alias("sex"))
+    packed = tables.pack_json(wide.groupBy("entity").agg(F.max("n").alias("n"), F.max("sex").alias("sex")), ["entity"])
+    got = tables.unpack_json(packed, "n bigint, sex string")
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.agg(F.sum("sex_F"), F.sum("sex_M"), F.sum("n")).first()[0:3] == (50.0, 50.0, 99.0)
