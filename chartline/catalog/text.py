@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as x
 from ..operators import cohort, learn, text as w, text_dictionaries as td
+from ..session import cut_lineage
 from .base import ANCH, SPINE, query, r, rounded, with_
 
 # Conversations as text events of an entity: user and system turns count as clinical types.
@@ -144,11 +145,10 @@ wt AS (SELECT entity, term, (ln(tf) + 1) * idf AS w FROM tc JOIN vo USING (term)
 
 
 def weights(t):
-    pcs = pieces(t)
+    pcs = cut_lineage(pieces(t))  # read for the vocabulary and for its weights
     n = pcs.select("entity").distinct().count()
-    tc = w.term_counts(pcs, order=["turn"])
-    vocab = w.fit_vocabulary(tc, n, size=500)
-    return w.tfidf(tc, vocab), vocab
+    vocab = w.fit_vocabulary(w.term_counts(pcs, order=["turn"]), n, size=500)
+    return w.tfidf(w.term_counts(pcs, order=["turn"], terms=vocab), vocab), vocab
 
 
 @query("w05_tfidf", f"{with_(CONV, BODY, PIECES, TOK)} SELECT entity, term, round(weight, 6) AS weight FROM tw")
@@ -159,6 +159,7 @@ def _(t):
 @query("w05_tfidf_svd", None)
 def _(t):
     wt, vocab = weights(t)
+    wt = cut_lineage(wt)  # at most a row for each entity and term of the vocabulary
     return w.project(wt, w.fit_svd(wt, vocab, 15))
 
 

@@ -102,8 +102,11 @@ def vectors(long: DataFrame, index: DataFrame, size: int, out: str = "features")
     Each entity gathers at most ``size`` pairs, the length of the vocabulary.
     """
     pairs = long.join(index, "feature").groupBy("entity", "idx").agg(F.max("value").alias("value"))
-    got = pairs.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+    got = pairs.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value")))).alias("_s"))
+    # zeros up to each pair's place and its value; after the last pair zeros to the end
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    before = F.concat(F.array(F.lit(-1)), F.col("_s.idx"))
+    dense = F.flatten(F.zip_with("_s", before, lambda s, b: F.when(s.isNull(), zeros(size - 1 - b)).otherwise(F.concat(zeros(s["idx"] - b - 1), F.array(s["value"])))))
     return got.select("entity", array_to_vector(dense).alias(out))
 
 

@@ -130,8 +130,8 @@ def words(c: Column | str) -> Column:
     return F.regexp_extract_all(flat, F.lit(r"(?<![\p{L}\p{N}_])([a-z]{2,})(?![\p{L}\p{N}_])"), F.lit(1))
 
 
-def term_counts(pcs: DataFrame, order: Sequence[str] | None = None, text: str = "body") -> DataFrame:
-    """(entity, term, tf) for words and word pairs.
+def term_counts(pcs: DataFrame, order: Sequence[str] | None = None, text: str = "body", terms: DataFrame | None = None) -> DataFrame:
+    """(entity, term, tf) for words and word pairs; with terms (term) only of these, so that no others are shuffled.
 
     With an order given, the pair formed by the last word of a piece and the
     first word of the entity's next piece counts as well.
@@ -145,6 +145,8 @@ def term_counts(pcs: DataFrame, order: Sequence[str] | None = None, text: str =
         ends = t.select("entity", *order, F.element_at(w, 1).alias("a"), F.element_at(w, -1).alias("b"), F.hash(text).alias("_h"))
         prev = skew.previous(ends, ["entity"], [*order, "_h", "a", "b"], ["b"], _segment(ends, order[0]))
         rows = rows.unionByName(prev.where(F.col("prev_b").isNotNull()).select("entity", F.concat_ws(" ", "prev_b", "a").alias("term")))
+    if terms is not None:
+        rows = rows.join(F.broadcast(terms.select("term")), "term", "left_semi")
     return rows.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
