@@ -87,10 +87,77 @@ def documents(pcs: DataFrame, words: int = 400, order: Sequence[str] = ("event_d
     return first.groupBy("entity").agg(joined.alias("doc")).select("entity", x.first_words("doc", words).alias("doc"))
 
 
+def _alternatives(rx: str) -> list[str]:
+    """A pattern cut at the bars outside its groups and classes."""
+    out, depth, i, start = [], 0, 0, 0
+    while i < len(rx):
+        c = rx[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i = rx.index("]", i + 2)
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(rx[start:i])
+            start = i + 1
+        i += 1
+    return [*out, rx[start:]]
+
+
+def required(rx: str, least: int = 3) -> list[str] | None:
+    """Strings of which every match of the pattern contains one; None where they can't be told. Knows literals, escapes, classes,
+    groups and quantifiers; any other construct just ends a string."""
+    if "(?i" in rx or "\\Q" in rx:
+        return None
+    found: list[str] = []
+    for alt in _alternatives(rx):
+        options: list[list[str]] = []
+        run, i = "", 0
+        while i <= len(alt):
+            c, literal, group, end = alt[i:i + 1], None, None, i + 1
+            if c == "\\":
+                literal, end = (None if alt[i + 1].isalnum() else alt[i + 1]), i + 2
+            elif c == "[":
+                end = alt.index("]", i + 2) + 1
+            elif c == "(":
+                depth, end = 1, i + 1
+                while depth:
+                    end += {"\\": 1}.get(alt[end], 0) if alt[end] != "[" else alt.index("]", end + 2) - end
+                    depth += {"(": 1, ")": -1}.get(alt[end], 0) if alt[end - 1] != "\\" else 0
+                    end += 1
+                inner = alt[i + 1:end - 1]
+                group = required(inner[2:], least) if inner.startswith("?:") else None if inner.startswith("?") else required(inner, least)
+            elif c and c not in ".^$*+?{}|)":
+                literal = c
+            optional = alt[end:end + 1] in ("?", "*", "{") and alt[end:end + 1] != ""
+            if literal and not optional:
+                run += literal
+            if not literal or optional or alt[end:end + 1] == "+":
+                if len(run) >= least:
+                    options.append([run])
+                run = ""
+            if group and not optional:
+                options.append(group)
+            while alt[end:end + 1] in ("?", "*", "+", "{") and alt[end:end + 1]:
+                end = alt.index("}", end) + 1 if alt[end] == "{" else end + 1
+            i = end
+        if not options:
+            return None
+        found += max(options, key=lambda o: (min(map(len, o)), -len(o)))
+    return [v for v in dict.fromkeys(found) if not any(o != v and o in v for o in found)]
+
+
+def matches(c: Column, rx: str) -> Column:
+    """``rlike``, tried only on texts with a string that every match contains: looking for these costs far less than the pattern."""
+    some = required(rx)
+    return c.rlike(rx) if some is None else x.any_of([c.contains(v) for v in some]) & c.rlike(rx)
+
+
 def keyword_flags(ev: DataFrame, patterns: dict[str, str], scope: Column | None = None) -> DataFrame:
     """0/1 per pattern: any text of the entity (inside the scope) matches. Column ``body`` is lower case."""
     inside = F.lit(True) if scope is None else scope
-    return ev.groupBy("entity").agg(*[F.max(x.flag(inside & F.col("body").rlike(rx))).alias(n) for n, rx in patterns.items()])
+    return ev.groupBy("entity").agg(*[F.max(x.flag(inside & matches(F.col("body"), rx))).alias(n) for n, rx in patterns.items()])
 
 
 def report_flags(ev: DataFrame, scope: Column, normal: str = NORMAL_PATTERN, prefix: str = "TEXT_IMG_") -> DataFrame:
