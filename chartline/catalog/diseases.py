@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans import disease
 from ..plans.diseases import ALL
+from ..session import cut_lineage
 from .base import ANCH, query, r, with_
 
 # Terms given to the part codes, so that laboratory series and subtypes find their words.
@@ -26,7 +27,7 @@ def categories(d: disease.Disease) -> list[str]:
 def mapped(t, d: disease.Disease):
     cats = F.array(*[F.lit(c) for c in categories(d)])
     terms = F.array(*[F.lit(c) for c in TERMS])
-    ev = t.anch.select("entity", "event_date", "anchor_date", "time_window", "value", "code")
+    ev = cut_lineage(t.anch.select("entity", "event_date", "anchor_date", "time_window", "value", "code"))  # read for three groupings
     return ev.withColumns({"category": F.element_at(cats, (F.col("code") % F.size(cats) + 1).cast("int")), "term": F.element_at(terms, (F.col("code") % 7 * 3 % len(TERMS) + 1).cast("int"))})
 
 

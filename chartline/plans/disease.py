@@ -76,9 +76,12 @@ def _levels(flags: Mapping[str, str]) -> list[dict[str, str]]:
 def lab_rows(ev: DataFrame, d: Disease) -> DataFrame:
     """Latest, first, largest and smallest value of each laboratory series, and whether it was measured."""
     conds = {n: (f"{_in(cats)} AND " if cats else "") + f"term rlike {_q('(?i)' + rx)}" for n, (cats, rx) in d.labs.items()}
-    rows = ev.where(F.col("value").isNotNull() & F.expr(" OR ".join(f"({c})" for c in conds.values())))
+    # each condition is a column, tested once a row and not once an aggregate
+    every = ev.where(F.col("value").isNotNull()).select("entity", "event_date", "value", *_exprs({f"_is_{n}": c for n, c in conds.items()}))
+    rows = every.where(F.expr(" OR ".join(f"_is_{n}" for n in conds)))
     f = {}
-    for n, c in conds.items():
+    for n in conds:
+        c = f"_is_{n}"
         pair = f"if({c}, struct(event_date, value), NULL)"
         f |= {f"{n}_latest": f"max({pair}).value", f"{n}_first": f"min({pair}).value", f"{n}_max": f"max(if({c}, value, NULL))",
               f"{n}_min": f"min(if({c}, value, NULL))", f"{n}_tested": f"int(count_if({c}) > 0)"}

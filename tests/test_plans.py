@@ -49,3 +49,13 @@ def test_every_disease_runs_on_its_own_categories(spark):
         assert all(out[1][f"has_{g}"] == 1 and out[2][f"has_{g}"] == 0 for g in d.groups), name
         assert all(out[1][f"first_{g}_months"] > 0 and out[2][f"first_{g}_months"] == -1 for g in d.onsets), name
         assert set(d.flags) | set(d.lab_flags) | set(d.scores) <= set(out[1]), name
+
+
+def test_laboratory_terms_are_matched_once_a_row(spark):
+    from chartline.plans import disease
+    from chartline.plans.diseases import ALL
+
+    ev = spark.createDataFrame([], "entity int, event_date date, category string, term string, value double")
+    d = ALL["ovarian"]
+    text = disease.lab_rows(ev, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < text.count("RLIKE") <= 2 * len(d.labs)  # in the filter and as columns
