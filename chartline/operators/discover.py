@@ -205,42 +205,59 @@ def leadtime(ev: DataFrame, spine: DataFrame, by: str = "code", process: str = P
 POISSON_1 = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
 
 
-def uniform(id_col: Column, draw: int, seed: str) -> Column:
-    """Number in [0, 1) from the md5 of id, seed and draw: the same in every run and on every cluster."""
-    h = F.substring(F.md5(F.concat_ws("|", id_col.cast("string"), F.lit(seed), F.lit(str(draw)))), 1, 7)
-    return F.conv(h, 16, 10).cast("double") / 268435456.0
+PACK = 21  # weights of three bits that a long holds
 
 
-def poisson(u: Column) -> Column:
-    """Poisson(1) weight for a uniform number: how many steps of the distribution function it passes."""
-    return x.total([(u >= t).cast("int") for t in POISSON_1])
+def digest(id_col: Column, draw: int, seed: str) -> Column:
+    """The md5 of id, seed and draw: the same in every run and on every cluster."""
+    return F.md5(F.concat_ws("|", id_col.cast("string"), F.lit(seed), F.lit(str(draw))))
+
+
+def poisson(h: Column) -> Column:
+    """Poisson(1) weight for the first seven digits of a digest, as a number in [0, 1): how many steps of the distribution function
+    it passes. The steps are hex digits too, since hex text orders as its numbers do."""
+    steps = [f"{math.ceil(t * 2**28):07x}" for t in POISSON_1]
+    out = F.when(h < steps[0], 0)
+    for k, t in enumerate(steps[1:], 1):
+        out = out.when(h < t, k)
+    return out.otherwise(len(steps)).cast("bigint")
 
 
 def with_weights(df: DataFrame, draws: int, seed: str, keep: Sequence[str], id_col: str = "entity") -> DataFrame:
-    """Columns w0.. of resampling weights. The hashes are one projection, the weights the next, so each hash is computed once."""
-    u = df.select(*keep, *[uniform(F.col(id_col), b, seed).alias(f"u{b}") for b in range(draws)])
-    return u.select(*keep, *[poisson(F.col(f"u{b}")).alias(f"w{b}") for b in range(draws)])
+    """Columns w0.. of resampling weights, ``PACK`` draws in each (``weight`` reads one). The hashes are one projection, the weights
+    the next, so each hash is computed once. Rows are spread over the tasks first: a small file is one task, its hashes are not small."""
+    h = df.select(*dict.fromkeys([*keep, id_col])).repartition(id_col).select(*keep, *[digest(F.col(id_col), b, seed).alias(f"h{b}") for b in range(draws)])
+    return h.select(*keep, *[x.total([F.shiftleft(poisson(F.col(f"h{b}")), 3 * (b - i)) for b in range(i, min(i + PACK, draws))]).alias(f"w{i // PACK}")
+                             for i in range(0, draws, PACK)])
+
+
+def weight(b: int) -> Column:
+    """Weight of draw b out of the columns of ``with_weights``."""
+    return F.shiftright(F.col(f"w{b // PACK}"), 3 * (b % PACK)).bitwiseAND(7)
 
 
 def bootstrap_stability(pairs: DataFrame, spine: DataFrame, draws: int = 20, top_k: int = 150, by: str = "code", seed: str = "42", threshold: float = 0.8) -> DataFrame:
     """Share of entity resamples in which a code is among the top k by odds ratio.
 
-    Each entity carries its ``draws`` weights as columns, so one grouping of
-    the presence pairs gives every resample; rows are not multiplied.
+    Each entity carries its ``draws`` weights in a few longs, made once. Pairs travel to their code that narrow, before the sums of
+    all resamples widen a row; rows are not multiplied. A code's odds are kept, and only those that may be among a draw's first k are
+    sorted.
     """
-    w = with_weights(spine, draws, seed, ["entity", "label"])
+    w = cut_lineage(with_weights(spine, draws, seed, ["entity", "label"]))
     pos = F.col("label") == 1
-    tot = w.agg(*[F.sum(F.when(pos, F.col(f"w{b}")).otherwise(0)).alias(f"tp{b}") for b in range(draws)],
-                *[F.sum(F.when(pos, 0).otherwise(F.col(f"w{b}"))).alias(f"tn{b}") for b in range(draws)]).first()
-    s = pairs.select("entity", by).join(w, "entity").groupBy(by).agg(
-        *[F.sum(F.when(pos, F.col(f"w{b}")).otherwise(0)).alias(f"p{b}") for b in range(draws)],
-        *[F.sum(F.when(pos, 0).otherwise(F.col(f"w{b}"))).alias(f"q{b}") for b in range(draws)])
+    sums = [F.sum(F.when(pos, weight(b)).otherwise(0)).alias(f"p{b}") for b in range(draws)] + [
+        F.sum(F.when(pos, 0).otherwise(weight(b))).alias(f"q{b}") for b in range(draws)]
+    tot = w.agg(*sums).first()
+    # a hot entity is split by the join, a hot code by the rebalancing; checkpointed weights look smaller than they are, so no broadcast
+    laid = pairs.select("entity", by).join(w.hint("merge"), "entity").drop("entity").withColumn("_at", F.hash(by)).hint("rebalance", "_at")
+    s = laid.groupBy(by).agg(*sums)
 
     def odds(b):
         p, q = F.col(f"p{b}") + 0.5, F.col(f"q{b}") + 0.5
-        return F.round((p * (tot[f"tn{b}"] + 1.0 - q)) / ((tot[f"tp{b}"] + 1.0 - p) * q), 9)
+        return (p * (tot[f"q{b}"] + 1.0 - q)) / ((tot[f"p{b}"] + 1.0 - p) * q)
 
-    per = s.select(by, F.posexplode(F.array(*[odds(b) for b in range(draws)])).alias("draw", "odds"))
-    hit = skew.top_by(per, ["draw"], [F.desc("odds"), F.col(by)], top_k, "_rn")
+    s = cut_lineage(s.select(by, F.array(*[odds(b) for b in range(draws)]).alias("odds")))
+    per = skew.high_rows(s.select(by, F.posexplode("odds").alias("draw", "odds")), ["draw"], "odds", top_k, 1e-8)
+    hit = skew.top_by(per, ["draw"], [F.round("odds", 9).desc(), F.col(by)], top_k, "_rn")
     n = hit.groupBy(by).agg((F.count(F.lit(1)) / float(draws)).alias("stability"))
     return s.select(by).join(n, by, "left").na.fill(0.0, ["stability"]).withColumn("stable", x.flag(F.col("stability") >= threshold))

@@ -179,6 +179,17 @@ def top_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int =
     return out.drop(name) if k == 1 else out
 
 
+def high_rows(df: DataFrame, keys: Sequence[str], value: str, k: int, slack: float = 0.0) -> DataFrame:
+    """Rows that may be among a key's k highest values, without sorting any: all from the least value of the buckets that hold the
+    first k, less ``slack`` for an order by rounded values. Rows without a value are dropped. The rows are read twice; the
+    keys must be few (a row for each is broadcast)."""
+    keys, v = list(keys), F.col(value)
+    cells = df.where(v.isNotNull()).groupBy(*keys, number_bucket(v, 1 << 8).alias("_b")).agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_least"))
+    above = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    least = cells.withColumn("_above", above).where(F.col("_above") < k).groupBy(*keys).agg(F.min("_least").alias("_least"))
+    return join_null_safe(df, F.broadcast(least), keys).where(v >= F.col("_least") - slack).drop("_least")
+
+
 def one_row(*parts: DataFrame) -> DataFrame:
     """Single-row results side by side, without a join: their union reduced by max."""
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

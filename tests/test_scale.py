@@ -1,11 +1,14 @@
 """Helpers on data that a size switch or a crowded range of values would betray."""
 
+import hashlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import Window as W, functions as F
 
 from chartline import session, skew
-from chartline.operators import hygiene, learn, occurrence, split, values
+from chartline.operators import discover, hygiene, learn, occurrence, split, values
 from chartline.sources import tables
 
 
@@ -156,3 +159,47 @@ def test_unpacked_rows_are_made_once(spark):
     got = tables.unpack_json(packed, "n bigint, sex string")
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.agg(F.sum("sex_F"), F.sum("sex_M"), F.sum("n")).first()[0:3] == (50.0, 50.0, 99.0)
+
+
+def test_weights_of_a_small_file_spread_over_tasks(spark):
+    """A file of one task holds the entities; their hashes are made in several, and 20 weights travel in one long."""
+    spine = spark.range(400_000).select((F.col("id") * 7919 % 999_983).alias("entity"), (F.col("id") % 2).cast("int").alias("label")).coalesce(1)
+    w = discover.with_weights(spine, 20, "42", ["entity", "label"])
+    assert w.columns == ["entity", "label", "w0"] and w.rdd.getNumPartitions() > 1
+    for r in w.where("entity % 50021 = 0").select("entity", *[discover.weight(b).alias(f"w{b}") for b in range(20)]).collect():
+        assert list(r[1:]) == [_poisson(r.entity, b) for b in range(20)]
+
+
+def _poisson(entity, draw):
+    u = int(hashlib.md5(f"{entity}|42|{draw}".encode()).hexdigest()[:7], 16) / 2**28
+    return sum(u >= t for t in discover.POISSON_1)
+
+
+def test_stability_with_a_hot_code_and_many_draws(spark):
+    """A code of every entity, codes of one, ties at the limit, more draws than a long holds; against plain sums."""
+    draws, k, n = 23, 4, 300
+    has = {(e, "hot") for e in range(n)} | {(e, f"c{e * 7 % 40}") for e in range(n)} | {(e, f"d{e * 3 % 11}") for e in range(n)} | {(5, "one"), (5, "two")}
+    label = {e: int(e % 3 == 0) for e in range(n)}
+    w = {(e, b): _poisson(e, b) for e in range(n) for b in range(draws)}
+    codes, hits = sorted({c for _, c in has}), Counter()
+    for b in range(draws):
+        tp, tn = (sum(w[e, b] for e in range(n) if label[e] == y) for y in (1, 0))
+        place = []
+        for c in codes:
+            p, q = (sum(w[e, b] for e, d in has if d == c and label[e] == y) + 0.5 for y in (1, 0))
+            place.append((-round(p * (tn + 1 - q) / ((tp + 1 - p) * q), 9), c))
+        hits.update(c for _, c in sorted(place)[:k])
+    pairs = spark.createDataFrame(sorted(has), "entity long, code string")
+    spine = spark.createDataFrame(sorted(label.items()), "entity long, label int")
+    got = discover.bootstrap_stability(pairs, spine, draws=draws, top_k=k, threshold=0.5)
+    assert {(r.code, r.stability, r.stable) for r in got.collect()} == {(c, hits[c] / draws, int(hits[c] / draws >= 0.5)) for c in codes}
+
+
+def test_rows_that_may_be_among_the_highest(spark):
+    """No row of the first k is lost, equal values and few rows included, and most of the others are gone."""
+    df = spark.range(30_000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 3 == 2, 1.5).otherwise((F.col("id") % 5000) / 7 - 100).alias("v"), "id")
+    df = df.unionByName(spark.createDataFrame([(7, -2.0, -1), (7, 0.0, -2), (None, 3.0, -3)], "k long, v double, id long"))
+    order = [F.round("v", 2).desc(), F.col("id")]
+    few = skew.high_rows(df, ["k"], "v", 100, 0.01)
+    got, want = (sorted(map(repr, skew.top_by(t, ["k"], order, 100).collect())) for t in (few, df))
+    assert got == want and few.where("k < 2").count() < 1000 and few.where("k = 2").count() == 10_000
